@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from groundwork.llm import mixing, secrets, sharding, urls
 from groundwork.llm.common import table
 from groundwork.llm.pieces import encode_decode
 
@@ -17,16 +19,37 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url").withColumn("fetched_at", urls.fetch_time(F.col("page_id")))
+    return urls.judge(pages, urls.entries(spark))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode_decode(documents, piece_model()).drop("text")
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secrets": op1_secrets,
+        "op3_urls": op3_urls,
+        "op6_sharding": op6_sharding,
         "op7_pieces": op7_pieces,
+        "op10_mixing": op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_urls": urls.JUDGE_SQL, "op10_mixing": mixing.MIX_SQL}
