@@ -44,33 +44,28 @@ def _added(loads: Column, shard: Column, amount: Column) -> Column:
 def edited(slot_map: DataFrame, sums: DataFrame, shards: int) -> DataFrame:
     """The next version of the map, with sizes nearly equal over the shards.
 
-    Slots are walked from the largest. In a first walk a slot stays if its shard has room below the mean; those
-    without room, and those of shards that are no more, are placed in a second walk, each on the least filled shard.
+    In each shard slots stay, from the largest, while their running sum is at most the mean of all shards. The rest,
+    and the slots of shards that are no more, are walked from the largest, each to the shard that is least filled.
     """
     last = slot_map.agg(F.max("version").alias("version"))
-    held = slot_map.join(F.broadcast(last), "version").join(sums.select("vslot", "bytes"), "vslot", "left").select("version", "vslot", "shard", F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"))
-    one = held.agg(F.max("version").alias("version"), F.ceil(F.sum("bytes") / shards).cast("long").alias("mean"), F.sort_array(F.collect_list(F.struct((-F.col("bytes")).alias("less"), "vslot", "shard"))).alias("all"))
-    place = "array<struct<vslot:int,shard:int>>"
-    pool = "array<struct<less:bigint,vslot:int,shard:int>>"
-    # The mean rides along with each element, so that a walk looks at its own element only.
-    one = one.withColumn("all", F.expr("transform(all, x -> struct(x.less AS less, x.vslot AS vslot, x.shard AS shard, mean AS mean))"))
-    start = F.struct(F.array_repeat(F.lit(0).cast("long"), shards).alias("loads"), F.array().cast(place).alias("placed"), F.array().cast(pool).alias("pool"))
-
-    def stay(acc: Column, x: Column) -> Column:
-        room = (x["shard"] < shards) & (F.get(acc["loads"], x["shard"]) - x["less"] <= x["mean"])
-        return F.struct(
-            F.when(room, _added(acc["loads"], x["shard"], -x["less"])).otherwise(acc["loads"]).alias("loads"),
-            F.when(room, F.concat(acc["placed"], F.array(F.struct(x["vslot"].alias("vslot"), x["shard"].alias("shard"))))).otherwise(acc["placed"]).alias("placed"),
-            F.when(room, acc["pool"]).otherwise(F.concat(acc["pool"], F.array(F.struct(x["less"].alias("less"), x["vslot"].alias("vslot"), x["shard"].alias("shard"))))).alias("pool"),
-        )
+    held = slot_map.join(F.broadcast(last), "version").join(F.broadcast(sums.select("vslot", "bytes")), "vslot", "left").select("version", "vslot", "shard", F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"))
+    mean = held.agg(F.ceil(F.sum("bytes") / shards).cast("long").alias("mean"))
+    running = F.sum("bytes").over(Window.partitionBy("shard").orderBy(F.desc("bytes"), "vslot"))
+    marked = held.withColumn("running", running).join(F.broadcast(mean)).withColumn("stays", (F.col("running") <= F.col("mean")) & (F.col("shard") < shards))
+    # One row over a fixed number of slots: what stays by shard, and what goes.
+    one = marked.agg(
+        F.max("version").alias("version"),
+        *[F.coalesce(F.sum(F.when(F.col("stays") & (F.col("shard") == k), F.col("bytes"))), F.lit(0)).alias(f"load{k}") for k in range(shards)],
+        F.sort_array(F.collect_list(F.when(~F.col("stays"), F.struct((-F.col("bytes")).alias("less"), "vslot")))).alias("pool"),
+    )
+    start = F.struct(F.array(*[F.col(f"load{k}") for k in range(shards)]).alias("loads"), F.array().cast("array<struct<vslot:int,shard:int>>").alias("placed"))
 
     def move(acc: Column, x: Column) -> Column:
         shard = _least(acc["loads"])
         return F.struct(_added(acc["loads"], shard, -x["less"]).alias("loads"), F.concat(acc["placed"], F.array(F.struct(x["vslot"].alias("vslot"), shard.alias("shard")))).alias("placed"))
 
-    one = one.withColumn("walk", F.aggregate("all", start, stay))
-    one = one.withColumn("walk", F.aggregate("walk.pool", F.struct(F.col("walk.loads").alias("loads"), F.col("walk.placed").alias("placed")), move))
-    return one.select((F.col("version") + 1).alias("version"), F.explode("walk.placed").alias("p")).select("version", "p.vslot", "p.shard")
+    moved = one.select("version", F.explode(F.aggregate("pool", start, move, lambda acc: acc["placed"])).alias("p")).select("version", "p.vslot", "p.shard")
+    return marked.filter("stays").select("version", "vslot", "shard").unionByName(moved).withColumn("version", F.col("version") + 1)
 
 
 def store(slot_map: DataFrame, path: str) -> DataFrame:
