@@ -31,13 +31,13 @@ _LOWER[65:91] += 32
 
 @dataclass(frozen=True)
 class Settings:
-    rows: int = 4000  #: labelled rows that the model is fitted and calibrated on, at most
+    rows: int = 2500  #: labelled rows that the model is fitted and calibrated on, at most
     characters: int = 100_000  #: longer texts are not among them
     bits: int = 16  #: coordinates of each of the four feature groups
-    steps: int = 150
+    steps: int = 80
     rate: float = 0.5
     l2: float = 1e-4
-    least: float = 0.5  #: calibrated probability from which a text is kept
+    least: float = 0.4  #: calibrated probability from which a text is kept
     fold: int = 5
 
 

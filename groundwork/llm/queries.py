@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm import mixing, secrets, sharding, urls
+from groundwork.llm import mixing, quality, secrets, sharding, substrings, toxicity, urls
 from groundwork.llm.common import table
 from groundwork.llm.pieces import encode_decode
 
@@ -28,6 +28,11 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, urls.entries(spark))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judged(documents, table(spark, sf_dir, "labels")).drop("text")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -37,6 +42,15 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents, piece_model()).drop("text")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.scored(documents, table(spark, sf_dir, "labels")).drop("text")
+
+
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.passages(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
@@ -45,8 +59,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": op1_secrets,
         "op3_urls": op3_urls,
+        "op4_quality": op4_quality,
         "op6_sharding": op6_sharding,
         "op7_pieces": op7_pieces,
+        "op8_toxicity": op8_toxicity,
+        "op9_substrings": op9_substrings,
         "op10_mixing": op10_mixing,
     }
 

@@ -2,7 +2,8 @@
 
 Features are words, pairs of neighbours, and pairs with one or two words between them, each hashed into a fixed
 number of coordinates and counted once a text. FTRL-proximal gives each coordinate its own learning rate and an L1
-penalty, so that most weights are exactly 0 and what is broadcast is small and of bounded size.
+penalty, so that most weights are exactly 0 and what is broadcast is small and of bounded size. Some more passes
+over the chosen coordinates, without the penalty, let their weights grow to what the labels ask for.
 
 The model is fitted on a bounded sample of labelled rows (``Settings.rows``, taken in hash order of the id);
 every text is scored whole, in Arrow batches.
@@ -31,11 +32,12 @@ class Settings:
     rows: int = 6000  #: labelled rows that the model is fitted on, at most
     characters: int = 200_000  #: longer texts are not among them
     bits: int = 20
-    passes: int = 4
-    alpha: float = 0.3
+    passes: int = 5  #: over the rows with the L1 penalty, which choose the coordinates
+    more: int = 8  #: over the rows with the chosen coordinates alone, without it
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 0.6
-    l2: float = 0.01
+    l1: float = 0.14  #: times the square root of the number of rows, as the noise in a coordinate's sum grows
+    l2: float = 0.001
     fold: int = 5  #: rows whose crc32(id) is divisible by it are held out
 
 
@@ -97,16 +99,20 @@ def fit(rows: list[tuple[str, int]], settings: Settings = Settings()) -> Weights
     if not 0 < ones < len(rows):
         return Weights(settings.bits, bias, np.empty(0, np.int64), np.empty(0))
 
-    def weights(at: np.ndarray) -> np.ndarray:
+    def weights(at: np.ndarray, l1: float) -> np.ndarray:
         zi = z[at]
         rate = (settings.beta + np.sqrt(n[at])) / settings.alpha + settings.l2
-        return np.where(np.abs(zi) <= settings.l1, 0.0, -(zi - np.sign(zi) * settings.l1) / rate)
-
-    order = np.random.default_rng(7)
-    for _ in range(settings.passes):
+        return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / rate)
+
+    order, l1 = np.random.default_rng(7), settings.l1 * np.sqrt(len(rows))
+    for turn in range(settings.passes + settings.more):
+        if turn == settings.passes:
+            chosen = np.abs(z) > l1
+            features = [at[chosen[at]] for at in features]
+            z[:], n[:], l1 = 0.0, 0.0, 0.0
         for k in order.permutation(len(rows)):
             at, y = features[k], rows[k][1]
-            w = weights(at)
+            w = weights(at, l1)
             p = 1 / (1 + np.exp(-np.clip(bias + w.sum(), -35, 35)))
             g = p - y
             sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / settings.alpha
@@ -114,8 +120,8 @@ def fit(rows: list[tuple[str, int]], settings: Settings = Settings()) -> Weights
             n[at] += g * g
             bias_n += g * g
             bias -= 0.1 * g / np.sqrt(bias_n)
-    at = np.flatnonzero(np.abs(z) > settings.l1)
-    return Weights(settings.bits, float(bias), at, weights(at))
+    at = np.flatnonzero(z)
+    return Weights(settings.bits, float(bias), at, weights(at, 0.0))
 
 
 def score(documents: DataFrame, weights: Weights, text: str = "text", name: str = "score") -> DataFrame:
