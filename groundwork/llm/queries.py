@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm import mixing, quality, secrets, sharding, substrings, toxicity, urls
+from groundwork.llm import jaccard, mixing, quality, secrets, sharding, substrings, toxicity, urls
 from groundwork.llm.common import table
 from groundwork.llm.pieces import encode_decode
 
@@ -23,6 +23,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url").withColumn("fetched_at", urls.fetch_time(F.col("page_id")))
     return urls.judge(pages, urls.entries(spark))
@@ -58,6 +62,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": op1_secrets,
+        "op2_jaccard": op2_jaccard,
         "op3_urls": op3_urls,
         "op4_quality": op4_quality,
         "op6_sharding": op6_sharding,
