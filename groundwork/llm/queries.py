@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm import jaccard, mixing, quality, secrets, sharding, substrings, toxicity, urls
+from groundwork.llm import jaccard, mixing, neighbours, quality, secrets, sharding, substrings, toxicity, urls
 from groundwork.llm.common import table
 from groundwork.llm.pieces import encode_decode
 
@@ -37,6 +37,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents, table(spark, sf_dir, "labels")).drop("text")
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_jaccard": op2_jaccard,
         "op3_urls": op3_urls,
         "op4_quality": op4_quality,
+        "op5_neighbours": op5_neighbours,
         "op6_sharding": op6_sharding,
         "op7_pieces": op7_pieces,
         "op8_toxicity": op8_toxicity,
