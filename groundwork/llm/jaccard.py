@@ -358,5 +358,6 @@ def first_of_each(documents: DataFrame, id_column: str = "doc_id", text: str = "
     Rows without an id cannot stand for a component and stay as they are.
     """
     kept = join(documents, id_column, text).filter(F.col(id_column) == F.col("component_id")).select(F.col(id_column).alias("_kept")).distinct()
-    known = documents.join(kept, F.col(f"`{id_column}`") == F.col("_kept"), "left_semi").dropDuplicates([id_column])
+    # Both sides are dealt out by id, once; the texts are not sorted for it.
+    known = documents.join(kept.hint("shuffle_hash"), F.col(f"`{id_column}`") == F.col("_kept"), "left_semi").dropDuplicates([id_column])
     return known.unionByName(documents.filter(F.col(f"`{id_column}`").isNull()))
