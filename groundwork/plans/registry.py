@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from groundwork.plans import corpus, graph
+
+MODULES = (corpus, graph)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in MODULES for k, v in m.Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.S.items()}
