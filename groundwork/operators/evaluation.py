@@ -36,7 +36,7 @@ def agreement(pairs: DataFrame, a: str = "a_tag", b: str = "b_tag") -> DataFrame
 
 def distribution(rows: DataFrame, by: Sequence[str], tag: str = "tag") -> DataFrame:
     """A column of percentages for each tag."""
-    return rows.groupBy(*by).pivot(tag, list(TAGS)).agg(F.count("*")).na.fill(0, list(TAGS)).withColumn("_n", sum((F.col(t) for t in TAGS), F.lit(0))).select(*by, *[F.round(F.try_divide(F.col(t) * 100.0, F.col("_n")), 1).alias(t) for t in TAGS])
+    return rows.groupBy(*by).pivot(tag, list(TAGS)).agg(F.count(F.lit(1))).na.fill(0, list(TAGS)).withColumn("_n", sum((F.col(t) for t in TAGS), F.lit(0))).select(*by, *[F.round(F.try_divide(F.col(t) * 100.0, F.col("_n")), 1).alias(t) for t in TAGS])
 
 
 def wins(pairs: DataFrame, a: str, b: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from groundwork.functions import text as T
 
@@ -29,6 +30,7 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_column:
     matrix = np.array([r["query"] for r in rows], float).reshape(len(rows), -1)
     shared = vectors.sparkSession.sparkContext.broadcast((names, matrix))
     kind = queries.schema["query_id"].dataType.simpleString()
+    arrow = to_arrow_type(queries.schema["query_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, q = shared.value
@@ -49,7 +51,7 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_column:
             kth = np.partition(near, m - 1, axis=1)[:, m - 1]
             i, j = np.nonzero(near <= kth[:, None] + 1e-9)
             exact = ((x[j] - q[i]) ** 2).sum(axis=1) if metric == "l2" else -near[i, j]
-            yield pa.RecordBatch.from_arrays([pa.array([names[a] for a in i.tolist()]), pa.array(ids[j]), pa.array(exact)], names=["query_id", "id", "distance"])
+            yield pa.RecordBatch.from_arrays([pa.array([names[a] for a in i.tolist()], arrow), pa.array(ids[j]), pa.array(exact)], names=["query_id", "id", "distance"])
 
     best = vectors.select(id_column, vector).filter(F.col(vector).isNotNull()).mapInArrow(run, f"query_id {kind}, id long, distance double")
     order = F.col("distance") if metric == "l2" else F.desc("distance")

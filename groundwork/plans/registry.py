@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from groundwork.plans import corpus, graph
+from groundwork.plans import corpus, graph, review
 
-MODULES = (corpus, graph)
+MODULES = (corpus, graph, review)
 
 
 def queries() -> dict:
