@@ -36,8 +36,9 @@ from groundwork.llm.components import components
 SHINGLE = 5
 #: Candidates that one block of comparisons holds.
 BLOCK = 256
-#: Rounds over hubs while more pairs than HUB_PAIRS times the listed shingles are open.
-HUB_ROUNDS, HUB_PAIRS = 6, 0.25
+#: Rounds over hubs at most; they end when a round links fewer than GAIN of what the first did, and there are none
+#: while open lists have fewer than PAIRS pairs for each of their entries.
+HUB_ROUNDS, GAIN, PAIRS = 6, 0.1, 4
 #: Sets that a task remembers so as not to send the shingles of copies again.
 SEEN = 200_000
 
@@ -80,8 +81,11 @@ def _batch(part: list, kind: int, doc: list, ident: list, n: list, blob: list) -
 
 
 def _pack(part: np.ndarray, ident: np.ndarray, n: np.ndarray, token: np.ndarray, extra: np.ndarray | None, parts: int) -> Iterator[tuple[int, bytes]]:
-    """Tokens (48 bits, with 16 extra bits or none) grouped by part and set: head, idents, sizes, counts, tokens."""
-    order = np.lexsort((ident, part))
+    """Tokens (48 bits, with 16 extra bits or none) grouped by part and set: head, idents, sizes, counts, tokens.
+
+    Tokens of one set must come one after another. Part numbers that fit are sorted as short integers, by radix.
+    """
+    order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
     part, ident, n, token = part[order], ident[order], n[order], token[order]
     new = np.r_[True, (part[1:] != part[:-1]) | (ident[1:] != ident[:-1])]
     starts = np.flatnonzero(new)
@@ -168,6 +172,8 @@ def _shared(parts: int):
         often = np.minimum(np.repeat(size, size), 65535)[hit]
         ident, n, token = ident[hit], n[hit], token[hit]
         if len(token):
+            order = np.argsort(ident, kind="stable")
+            ident, n, token, often = ident[order], n[order], token[order], often[order]
             part = (mix(ident) % np.uint64(parts)).astype(np.int64)
             packed = list(_pack(part, ident, n, token, often, parts))
             yield _batch([p for p, _ in packed], 0, [], [], [], [x for _, x in packed])
@@ -183,12 +189,12 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     data.clear()
     if not len(token):
         return
-    # The number of sets stands above the shingle: one sorted integer is the order from rare to frequent.
-    order = np.lexsort((token, often, ident))
-    ident, n, token, often = ident[order], n[order], token[order], often[order]
-    fresh = np.r_[True, (ident[1:] != ident[:-1]) | (token[1:] != token[:-1])]
-    ident, n, token, often = ident[fresh], n[fresh], token[fresh], often[fresh]
+    # The number of sets stands above the shingle: one integer sorts from rare to frequent.
     key = (often.astype(np.uint64) << np.uint64(48)) | token
+    order = np.lexsort((key, ident))
+    ident, n, key = ident[order], n[order], key[order]
+    fresh = np.r_[True, (ident[1:] != ident[:-1]) | (key[1:] != key[:-1])]
+    ident, n, key = ident[fresh], n[fresh], key[fresh]
     starts = np.flatnonzero(np.r_[True, ident[1:] != ident[:-1]])
     ends = np.r_[starts[1:], len(ident)]
     size = n[starts].astype(np.int64)
@@ -293,37 +299,39 @@ def _fits(na: Column, nb: Column) -> Column:
 def link_sets(sets: DataFrame) -> DataFrame:
     """node, label for every set (ident, n, blob) that is linked with another: the components of all links."""
     rare = cut(sets.select("ident", "n", "blob").mapInArrow(_prefixes, "token long, ident long, n int"))
-    links, tried, labels = None, None, None
-    for turn in range(HUB_ROUNDS + 1):
+    links, tried, labels, gained, last = None, None, None, [], False
+    while not last:
         if labels is None:
-            open_lists = rare.withColumn("label", F.col("ident"))
+            listed = rare.withColumn("label", F.col("ident"))
         else:
-            open_lists = rare.join(labels, rare["ident"] == labels["node"], "left").select("token", "ident", "n", F.coalesce("label", "ident").alias("label"))
-        ends = open_lists.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("label", "ident", "n")).alias("low"), F.max(F.struct("label", "ident", "n")).alias("high")).filter(F.col("low.label") != F.col("high.label"))
-        mixed = cut(open_lists.join(ends, "token"))
-        listed, pairs = mixed.agg(F.count("*"), F.coalesce(F.sum(F.col("m") - 1), F.lit(0)) / 2).first()
-        if not listed:
+            listed = rare.join(labels, rare["ident"] == labels["node"], "left").select("token", "ident", "n", F.coalesce("label", "ident").alias("label"))
+        ends = listed.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("label", "ident", "n")).alias("low"), F.max(F.struct("label", "ident", "n")).alias("high")).filter(F.col("low.label") != F.col("high.label"))
+        mixed = cut(listed.join(ends, "token"))
+        rows, pairs = mixed.agg(F.count("*"), F.coalesce(F.sum(F.col("m") - 1), F.lit(0)) / 2).first()
+        if not rows:
             break
-        if turn == HUB_ROUNDS or pairs <= 50_000 + HUB_PAIRS * listed:
+        # Hubs pay while they link many sets at once; then every pair that is still open is met.
+        last = pairs <= PAIRS * rows or len(gained) >= HUB_ROUNDS or (len(gained) > 1 and gained[-1] < GAIN * gained[0])
+        if last:
             one, two = (mixed.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("ident", "n", "label")]) for s in "ab")
             met = one.join(two, "token").filter((F.col("ident_a") < F.col("ident_b")) & (F.col("label_a") != F.col("label_b")) & _fits(F.col("n_a"), F.col("n_b")))
             common = met.groupBy(F.col("ident_a").alias("a"), F.col("ident_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb")).agg(F.count("*").alias("c"))
-            chosen = common.filter(F.col("c") >= _bound(F.col("na"), F.col("nb"))).select("a", "b")
         else:
             # A hub of another component than the set's own: of the lowest label, or for its own members of the highest.
             hub = F.when(F.col("label") != F.col("low.label"), F.col("low")).otherwise(F.col("high"))
             met = mixed.select(F.col("ident").alias("a"), F.col("n").alias("na"), hub["ident"].alias("b"), hub["n"].alias("nb")).filter(_fits(F.col("na"), F.col("nb")))
-            common = met.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c")).filter(F.col("c") >= _bound(F.col("na"), F.col("nb")))
-            if tried is not None:
-                common = common.join(tried, ["a", "b"], "left_anti")
-            chosen = common.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
+            common = met.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c"))
+        common = common.filter(F.col("c") >= _bound(F.col("na"), F.col("nb"))).select("a", "b", "c")
+        if tried is not None:
+            common = common.join(tried, ["a", "b"], "left_anti")
+        chosen = common if last else common.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
         compared = _compare(chosen, sets)
         tried = compared.select("a", "b") if tried is None else tried.union(compared.select("a", "b"))
         good = compared.filter("link").select("a", "b")
+        gained.append(good.count())
         links = good if links is None else links.union(good)
-        labels = components(links)
-        if turn == HUB_ROUNDS or pairs <= 50_000 + HUB_PAIRS * listed:
-            break
+        if gained[-1]:
+            labels = components(links)
     return labels if labels is not None else sets.select(F.col("ident").alias("node"), F.col("ident").alias("label")).limit(0)
 
 
