@@ -1,7 +1,8 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are words, pairs of neighbours, and pairs with one or two words between them, each hashed into a fixed
-number of coordinates and counted once a text. FTRL-proximal gives each coordinate its own learning rate and an L1
+Features are words, pairs of neighbours, and pairs with one or two words between them, and words cut to their first
+four and five letters (a crude stem, for languages that inflect), each hashed into a fixed number of coordinates and
+counted once a text. FTRL-proximal gives each coordinate its own learning rate and an L1
 penalty, so that most weights are exactly 0 and what is broadcast is small and of bounded size. Some more passes
 over the chosen coordinates, without the penalty, let their weights grow to what the labels ask for.
 
@@ -16,14 +17,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import HashedWords, slices
+from groundwork.llm.common import MEMO_ENTRIES, HashedWords, slices
 
 #: Lower case for A-Z; ASCII punctuation, digits and control characters end words.
 _TABLE = bytes((b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32) for b in range(256))
 
+#: Letters of the crude stems.
+STEMS = (4, 5)
+
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -58,6 +63,37 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode(errors="replace").translate(_TABLE).split() if text else []
 
 
+class _Stems(HashedWords):
+    """Word to the hash of its first letters."""
+
+    def __init__(self, letters: int) -> None:
+        super().__init__()
+        self.letters = letters
+
+    def __missing__(self, word: bytes) -> int:
+        stem = word.decode(errors="ignore")[: self.letters].encode()
+        value = xxhash.xxh3_64_intdigest(stem, seed=self.letters)
+        if len(self) < MEMO_ENTRIES // 4:
+            self[word] = value
+        return value
+
+
+class Featurizer:
+    """Coordinates of texts' features; remembers hashes of a bounded number of words."""
+
+    def __init__(self, bits: int) -> None:
+        self.bits, self.words, self.stems = bits, HashedWords(), [_Stems(n) for n in STEMS]
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Coordinate and number of the text, for every feature (repeats stay)."""
+        words = [words_of(t) for t in texts]
+        owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        flat = [w for ws in words for w in ws]
+        at, whose = coordinates(self.words.of(flat), owner, self.bits)
+        stems = [(s.of(flat) >> np.uint64(64 - self.bits)).astype(np.int64) for s in self.stems]
+        return np.concatenate([at, *stems]), np.concatenate([whose, *[owner] * len(stems)])
+
+
 def coordinates(hashes: np.ndarray, owner: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Coordinates of all features of many texts, with the number of the text (repeats stay)."""
     shift = np.uint64(64 - bits)
@@ -87,12 +123,9 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, settings: Settin
 
 def fit(rows: list[tuple[str, int]], settings: Settings = Settings()) -> Weights:
     """FTRL-proximal over the rows; without rows of both labels, weights of 0 and the bias of their share."""
-    memo, size = HashedWords(), 1 << settings.bits
+    of, size = Featurizer(settings.bits), 1 << settings.bits
     z, n = np.zeros(size), np.zeros(size)
-    features = []
-    for text, _ in rows:
-        hashes = memo.of(words_of(text))
-        features.append(np.unique(coordinates(hashes, np.zeros(len(hashes), np.int64), settings.bits)[0]))
+    features = [np.unique(of([text])[0]) for text, _ in rows]
     ones = sum(y for _, y in rows)
     share = (ones + 0.5) / (len(rows) + 1)
     bias, bias_n = float(np.log(share / (1 - share))), 1.0
@@ -136,15 +169,13 @@ def score(documents: DataFrame, weights: Weights, text: str = "text", name: str
     shared = documents.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, memo = shared.value, HashedWords()
-        dense = model.dense()
+        model = shared.value
+        dense, of = model.dense(), Featurizer(model.bits)
         for batch in slices(batches, 1024, text):
-            words = [words_of(x.as_py()) for x in batch.column(batch.schema.get_field_index(text))]
-            owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
-            at, whose = coordinates(memo.of([w for ws in words for w in ws]), owner, model.bits)
+            at, whose = of(batch.column(batch.schema.get_field_index(text)).to_pylist())
             hit = dense[at] != 0
             pairs = np.unique((whose[hit] << model.bits) | at[hit])
-            total = model.bias + np.bincount(pairs >> model.bits, dense[pairs & ((1 << model.bits) - 1)], minlength=len(words))
+            total = model.bias + np.bincount(pairs >> model.bits, dense[pairs & ((1 << model.bits) - 1)], minlength=batch.num_rows)
             p = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, name])
 
