@@ -46,16 +46,16 @@ def rates(documents: DataFrame, source: str = "source", weights: dict[str, float
     Without weights, targets are shares of rows to the power of temperature, scaled to sum to 1 (1 keeps the mix,
     0 makes sources equal). With weights, sources not named get none. Null sources are one source, the empty name.
     """
-    n = documents.groupBy(F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("_source")).agg(F.count("*").alias("n"))
+    n = documents.groupBy(F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("_groundwork_source")).agg(F.count("*").alias("n"))
     if weights is None:
         weighed = n.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(temperature)))
     else:
         table = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]) if weights else F.create_map().cast("map<string,double>")
-        weighed = n.withColumn("w", F.coalesce(table[F.col("_source")].cast("double"), F.lit(0.0)))
+        weighed = n.withColumn("w", F.coalesce(table[F.col("_groundwork_source")].cast("double"), F.lit(0.0)))
     weighed = cut(weighed)
     rows, total = weighed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0.0))).first()
     rate = F.lit(epochs * rows) * F.col("w") / F.lit(total or 1.0) / F.col("n")
-    return weighed.select("_source", "n", rate.alias("rate")).withColumn("cdf", poisson_cdf(F.col("rate")))
+    return weighed.select("_groundwork_source", "n", rate.alias("rate")).withColumn("cdf", poisson_cdf(F.col("rate")))
 
 
 def mix(documents: DataFrame, seed: int = 17, source: str = "source", id_column: str = "doc_id", shuffle: bool = True, **targets) -> DataFrame:
@@ -65,14 +65,14 @@ def mix(documents: DataFrame, seed: int = 17, source: str = "source", id_column:
     and null texts are rows like any other; an empty table gives an empty one; columns that are already called like
     the new ones are replaced. Rows that draw 0 are absent: that is the mix.
     """
-    kept = [c for c in documents.columns if c.lower() not in ("copies", "copy", "place", "_source", "_cdf")]
-    table = rates(documents, source, **targets).select("_source", F.col("cdf").alias("_cdf"))
+    kept = [c for c in documents.columns if c.lower() not in ("copies", "copy", "place")]
+    table = rates(documents, source, **targets).select("_groundwork_source", F.col("cdf").alias("_groundwork_cdf"))
     few = table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    named = documents.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("_source"))
+    named = documents.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("_groundwork_source"))
     u = unit_interval(seed, F.col(f"`{id_column}`"))
     # A literal stands still while the array is filtered; the number is drawn once, in the projection before.
-    drawn = named.withColumn("_u", u).join(F.broadcast(table) if few else table, "_source")
-    counted = drawn.withColumn("copies", F.size(F.filter("_cdf", lambda c: c <= F.col("_u"))).cast("long")).filter("copies > 0")
+    drawn = named.withColumn("_groundwork_u", u).join(F.broadcast(table) if few else table, "_groundwork_source")
+    counted = drawn.withColumn("copies", F.size(F.filter("_groundwork_cdf", lambda c: c <= F.col("_groundwork_u"))).cast("long")).filter("copies > 0")
     copied = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     place = F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}/place"), F.coalesce(F.col(f"`{id_column}`").cast("string"), F.lit("")), F.col("copy").cast("string"))), 1, 16)
     out = copied.select(*[F.col(f"`{c}`") for c in kept], "copies", "copy", place.alias("place"))

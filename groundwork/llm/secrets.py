@@ -139,10 +139,11 @@ def scan(documents: DataFrame, text: str = "text", entropy: Entropy = Entropy())
         return F.struct(begin.alias("start"), F.lit(len(BASE)).alias("rank"), end.alias("end"), F.lit("entropy").alias("kind"), F.substring(x["m"], x["w"]["lo"] + 1, x["w"]["hi"] - x["w"]["lo"]).alias("match"))
 
     own = F.when(body.rlike(long), F.transform(F.filter(F.transform(candidates, measured), lambda x: x["w"].isNotNull()), told)).otherwise(F.array().cast(item))
-    kept = [c for c in documents.columns if c.lower() not in ("found", "_base", "_own")]
-    out = documents.select(*[F.col(f"`{c}`") for c in kept], F.concat(*base).alias("_base"), own.alias("_own"))
+    # The row travels as one column, so that no name of its own can clash with those used here.
+    kept = [c for c in documents.columns if c.lower() != "found"]
+    out = documents.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.concat(*base).alias("_base"), own.alias("_own"))
     fresh = F.filter("_own", lambda x: ~F.exists(F.col("_base"), lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"])))
-    return out.select(*[F.col(f"`{c}`") for c in kept], F.array_sort(F.concat("_base", fresh)).alias("found"))
+    return out.select("_row.*", F.array_sort(F.concat("_base", fresh)).alias("found"))
 
 
 def digest(scanned: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -158,7 +159,8 @@ def redact(documents: DataFrame, text: str = "text", mask: str = "[SECRET]", ent
 
     Null text stays null; every row stays; columns stay as they are.
     """
-    scanned = scan(documents.withColumn("_text", F.col(f"`{text}`")), "_text", entropy)
+    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_whole"), F.col(f"`{text}`").alias("_text"))
+    scanned = scan(packed, "_text", entropy)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     items = F.transform("found", lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e")))
     # An element carries the text that precedes it, so the walk itself only looks at places.
@@ -178,5 +180,5 @@ def redact(documents: DataFrame, text: str = "text", mask: str = "[SECRET]", ent
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(body, acc["at"] + 1, F.length(body))),
     )
     clean = F.when(body.isNotNull() & (F.size("found") > 0), pieces).otherwise(body)
-    order = [clean.alias(c) if c == text else F.col(f"`{c}`") for c in documents.columns]
+    order = [clean.alias(c) if c == text else F.col("_whole").getField(c).alias(c) for c in documents.columns]
     return scanned.withColumn("_merged", merged).select(*order)

@@ -91,8 +91,8 @@ def judge(captures: DataFrame, dated: DataFrame, url: str = "url", fetched: str
 
 def filtered(captures: DataFrame, dated: DataFrame, url: str = "url", fetched: str = "fetched_at", id_column: str = "page_id") -> DataFrame:
     """The captures that are not blocked, with all their columns (ids tell captures apart; null ids stay)."""
-    bad = judge(captures, dated, url, fetched, id_column).filter("blocked").select(F.col(id_column).alias("_id"), F.col("url").alias("_url"), F.col("fetched_at").alias("_at")).distinct()
-    return captures.join(bad, F.col(f"`{id_column}`").eqNullSafe(F.col("_id")) & F.col(f"`{url}`").eqNullSafe(F.col("_url")) & F.col(f"`{fetched}`").cast("timestamp").eqNullSafe(F.col("_at")), "left_anti")
+    bad = judge(captures, dated, url, fetched, id_column).filter("blocked").select(F.col(id_column).alias("_groundwork_id"), F.col("url").alias("_groundwork_url"), F.col("fetched_at").alias("_groundwork_at")).distinct()
+    return captures.join(bad, F.col(f"`{id_column}`").eqNullSafe(F.col("_groundwork_id")) & F.col(f"`{url}`").eqNullSafe(F.col("_groundwork_url")) & F.col(f"`{fetched}`").cast("timestamp").eqNullSafe(F.col("_groundwork_at")), "left_anti")
 
 
 def fetch_time(page_id: Column) -> Column:

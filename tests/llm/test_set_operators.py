@@ -187,7 +187,7 @@ def test_sharding(spark, tmp_path):
 
 
 def test_mixing(spark):
-    df = spark.range(20000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, None).otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("source")).withColumn("copy", F.lit("clash"))
+    df = spark.range(20000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, None).otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("source")).withColumn("copy", F.lit("clash")).withColumn("_u", F.lit(5))
     weights = {"hot": 0.1, "s1": 0.5, "": 0.4}
     rows = mixing.mix(df, weights=weights).toPandas()
     n = rows["source"].fillna("").value_counts()
@@ -204,7 +204,7 @@ def test_mixing(spark):
 def test_urls_as_of(spark):
     listed = (("block", "domain", "bad.org", "2024-01-10", "add"), ("block", "domain", "Bad.org", "2024-02-01", "remove"), ("block", "prefix", "ok.net/x", "2024-01-01", "add"), ("allow", "host", "good.bad.org", "2024-01-15", "add"), ("block", None, "z", "2024-01-01", "add"), ("block", "host", "tie.com", "2024-01-05", "add"), ("block", "host", "tie.com", "2024-01-05", "remove"))
     pages = [("http://www.bad.org/a", "2024-01-09"), ("http://www.bad.org/a", "2024-01-10"), ("https://u:p@GOOD.bad.org:80/", "2024-01-14"), ("https://good.bad.org", "2024-01-16"), ("http://bad.org", "2024-02-01"), ("http://ok.net/x/y?z", "2024-03-01"), ("http://ok.net/xy", "2024-03-01"), ("http://tie.com", "2024-01-06"), (None, "2024-01-12"), ("bad.org", "2024-01-12"), ("http://notbad.org", "2024-01-12"), ("http://bad.org", None)]
-    df = spark.createDataFrame([(i, u, t) for i, (u, t) in enumerate(pages)], "page_id long, url string, day string").withColumn("fetched_at", F.to_timestamp("day")).withColumn("KEY", F.lit("clash"))
+    df = spark.createDataFrame([(i, u, t) for i, (u, t) in enumerate(pages)], "page_id long, url string, day string").withColumn("fetched_at", F.to_timestamp("day")).withColumn("KEY", F.lit("clash")).withColumn("_id", F.lit(1))
     got = {r["page_id"]: r["blocked"] for r in urls.judge(df, urls.entries(spark, listed)).collect()}
     assert [k for k, v in sorted(got.items()) if v] == [1, 2, 5] and len(got) == len(pages)
     assert urls.judge(df.union(df), urls.entries(spark, listed)).count() == 2 * len(pages)
