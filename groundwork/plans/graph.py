@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from groundwork.functions import lexicon as L
 from groundwork.functions import text as T
+from groundwork.functions.prompts import graph_context
 from groundwork.operators import knowledge as K
 from groundwork.plans.base import documents, quoted, table
 
@@ -316,3 +317,15 @@ def pattern_check(spark: SparkSession, sf: str) -> DataFrame:
     """Written patterns are held against an allow-list: here one for each region, all of them sound."""
     pattern = F.concat(F.lit("MATCH (n:Entity)-[r:PART_OF]->(m:Entity) WHERE m.name = '"), F.col("r_name"), F.lit("' RETURN n.name"))
     return table(spark, sf, "region").select("r_regionkey", T.spec_allowed(pattern, ("PART_OF",)).alias("ok"))
+
+
+@query(f"""WITH {_G}, {_ENT}, f AS (SELECT lower(text) AS t, min(seq) AS first FROM ent GROUP BY 1),
+me AS (SELECT question_id, rank, text, canonical_label FROM (SELECT question_id, ent.*, row_number() OVER (PARTITION BY question_id ORDER BY first, seq) AS rank FROM f JOIN q0 ON t = phrase JOIN ent ON lower(ent.text) = f.t) WHERE rank <= 6),
+h AS (SELECT * FROM (SELECT question_id, subject, relation, object, row_number() OVER (PARTITION BY question_id ORDER BY subject, relation, object, eid) AS rank FROM g JOIN q0 ON contains(subject, phrase)) WHERE rank <= 15),
+x AS (SELECT question_id, string_agg('  - ' || text || ' (' || canonical_label || ')', chr(10) ORDER BY rank) AS e FROM me GROUP BY 1),
+y AS (SELECT question_id, string_agg('  - ' || subject || ' --[' || relation || ']--> ' || object, chr(10) ORDER BY rank) AS t FROM h GROUP BY 1)
+SELECT q0.question_id, concat_ws(chr(10), '**Entities:**' || chr(10) || e, chr(10) || '**Relationships:**' || chr(10) || t) AS context FROM q0 LEFT JOIN x USING (question_id) LEFT JOIN y USING (question_id)""")
+def graph_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    q = questions(spark, sf)
+    found = K.one_hop(q, edges(spark, sf)).select("question_id", "rank", F.col("entity").alias("subject"), F.col("relationship").alias("relation"), F.col("related_entity").alias("object"))
+    return graph_context(K.matched_entities(q, _named(spark, sf), exact=True), found, q)

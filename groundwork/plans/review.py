@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundwork.functions import metrics as M
+from groundwork.functions import prompts as P
 from groundwork.functions import text as T
 from groundwork.operators import evaluation as E
 from groundwork.operators import retrieval as R
@@ -272,3 +273,32 @@ def meteor(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def token_match_f1(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_turns(spark, sf).select("conv_id", "turn", M.greedy_f1(F.col("reference"), F.col("answer"), R.hash_encoder()).alias("f1")), "f1")
+
+
+def _format_sql(style: str) -> str:
+    parts = P.FORMATS[style].split("%s")
+    fields = (f"CASE WHEN type = 'factual' THEN {quoted(E.FACTUAL)} ELSE {quoted(E.OTHER)} END", "text", "topic")
+    return " || ".join(x for pair in zip(map(quoted, parts), (*fields, None), strict=True) for x in pair if x)
+
+
+@query(f"WITH {_REV} SELECT id, {_format_sql('tagged')} AS tagged, {_format_sql('headed')} AS headed FROM rv")
+def training_texts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = reviews(spark, sf).withColumn("instruction", F.when(F.col("type") == "factual", E.FACTUAL).otherwise(E.OTHER))
+    return rows.select("id", *[P.training_text(s, F.col("instruction"), F.col("text"), F.col("topic")).alias(s) for s in P.FORMATS])
+
+
+@query("""SELECT conv_id AS question_id, coalesce(string_agg('[Chunk ' || n || ' from ' || role || ']' || chr(10) || text || chr(10), chr(10) ORDER BY n) FILTER (role = 'assistant'), '[No text chunks retrieved]') AS context
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role = 'assistant' ORDER BY turn) AS n FROM conversations) GROUP BY 1""")
+def text_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations")
+    chunks = turns.filter("role = 'assistant'").select(F.col("conv_id").alias("question_id"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("rank"), F.col("role").alias("source"), "text")
+    return P.text_context(chunks, turns.select(F.col("conv_id").alias("question_id")).distinct())
+
+
+@query("""WITH u AS (SELECT conv_id AS question_id, list_distinct(list(DISTINCT role)) AS r, list(DISTINCT (turn % 3)) AS t FROM conversations GROUP BY 1)
+SELECT question_id, len(list_intersect(r, ['user', 'system'])) AS shared, len(list_distinct(list_concat(r, ['user', 'tool']))) AS merged FROM u""")
+def token_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """Intersection and distinct union of sets."""
+    r = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("question_id")).agg(F.collect_set("role").alias("r"))
+    shared = F.size(F.array_intersect("r", F.array(F.lit("user"), F.lit("system")))).cast("long")
+    return r.select("question_id", shared.alias("shared"), F.size(F.array_union("r", F.array(F.lit("user"), F.lit("tool")))).cast("long").alias("merged"))
