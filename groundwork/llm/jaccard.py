@@ -299,7 +299,7 @@ def _fits(na: Column, nb: Column) -> Column:
 def link_sets(sets: DataFrame) -> DataFrame:
     """node, label for every set (ident, n, blob) that is linked with another: the components of all links."""
     rare = cut(sets.select("ident", "n", "blob").mapInArrow(_prefixes, "token long, ident long, n int"))
-    links, tried, labels, gained, last = None, None, None, [], False
+    tried, labels, gained, last = None, None, [], False
     while not last:
         if labels is None:
             listed = rare.withColumn("label", F.col("ident"))
@@ -307,6 +307,8 @@ def link_sets(sets: DataFrame) -> DataFrame:
             listed = rare.join(labels, rare["ident"] == labels["node"], "left").select("token", "ident", "n", F.coalesce("label", "ident").alias("label"))
         ends = listed.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("label", "ident", "n")).alias("low"), F.max(F.struct("label", "ident", "n")).alias("high")).filter(F.col("low.label") != F.col("high.label"))
         mixed = cut(listed.join(ends, "token"))
+        # A list that is settled stays so: the next round looks at the others only.
+        rare = mixed.select("token", "ident", "n")
         rows, pairs = mixed.agg(F.count("*"), F.coalesce(F.sum(F.col("m") - 1), F.lit(0)) / 2).first()
         if not rows:
             break
@@ -329,9 +331,9 @@ def link_sets(sets: DataFrame) -> DataFrame:
         tried = compared.select("a", "b") if tried is None else tried.union(compared.select("a", "b"))
         good = compared.filter("link").select("a", "b")
         gained.append(good.count())
-        links = good if links is None else links.union(good)
         if gained[-1]:
-            labels = components(links)
+            # What is known is one edge for each set, however many links it came from.
+            labels = components(good if labels is None else good.union(labels.select("node", "label")))
     return labels if labels is not None else sets.select(F.col("ident").alias("node"), F.col("ident").alias("label")).limit(0)
 
 
@@ -365,7 +367,20 @@ def first_of_each(documents: DataFrame, id_column: str = "doc_id", text: str = "
 
     Rows without an id cannot stand for a component and stay as they are.
     """
-    kept = join(documents, id_column, text).filter(F.col(id_column) == F.col("component_id")).select(F.col(id_column).alias("_kept")).distinct()
+    kept = join(documents, id_column, text).filter(F.col(id_column) == F.col("component_id")).select(F.col(id_column).alias("_groundwork_kept")).distinct()
     # Both sides are dealt out by id, once; the texts are not sorted for it.
-    known = documents.join(kept.hint("shuffle_hash"), F.col(f"`{id_column}`") == F.col("_kept"), "left_semi").dropDuplicates([id_column])
+    known = documents.join(kept.hint("shuffle_hash"), F.col(f"`{id_column}`") == F.col("_groundwork_kept"), "left_semi").dropDuplicates([id_column])
     return known.unionByName(documents.filter(F.col(f"`{id_column}`").isNull()))
+
+
+#: The same classes in SQL over the view documents: all pairs that share a shingle are counted.
+JOIN_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reached)
+SELECT node AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reached) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.node GROUP BY node
+"""
