@@ -79,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_urls": urls.JUDGE_SQL, "op10_mixing": mixing.MIX_SQL}
+    return {"op1_secrets": secrets.scan_sql(), "op2_jaccard": jaccard.JOIN_SQL, "op3_urls": urls.JUDGE_SQL, "op10_mixing": mixing.MIX_SQL}

@@ -182,3 +182,36 @@ def redact(documents: DataFrame, text: str = "text", mask: str = "[SECRET]", ent
     clean = F.when(body.isNotNull() & (F.size("found") > 0), pieces).otherwise(body)
     order = [clean.alias(c) if c == text else F.col("_whole").getField(c).alias(c) for c in documents.columns]
     return scanned.withColumn("_merged", merged).select(*order)
+
+
+def _base_sql() -> str:
+    """Spans of each base kind: what lies between matches adds up to their places."""
+    out = []
+    for rank, (kind, pattern, group, least) in enumerate(BASE):
+        p = "'" + pattern.replace("'", "''") + "'"
+        size = f"length(regexp_extract(m, {p}, {group}))"
+        out.append(f"SELECT doc_id, {rank} AS rank, '{kind}' AS kind, s, s + length(m) AS e FROM (SELECT doc_id, unnest(ms) AS m, unnest(list_transform(range(1, len(ms) + 1), lambda i: list_sum(list_transform(gs[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1 : i - 1], lambda g: length(g))), 0))) AS s FROM (SELECT doc_id, regexp_extract_all(t, {p}) AS ms, string_split_regex(t, {p}) AS gs FROM d)) WHERE {size} >= {least}")
+    return " UNION ALL ".join(out)
+
+
+def scan_sql(entropy: Entropy = Entropy()) -> str:
+    """digest(scan(documents)) in SQL; every window of a candidate is measured by itself."""
+    n, long = entropy.window, f"'{entropy.candidate[:-1]}{{{entropy.window},}}'"
+    allowed = " OR ".join("regexp_matches(c, '" + a + "')" for a in entropy.allow if "\\1" not in a)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({_base_sql()}),
+c0 AS (SELECT doc_id, unnest(ms) AS c, unnest(list_transform(range(1, len(ms) + 1), lambda i: list_sum(list_transform(gs[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1 : i - 1], lambda g: length(g))), 0))) AS s
+       FROM (SELECT doc_id, regexp_extract_all(t, {long}) AS ms, string_split_regex(t, {long}) AS gs FROM d)),
+c1 AS (SELECT *, CASE WHEN regexp_matches(c, '^[0-9a-fA-F]+$') THEN {entropy.least_hex} ELSE {entropy.least_base64} END AS least FROM c0 WHERE NOT ({allowed}) AND replace(c, c[1], '') <> ''),
+win AS (SELECT doc_id, s, least, unnest(range(0, length(c) - {n - 1})) AS k, c FROM c1),
+chars AS (SELECT doc_id, s, least, k, unnest(string_split(substr(c, k + 1, {n}), '')) AS ch FROM win),
+cnt AS (SELECT doc_id, s, least, k, ch, count(*) AS n FROM chars GROUP BY ALL),
+ent AS (SELECT doc_id, s, k FROM cnt GROUP BY doc_id, s, least, k HAVING log2({n}) - sum(n * log2(n)) / {n} >= any_value(least) - 1e-12),
+hull AS (SELECT doc_id, {len(BASE)} AS rank, 'entropy' AS kind, s + min(k) AS s, s + max(k) + {n} AS e FROM ent GROUP BY doc_id, ent.s),
+own AS (SELECT h.* FROM hull h WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = h.doc_id AND b.s <= h.s AND b.e >= h.e)),
+f AS (SELECT doc_id, rank, kind, s::BIGINT AS s, e::BIGINT AS e FROM base UNION ALL SELECT doc_id, rank, kind, s::BIGINT, e::BIGINT FROM own),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+      string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < {len(BASE)}) AS b, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN g USING (doc_id)
+"""
