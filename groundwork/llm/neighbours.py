@@ -25,14 +25,14 @@ from groundwork.llm.common import cut
 
 @dataclass(frozen=True)
 class Settings:
-    neighbours: int = 20  #: kept for each node
-    trees: int = 3  #: random divisions into cells that the first graph comes from
+    neighbours: int = 28  #: kept for each node
+    trees: int = 4  #: random divisions into cells that the first graph comes from
     cell: int = 256  #: nodes of a cell about
     rounds: int = 6  #: of NN-descent at most
     settled: float = 0.003  #: share of edges that changed below which it ends
-    beam: int = 256  #: nodes in a query's list
-    opened: int = 48  #: nodes that a query opens in a round
-    hops: int = 10  #: rounds of a search at most
+    beam: int = 512  #: nodes in a query's list
+    opened: int = 64  #: nodes that a query opens in a round
+    hops: int = 14  #: rounds of a search at most
     landmarks: int = 256  #: entry points that every query is held against
     block: int = 128  #: nodes whose neighbourhoods one task call handles about
     seed: int = 11
