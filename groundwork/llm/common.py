@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Entries that a worker's memo of hashed words may hold; further words are hashed each time.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,7 +76,7 @@ def unpack(batches: Iterable[pa.RecordBatch], dtype: np.dtype) -> np.ndarray:
     return np.concatenate(found) if found else np.empty(0, dtype)
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int, text: str = "text", most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], rows: int, text: str = "text", most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The batches cut into pieces of some rows or about ``most`` bytes of text, so that memory is bounded by that or by one text."""
     for batch in batches:
         if not batch.num_rows:

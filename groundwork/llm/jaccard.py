@@ -100,25 +100,39 @@ def _pack(part: np.ndarray, ident: np.ndarray, n: np.ndarray, token: np.ndarray,
         yield p, b"".join([np.array([b - a], "<u8").tobytes(), ident[starts[a:b]].astype("<u8").tobytes(), n[starts[a:b]].astype("<u4").tobytes(), count[a:b].tobytes(), low[at].tobytes(), high[at].tobytes(), *([more[at].tobytes()] if more is not None else [])])
 
 
-def _unpack(data: list[bytes], extra: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """ident, n, token, extra of each token of many blobs."""
-    out: list[tuple] = []
+def _unpack(data: list[bytes], extra: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sets (ident, n) of many blobs, and of each token its set's place among them, the token and the extra.
+
+    The blobs are let go one by one.
+    """
+    heads, total = [], 0
     for blob in data:
         k = int(np.frombuffer(blob, "<u8", 1)[0])
-        ident, n, count = np.frombuffer(blob, "<u8", k, 8), np.frombuffer(blob, "<u4", k, 8 + 8 * k), np.frombuffer(blob, "<u4", k, 8 + 12 * k)
-        total, at = int(count.sum()), 8 + 16 * k
-        low, high = np.frombuffer(blob, "<u4", total, at), np.frombuffer(blob, "<u2", total, at + 4 * total)
-        more = np.frombuffer(blob, "<u2", total, at + 6 * total) if extra else np.empty(0, "<u2")
-        out.append((np.repeat(ident, count), np.repeat(n, count), low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)), more))
-    if not out:
-        return np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.uint64), np.empty(0, np.uint16)
-    return tuple(np.concatenate([x[k] for x in out]) for k in range(4))
+        count = np.frombuffer(blob, "<u4", k, 8 + 12 * k)
+        heads.append((k, int(count.sum())))
+        total += heads[-1][1]
+    sets = sum(k for k, _ in heads)
+    ident, n = np.empty(sets, np.uint64), np.empty(sets, np.uint32)
+    owner, token = np.empty(total, np.uint32), np.empty(total, np.uint64)
+    more = np.empty(total if extra else 0, np.uint16)
+    s, t = sets, total
+    while data:
+        blob, (k, m) = data.pop(), heads.pop()
+        s, t, at = s - k, t - m, 8 + 16 * k
+        ident[s : s + k], n[s : s + k] = np.frombuffer(blob, "<u8", k, 8), np.frombuffer(blob, "<u4", k, 8 + 8 * k)
+        owner[t : t + m] = np.repeat(np.arange(s, s + k, dtype=np.uint32), np.frombuffer(blob, "<u4", k, 8 + 12 * k))
+        token[t : t + m] = np.frombuffer(blob, "<u2", m, at + 4 * m)
+        token[t : t + m] <<= np.uint64(32)
+        token[t : t + m] |= np.frombuffer(blob, "<u4", m, at)
+        if extra:
+            more[t : t + m] = np.frombuffer(blob, "<u2", m, at + 6 * m)
+    return ident, n, owner, token, more
 
 
 def _shingled(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, seen = HashedWords(), set()
-        for batch in slices(batches, 4096):
+        for batch in slices(batches, 4096, most=4_000_000):
             ids = batch.column(0).to_pylist()
             sets = shingle_sets(batch.column(1).to_pylist(), memo)
             # The digest of the set names it; an empty set has no name.
@@ -159,18 +173,19 @@ def _shared(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data: list[bytes] = []
         yield from _split(batches, data)
-        ident, n, token, _ = _unpack(data, False)
-        data.clear()
+        idents, sizes, owner, token, _ = _unpack(data, False)
         if not len(token):
             return
         order = np.argsort(token, kind="stable")
-        ident, n, token = ident[order], n[order], token[order]
+        token, owner = token[order], owner[order]
+        del order
         starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         size = np.diff(np.r_[starts, len(token)])
+        ident = idents[owner]
         several = np.minimum.reduceat(ident, starts) != np.maximum.reduceat(ident, starts)
         hit = np.repeat(several, size)
         often = np.minimum(np.repeat(size, size), 65535)[hit]
-        ident, n, token = ident[hit], n[hit], token[hit]
+        ident, n, token = ident[hit], sizes[owner[hit]], token[hit]
         if len(token):
             order = np.argsort(ident, kind="stable")
             ident, n, token, often = ident[order], n[order], token[order], often[order]
@@ -185,10 +200,11 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets of which three quarters are shared: their shared shingles from rare to frequent."""
     data: list[bytes] = []
     yield from _split(batches, data)
-    ident, n, token, often = _unpack(data, True)
-    data.clear()
+    idents, sizes, owner, token, often = _unpack(data, True)
     if not len(token):
         return
+    ident, n = idents[owner], sizes[owner]
+    del owner
     # The number of sets stands above the shingle: one integer sorts from rare to frequent.
     key = (often.astype(np.uint64) << np.uint64(48)) | token
     order = np.lexsort((key, ident))

@@ -32,7 +32,7 @@ from groundwork.llm.common import slices
 MARK = "▁"
 
 #: Segments that either half of a worker's memo holds; the older half is dropped when the newer one is full.
-MEMO_SEGMENTS = 150_000
+MEMO_SEGMENTS = 100_000
 
 #: Letters after which texts may be cut, as a character class.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"

@@ -84,7 +84,7 @@ def chunks(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 def _chunked(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4096):
+        for batch in slices(batches, 4096, most=8_000_000):
             ids = np.array([_NO_ID if x is None else x for x in batch.column(0).to_pylist()], np.int64)
             texts = batch.column(1)
             made = []
