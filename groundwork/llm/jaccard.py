@@ -8,7 +8,7 @@
    in this order have shingles in common, and how many at least follows from the sizes (the T-occurrence bound).
 3. Links to hubs. Sets that share a rare shingle form a list; each set is first held against one hub of its lists,
    not against all members, so large groups of near copies cost one comparison a member. Lists whose members are
-   then in one component are settled; the others are held against further hubs, and what is left pair by pair.
+   then in one component are settled; in the others every pair of sets of different components is met.
 4. T-occurrence search (DivideSkip). Comparisons come in blocks: one query set and the inverted lists of a bounded
    number of candidates. Short lists are merged by a heap, which keeps candidates that reach T less the number of
    long lists; the long lists are probed by binary search; what reaches the required overlap is a link.
@@ -36,9 +36,9 @@ from groundwork.llm.components import components
 SHINGLE = 5
 #: Candidates that one block of comparisons holds.
 BLOCK = 256
-#: Rounds over hubs at most; they end when a round links fewer than GAIN of what the first did, and there are none
-#: while open lists have fewer than PAIRS pairs for each of their entries.
-HUB_ROUNDS, GAIN, PAIRS = 6, 0.1, 4
+#: Rounds over hubs at most; they end when one links fewer than GAIN of what the first did. Each set brings so many
+#: shingles to them.
+HUB_ROUNDS, GAIN, HEAD = 6, 0.1, 8
 #: Sets that a task remembers so as not to send the shingles of copies again.
 SEEN = 200_000
 
@@ -228,7 +228,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = [np.frombuffer(x.as_py(), "<u8") for x in batch.column("blob")]
         take = [min(len(k), len(k) + 1 - -(-3 * int(m) // 4)) for k, m in zip(keys, n, strict=True)]
         token = np.concatenate([k[:t] for k, t in zip(keys, take, strict=True)]) if keys else np.empty(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(np.repeat(ident, take)), pa.array(np.repeat(n, take).astype(np.int32))], names=["token", "ident", "n"])
+        place = np.concatenate([np.arange(t, dtype=np.int32) for t in take]) if take else np.empty(0, np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(np.repeat(ident, take)), pa.array(np.repeat(n, take).astype(np.int32)), pa.array(place)], names=["token", "ident", "n", "place"])
 
 
 def divide_skip(query: np.ndarray, candidates: list[np.ndarray], need: np.ndarray) -> np.ndarray:
@@ -312,45 +313,50 @@ def _fits(na: Column, nb: Column) -> Column:
     return 4 * F.least(na, nb) >= 3 * F.greatest(na, nb)
 
 
+def _open_lists(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """token, ident, n, label, m, low, high: entries of the lists whose members are in several components."""
+    if labels is None:
+        listed = lists.withColumn("label", F.col("ident"))
+    else:
+        listed = lists.join(labels, lists["ident"] == labels["node"], "left").select("token", "ident", "n", F.coalesce("label", "ident").alias("label"))
+    ends = listed.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("label", "ident", "n")).alias("low"), F.max(F.struct("label", "ident", "n")).alias("high")).filter(F.col("low.label") != F.col("high.label"))
+    return cut(listed.join(ends, "token"))
+
+
 def link_sets(sets: DataFrame) -> DataFrame:
     """node, label for every set (ident, n, blob) that is linked with another: the components of all links."""
-    rare = cut(sets.select("ident", "n", "blob").mapInArrow(_prefixes, "token long, ident long, n int"))
-    tried, labels, gained, last = None, None, [], False
-    while not last:
-        if labels is None:
-            listed = rare.withColumn("label", F.col("ident"))
-        else:
-            listed = rare.join(labels, rare["ident"] == labels["node"], "left").select("token", "ident", "n", F.coalesce("label", "ident").alias("label"))
-        ends = listed.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("label", "ident", "n")).alias("low"), F.max(F.struct("label", "ident", "n")).alias("high")).filter(F.col("low.label") != F.col("high.label"))
-        mixed = cut(listed.join(ends, "token"))
-        # A list that is settled stays so: the next round looks at the others only.
-        rare = mixed.select("token", "ident", "n")
-        rows, pairs = mixed.agg(F.count("*"), F.coalesce(F.sum(F.col("m") - 1), F.lit(0)) / 2).first()
-        if not rows:
-            break
-        # Hubs pay while they link many sets at once; then every pair that is still open is met.
-        last = pairs <= PAIRS * rows or len(gained) >= HUB_ROUNDS or (len(gained) > 1 and gained[-1] < GAIN * gained[0])
-        if last:
-            one, two = (mixed.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("ident", "n", "label")]) for s in "ab")
-            met = one.join(two, "token").filter((F.col("ident_a") < F.col("ident_b")) & (F.col("label_a") != F.col("label_b")) & _fits(F.col("n_a"), F.col("n_b")))
-            common = met.groupBy(F.col("ident_a").alias("a"), F.col("ident_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb")).agg(F.count("*").alias("c"))
-        else:
-            # A hub of another component than the set's own: of the lowest label, or for its own members of the highest.
-            hub = F.when(F.col("label") != F.col("low.label"), F.col("low")).otherwise(F.col("high"))
-            met = mixed.select(F.col("ident").alias("a"), F.col("n").alias("na"), hub["ident"].alias("b"), hub["n"].alias("nb")).filter(_fits(F.col("na"), F.col("nb")))
-            common = met.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c"))
-        common = common.filter(F.col("c") >= _bound(F.col("na"), F.col("nb"))).select("a", "b", "c")
+    rare = cut(sets.select("ident", "n", "blob").mapInArrow(_prefixes, "token long, ident long, n int, place int"))
+    tried, labels, gained = None, None, []
+    # Hubs, over the few rarest shingles of each set: large groups come together at one comparison a member. This is
+    # only a head start; the last round below misses nothing whatever was linked here.
+    lists = rare.filter(F.col("place") < HEAD).select("token", "ident", "n")
+    while len(gained) < HUB_ROUNDS and (len(gained) < 2 or gained[-1] >= GAIN * gained[0]) and (not gained or gained[-1]):
+        mixed = _open_lists(lists, labels)
+        # A list that is settled stays so.
+        lists = mixed.select("token", "ident", "n")
+        # A hub of another component than the set's own: of the lowest label, or for its own members of the highest.
+        hub = F.when(F.col("label") != F.col("low.label"), F.col("low")).otherwise(F.col("high"))
+        met = mixed.select(F.col("ident").alias("a"), F.col("n").alias("na"), hub["ident"].alias("b"), hub["n"].alias("nb")).filter(_fits(F.col("na"), F.col("nb")))
+        common = met.groupBy("a", "b").agg(F.count("*").alias("c"))
         if tried is not None:
             common = common.join(tried, ["a", "b"], "left_anti")
-        chosen = common if last else common.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
-        compared = _compare(chosen, sets)
+        compared = _compare(common.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b")), sets)
         tried = compared.select("a", "b") if tried is None else tried.union(compared.select("a", "b"))
         good = compared.filter("link").select("a", "b")
         gained.append(good.count())
         if gained[-1]:
             # What is known is one edge for each set, however many links it came from.
             labels = components(good if labels is None else good.union(labels.select("node", "label")))
-    return labels if labels is not None else sets.select(F.col("ident").alias("node"), F.col("ident").alias("label")).limit(0)
+    # Every pair of sets of different components that meets the T-occurrence bound.
+    mixed = _open_lists(rare.select("token", "ident", "n"), labels)
+    one, two = (mixed.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("ident", "n", "label")]) for s in "ab")
+    met = one.join(two, "token").filter((F.col("ident_a") < F.col("ident_b")) & (F.col("label_a") != F.col("label_b")) & _fits(F.col("n_a"), F.col("n_b")))
+    common = met.groupBy(F.col("ident_a").alias("a"), F.col("ident_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb")).agg(F.count("*").alias("c"))
+    chosen = common.filter(F.col("c") >= _bound(F.col("na"), F.col("nb"))).select("a", "b").join(tried, ["a", "b"], "left_anti")
+    good = _compare(chosen, sets).filter("link").select("a", "b")
+    if good.isEmpty():
+        return labels if labels is not None else sets.select(F.col("ident").alias("node"), F.col("ident").alias("label")).limit(0)
+    return components(good if labels is None else good.union(labels.select("node", "label")))
 
 
 def join(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:

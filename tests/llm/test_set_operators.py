@@ -70,7 +70,6 @@ def test_join_equals_brute_force(spark):
 
 
 def test_join_by_hubs_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "PAIRS", 0)
     monkeypatch.setattr(jaccard, "GAIN", 0.0)
     docs = made_corpus(4)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(spark.createDataFrame(list(docs.items()), SCHEMA)).collect()}
