@@ -1,13 +1,16 @@
-"""Substring dedup: content-defined chunking with a gear rolling hash.
+"""Substring dedup: windows of words, dealt by content-defined chunks of a gear rolling hash.
 
-A gear hash runs over the bytes of each text; where its top bits are 0 a chunk ends (never inside a code point), so
-chunk borders depend on the last 32 bytes only and come back after an insertion. Chunks are told apart by a 64-bit
-digest. Chunks that occur in two or more documents are joined into runs; a run of enough words is a repeated
-passage. The first document (the smallest id) keeps it, the others are told what to remove.
+Every window of as many words as make a passage has a 64-bit digest; one that occurs in two or more documents is
+repeated, and repeated windows that touch are one passage. So a passage is found whenever it is long enough, with its
+exact first and last word. Words end at ASCII white space; how much of it lies between two words makes no difference.
 
-Chunks are dealt out by digest as packed blobs. Each batch first settles what it can alone: of a chunk that it sees in
-several documents only those of the first go on as candidates, so a chunk that a third of all documents share meets
-in one task at most once for each batch.
+A gear hash rolls over the words, and each window belongs to the place in it where the hash is least. Neighbouring
+windows with one such place are a chunk: it depends on their own words only, and all its windows go to one task, where
+places and documents pack well. The first document (the smallest id) keeps a passage, the others are told what to
+remove.
+
+Each batch first settles what it can alone: of a window that it sees in several documents only those of the first go
+on as candidates, so a window that a third of all documents share meets in one task at most once for each batch.
 """
 
 from __future__ import annotations
@@ -16,20 +19,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import blobs, deal, partitions, slices, unpack
+from groundwork.llm.common import mix, partitions, slices
 
-BITS = 5  #: chunks end where so many bits are 0: 32 bytes on average
-LEAST = 16  #: shorter chunks say nothing by themselves
-MOST = 4096  #: a chunk is cut here at the latest
-BRIDGE = 48  #: bytes of short chunks that a run may step over, as code points
+BITS = 5  #: of ``boundaries``: chunks end where so many bits are 0, 32 bytes on average
+MOST = 4096  #: of ``boundaries``: a chunk is cut here at the latest
 WORDS = 20  #: words from which a run is a passage
+GEAR_WORDS = 8  #: words that the gear hash over words remembers
+TASKS = 2  #: tasks for each shuffle partition, against memory
 
 _GEAR = np.random.default_rng(20240501).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
-_RECORD = np.dtype([("digest", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("end", "<i4"), ("words", "<u2"), ("seen", "u1")])
+_BYTES = np.random.default_rng(20240502).integers(0, 1 << 64, 256, dtype=np.uint64)
+_BASES = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  #: of the polynomials over bytes and over words
+_WINDOW = np.dtype([("digest", "<u8"), ("doc", "<i8"), ("word", "<i4"), ("start", "<i4"), ("size", "<i4"), ("seen", "u1")])
 _NO_ID = -(1 << 63)
 
 
@@ -63,96 +67,163 @@ def _back(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return back
 
 
-def chunks(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """digest, start, end (code points) and words of the chunks that are long enough."""
-    data = text.encode(errors="replace")
-    raw = np.frombuffer(data, np.uint8)
-    ends = boundaries(raw)
-    begins = np.r_[0, ends[:-1]] if len(ends) else ends
-    keep = ends - begins >= LEAST
-    begins, ends = begins[keep], ends[keep]
-    digest = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)), np.uint64, len(ends))
-    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    begin_word = ~space
-    begin_word[1:] &= space[:-1]
-    words = np.r_[0, np.cumsum(begin_word)]
-    if data.isascii():
-        return digest, begins, ends, words[ends] - words[begins]
-    points = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]
-    return digest, points[begins], points[ends], words[ends] - words[begins]
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _polynomials(values: np.ndarray, begins: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """A 64-bit hash of values[begin:end] for each pair of places: sums of base**k * value, by differences of one sum."""
+    sums = np.r_[np.uint64(0), np.cumsum(values * _powers(pow(base, -1, 1 << 64), len(values)), dtype=np.uint64)]
+    return mix((sums[ends] - sums[begins]) * _powers(base, len(values) + 1)[begins] + (ends - begins).astype(np.uint64))
 
 
-def _chunked(parts: int):
+def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` neighbouring values."""
+    done, n = 1, len(values) - width + 1
+    while 2 * done <= width:
+        values = np.minimum(values[:-done], values[done:])
+        done *= 2
+    return np.minimum(values[:n], values[width - done : width - done + n])
+
+
+def windows(texts: list[str], size: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window of ``size`` words within a text: text, first word, start, end (code points), digest, chunk."""
+    data = [x.encode(errors="replace") for x in texts]
+    raw = np.frombuffer(b" ".join(data) + b" ", np.uint8)
+    at = np.cumsum([0, *[len(x) + 1 for x in data]])[:-1]
+    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    turns = np.flatnonzero(np.diff(np.r_[True, space].view(np.int8)))
+    begins, ends = turns[::2], turns[1::2]
+    if len(begins) < size:
+        none = np.empty(0, np.int64)
+        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+    words = _polynomials(_BYTES[raw], begins, ends, _BASES[0])
+    first = np.arange(len(begins) - size + 1)
+    text = np.searchsorted(at, begins, "right") - 1
+    first = first[text[first] == text[first + size - 1]]
+    digest = _polynomials(words, first, first + size, _BASES[1])
+    memory = min(GEAR_WORDS, size)
+    gear, n = np.zeros(len(words) - memory + 1, np.uint64), len(words) - memory + 1
+    for k in range(memory):
+        gear += words[k : k + n] << np.uint64(8 * (memory - 1 - k))
+    chunk = _sliding_least(gear, size - memory + 1)[first]
+    points = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]
+    text_of = text[first]
+    zero = points[at[text_of]]
+    return text_of, first - np.searchsorted(begins, at)[text_of], points[begins[first]] - zero, points[ends[first + size - 1]] - zero, digest, chunk
+
+
+def _packed(part: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
+    """Records by part number, column by column as planes of bytes, places as differences: what repeats lies together."""
+    order = np.argsort(part, kind="stable")
+    part, records = part[order], records[order]
+    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    made = []
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(part)], strict=True):
+        planes = []
+        for name in records.dtype.names:
+            values = records[name][a:b]
+            if name != "digest":
+                values = np.diff(values, prepend=values.dtype.type(0))
+            planes.append(np.ascontiguousarray(values).view(np.uint8).reshape(b - a, -1).T.tobytes())
+        made.append(b"".join(planes))
+    return pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int32)), pa.array(made, pa.binary())], names=["part", "blob"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+    found = []
+    for blob in (x.as_py() for batch in batches for x in batch.column("blob")):
+        out, at = np.empty(len(blob) // _WINDOW.itemsize, _WINDOW), 0
+        for name in _WINDOW.names:
+            kind = _WINDOW[name]
+            end = at + len(out) * kind.itemsize
+            values = np.ascontiguousarray(np.frombuffer(blob[at:end], np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+            out[name] = values if name == "digest" else np.cumsum(values, dtype=kind)
+            at = end
+        found.append(out)
+    return np.concatenate(found) if found else np.empty(0, _WINDOW)
+
+
+def _by_doc(found: np.ndarray) -> np.ndarray:
+    return found["doc"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _dealt(parts: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4096, most=8_000_000):
+        for batch in slices(batches, 4096):
             ids = np.array([_NO_ID if x is None else x for x in batch.column(0).to_pylist()], np.int64)
+            place = np.argsort(ids, kind="stable")
             texts = batch.column(1)
-            made = []
-            for k in np.argsort(ids, kind="stable"):
-                digest, start, end, words = chunks(texts[int(k)].as_py() or "")
-                out = np.empty(len(digest), _RECORD)
-                out["digest"], out["doc"], out["start"], out["end"], out["words"], out["seen"] = digest, ids[k], start, end, np.minimum(words, 65535), 0
-                made.append(out)
-            found = np.concatenate(made)
-            if not len(found):
+            text, word, start, end, digest, chunk = windows([texts[int(k)].as_py() or "" for k in place], size)
+            if not len(text):
                 continue
-            found = found[np.argsort(found["digest"], kind="stable")]
-            digest, doc = found["digest"], found["doc"]
-            new = np.r_[True, digest[1:] != digest[:-1]]
-            group = np.cumsum(new) - 1
-            starts = np.flatnonzero(new)
-            first = doc[starts][group]
-            several = (np.r_[doc[starts[1:] - 1], doc[-1:]] != doc[starts])[group]
-            found["seen"][several & (doc == first)] = 1
-            found["seen"][several & (doc != first)] = 2
-            # What is settled goes anywhere; the rest meets by digest.
-            key = np.where(found["seen"] == 2, found["doc"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), found["digest"])
-            yield blobs((key >> np.uint64(33)) % np.uint64(parts), found)
+            found = np.empty(len(text), _WINDOW)
+            found["digest"], found["doc"], found["word"], found["start"], found["size"] = digest, ids[place][text], word, start, end - start
+            found["seen"] = 0
+            order = np.argsort(digest, kind="stable")
+            doc = found["doc"][order]
+            begins = np.flatnonzero(np.r_[True, np.diff(digest[order]) != 0])
+            count = np.diff(np.r_[begins, len(doc)])
+            several = np.repeat(doc[np.r_[begins[1:], len(doc)] - 1] != doc[begins], count)
+            found["seen"][order] = np.where(several, np.where(doc == np.repeat(doc[begins], count), 1, 2), 0)
+            # What is settled goes to its document; the rest meets by chunk.
+            key = np.where(found["seen"] == 2, _by_doc(found), mix(chunk))
+            yield _packed((key >> np.uint64(33)) % np.uint64(parts), found)
 
     return run, "part int, blob binary"
 
 
-def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found = unpack(batches, _RECORD)
-    done, found = found[found["seen"] == 2], found[found["seen"] != 2]
-    out = [(done["doc"], done["start"], done["end"], done["words"], np.zeros(len(done), bool))]
-    if len(found):
-        found = found[np.argsort(found["digest"], kind="stable")]
-        digest = found["digest"]
-        starts = np.flatnonzero(np.r_[True, digest[1:] != digest[:-1]])
-        size = np.diff(np.r_[starts, len(found)])
-        low, high = np.minimum.reduceat(found["doc"], starts), np.maximum.reduceat(found["doc"], starts)
-        several = (low != high) | (np.maximum.reduceat(found["seen"], starts) > 0)
-        hit = np.repeat(several, size)
-        first = found["doc"] == np.repeat(low, size)
-        out.append((found["doc"][hit], found["start"][hit], found["end"][hit], found["words"][hit], first[hit]))
-    doc, start, end, words, first = (np.concatenate([x[k] for x in out]) for k in range(5))
-    for a in range(0, len(doc), 100_000):
-        b = a + 100_000
-        yield pa.RecordBatch.from_arrays([pa.array(doc[a:b]), pa.array(start[a:b]), pa.array(end[a:b]), pa.array(words[a:b].astype(np.int32)), pa.array(first[a:b])], names=["doc", "start", "end", "words", "first"])
-
-
-def repeated_chunks(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, start, end, words, first: each chunk that occurs in two or more documents, at each of its places."""
-    spark = documents.sparkSession
-    fn = _chunked(partitions(spark))
-    rows = documents.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    dealt = rows.mapInArrow(fn[0], fn[1])
-    return deal(dealt, (_settled, "doc long, start int, end int, words int, first boolean"), spark)
+def _settled(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The repeated windows, dealt by document; seen tells whether an earlier document holds one."""
+        found = _unpacked(batches)
+        order = np.argsort(found["digest"], kind="stable")
+        order = order[found["seen"][order] != 2]
+        if len(order):
+            digest, doc, seen = (found[c][order] for c in ("digest", "doc", "seen"))
+            begins = np.flatnonzero(np.r_[True, digest[1:] != digest[:-1]])
+            count = np.diff(np.r_[begins, len(order)])
+            low, high = np.minimum.reduceat(doc, begins), np.maximum.reduceat(doc, begins)
+            several = np.repeat((low != high) | (np.maximum.reduceat(seen, begins) > 0), count)
+            found["seen"][order] = np.where(several, np.where(doc == np.repeat(low, count), 1, 2), 0)
+        found = found[found["seen"] > 0]
+        found["digest"] = 0
+        if len(found):
+            found = found[np.lexsort((found["word"], found["doc"]))]
+            yield _packed((_by_doc(found) >> np.uint64(33)) % np.uint64(parts), found)
 
+    return run, "part int, blob binary"
 
-def _runs(chunk_list: Column) -> Column:
-    """Neighbouring chunks (sorted) joined over short gaps."""
-    none = F.array().cast("array<struct<start:int,end:int,words:int>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), (last["words"] + x["words"]).alias("words"))
-        alone = F.struct(x["start"].alias("start"), x["end"].alias("end"), x["words"].alias("words"))
-        near = (F.size(acc) > 0) & (x["start"] - last["end"] <= BRIDGE)
-        return F.when(near, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(alone)))
+def _joined(found: np.ndarray, size: int) -> tuple[np.ndarray, pa.Array]:
+    """Windows (sorted by doc and word) that touch joined: doc, and struct<start, end, words> of each passage."""
+    new_doc = np.r_[True, found["doc"][1:] != found["doc"][:-1]]
+    begins = np.flatnonzero(np.r_[True, new_doc[1:] | (np.diff(found["word"]) > size)])
+    lasts = np.r_[begins[1:], len(found)] - 1
+    if not len(found):
+        begins, lasts = begins[:0], lasts[:0]
+    end = np.maximum.reduceat(found["start"] + found["size"], begins) if len(begins) else np.empty(0, np.int32)
+    words = found["word"][lasts] - found["word"][begins] + size
+    return found["doc"][begins], pa.StructArray.from_arrays([pa.array(found["start"][begins], pa.int32()), pa.array(end, pa.int32()), pa.array(words, pa.int32())], names=["start", "end", "words"])
 
-    return F.aggregate(chunk_list, none, step)
+
+def _gathered(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _unpacked(batches)
+        found = found[np.lexsort((found["start"], found["word"], found["doc"]))]
+        docs = np.unique(found["doc"])
+        lists = []
+        for some in (found, found[found["seen"] == 2]):
+            doc, items = _joined(some, size)
+            lists.append(pa.ListArray.from_arrays(pa.array(np.r_[np.searchsorted(doc, docs), len(doc)], pa.int32()), items))
+        whole = pa.RecordBatch.from_arrays([pa.array(docs), *lists], names=["doc", "passages", "removed"])
+        for a in range(0, len(docs), 10_000):
+            yield whole.slice(a, 10_000)
+
+    item = "array<struct<start:int,end:int,words:int>>"
+    return run, f"doc long, passages {item}, removed {item}"
 
 
 def passages(documents: DataFrame, id_column: str = "doc_id", text: str = "text", least_words: int = WORDS) -> DataFrame:
@@ -163,11 +234,12 @@ def passages(documents: DataFrame, id_column: str = "doc_id", text: str = "text"
     nor does an empty table. Rows with one id are one document; rows without an id are together one document, told
     as null. Passages that only one document holds, however often, are no business of this operator.
     """
-    found = repeated_chunks(documents, id_column, text).distinct()
-    by = found.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "end", "words", "first"))).alias("all"))
-    plain = by.select("doc", "all", F.filter(_runs(F.transform("all", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["words"].alias("words")))), lambda r: r["words"] >= least_words).alias("passages")).filter(F.size("passages") > 0)
-    late = F.transform(F.filter("all", lambda x: ~x["first"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["words"].alias("words")))
-    told = plain.select("doc", "passages", F.filter(_runs(late), lambda r: r["words"] >= least_words).alias("removed"))
+    spark = documents.sparkSession
+    parts = TASKS * partitions(spark)
+    rows = documents.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    # A part is a task, where hashed part numbers would bring several parts into one.
+    met = rows.mapInArrow(*_dealt(parts, least_words)).repartitionById(parts, F.col("part")).mapInArrow(*_settled(parts))
+    told = met.repartitionById(parts, F.col("part")).mapInArrow(*_gathered(least_words))
     return told.select(F.when(F.col("doc") != _NO_ID, F.col("doc")).alias(id_column), "passages", "removed")
 
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -123,6 +124,51 @@ def test_passages_are_caught_and_clean_texts_left(spark):
     assert {x["doc_id"] for x in substrings.digest(substrings.passages(df)).collect()} == set(got)
 
 
+def brute_passages(docs, size=substrings.WORDS):
+    """Spans of words that lie in a window of ``size`` words which another document holds too, joined where they touch."""
+    words = {i: list(re.finditer(r"[^\x20\x09-\x0D]+", t or "")) for i, t in docs.items()}
+    held = defaultdict(set)
+    for i, w in words.items():
+        for k in range(len(w) - size + 1):
+            held[tuple(m.group() for m in w[k : k + size])].add(i)
+    out = {}
+    for i, w in words.items():
+        lists = []
+        for late in (False, True):
+            runs = []
+            for k in range(len(w) - size + 1):
+                by = held[tuple(m.group() for m in w[k : k + size])]
+                if len(by) > 1 and not (late and min(by) == i):
+                    if runs and k <= runs[-1][1]:
+                        runs[-1][1] = k + size
+                    else:
+                        runs.append([k, k + size])
+            lists.append([(w[a].start(), w[b - 1].end(), b - a) for a, b in runs])
+        if lists[0]:
+            out[i] = tuple(lists)
+    return out
+
+
+@pytest.mark.parametrize("letters", [(2, 5), (3, 11)])
+def test_passages_just_over_50_words_are_never_missed(spark, letters):
+    r = random.Random(8)
+    text = lambda n: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyzäé") for _ in range(r.randint(*letters))) for _ in range(n))
+    docs = {}
+    for k in range(400):
+        shared = text(51)
+        docs[2 * k], docs[2 * k + 1] = f"{text(40)} {shared} {text(30)}", f"{text(25)}\n{shared}  {text(60)}"
+    docs |= {900: "a b " * 40, 901: "x y " + "a b " * 25, 902: text(19), 903: None}
+    got = {x["doc_id"]: tuple([tuple(p) for p in x[c]] for c in ("passages", "removed")) for x in substrings.passages(spark.createDataFrame(list(docs.items()), SCHEMA).repartition(5)).collect()}
+    assert set(range(800)) <= set(got) and all(p[2] >= 51 for k in range(800) for p in got[k][0][:1])
+    assert got == brute_passages(docs)
+
+
+def test_passages_on_the_tables(spark):
+    df = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    docs = {r["doc_id"]: r["text"] for r in df.collect()}
+    assert {x["doc_id"]: tuple([tuple(p) for p in x[c]] for c in ("passages", "removed")) for x in substrings.passages(df).collect()} == brute_passages(docs)
+
+
 @given(st.binary(max_size=600), st.integers(0, 300))
 @settings(max_examples=60, deadline=None)
 def test_chunk_borders_come_back_after_an_insertion(data, at):
