@@ -2,8 +2,8 @@
 
 All of it is built-in column functions on one row at a time: no shuffle, no Python.
 
-Candidates are runs of key characters. Each belongs to a character class (hexadecimal or base64), which fixes the
-entropy that a window must reach. A window slides over the candidate one character at a time; the counts of its
+Candidates are runs of key characters. Each belongs to a character class (hexadecimal, one case with digits or base32,
+both cases with digits, base64), which fixes the entropy that a window must reach. A window slides over the candidate one character at a time; the counts of its
 characters are kept incrementally: one goes up, one goes down, and the sum of c*log2(c) moves by the difference.
 Candidates on the allow-list are passed over. A candidate with windows that reach the threshold gives one span,
 from the first such window's start to the last one's end.
@@ -34,6 +34,13 @@ class Entropy:
     candidate: str = r"[A-Za-z0-9+/_=-]+"
     least_hex: float = 3.0
     least_base64: float = 3.9
+    #: Further classes by what the whole candidate is made of, tried in this order after hexadecimal. Of random windows
+    #: of 20 characters about 1 in 1,000 stays below.
+    classes: tuple[tuple[str, float], ...] = (
+        (r"^[a-z0-9]+$", 3.2),
+        (r"^[A-Z0-9]+=*$", 3.2),
+        (r"^[A-Za-z0-9]+$", 3.5),
+    )
     #: Whole candidates that are never reported.
     allow: tuple[str, ...] = field(
         default=(
@@ -131,7 +138,10 @@ def scan(documents: DataFrame, text: str = "text", entropy: Entropy = Entropy())
     candidates = F.filter(_spans(body, long), suspicious)
 
     def measured(x: Column) -> Column:
-        least = F.when(x["m"].rlike("^[0-9a-fA-F]+$"), F.lit(entropy.least_hex)).otherwise(F.lit(entropy.least_base64))
+        least = F.when(x["m"].rlike("^[0-9a-fA-F]+$"), F.lit(entropy.least_hex))
+        for pattern, bits in entropy.classes:
+            least = least.when(x["m"].rlike(pattern), F.lit(bits))
+        least = least.otherwise(F.lit(entropy.least_base64))
         return F.struct(x["s"].alias("s"), x["m"].alias("m"), _entropy_window(x["m"], least, size).alias("w"))
 
     def told(x: Column) -> Column:

@@ -97,6 +97,31 @@ def test_entropy_windows_equal_brute_force(spark):
     assert [out[k] for k in (1, 2, 3, 5)] == [[], [], [], []]
 
 
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+ALPHABETS = {"lower": LOWER + DIGITS, "upper": UPPER + DIGITS, "base32": UPPER + "234567", "base62": LOWER + UPPER + DIGITS}
+
+
+def test_random_tokens_are_found(spark):
+    import random
+
+    r = random.Random(4)
+    cases = [(name, n) for name in ALPHABETS for n in (20, 24, 32, 40)]
+    tokens = {}
+    for k in range(500 * len(cases)):
+        name, n = cases[k % len(cases)]
+        token = "".join(r.choice(ALPHABETS[name]) for _ in range(n))
+        tokens[k] = token[:-1] + r.choice("234567")  # what holds no digit is on the allow-list
+    docs = spark.createDataFrame([(k, f"see {t} there") for k, t in tokens.items()], SCHEMA).repartition(4)
+    found = {x["doc_id"]: x["found"] for x in secrets.scan(docs).collect()}
+    clean = {x["doc_id"]: x["text"] for x in secrets.redact(docs).collect()}
+    for k, case in enumerate(cases):
+        mine = range(k, len(tokens), len(cases))
+        assert sum(bool(found[i]) for i in mine) >= 0.985 * len(mine), case
+        assert sum(clean[i] == "see [SECRET] there" for i in mine) >= 0.97 * len(mine), case
+    words = ["getElementsByClassName", "Donaudampfschifffahrtsgesellschaft", "2024-01-10T12:00:00", "aaaaaaaaaaaaaaaaaaaaaaa1", "0000000000001111111111111111x"]
+    assert not any(f["kind"] == "entropy" for x in secrets.scan(rows(spark, words)).collect() for f in x["found"])
+
+
 def test_redaction(spark):
     docs = rows(spark, ["a password=hunter22 b", None, "", "no secret here", "token=0123456789abcdef01234567 x"]).withColumn("_own", F.lit(1)).withColumn("found", F.lit(2))
     got = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
