@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by cosine: NN-descent and greedy graph search.
 
 Equal vectors are one node, so a vector that fills a third of the table is one node too, with its smallest ids as
-members. A first graph comes from brute force inside small cells of random hyperplanes. NN-descent then improves it
-by joins: the neighbours of a node, in both directions, are neighbours of neighbours of each other; they are brought
+members. A first graph comes from brute force inside small cells of random hyperplanes; a node that finds too few others there
+is held against the landmarks, so every node has edges. NN-descent then improves the graph, until it is settled, by joins: the neighbours of a node, in both directions, are neighbours of neighbours of each other; they are brought
 together with their vectors, and each takes over what is nearer than its present last neighbour.
 
 A query starts at its own node, if it has one, and at the nearest of a bounded number of landmarks. In each round the
@@ -28,12 +28,10 @@ class Settings:
     neighbours: int = 28  #: kept for each node
     trees: int = 4  #: random divisions into cells that the first graph comes from
     cell: int = 256  #: nodes of a cell about
-    rounds: int = 6  #: of NN-descent at most
     settled: float = 0.003  #: share of edges that changed below which it ends
     beam: int = 512  #: nodes in a query's list
     opened: int = 64  #: nodes that a query opens in a round
-    hops: int = 14  #: rounds of a search at most
-    landmarks: int = 256  #: entry points that every query is held against
+    landmarks: int = 256  #: entry points that every query, and every node with too few edges, is held against
     block: int = 128  #: nodes whose neighbourhoods one task call handles about
     seed: int = 11
 
@@ -107,6 +105,36 @@ def _first_graph(nodes: DataFrame, n: int, s: Settings) -> DataFrame:
     return cut(_top(found.distinct(), s.neighbours))
 
 
+def _marks(nodes: DataFrame, s: Settings) -> DataFrame:
+    """The landmarks: bounded in number, so they may go to every task."""
+    return nodes.orderBy(F.xxhash64("id", F.lit(s.seed)), "id").limit(s.landmarks)
+
+
+def _with_marks(nodes: DataFrame, edges: DataFrame, s: Settings) -> DataFrame:
+    """edges, where a node with fewer than it should have gets its nearest landmarks too."""
+    marks = _marks(nodes, s).toArrow()
+    if not len(marks):
+        return edges
+    there, y = marks.column("id").to_numpy(), _unit(_matrix(marks.column("vec")))
+
+    def near(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4096):
+                part = batch.slice(a, 4096)
+                ids = part.column("id").to_numpy()
+                sim = _unit(_matrix(pa.chunked_array([part.column("vec")]))) @ y.T
+                sim[ids[:, None] == there[None, :]] = -np.inf
+                m = min(s.neighbours, len(there))
+                at = np.argpartition(-sim, m - 1, axis=1)[:, :m]
+                sim = np.take_along_axis(sim, at, axis=1).ravel()
+                u, v = np.repeat(ids, m), there[at].ravel()
+                yield from _edges(u[sim > -2], v[sim > -2], sim[sim > -2]).to_batches()
+
+    full = edges.groupBy("u").count().filter(F.col("count") >= s.neighbours).select(F.col("u").alias("id"))
+    more = nodes.join(full, "id", "left_anti").mapInArrow(near, "u long, v long, sim double")
+    return cut(_top(edges.union(more).groupBy("u", "v").agg(F.max("sim").alias("sim")), s.neighbours))
+
+
 def _local_join(group: pa.Table) -> pa.Table:
     """Of nodes that meet at w: pairs that are nearer than a node's present last neighbour."""
     w, ids, last = group.column("w").to_numpy(), group.column("id").to_numpy(), group.column("last").to_numpy()
@@ -133,9 +161,10 @@ def _local_join(group: pa.Table) -> pa.Table:
 def graph(nodes: DataFrame, s: Settings = Settings()) -> DataFrame:
     """u, v, sim: the neighbours of each node (id, vec), by NN-descent."""
     n = nodes.count()
-    edges = _first_graph(nodes, n, s)
+    edges = _with_marks(nodes, _first_graph(nodes, n, s), s)
     blocks = max(1, n // s.block)
-    for _ in range(s.rounds):
+    # It ends: a round with a change has brought some node a nearer neighbour.
+    while True:
         back = _top(edges.select(F.col("v").alias("w"), F.col("u").alias("v"), "sim"), s.neighbours, "w").select("w", F.col("v").alias("id"))
         meet = edges.select(F.col("u").alias("w"), F.col("v").alias("id")).union(back).distinct()
         last = edges.groupBy("u").agg(F.min("sim").alias("_min"), F.count("*").alias("_n")).select(F.col("u").alias("_u"), F.when(F.col("_n") >= s.neighbours, F.col("_min")).otherwise(F.lit(-2.0)).alias("last"))
@@ -148,8 +177,7 @@ def graph(nodes: DataFrame, s: Settings = Settings()) -> DataFrame:
         changed, total = done.agg(F.count_if(F.col("old") == 0), F.count("*")).first()
         edges = done.select("u", "v", "sim")
         if changed <= s.settled * total:
-            break
-    return edges
+            return edges
 
 
 def _cosines(batches):
@@ -165,13 +193,12 @@ def _cosines(batches):
 def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, s: Settings = Settings()) -> DataFrame:
     """q, v, sim: for queries (q, qvec, own node or null) the list of nearest nodes that greedy search ends with."""
     both = cut(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    # Landmarks are bounded in number, so they may go to every query.
-    marks = nodes.orderBy(F.xxhash64("id", F.lit(s.seed)), "id").limit(s.landmarks)
-    start = queries.select("q", "qvec").join(F.broadcast(marks.select(F.col("id").alias("v"), "vec")), F.lit(True)).select("q", "v", "qvec", "vec")
+    start = queries.select("q", "qvec").join(F.broadcast(_marks(nodes, s).select(F.col("id").alias("v"), "vec")), F.lit(True)).select("q", "v", "qvec", "vec")
     best = _top(start.mapInArrow(_cosines, "q long, v long, sim double"), 4, "q")
     own = queries.filter("own is not null").select("q", F.col("own").alias("v"), "qvec").join(nodes, F.col("v") == F.col("id")).select("q", "v", "qvec", "vec").mapInArrow(_cosines, "q long, v long, sim double")
     held = cut(best.union(own).groupBy("q", "v").agg(F.max("sim").alias("sim")).withColumn("opened", F.lit(False)))
-    for _ in range(s.hops):
+    # It ends: the lists only get nearer, and a node on a list is opened once.
+    while True:
         place = F.row_number().over(Window.partitionBy("q").orderBy("opened", F.desc("sim"), "v"))
         ranked = held.withColumn("open", (place <= s.opened) & ~F.col("opened"))
         opening = ranked.filter("open").select("q", F.col("v").alias("u"))

@@ -207,6 +207,14 @@ def test_neighbours(spark):
     assert neighbours.nearest(few.limit(0), lambda v: v % 50 == 0).count() == 0
 
 
+def test_every_node_has_edges(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(20, 1, 12)).repeat(25, 1).reshape(-1, 12) + 0.01 * rng.normal(size=(500, 12)), rng.normal(size=(100, 12))])
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    edges = neighbours.graph(nodes, neighbours.Settings(neighbours=8, trees=1, cell=1, landmarks=32)).collect()
+    assert {e["u"] for e in edges} == set(range(600)) and all(e["u"] != e["v"] for e in edges)
+
+
 def test_sharding(spark, tmp_path):
     df = spark.range(5000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("é"), F.pmod(F.xxhash64("id"), F.lit(90)).cast("int")).alias("text")).union(spark.createDataFrame([(None, None), (None, "x"), (1, "x"), (1, "x")], SCHEMA))
     path = str(tmp_path / "map")
