@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -26,12 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, also set as checkpoint folder.
 
-    It is read from ``spark.checkpoint.dir``; only where that is unset (one machine, tests) is one made here.
+    It is read from ``spark.checkpoint.dir``. Where that is unset, one is made here if all of Spark runs in one process
+    (tests); on a cluster a folder of this machine would be no use to the others, so that is an error.
     """
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = context.getCheckpointDir() or tempfile.mkdtemp(prefix="groundwork-")
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="groundwork-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
@@ -40,40 +44,26 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write df to a new table in the shared folder and go on from there: its lineage ends, and lost executors lose nothing.
 
-    A written table is computed once, where checkpoint() computes its last stage twice.
+    A written table is computed once, where checkpoint() computes its last stage twice. ``release`` removes it.
     """
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._groundwork_path = path
+    return out
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def deal(df: DataFrame, fn, spark: SparkSession) -> DataFrame:
-    """mapInArrow over blobs (part int, blob binary), all blobs of a part number in one task."""
-    return df.repartition(partitions(spark), "part").mapInArrow(fn[0], fn[1])
+def release(*tables: DataFrame | None) -> None:
+    """Remove tables that ``cut`` wrote and that nothing is read from any more."""
+    for df in tables:
+        if df is not None and (path := df.__dict__.pop("_groundwork_path", None)):
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def blobs(part: np.ndarray, records: np.ndarray) -> pa.RecordBatch | None:
-    """Records sorted by part number and packed: one row for each part that occurs."""
-    if not len(records):
-        return None
-    order = np.argsort(part, kind="stable")
-    part, records = part[order], records[order]
-    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-    ends = np.r_[starts[1:], len(part)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(part[starts].astype(np.int32)), pa.array([records[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())],
-        names=["part", "blob"],
-    )
-
-
-def unpack(batches: Iterable[pa.RecordBatch], dtype: np.dtype) -> np.ndarray:
-    """All records of a task's blobs."""
-    found = [np.frombuffer(x, dtype) for batch in batches for x in (y.as_py() for y in batch.column("blob"))]
-    return np.concatenate(found) if found else np.empty(0, dtype)
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int, text: str = "text", most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
