@@ -92,53 +92,63 @@ def _batch(part: list, kind: int, ident: pa.Array | None = None, n: list | None
     return pa.RecordBatch.from_arrays(columns, names=["part", "kind", "doc_id", "row", "ident", "n", "blob"])
 
 
-def _pack(part: np.ndarray, owner: np.ndarray, ident: np.ndarray, n: np.ndarray, token: np.ndarray, extra: np.ndarray | None, parts: int) -> Iterator[tuple[int, bytes]]:
-    """Tokens (48 bits, with 16 extra bits or none) grouped by part and set: head, idents, sizes, counts, tokens.
+def _pack(part: np.ndarray, owner: np.ndarray, ident: np.ndarray, token: np.ndarray, extra: np.ndarray | None, parts: int) -> Iterator[tuple[int, bytes]]:
+    """Tokens (48 bits, with 16 extra bits or none) grouped by part and set: head, idents, counts, tokens.
 
-    owner is a token's place in ident and n; tokens of one set must come one after another. Part numbers that fit are
-    sorted as short integers, by radix.
+    owner is a token's place in ident; tokens of one set must come one after another. Part numbers that fit are
+    sorted as short integers, by radix. A set with more tokens in a part than a count holds stands there repeatedly.
     """
     order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
     part, owner, token = part[order], owner[order], token[order]
-    starts = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])])
-    count = np.diff(np.r_[starts, len(part)]).astype("<u4")
+    new = np.r_[True, (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])]
+    starts = np.flatnonzero(new)
+    count = np.diff(np.r_[starts, len(part)])
+    if count.max() > 65535:
+        new[(np.arange(len(part)) - np.repeat(starts, count)) % 65535 == 0] = True
+        starts = np.flatnonzero(new)
+        count = np.diff(np.r_[starts, len(part)])
+    count = count.astype("<u2")
     edges = np.searchsorted(part[starts], np.arange(parts + 1))
     places = np.r_[starts, len(part)]
-    name, size = ident[owner[starts]].astype("<u8"), n[owner[starts]].astype("<u4")
+    name = ident[owner[starts]].astype("<u8")
     low, high = token.astype("<u4"), (token >> np.uint64(32)).astype("<u2")
     more = extra[order].astype("<u2") if extra is not None else None
     for p in np.unique(part).tolist():
         a, b = edges[p], edges[p + 1]
         at = slice(places[a], places[b])
-        yield p, b"".join([np.array([b - a], "<u8").tobytes(), name[a:b].tobytes(), size[a:b].tobytes(), count[a:b].tobytes(), low[at].tobytes(), high[at].tobytes(), *([more[at].tobytes()] if more is not None else [])])
+        yield p, b"".join([np.array([b - a], "<u8").tobytes(), name[a:b].tobytes(), count[a:b].tobytes(), low[at].tobytes(), high[at].tobytes(), *([more[at].tobytes()] if more is not None else [])])
 
 
-def _unpack(data: list[tuple[int, bytes]], extra: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sets (ident, n) of many blobs, and of each token its set's place among them and the token.
+def _unpack(data: list[tuple[int, bytes]], extra: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names of the sets of many blobs, and of each token its set's place among them and the token.
 
     Above a token's 48 bits stand the number of its part, or the extra bits. The blobs are let go one by one.
     """
     heads, total = [], 0
     for _, blob in data:
         k = int(np.frombuffer(blob, "<u8", 1)[0])
-        heads.append((k, int(np.frombuffer(blob, "<u4", k, 8 + 20 * k).sum())))
+        heads.append((k, int(np.frombuffer(blob, "<u2", k, 8 + 16 * k).sum(dtype=np.int64))))
         total += heads[-1][1]
     sets = sum(k for k, _ in heads)
-    ident, n = np.empty((sets, 2), np.uint64), np.empty(sets, np.uint32)
+    ident = np.empty((sets, 2), np.uint64)
     owner, token = np.empty(total, np.uint32), np.empty(total, np.uint64)
     s, t = sets, total
     while data:
         (part, blob), (k, m) = data.pop(), heads.pop()
-        s, t, at = s - k, t - m, 8 + 24 * k
+        s, t, at = s - k, t - m, 8 + 18 * k
         ident[s : s + k] = np.frombuffer(blob, "<u8", 2 * k, 8).reshape(k, 2)
-        n[s : s + k] = np.frombuffer(blob, "<u4", k, 8 + 16 * k)
-        owner[t : t + m] = np.repeat(np.arange(s, s + k, dtype=np.uint32), np.frombuffer(blob, "<u4", k, 8 + 20 * k))
+        owner[t : t + m] = np.repeat(np.arange(s, s + k, dtype=np.uint32), np.frombuffer(blob, "<u2", k, 8 + 16 * k))
         token[t : t + m] = np.frombuffer(blob, "<u2", m, at + 6 * m) if extra else part & 4095
         token[t : t + m] <<= np.uint64(16)
         token[t : t + m] |= np.frombuffer(blob, "<u2", m, at + 4 * m)
         token[t : t + m] <<= np.uint64(32)
         token[t : t + m] |= np.frombuffer(blob, "<u4", m, at)
-    return ident, n, owner, token
+    return ident, owner, token
+
+
+def _home(ident: np.ndarray, parts: int) -> np.ndarray:
+    """The part where what belongs to a set comes together."""
+    return (mix(ident[:, 0]) % np.uint64(parts)).astype(np.int64)
 
 
 def _numbered(ident: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,16 +164,21 @@ def _names(ident: np.ndarray) -> pa.Array:
     return pa.array([x.tobytes() for x in ident.astype("<u8")], pa.binary())
 
 
+#: Kinds of rows: packed shingles; documents; names and sizes of the sets of a part.
+_PACKED, _DOCUMENT, _SIZES, _GOOD = 0, 1, 3, 2
+_ENTRY = np.dtype([("ident", "<u8", 2), ("n", "<u4")])
+
+
 def _shingled(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, seen, turn = HashedWords(), set(), 0
+        memo, seen = HashedWords(), set()
         for batch in slices(batches, 4096, most=4_000_000):
             sets = shingle_sets(batch.column(1).to_pylist(), memo)
             # The digest of the set names it; an empty set has no name.
             names = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
-            # Rows of documents go on in turn, so copies of one set are not together.
-            yield _batch([(turn + k) % parts for k in range(len(sets))], 1, pa.array(names, pa.binary()), [len(x) for x in sets], None, batch.column(0), batch.column(2))
-            turn += len(sets)
+            # Rows of documents are dealt by themselves, so copies of one set are not together.
+            spread = mix(batch.column(0).fill_null(0).to_numpy().astype(np.uint64) ^ batch.column(2).to_numpy().astype(np.uint64)) % np.uint64(parts)
+            yield _batch(spread.tolist(), _DOCUMENT, pa.array(names, pa.binary()), [len(x) for x in sets], None, batch.column(0), batch.column(2))
             fresh = []
             for k, y in enumerate(names):
                 if y is not None and y not in seen:
@@ -176,20 +191,24 @@ def _shingled(parts: int):
                 size = np.array([len(sets[k]) for k in fresh])
                 ident = np.frombuffer(b"".join([names[k] for k in fresh]), "<u8").reshape(-1, 2)
                 part = ((token >> np.uint64(48)) * np.uint64(parts) >> np.uint64(16)).astype(np.int64)
-                packed = list(_pack(part, np.repeat(np.arange(len(fresh)), size), ident, size, token & _MASK, None, parts))
-                yield _batch([p for p, _ in packed], 0, blob=[x for _, x in packed])
+                packed = list(_pack(part, np.repeat(np.arange(len(fresh)), size), ident, token & _MASK, None, parts))
+                yield _batch([p for p, _ in packed], _PACKED, blob=[x for _, x in packed])
+                home, entries = _home(ident, parts), np.empty(len(fresh), _ENTRY)
+                entries["ident"], entries["n"] = ident, size
+                homes = np.unique(home).tolist()
+                yield _batch(homes, _SIZES, blob=[entries[home == p].tobytes() for p in homes])
 
     return run
 
 
 def _split(batches: Iterator[pa.RecordBatch], data: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-    """Blobs go into data, with the numbers of their parts, the rows of documents straight on."""
+    """Packed shingles go into data, with the numbers of their parts; other rows straight on."""
     for batch in batches:
         kinds = batch.column("kind").to_numpy(zero_copy_only=False)
         part, blob = batch.column("part"), batch.column("blob")
-        data += [(part[k].as_py(), blob[k].as_py()) for k in np.flatnonzero(kinds == 0).tolist()]
-        if (kinds == 1).any():
-            yield batch.filter(pa.array(kinds == 1))
+        data += [(part[k].as_py(), blob[k].as_py()) for k in np.flatnonzero(kinds == _PACKED).tolist()]
+        if (kinds != _PACKED).any():
+            yield batch.filter(pa.array(kinds != _PACKED))
 
 
 def _class(often: np.ndarray) -> np.ndarray:
@@ -198,12 +217,12 @@ def _class(often: np.ndarray) -> np.ndarray:
 
 
 def _shared(parts: int):
-    """Of each shingle that several sets hold: set, size, shingle and how frequent it is, dealt out by set."""
+    """Of each shingle that several sets hold: set, shingle and how frequent it is, dealt out by set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data: list[tuple[int, bytes]] = []
         yield from _split(batches, data)
-        idents, sizes, owner, token = _unpack(data, False)
+        idents, owner, token = _unpack(data, False)
         if not len(token):
             return
         order = np.argsort(token, kind="stable")
@@ -219,10 +238,9 @@ def _shared(parts: int):
         if len(token):
             order = np.argsort(owner, kind="stable")
             owner, token, often = owner[order], token[order], often[order]
-            ident, n = idents[first], sizes[first]
-            part = (mix(ident[:, 0]) % np.uint64(parts)).astype(np.int64)[owner]
-            packed = list(_pack(part, owner, ident, n, token & _MASK, (often << np.uint64(12)) | (token >> np.uint64(48)), parts))
-            yield _batch([p for p, _ in packed], 0, blob=[x for _, x in packed])
+            ident = idents[first]
+            packed = list(_pack(_home(ident, parts)[owner], owner, ident, token & _MASK, (often << np.uint64(12)) | (token >> np.uint64(48)), parts))
+            yield _batch([p for p, _ in packed], _PACKED, blob=[x for _, x in packed])
 
     return run
 
@@ -230,12 +248,21 @@ def _shared(parts: int):
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets of which three quarters are shared: their shared shingles from rare to frequent."""
     data: list[tuple[int, bytes]] = []
-    yield from _split(batches, data)
+    told = []
+    for batch in _split(batches, data):
+        kinds = batch.column("kind").to_numpy(zero_copy_only=False)
+        told += [np.frombuffer(x.as_py(), _ENTRY) for x in batch.column("blob").filter(pa.array(kinds == _SIZES))]
+        if (kinds == _DOCUMENT).any():
+            yield batch.filter(pa.array(kinds == _DOCUMENT))
     # How frequent a shingle is stands above it: one integer sorts from rare to frequent.
-    idents, sizes, owner, key = _unpack(data, True)
+    idents, owner, key = _unpack(data, True)
     if not len(key):
         return
-    number, first = _numbered(idents)
+    # Sets and their sizes are numbered together.
+    sizes = np.concatenate(told)
+    number, first = _numbered(np.concatenate([idents, sizes["ident"]]))
+    n = np.zeros(len(first), np.int64)
+    n[number[len(idents) :]] = sizes["n"]
     owner = number[owner]
     order = np.lexsort((key, owner))
     owner, key = owner[order], key[order]
@@ -243,12 +270,14 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     owner, key = owner[fresh], key[fresh]
     starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
     ends = np.r_[starts[1:], len(owner)]
-    at = first[owner[starts]]
-    good = 4 * (ends - starts) >= 3 * sizes[at].astype(np.int64)
-    starts, ends, at = starts[good], ends[good], at[good]
+    mine = owner[starts]
+    good = 4 * (ends - starts) >= 3 * n[mine]
+    starts, ends, mine = starts[good], ends[good], mine[good]
     for a in range(0, len(starts), 2000):
         some = slice(a, a + 2000)
-        yield _batch([0] * len(at[some]), 2, _names(idents[at[some]]), sizes[at[some]].tolist(), [key[x:y].tobytes() for x, y in zip(starts[some].tolist(), ends[some].tolist(), strict=True)])
+        at = first[mine[some]]
+        names = np.where((at < len(idents))[:, None], idents[np.minimum(at, len(idents) - 1)], sizes["ident"][np.maximum(at - len(idents), 0)])
+        yield _batch([0] * len(at), _GOOD, _names(names), n[mine[some]].tolist(), [key[x:y].tobytes() for x, y in zip(starts[some].tolist(), ends[some].tolist(), strict=True)])
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -494,8 +523,8 @@ def _classed(documents: DataFrame, id_column: str, text: str) -> DataFrame:
     dealt = rows.mapInArrow(_shingled(parts), _SET).repartitionById(parts, F.col("part"))
     shared = dealt.mapInArrow(_shared(parts), _SET).repartitionById(parts, F.col("part"))
     found = cut(shared.mapInArrow(_gathered, _SET))
-    sets = found.filter("kind = 2").select("ident", "n", "blob")
-    members = found.filter("kind = 1").select("doc_id", "row", "ident", "n")
+    sets = found.filter(F.col("kind") == _GOOD).select("ident", "n", "blob")
+    members = found.filter(F.col("kind") == _DOCUMENT).select("doc_id", "row", "ident", "n")
     labels = link_sets(sets)
     least = members.filter("ident is not null").groupBy("ident").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
     if labels is None:
