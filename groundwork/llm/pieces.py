@@ -10,7 +10,8 @@ after another character), around a line feed (if no piece holds one), and betwee
 punctuation character that no piece holds after such a letter. Texts are cut there, and a worker
 remembers the outcome for a bounded number of segments. Short segments run side by side: in each step every one
 of them merges the best entry of its own agenda. Every segment that enters the memo is held against the
-sentencepiece library, in one call for each Arrow batch, and so is one whole text of each batch.
+sentencepiece library, in one call for each Arrow batch, and so are the ids and the decoded text of one whole text of
+each batch. Nothing is mended: where the two differ, the job fails with an error that names the text.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from groundwork.llm.common import slices
 MARK = "▁"
 
 #: Segments that either half of a worker's memo holds; the older half is dropped when the newer one is full.
-MEMO_SEGMENTS = 100_000
+MEMO_SEGMENTS = 200_000
 
 #: Letters after which texts may be cut, as a character class.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -40,6 +41,13 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Characters of a segment up to which it runs side by side with others; longer ones have a heap each.
 SHORT = 40
 
+#: Texts that the model's normaliser must leave as they are, but for the marks.
+PROBES = ("a  b ", "\u00c5A\u030a\ufb01", "\uff21\u200b\ttab\r\n line", "\u00bd\u2460\u3000x")
+
+
+class Differs(ValueError):
+    """The agenda and the library disagree on a text."""
+
 
 class Agenda:
     """Encoder and decoder for one model file."""
@@ -50,7 +58,6 @@ class Agenda:
         self.library = sentencepiece.SentencePieceProcessor(model_file=model)
         size = self.library.get_piece_size()
         self.pieces = [self.library.id_to_piece(i) for i in range(size)]
-        self.differing = 0
         self.special = {i for i in range(size) if self.library.is_control(i) or self.library.is_unknown(i)}
         self.byte = {int(self.pieces[i][3:5], 16): i for i in range(size) if self.library.is_byte(i)}
         self.of_byte = {v: k for k, v in self.byte.items()}
@@ -58,6 +65,11 @@ class Agenda:
         self.ids = {self.pieces[i]: i for i in plain}
         self.rank = {self.pieces[i]: -self.library.get_score(i) for i in plain}
         self.end = self.library.eos_id()
+        for probe in PROBES:
+            if self.library.normalize(probe) != MARK + probe.replace(" ", MARK):
+                raise ValueError(f"the model changes {probe!r} before it is cut up: only models that take texts as they are can be used")
+        self.lead = self.library.encode("\n")
+        self.line = self.library.encode("\n\n")[len(self.lead) :]
         marks = all(MARK not in p.lstrip(MARK) for p in self.ids)
         lines = all("\n" not in p for p in self.ids)
         follow = {b for p in self.ids for b in re.findall(f"(?<=[{LETTERS}])[^{LETTERS}]", p)}
@@ -184,25 +196,46 @@ class Agenda:
         out.append(run.decode(errors="replace"))
         return "".join(out).replace(MARK, " ")
 
+    def _bytes(self, ids: list[int]) -> list[int]:
+        """Ids, with the bytes of the characters that are no piece (given as -1 - code point)."""
+        return [i for x in ids for i in ([x] if x >= 0 else [self.byte[b] for b in chr(-1 - x).encode()])]
+
     def learn(self, new: list[str]) -> None:
-        """Enter segments into the memo, held against the library; where they differ, the library's ids hold."""
-        lead = len(self.library.encode("\n"))
-        told = self.library.encode([f"\n{s}".replace(MARK, " ") for s in new], num_threads=1)
-        short = [s for s in new if len(s) <= SHORT]
-        merged = dict(zip(short, self.merge_all(short), strict=True))
-        (ids_of, text_of), decimal = self.known, self.decimal
-        for s, ids in zip(new, told, strict=True):
-            own = merged.get(s)
-            if own is None:
-                own = self.encode_segment(s)
-            elif min(own) < 0:
-                own = [i for x in own for i in ([x] if x >= 0 else [self.byte[b] for b in chr(-1 - x).encode()])]
-            del ids[:lead]
-            if own != ids:
-                self.differing += 1
-                own = ids
-            ids_of[s] = " ".join([decimal[i] for i in own])
-            text_of[s] = self.decode_pieces(own)
+        """Enter segments into the memo, held against the library as the lines of one text."""
+        short, long = [], []
+        for s in new:
+            (short if len(s) <= SHORT else long).append(s)
+        merged = self.merge_all(short)
+        for k, ids in enumerate(merged):
+            if min(ids) < 0:
+                merged[k] = self._bytes(ids)
+        own = [*merged, *map(self.encode_segment, long)]
+        segments = [*short, *long]
+        if not segments:
+            return
+        told = self.library.encode("\n".join(["", *segments]).replace(MARK, " "), num_threads=1)
+        line, expected = self.line, self.lead[: len(self.lead) - len(self.line)]
+        for ids in own:
+            expected += line
+            expected += ids
+        if told != expected:
+            self._differing(segments, own)
+        (ids_of, text_of), decimal = self.known, self.decimal.__getitem__
+        for s, ids in zip(segments, own, strict=True):
+            ids_of[s] = " ".join(map(decimal, ids))
+            text_of[s] = self.decode_pieces(ids)
+
+    def _differing(self, segments: list[str], own: list[list[int]]) -> None:
+        for s, ids in zip(segments, own, strict=True):
+            if ids != self.library.encode(f"\n{s}".replace(MARK, " "))[len(self.lead) :]:
+                raise Differs(f"the agenda and the library differ on {s[:200]!r}")
+        raise Differs(f"the agenda and the library differ on segments side by side, from {segments[0][:200]!r}")
+
+    def hold(self, text: str, ids: list[int], decoded: str) -> None:
+        """Raise if the library encodes the text to other ids or decodes them to another text."""
+        told = self.library.encode(text, add_eos=True)
+        if told != ids or self.library.decode(told) != decoded:
+            raise Differs(f"the agenda and the library differ on the text that begins with {text[:200]!r}")
 
     def recall(self, segments: set[str]) -> None:
         """See that the memo holds the segments."""
@@ -231,11 +264,10 @@ class Agenda:
         end = str(self.end)
         for k, segments in enumerate(cut):
             ids = " ".join([*map(ids_of, segments), end])
-            if not k and ids != (told := " ".join(map(str, self.library.encode(texts[k], add_eos=True)))):
-                self.differing += 1
-                ids = told
             decoded = "".join(map(text_of, segments))
             decoded = decoded[1:] if decoded.startswith(" ") else decoded
+            if not k:
+                self.hold(texts[k], [int(x) for x in ids.split(" ")], decoded)
             yield ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
@@ -249,8 +281,9 @@ def encode_decode(documents: DataFrame, model: str, text: str = "text") -> DataF
     """documents, with n_tokens, ids_sha256 and decoded_sha256 after the other columns.
 
     The model's path must be readable on every executor. Null text counts as empty: the end id alone, decoded to
-    the empty text. Repeated rows each get their result; an empty table gives an empty one; columns that are
-    already called like the new ones are replaced.
+    the empty text. Very long texts are encoded whole, a batch of their own. Repeated rows each get their result; pairs
+    of one score are merged leftmost first; an empty table gives an empty one; columns that are already called like
+    the new ones are replaced. A text on which the agenda and the library differ fails the job (``Differs``).
     """
     added = ["n_tokens", "ids_sha256", "decoded_sha256"]
     kept = [c for c in documents.columns if c.lower() not in added]
@@ -276,7 +309,10 @@ def ids_and_text(documents: DataFrame, model: str, text: str = "text", ids: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         agenda = agenda_of(model)
         for batch in slices(batches, 512, text):
-            found = [agenda.encode(x or "") for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            texts = [x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            found = [agenda.encode(x) for x in texts]
+            for x, y in zip(texts, found, strict=True):
+                agenda.hold(x, y, agenda.decode(y))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32())), pa.array([agenda.decode(x) for x in found], pa.string())], names=[*batch.schema.names, ids, decoded])
 
     return source.mapInArrow(run, schema)

@@ -33,12 +33,40 @@ def test_pieces_equal_the_library(spark):
         ids = library.encode(texts[r["doc_id"]], add_eos=True)
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids)))
-    # The agenda alone, without what the check against the library may have mended.
+    # One text at a time, by a heap for each segment.
     for t in [*ODD, *list(texts.values())[:60]]:
         assert agenda.encode(t) == library.encode(t, add_eos=True)
         assert agenda.decode(agenda.encode(t)) == library.decode(library.encode(t))
     list(agenda.digests(list(texts.values())))
-    assert agenda.differing == 0
+
+
+def test_a_broken_agenda_fails(monkeypatch):
+    """Nothing that the agenda gets wrong is mended by the library, in short segments, long ones, or whole texts."""
+    texts = ["a word or two", "one " + "x" * 300]
+    list(pieces.Agenda(piece_model()).digests(texts))
+    for broken in ("merge", "merge_all", "decode_pieces", "segments"):
+        agenda = pieces.Agenda(piece_model())
+        with monkeypatch.context() as m:
+            if broken == "merge":
+                m.setattr(agenda, "merge", list)
+            elif broken == "merge_all":
+                m.setattr(agenda, "merge_all", lambda segments: [[agenda.ids[c] for c in s] for s in segments])
+            elif broken == "decode_pieces":
+                m.setattr(agenda, "decode_pieces", lambda ids: "")
+            else:
+                whole = agenda.segments
+                m.setattr(agenda, "segments", lambda t: whole(t)[:-1])
+            with pytest.raises(pieces.Differs):
+                list(agenda.digests(texts))
+
+
+@pytest.mark.parametrize("n", [1, 39, 40, 41, 500])
+def test_very_long_and_tied_segments(n):
+    agenda = pieces.Agenda(piece_model())
+    texts = ["a" * n, "ab" * n, "🤗" * n, "\n" * n, " " * n, "x y" * 20_000]
+    for t, (k, *_) in zip(texts, agenda.digests(texts), strict=True):
+        assert k == len(agenda.library.encode(t, add_eos=True))
+        agenda.hold(t, agenda.encode(t), agenda.decode(agenda.encode(t)))
 
 
 def test_pieces_odd_tables(spark):
