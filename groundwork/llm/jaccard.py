@@ -422,13 +422,17 @@ def _fits(na: Column, nb: Column) -> Column:
     return 4 * F.least(na, nb) >= 3 * F.greatest(na, nb)
 
 
-def _open_lists(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """token, ident, n, label, m, low, high: entries of the lists whose members are in several components."""
+def _open_lists(lists: DataFrame, labels: DataFrame | None, hubs: bool = True) -> DataFrame:
+    """token, ident, n, label, m: entries of the lists whose members are in several components; with low and high for hubs."""
     if labels is None:
         listed = lists.withColumn("label", F.col("ident"))
     else:
         listed = lists.join(labels, lists["ident"] == labels["node"], "left").select("token", "ident", "n", F.coalesce("label", "ident").alias("label"))
-    ends = listed.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("label", "ident", "n")).alias("low"), F.max(F.struct("label", "ident", "n")).alias("high")).filter(F.col("low.label") != F.col("high.label"))
+    if hubs:
+        of = F.struct("label", "ident", "n")
+        ends = listed.groupBy("token").agg(F.count("*").alias("m"), F.min(of).alias("low"), F.max(of).alias("high")).filter(F.col("low.label") != F.col("high.label"))
+    else:
+        ends = listed.groupBy("token").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).filter(F.col("low") != F.col("high")).drop("low", "high")
     return cut(listed.join(ends, "token"))
 
 
@@ -461,7 +465,7 @@ def _blocks(mixed: DataFrame) -> DataFrame:
 
 def _search(rare: DataFrame, labels: DataFrame | None, sets: DataFrame) -> DataFrame:
     """Links between labels (a, b): every two blocks of which an open list has members are held against each other."""
-    mixed = _open_lists(rare, labels)
+    mixed = _open_lists(rare, labels, hubs=False)
     placed = cut(_blocks(mixed))
     place = placed.select("ident", "band", "block")
     met = cut(mixed.select("token", "ident", "label").join(place, "ident").groupBy("token", "band", "block").agg(F.min("label").alias("low"), F.max("label").alias("high")))

@@ -32,7 +32,6 @@ _LOWER[65:91] += 32
 @dataclass(frozen=True)
 class Settings:
     rows: int = 2500  #: labelled rows that the model is fitted and calibrated on, at most
-    characters: int = 100_000  #: longer texts are not among them
     bits: int = 16  #: coordinates of each of the four feature groups
     steps: int = 80
     rate: float = 0.5
@@ -153,13 +152,13 @@ def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def judge(documents: DataFrame, model: Model, settings: Settings = Settings(), text: str = "text") -> DataFrame:
-    """documents with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, quality, kept.
+    """documents with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, quality.
 
     Null text counts as empty: no words, failed by the base rules, not kept. Texts of any length are counted whole.
     Repeated rows are judged alike; an empty table gives an empty one; columns already called like the new ones are
     replaced. ``quality`` is the calibrated probability, null where the base rules fail.
     """
-    added = {"n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "quality": "double", "kept": "boolean"}
+    added = {"n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean", "quality": "double"}
     kept = [c for c in documents.columns if c.lower() not in added]
     source = documents.select(*[F.col(f"`{c}`") for c in kept])
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema), *(f"{k} {v}" for k, v in added.items())])
@@ -181,9 +180,9 @@ def judge(documents: DataFrame, model: Model, settings: Settings = Settings(), t
                     at, value = frequencies(data, memo.of(data.lower().split()), fitted.bits)
                     margin = float(np.dot(weights[at], value)) + fitted.bias
                     p = float(1 / (1 + np.exp(-np.clip(fitted.slope * margin + fitted.offset, -35, 35))))
-                told.append((n, chars, symbols, lines, repeat, failed, p, not failed and p >= least))
+                told.append((n, chars, symbols, lines, repeat, failed, not failed and p >= least, p))
             columns = zip(*told, strict=True)
-            types = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
+            types = [pa.int64()] * 5 + [pa.bool_(), pa.bool_(), pa.float64()]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[*batch.schema.names, *added])
 
     return source.mapInArrow(run, schema)

@@ -12,7 +12,6 @@ from groundwork.llm.common import table
 from groundwork.llm.pieces import encode_decode
 
 
-
 def piece_model() -> str:
     import public_tokenizers
 
@@ -29,7 +28,7 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url").withColumn("fetched_at", urls.fetch_time(F.col("page_id")))
-    return urls.judge(pages, urls.entries(spark))
+    return urls.judge(pages, urls.generated(spark))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

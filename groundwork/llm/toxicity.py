@@ -35,7 +35,6 @@ _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E377
 @dataclass(frozen=True)
 class Settings:
     rows: int = 6000  #: labelled rows that the model is fitted on, at most
-    characters: int = 200_000  #: longer texts are not among them
     bits: int = 20
     passes: int = 5  #: over the rows with the L1 penalty, which choose the coordinates
     more: int = 8  #: over the rows with the chosen coordinates alone, without it
@@ -113,11 +112,15 @@ def held_out(id_column: Column, fold: int = Settings.fold) -> Column:
 
 
 def sample(documents: DataFrame, labels: DataFrame, label: str, settings: Settings, id_column: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
-    """(text, label) of at most settings.rows labelled rows outside the held-out fold; the bound holds before any text moves."""
+    """(text, label) of at most settings.rows labelled rows outside the held-out fold, texts whole.
+
+    The bound holds before any text moves. A label that stands on several rows of one id counts as its largest; of
+    several texts under one id the first ones in order are taken. Null ids and labels and null texts are no examples.
+    """
     known = labels.filter(F.col(label).isNotNull() & F.col(id_column).isNotNull() & ~held_out(F.col(id_column), settings.fold)).groupBy(F.col(id_column).alias("_id")).agg(F.max(label).cast("int").alias("_label"))
     picked = known.orderBy(F.xxhash64("_id"), "_id").limit(settings.rows)
-    short = documents.select(F.col(f"`{id_column}`").alias("_id"), F.col(f"`{text}`").alias("_text")).filter(F.length("_text") <= settings.characters)
-    found = short.join(F.broadcast(picked), "_id").orderBy(F.xxhash64("_id"), "_id", "_text").limit(settings.rows)
+    told = documents.select(F.col(f"`{id_column}`").alias("_id"), F.col(f"`{text}`").alias("_text")).filter(F.col("_text").isNotNull())
+    found = told.join(F.broadcast(picked), "_id").orderBy(F.xxhash64("_id"), "_id", "_text").limit(settings.rows)
     return [(r["_text"], r["_label"]) for r in found.select("_text", "_label").toLocalIterator()]
 
 
@@ -160,7 +163,7 @@ def fit(rows: list[tuple[str, int]], settings: Settings = Settings()) -> Weights
 def score(documents: DataFrame, weights: Weights, text: str = "text", name: str = "score") -> DataFrame:
     """documents with a score from 0 to 1.
 
-    Null and empty texts, and texts without a word, score as the bias says. Repeated rows score alike; an empty
+    Null and empty texts, and texts without a word, score as the bias says; very long ones are scored whole. Repeated rows score alike; an empty
     table gives an empty one; a column already called like the score is replaced.
     """
     kept = [c for c in documents.columns if c.lower() != name.lower()]
@@ -183,8 +186,12 @@ def score(documents: DataFrame, weights: Weights, text: str = "text", name: str
 
 
 def scored(documents: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
-    """documents with held_out, score and predicted; learnt from the labels of corpus (documents itself if not given)."""
+    """documents with held_out, score and predicted; learnt from the labels of corpus (documents itself if not given).
+
+    Null ids are rows like any other (their remainder is that of the empty text); see ``score`` for odd texts.
+    """
     weights = fit(sample(documents if corpus is None else corpus, labels, "toxic", settings), settings)
-    kept = [c for c in documents.columns if c.lower() not in ("held_out", "predicted")]
+    kept = [c for c in documents.columns if c.lower() not in ("held_out", "score", "predicted")]
     out = score(documents.select(*[F.col(f"`{c}`") for c in kept]), weights)
-    return out.withColumns({"held_out": held_out(F.col("doc_id"), settings.fold), "predicted": (F.col("score") >= 0.5).cast("int")})
+    told = [held_out(F.col("doc_id"), settings.fold).alias("held_out"), F.col("score"), (F.col("score") >= 0.5).cast("int").alias("predicted")]
+    return out.select(*[F.col(f"`{c}`") for c in kept], *told)

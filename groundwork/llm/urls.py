@@ -11,32 +11,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from groundwork.llm.common import cut
+
 #: Intervals up to which the list is broadcast (some 100 bytes each); beyond, it is joined by shuffle, split where skewed.
 BROADCAST_INTERVALS = 100_000
 
-#: A list for the synthetic pages: list, kind, pattern, day, action.
-ENTRIES = (
-    ("block", "domain", "free-bets.example.net", "2024-01-15", "add"),
-    ("block", "domain", "tionsh.example.net", "2024-03-01", "add"),
-    ("block", "domain", "tionsh.example.net", "2024-06-01", "remove"),
-    ("block", "domain", "tionsh.example.net", "2024-10-01", "add"),
-    ("block", "domain", "tiontion.example.com", "2024-02-01", "add"),
-    ("allow", "host", "m.tiontion.example.com", "2024-05-01", "add"),
-    ("allow", "host", "m.tiontion.example.com", "2024-08-01", "remove"),
-    ("block", "domain", "example.org", "2024-09-01", "add"),
-    ("block", "domain", "example.org", "2024-09-15", "remove"),
-    ("block", "prefix", "ththon.example.com/en", "2024-04-01", "add"),
-    ("block", "prefix", "ththth.example.net/en/25", "2024-01-01", "add"),
-    ("block", "host", "ththan.example.net", "2024-07-01", "add"),
-    ("block", "host", "ththan.example.net", "2024-07-01", "remove"),
-    ("allow", "domain", "ththhe.example.com", "2024-01-01", "add"),
-)
-
-
-def entries(spark: SparkSession, rows: tuple = ENTRIES) -> DataFrame:
+#: Entries of the generated list, and the parts that its rule puts together: names of invented sites as the synthetic
+#: pages have them, and many that they do not have.
+LISTED = 12_000
+HEADS = ("th", "thth", "ther", "tion", "thon", "anth", "erin", "nder", "casino-", "cheap-", "free-", "spam-", "ads-", "adult-")
+TAILS = ("th", "he", "in", "er", "an", "re", "on", "nd", "at", "en", "es", "or", "ed", "st", "nt", "ha", "ing", "tion", "ble", "ly", "ou", "sh", "wh", "ea", "ti", "win", "pills", "bets", "farm", "track", "x")
+ENDS = ("com", "net", "org")
+SUBS = ("", "www.", "m.", "blog.")
+TONGUES = ("en", "de", "fr", "es")
+
+
+def entries(spark: SparkSession, rows: tuple) -> DataFrame:
+    """A list of dated entries from rows (list, kind, pattern, day, action)."""
     return spark.createDataFrame([tuple(r) for r in rows], "list string, kind string, pattern string, day string, action string").withColumn("at", F.to_timestamp("day")).drop("day")
 
 
+def generated(spark: SparkSession, n: int = LISTED) -> DataFrame:
+    """A list of n dated entries by rule: everything about entry i follows from the MD5 of its number."""
+    told = spark.range(n).select(F.md5(F.concat(F.lit("list:"), F.col("id").cast("string"))).alias("h"))
+
+    def number(k: int) -> Column:
+        return F.conv(F.substring("h", 4 * k + 1, 4), 16, 10).cast("int")
+
+    def one_of(values: tuple, k: int) -> Column:
+        return F.get(F.array(*[F.lit(x) for x in values]), number(k) % len(values))
+
+    domain = F.concat(one_of(HEADS, 0), one_of(TAILS, 1), F.lit(".example."), one_of(ENDS, 2))
+    host = F.concat(one_of(SUBS, 6), domain)
+    kind = F.when(number(3) % 10 < 6, "domain").when(number(3) % 10 < 8, "host").otherwise("prefix")
+    pattern = F.when(kind == "domain", domain).when(kind == "host", host).otherwise(F.concat(host, F.lit("/"), one_of(TONGUES, 7)))
+    at = F.timestamp_add("DAY", number(4) % 366, F.lit("2024-01-01").cast("timestamp"))
+    return told.select(F.when(number(5) % 8 == 0, "allow").otherwise("block").alias("list"), kind.alias("kind"), pattern.alias("pattern"), F.when(number(5) % 3 == 0, "remove").otherwise("add").alias("action"), at.alias("at"))
+
+
 def intervals(dated: DataFrame) -> DataFrame:
     """list, key, since, until (null: still active) from list, kind, pattern, at, action.
 
@@ -60,28 +72,43 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
-def keys_of(url: Column) -> Column:
-    """Everything that an entry may name: the host, its domains, and the host with each leading part of the path."""
-    host, labels = host_of(url), F.split(host_of(url), r"\.")
-    steps = F.filter(F.split(path_of(url), "/"), lambda x: x != "")
-    suffixes = F.transform(labels, lambda x, i: F.concat(F.lit("domain:"), F.array_join(F.slice(labels, i + 1, F.size(labels)), ".")))
-    heads = F.transform(steps, lambda x, i: F.concat(F.lit("prefix:"), host, F.lit("/"), F.array_join(F.slice(steps, F.lit(1), i + 1), "/")))
+def keys_of(url: Column, labels: Column, steps: Column) -> Column:
+    """Everything that an entry may name: the host, its domains of so many labels at most, and the host with each
+    leading part of the path of so many steps at most."""
+    host = host_of(url)
+    names = F.split(host, r"\.")
+    path = F.slice(F.filter(F.split(path_of(url), "/"), lambda x: x != ""), F.lit(1), steps)
+    most = F.least(F.size(names), labels)
+    suffixes = F.transform(F.slice(names, F.lit(1), most), lambda x, i: F.concat(F.lit("domain:"), F.array_join(F.slice(names, -(i + 1), i + 1), ".")))
+    heads = F.transform(path, lambda x, i: F.concat(F.lit("prefix:"), host, F.lit("/"), F.array_join(F.slice(path, F.lit(1), i + 1), "/")))
     return F.concat(F.array(F.concat(F.lit("host:"), host)), suffixes, heads)
 
 
+def _depths(held: DataFrame) -> tuple[int, int]:
+    """Labels of the longest domain and steps of the longest prefix on the list: longer keys can meet no entry."""
+    body = F.col("key")
+    labels = F.max(F.when(body.startswith("domain:"), F.size(F.split(body, r"\."))))
+    steps = F.max(F.when(body.startswith("prefix:"), F.size(F.split(body, "/")) - 1))
+    told = held.agg(F.coalesce(labels, F.lit(0)), F.coalesce(steps, F.lit(0))).first()
+    return told[0], told[1]
+
+
 def judge(captures: DataFrame, dated: DataFrame, url: str = "url", fetched: str = "fetched_at", id_column: str = "page_id") -> DataFrame:
     """One row for each capture: id, url, fetched_at, host, n_active, n_allow, blocked.
 
     n_active counts the active intervals of block lists that hold the capture, n_allow those of allow lists; it is
     blocked if there is one of the former and none of the latter. A null or malformed url has an empty host and
-    meets no entry; a null time meets none. Repeated captures are each told; an empty table gives an empty one,
-    and an empty list blocks nothing. Other columns are left out.
+    meets no entry; a null time meets none. Of a very long url only those leading parts are looked up that are no deeper
+    than the deepest entry of the list: others can meet none. Changes at one moment: a removal holds. Repeated
+    captures are each told; an empty table gives an empty one, and an empty list blocks nothing. Other columns are
+    left out.
     """
-    held = intervals(dated)
+    held = cut(intervals(dated))
+    labels, steps = _depths(held)
     few = held.limit(BROADCAST_INTERVALS + 1).count() <= BROADCAST_INTERVALS
     # Equal captures are judged once, which also takes the weight off a capture that is repeated very often.
     once = captures.groupBy(F.col(f"`{id_column}`").alias(id_column), F.col(f"`{url}`").alias("url"), F.col(f"`{fetched}`").cast("timestamp").alias("fetched_at")).agg(F.count("*").alias("rows"))
-    keyed = once.select("*", host_of(F.col("url")).alias("host"), F.explode(keys_of(F.col("url"))).alias("key"))
+    keyed = once.select("*", host_of(F.col("url")).alias("host"), F.explode(keys_of(F.col("url"), F.lit(labels), F.lit(steps))).alias("key"))
     held = F.broadcast(held) if few else held
     met = keyed.join(held, (keyed["key"] == held["key"]) & (keyed["fetched_at"] >= held["since"]) & (held["until"].isNull() | (keyed["fetched_at"] < held["until"])), "left")
     judged = met.groupBy(id_column, "url", "fetched_at", "rows", "host").agg(F.count_if(F.col("list") == "block").alias("n_active"), F.count_if(F.col("list") == "allow").alias("n_allow"))
@@ -100,13 +127,21 @@ def fetch_time(page_id: Column) -> Column:
     return F.timestamp_add("DAY", F.pmod(page_id, F.lit(366)).cast("int"), F.lit("2024-01-01").cast("timestamp"))
 
 
-def _values() -> str:
-    return ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in ENTRIES)
+def _one_of(values: tuple, k: int) -> str:
+    return f"([{', '.join(repr(x) for x in values)}])[{_number(k)} % {len(values)} + 1]"
+
+
+def _number(k: int) -> str:
+    return f"('0x' || substr(h, {4 * k + 1}, 4))::INTEGER"
 
 
 #: The same judgement in SQL over the view pages.
 JUDGE_SQL = f"""
-WITH dated(list, kind, pattern, day, action) AS (VALUES {_values()}),
+WITH rule AS (SELECT {_one_of(HEADS, 0)} || {_one_of(TAILS, 1)} || '.example.' || {_one_of(ENDS, 2)} AS domain, {_one_of(SUBS, 6)} AS sub, {_one_of(TONGUES, 7)} AS tongue,
+      {_number(3)} % 10 AS k, {_number(4)} % 366 AS day, {_number(5)} AS x FROM (SELECT md5('list:' || i) AS h FROM range({LISTED}) t(i))),
+dated AS (SELECT CASE WHEN x % 8 = 0 THEN 'allow' ELSE 'block' END AS list, CASE WHEN k < 6 THEN 'domain' WHEN k < 8 THEN 'host' ELSE 'prefix' END AS kind,
+      CASE WHEN k < 6 THEN domain WHEN k < 8 THEN sub || domain ELSE sub || domain || '/' || tongue END AS pattern,
+      TIMESTAMP '2024-01-01' + to_days(day::INTEGER) AS day, CASE WHEN x % 3 = 0 THEN 'remove' ELSE 'add' END AS action FROM rule),
 single AS (SELECT list, kind, lower(pattern) AS pattern, day::TIMESTAMP AS since, max(action = 'remove') AS removed FROM dated GROUP BY ALL),
 told AS (SELECT *, lead(since) OVER (PARTITION BY list, kind, pattern ORDER BY since) AS until FROM single),
 held AS (SELECT * FROM told WHERE NOT removed),

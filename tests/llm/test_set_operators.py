@@ -250,8 +250,43 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0
     cdf = spark.range(1).select(mixing.poisson_cdf(F.lit(2.5)).alias("c")).first()["c"]
     assert cdf[2] == pytest.approx(sum(math.exp(-2.5) * 2.5**k / math.factorial(k) for k in range(3)))
-    large = spark.range(1).select(mixing.poisson_cdf(F.lit(900.0)).alias("c")).first()["c"]
-    assert large[-1] == pytest.approx(1.0)
+    large = spark.range(1).select(mixing.poisson_cdf(F.lit(32.0)).alias("c")).first()["c"]
+    assert large[-1] == pytest.approx(1.0) and len(large) < 128
+    for u in (0.0, 0.3, 0.999):
+        assert spark.range(1).select(mixing._part(F.array(*map(F.lit, cdf)), F.lit(u)).alias("k")).first()["k"] == sum(c <= u for c in cdf)
+
+
+@pytest.mark.parametrize("rate", [40.0, 1e6])
+def test_large_rates_are_drawn_in_parts(spark, rate):
+    """A small source with a large target: the number of copies stays near its mean, and what is held for it is small."""
+    df = spark.createDataFrame([(i, "small" if i < 4 else "large") for i in range(50)], "doc_id long, source string")
+    weights = {"small": rate * 4, "large": max(1.0, 50 - rate * 4)}
+    epochs = sum(weights.values()) / 50
+    told = mixing.rates(df, weights=weights, epochs=epochs).collect()
+    assert all(len(r["cdf"]) < 130 for r in told)
+    assert {r["_groundwork_source"]: r["rate"] for r in told}["small"] == pytest.approx(rate)
+    n = mixing.mix(df, weights=weights, epochs=epochs, shuffle=False).filter("source = 'small'").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("copy").alias("last"), F.first("copies").alias("copies")).collect()
+    assert len(n) == 4 and all(r["n"] == r["last"] == r["copies"] and abs(r["n"] - rate) < 6 * math.sqrt(rate) for r in n)
+    assert len({r["n"] for r in n}) > 1
+
+
+def test_mixing_without_broadcast_of_all_sources(spark, monkeypatch):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 97)).alias("source"))
+    told = {tuple(r) for r in mixing.mix(df).select("doc_id", "copy", "place").collect()}
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    assert {tuple(r) for r in mixing.mix(df).select("doc_id", "copy", "place").collect()} == told
+
+
+def test_very_long_urls(spark):
+    listed = urls.entries(spark, (("block", "prefix", "a.net/x/y", "2024-01-01", "add"), ("block", "domain", "b.a.org", "2024-01-01", "add")))
+    long = [("http://a.net/x/y/" + "s/" * 500_000, True), ("http://a.net/" + "x" * 1_000_000, False), ("http://a.net//x//y" + "?" + "q" * 1_000_000, True), ("http://" + "z." * 300_000 + "b.a.org/", True), ("x" * 1_000_000, False), ("http://c.b.a.orgs/", False)]
+    df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(long)], "page_id long, url string").withColumn("fetched_at", F.lit("2024-02-01").cast("timestamp"))
+    assert {r["page_id"]: r["blocked"] for r in urls.judge(df, listed).select("page_id", "blocked").collect()} == {i: b for i, (_, b) in enumerate(long)}
+
+
+def test_generated_list(spark):
+    dated = urls.generated(spark, 500).collect()
+    assert len(dated) == 500 and {r["kind"] for r in dated} == {"domain", "host", "prefix"} and {r["list"] for r in dated} == {"block", "allow"} and all(r["pattern"] and r["at"] for r in dated)
 
 
 def test_urls_as_of(spark):
