@@ -29,12 +29,19 @@ FIGURE_TABLE = ("see figure", "see table", "shown in figure", "shown in table",
 # Patterns of quantities (case-insensitive).
 QUANTITIES = (r"\d+\.?\d*\s*%", r"\d+\.?\d*\s*°[CF]", r"\d+\.?\d*\s*ppm", r"\d+\.?\d*\s*gigatons?", r"\d+\.?\d*\s*Gt", r"\d+\.?\d*\s*metric tons?", r"\d+\.?\d*\s*cm", r"\d+\.?\d*\s*meters?")
 
-# Points of the paragraph score.
+# Points of the paragraph score, with the names that they have there.
+BASE_POINTS = 50
 POINTS = {
-    "base": 50, "density_high": 30, "density_medium": 20, "density_low": 10, "causal": 15, "quantitative": 15, "impact": 10, "factual": 10, "length": 5,
-    "meta": -20, "citations": -30, "acknowledgment": -25, "methodology": -20, "affiliation": -20, "figure_table": -15, "wrong_length": -10,
+    "climate_keyword_density_high": 30, "climate_keyword_density_medium": 20, "climate_keyword_density_low": 10, "causal_language": 15, "quantitative_data": 15, "impact_language": 10, "factual_tone": 10, "proper_length": 5,
+    "meta_organizational": -20, "heavy_citations": -30, "acknowledgment": -25, "methodology_heavy": -20, "author_affiliation": -20, "figure_table_only": -15, "wrong_length": -10,
 }
 
+# What marks a table of contents or a list, and references to boxes, figures and tables.
+LIST_INDICATORS = ("list of boxes", "list of figures", "list of tables", "table of contents", "contents")
+TOC_PATTERNS = (r"\.{3,}", r"Box\s+\d+\.\d+:", r"Figure\s+\d+\.\d+:", r"Table\s+\d+\.\d+:", r"Chapter\s+\d+\.{3,}", r"Section\s+\d+\.{3,}")
+PAGE_REFERENCE = r"\.{3,}\s*\d+\s*$"
+CAPTIONS = (r"Box\s+\d+\.\d+", r"Figure\s+\d+\.\d+", r"Table\s+\d+\.\d+", r"Fig\.\s+\d+\.\d+")
+
 # Words that are no keywords of a question.
 STOP = ("what", "why", "how", "who", "does", "the", "this", "that", "with", "from", "into", "about", "when", "are", "and", "for", "would", "could", "should", "which", "their", "there", "have", "been", "toward", "influence", "explain", "describe", "tell", "important", "mean", "definition")
 
@@ -80,37 +87,76 @@ NO_INFO_PHRASES = ("no information found", "not available in the knowledge graph
 NO_INFO = "No information found in the knowledge graph."
 PREFIXES = ("based on the information provided,", "based on the provided facts,", "based on the knowledge graph,", "according to the facts,", "in the knowledge graph,", "based on the information,")
 
-# Instruction texts that leak into answers.
+# Words that a fallback lookup passes over.
+FALLBACK_STOP = ("what", "is", "are", "how", "why", "does", "do", "the", "a", "an", "in", "for", "to", "of", "and", "or", "with", "about", "can", "will", "was", "were", "related", "here", "heres", "improved", "rewritten", "question")
+
+# The message of a run's error, and the phrase by which answers without information are counted.
+ERROR_MARK = "Error:"
+NO_INFO_MARK = "No information found"
+
+# Answers where evidence is weak or missing, and instructions for fine-tuning.
+WEAK_EVIDENCE = "Uncertainty: Retrieved evidence does not strongly match this question. Sources: TEXT:0, KG:0"
+NO_EVIDENCE = "Uncertainty: There is insufficient retrieved evidence to answer this question confidently. Sources: TEXT:0, KG:0"
+FACTUAL_INSTRUCTION = "Provide a precise factual answer. Do not guess. If unsure, say you don't know."
+OTHER_INSTRUCTION = "Provide a clear and accurate explanation. Avoid speculation."
+
+# Instruction texts that leak into answers, as patterns (case-insensitive).
 LEAKS_AT_START = (
-    r"you are an expert climate science assistant\.?\s*",
-    r"be precise, cite sources, and express uncertainty if evidence is insufficient\.?\s*",
-    r"use proper grammar and punctuation\.?\s*",
-    r"use proper grammar and spelling\.?\s*",
-    r"\s*answer\s*[:\-]\s*",
-    r"\s*rewritten\s+answer\s*[:\-]\s*",
+    r"^you are an expert climate science assistant\.?\s*",
+    r"^be precise, cite sources, and express uncertainty if evidence is insufficient\.?\s*",
+    r"^use proper grammar and punctuation\.?\s*",
+    r"^use proper grammar and spelling\.?\s*",
+    r"^\s*answer\s*[:\-]\s*",
+    r"^\s*rewritten\s+answer\s*[:\-]\s*",
+)
+LEAKS_INLINE = (
+    r"\buse proper grammar and punctuation\.?\s*",
+    r"\buse proper grammar and spelling\.?\s*",
+    r"\b(?:answer|rewritten\s+answer)\s*[:\-]\s*",
+)
+HEADINGS = (
+    r"^#+\s*",
+    r"^step\s*\d+\s*:\s*",
+    r"\bstep\s*\d+\s*:\s*[^.?!]*[.?!]?\s*",
+    r"^let(?:'|’)s\s+think\s+step\s+by\s+step\.?\s*",
+)
+LEAKED_WRITE = r"(Sources:\s*TEXT:\d+,\s*KG:[^\s.,;:]+)\s*Write\s+"
+LEAKED_BULLETS = (
+    r"^-\s*Do not use phrases like[^.]*\.\s*",
+    r"^-\s*Do not include inline citation tags[^.]*\.\s*",
+    r"^-\s*Keep the answer to\s*3-4\s*sentences\.?\s*",
+    r"^-\s*Add one final line as:[^.]*\.\s*",
+    r"^-\s*If evidence is weak[^.]*\.\s*",
 )
 LEAK_SENTENCES = (
-    r"do not make up information\.?$",
-    r"do not make unsupported claims\.?$",
-    r"you are an expert climate science assistant\b.*$",
-    r"be precise, cite sources\b.*$",
-    r"use proper grammar and punctuation\.?$",
-    r"use proper grammar and spelling\.?$",
-    r"step\s*\d+\s*:.*$",
-    r"let(?:'|’)s\s+think\s+step\s+by\s+step\.?$",
-    r"answer requirements:?$",
-    r"answer:?$",
-    r"write a response\b.*$",
-    r"write a short summary\b.*$",
-    r"question:?\b.*$",
+    r"^do not make up information\.?$",
+    r"^do not make unsupported claims\.?$",
+    r"^you are an expert climate science assistant\b.*$",
+    r"^be precise, cite sources\b.*$",
+    r"^use proper grammar and punctuation\.?$",
+    r"^use proper grammar and spelling\.?$",
+    r"^step\s*\d+\s*:.*$",
+    r"^let(?:'|’)s\s+think\s+step\s+by\s+step\.?$",
+    r"^answer requirements:?$",
+    r"^answer:?$",
+    r"^write a response\b.*$",
+    r"^write a short summary\b.*$",
+    r"^question:?\b.*$",
 )
 SANITIZE_AT_START = (
-    r"\s*Answer\s*[:\-]\s*",
-    r"\s*Rewritten\s+answer\s*[:\-]\s*",
-    r"Do not make up information\.?\s*",
-    r"Do not make unsupported claims\.?\s*",
-    r"Use proper grammar and spelling\.?\s*",
-    r"Use proper grammar and punctuation\.?\s*",
-    r"You are an expert climate science assistant\.?\s*",
-    r"Be precise, cite sources, and express uncertainty if evidence is insufficient\.?\s*",
+    r"^\s*Answer\s*[:\-]\s*",
+    r"^\s*Rewritten\s+answer\s*[:\-]\s*",
+    r"^Do not make up information\.?\s*",
+    r"^Do not make unsupported claims\.?\s*",
+    r"^Use proper grammar and spelling\.?\s*",
+    r"^Use proper grammar and punctuation\.?\s*",
+    r"^You are an expert climate science assistant\.?\s*",
+    r"^Be precise, cite sources, and express uncertainty if evidence is insufficient\.?\s*",
+)
+SANITIZE_INLINE = (
+    r"\bUse proper grammar and spelling\.?\s*",
+    r"\bUse proper grammar and punctuation\.?\s*",
+    r"\bAnswer\s*[:\-]\s*",
+    r"\bWrite a response\b.*$",
+    r"\bAnswer requirements:?\b.*$",
 )

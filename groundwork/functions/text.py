@@ -19,8 +19,12 @@ def either(phrases: Sequence[str], flags: str = "") -> str:
     return (f"(?{flags})" if flags else "") + "(?:" + "|".join(quoted) + ")"
 
 
+#: White space as ``(?U)\\s`` has it.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(t: Column) -> Column:
-    return F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
+    return F.btrim(t, F.lit(WHITE))
 
 
 def lines(t: Column) -> Column:
@@ -38,7 +42,8 @@ def printable(t: Column) -> Column:
 
 def join_hyphenated(t: Column) -> Column:
     """Words that a hyphen breaks over a line end are joined."""
-    return F.regexp_replace(t, r"(?U)(\w+)-\s*\n\s*(\w+)", "$1$2")
+    # Most texts have no hyphen at a line end; the full pattern walks every word.
+    return F.when(t.rlike(r"(?U)-\s*\n"), F.regexp_replace(t, r"(?U)(\w+)-\s*\n\s*(\w+)", "$1$2")).otherwise(t)
 
 
 def normal_space(t: Column) -> Column:
@@ -86,7 +91,15 @@ def clean_lines(t: Column) -> Column:
 
 def has_any(t: Column, phrases: Sequence[str]) -> Column:
     """Whether the text holds one of the phrases anywhere, in any case, also inside words."""
-    return F.lower(t).rlike(either([p.lower() for p in phrases])) if phrases else F.lit(False)
+    return holds_any(F.lower(t), phrases)
+
+
+def holds_any(low: Column, phrases: Sequence[str]) -> Column:
+    """has_any of a text that is in lower case already."""
+    out = F.lit(False)
+    for p in phrases:
+        out = out | low.contains(p.lower())
+    return out
 
 
 def citations(t: Column) -> Column:
@@ -94,7 +107,7 @@ def citations(t: Column) -> Column:
 
 
 def has_quantity(t: Column) -> Column:
-    return t.rlike("(?iU)" + "|".join(f"(?:{p})" for p in L.QUANTITIES))
+    return t.rlike(r"(?U)\d") & t.rlike("(?iU)" + "|".join(f"(?:{p})" for p in L.QUANTITIES))
 
 
 def dedup_key(t: Column) -> Column:
@@ -187,7 +200,7 @@ def _each(t: Column, patterns: Sequence[str], prefix: str = "(?iU)", by: str = "
 
 def _unique_sentences(s: Column) -> Column:
     """Sentences without instructions, the first of equal ones (in any case)."""
-    leak = "(?iU)^(?:" + "|".join(L.LEAK_SENTENCES) + ")"
+    leak = "(?iU)" + "|".join(f"(?:{p})" for p in L.LEAK_SENTENCES)
     kept = F.filter(s, lambda x: ~x.rlike(leak))
     return F.aggregate(kept, F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.concat(acc, F.array(x))))
 
@@ -196,11 +209,11 @@ def postprocessed(t: Column) -> Column:
     """An answer without leaked instructions, repeated sentences and inline citations, which form a last line."""
     c = strip(F.regexp_replace(F.regexp_replace(t, r"(?U)\s*\[(TEXT:\d+|KG:[^\]]+)\]", ""), r"(?U)\s+", " "))
     for _ in range(3):
-        c = strip(_each(c, [f"^{p}" for p in L.LEAKS_AT_START]))
-    c = _each(c, (r"\buse proper grammar and punctuation\.?\s*", r"\buse proper grammar and spelling\.?\s*", r"\b(?:answer|rewritten\s+answer)\s*[:\-]\s*", r"^#+\s*", r"^step\s*\d+\s*:\s*", r"\bstep\s*\d+\s*:\s*[^.?!]*[.?!]?\s*", r"^let(?:'|’)s\s+think\s+step\s+by\s+step\.?\s*"))
+        c = strip(_each(c, L.LEAKS_AT_START))
+    c = _each(c, (*L.LEAKS_INLINE, *L.HEADINGS))
     c = strip(F.regexp_replace(F.regexp_replace(c, r"(?U)\s*##+\s*", " "), r"(?U)\s+", " "))
-    c = F.regexp_replace(c, r"(?iU)(Sources:\s*TEXT:\d+,\s*KG:[^\s.,;:]+)\s*Write\s+", "$1 ")
-    c = _each(c, (r"^-\s*Do not use phrases like[^.]*\.\s*", r"^-\s*Do not include inline citation tags[^.]*\.\s*", r"^-\s*Keep the answer to\s*3-4\s*sentences\.?\s*", r"^-\s*Add one final line as:[^.]*\.\s*", r"^-\s*If evidence is weak[^.]*\.\s*"))
+    c = F.regexp_replace(c, "(?iU)" + L.LEAKED_WRITE, "$1 ")
+    c = _each(c, L.LEAKED_BULLETS)
     c = strip(F.regexp_replace(c, "^[- ]+", ""))
     concise = to_sentence_end(F.array_join(_unique_sentences(sentences(c)), " "))
     return F.when(t.isNull() | (t == ""), t).when(F.size(cited(t)) > 0, F.concat(concise, F.lit("\nSources: "), F.array_join(cited(t), ", "))).otherwise(concise)
@@ -210,9 +223,9 @@ def sanitized(t: Column) -> Column:
     """An answer without leaked prompt text: wrappers up to three times, then what stands inside."""
     c = strip(F.regexp_replace(t, r"(?U)\s+", " "))
     for _ in range(3):
-        c = strip(_each(c, [f"^{p}" for p in L.SANITIZE_AT_START]))
-    c = F.regexp_replace(c, r"(?iU)(Sources:\s*TEXT:\d+,\s*KG:[^\s.,;:]+)\s*Write\s+", "$1 ")
-    c = _each(c, (r"\bUse proper grammar and spelling\.?\s*", r"\bUse proper grammar and punctuation\.?\s*", r"\bAnswer\s*[:\-]\s*", r"\bWrite a response\b.*$", r"\bAnswer requirements:?\b.*$"))
+        c = strip(_each(c, L.SANITIZE_AT_START))
+    c = F.regexp_replace(c, "(?iU)" + L.LEAKED_WRITE, "$1 ")
+    c = _each(c, L.SANITIZE_INLINE)
     return strip(F.regexp_replace(F.regexp_replace(c, r"(?U)\s*##+\s*", " "), r"(?U)\s+", " "))
 
 
@@ -256,6 +269,13 @@ def human_bytes(n: Column) -> Column:
     return out
 
 
+def spec_cleaned(t: Column) -> Column:
+    """The pattern that a model wrote, out of its fences: from MATCH to the first limit, plain quotes, no genitives; else empty."""
+    bare = F.regexp_replace(t, r"(?is)```(?:cypher)?(.*?)```", "$1")
+    found = F.regexp_extract(bare, r"(?i)(MATCH[\s\S]*?LIMIT\s+\d+)", 1)
+    return strip(F.regexp_replace(F.regexp_replace(found, "[“”]", "'"), r"(?U)'s\b", ""))
+
+
 def spec_allowed(t: Column, relations: Sequence[str]) -> Column:
     """Whether a written graph pattern is long enough, matches and returns, and names only entities and known relations."""
     named = F.regexp_extract_all(t, F.lit(r":\s*`?([A-Za-z_]+)`?"), F.lit(1))

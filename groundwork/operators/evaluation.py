@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundwork.functions import lexicon as L
+from groundwork.functions import metrics as M
 
 TAGS = ("correct", "partial", "hallucinated")
 
@@ -45,10 +46,24 @@ def wins(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def run_summary(rows: DataFrame, answer: str = "answer") -> DataFrame:
-    """How many answers there are, say that nothing was found, or are errors."""
-    t = F.lower(F.coalesce(F.col(answer), F.lit("")))
-    none, error = t.contains(L.NO_INFO.lower().rstrip(".")), t.startswith("error") | (F.trim(t) == "")
-    return rows.agg(F.count("*").alias("total"), F.count_if(~none & ~error).alias("answered"), F.count_if(none).alias("no_info"), F.count_if(error & ~none).alias("errors"))
+    """How many answers there are, hold data, say that nothing was found, or are errors.
+
+    An answer without text holds no data, and is neither of the others; one that says both counts for both.
+    """
+    t = F.coalesce(F.col(answer), F.lit(""))
+    none, error = t.contains(L.NO_INFO_MARK), t.contains(L.ERROR_MARK)
+    return rows.agg(F.count("*").alias("total"), F.count_if((t != "") & ~none & ~error).alias("answered"), F.count_if(none).alias("no_info"), F.count_if(error).alias("errors"))
+
+
+def factual_metrics(rows: DataFrame, by: Sequence[str] = ("model_config",), reference: str = "reference", answer: str = "answer", tag: str = "tag") -> DataFrame:
+    """By configuration: mean ROUGE-L, mean METEOR and the share of answers tagged correct."""
+    told = rows.withColumns({"_r": M.rouge_l(F.col(reference), F.col(answer)), "_m": M.meteor(F.col(reference), F.col(answer))})
+    return told.groupBy(*by).agg(F.avg("_r").alias("rouge_l"), F.avg("_m").alias("meteor"), F.avg((F.col(tag) == "correct").cast("int")).alias("accuracy"))
+
+
+def similarity_summary(rows: DataFrame, encoder, by: Sequence[str] = (), reference: str = "reference", answer: str = "answer") -> DataFrame:
+    """Mean and exact median of the token match by a given encoder."""
+    return rows.withColumn("_f", M.greedy_f1(F.col(reference), F.col(answer), encoder)).groupBy(*by).agg(F.avg("_f").alias("mean"), F.median("_f").alias("median"))
 
 
 def union(tables: dict[str, DataFrame], column: str = "model_config") -> DataFrame:
@@ -62,8 +77,7 @@ def union(tables: dict[str, DataFrame], column: str = "model_config") -> DataFra
     return out
 
 
-FACTUAL = "Provide a precise factual answer. Do not guess. If unsure, say you don't know."
-OTHER = "Provide a clear and accurate explanation. Avoid speculation."
+FACTUAL, OTHER = L.FACTUAL_INSTRUCTION, L.OTHER_INSTRUCTION
 
 
 def instructions(rows: DataFrame, kind: str = "type", question: str = "question", answer: str = "reference_answer") -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -136,17 +137,32 @@ def undirected(questions: DataFrame, edges: DataFrame, limit: int = 25, most: in
     return _ranked(found.select("question_id", F.col("subject").alias("entity"), F.col("relation").alias("relationship"), F.col("object").alias("related_entity"), "eid").distinct(), limit)
 
 
-def relevant(results: DataFrame, questions: DataFrame) -> DataFrame:
-    """question_id, tier of results whose values, taken together, hold a keyword of the question."""
-    shown = F.lower(F.concat_ws(" ", "entity", "relationship", "related_entity"))
-    text = results.groupBy("question_id", "tier").agg(F.array_join(F.collect_list(shown), " ").alias("_shown"))
-    return text.join(questions.select("question_id", "keywords"), "question_id").filter(F.exists("keywords", lambda k: F.col("_shown").contains(k))).select("question_id", "tier")
+def fallback_lookup(questions: DataFrame, edges: DataFrame, limit: int = 10, most: int = 3) -> DataFrame:
+    """Edges whose subject holds any of the question's first keywords, so many in a total order; without keywords, any edges."""
+    plain = F.lower(F.regexp_replace("question", r"(?U)[^a-zA-Z0-9\s]", ""))
+    words = F.slice(F.filter(T.words(plain), lambda w: ~w.isin(*L.FALLBACK_STOP) & (F.length(w) > 3)), 1, most)
+    asked = questions.select("question_id", words.alias("_w"))
+    shown = ("question_id", F.col("subject").alias("entity"), F.col("relation").alias("relationship"), F.col("object").alias("related_entity"), "eid")
+    found = edges.join(asked.select("question_id", F.explode("_w").alias("_p")), F.lower(edges["subject"]).contains(F.col("_p"))).select(*shown).distinct()
+    # Without keywords the first edges of all will do: a fixed number of rows for each such question.
+    first = edges.orderBy("subject", "relation", "object", "eid").limit(limit)
+    none = asked.filter(F.size("_w") == 0).select("question_id").join(F.broadcast(first)).select(*shown)
+    return _ranked(found.unionByName(none), limit)
+
 
+def cascade(questions: DataFrame, edges: DataFrame, relations: Sequence[str] = (), synonyms: DataFrame | None = None, written: DataFrame | None = None) -> DataFrame:
+    """Results of the first tier that is relevant, for each question. All tiers are one plan, without a loop over questions.
 
-def cascade(questions: DataFrame, edges: DataFrame, relations: Sequence[str] = ()) -> DataFrame:
-    """Results of the first tier that is relevant, for each question. All tiers are one plan, without a loop over questions."""
+    A tier is relevant if one of its rows holds a keyword of the question. ``synonyms`` (question_id, synonyms) are
+    words from a model that the loosest tier looks for after the question's own; ``written`` (question_id, entity,
+    relationship, related_entity, rank) are results of a pattern that a model wrote, which come before all others.
+    """
     anchored = questions.withColumn("anchor", F.coalesce(F.get("keywords", F.lit(0)), F.lit("")))
     kth = [questions.withColumn("anchor", F.coalesce(F.get("keywords", F.lit(k)), F.lit(""))) for k in range(3)]
+    loose = questions
+    if synonyms is not None:
+        told = synonyms.select("question_id", T.keywords(F.col("synonyms")).alias("_more"))
+        loose = questions.join(told, "question_id", "left").withColumn("keywords", F.concat("keywords", F.coalesce("_more", F.array().cast("array<string>")))).drop("_more")
     tiers = [
         one_hop(questions, edges),
         two_hop(questions, edges),
@@ -154,16 +170,20 @@ def cascade(questions: DataFrame, edges: DataFrame, relations: Sequence[str] = (
         one_hop(anchored, edges, relations=relations[:8], phrase="anchor") if relations else None,
         *[one_hop(q, edges, limit=12, phrase="anchor") for q in kth],
         two_hop(anchored, edges, middle=True, phrase="anchor"),
-        undirected(questions, edges),
+        undirected(loose, edges),
     ]
     columns = ("question_id", "entity", "relationship", "related_entity", "rank")
-    union = None
+    union = None if written is None else written.select(F.lit(-1).alias("tier"), *columns)
     for k, tier in enumerate(tiers):
         if tier is not None:
             told = tier.select(F.lit(k).alias("tier"), *columns)
             union = told if union is None else union.unionByName(told)
-    best = relevant(union, questions).groupBy("question_id").agg(F.min("tier").alias("tier"))
-    return union.join(best, ["question_id", "tier"])
+    # A question's tier holds a few rows: they travel as one list, so the tiers are worked out once.
+    shown = F.lower(F.concat_ws(" ", "entity", "relationship", "related_entity"))
+    rows = union.join(questions.select("question_id", "keywords"), "question_id").withColumn("_hit", F.exists("keywords", lambda k: shown.contains(k)))
+    listed = rows.groupBy("question_id", "tier").agg(F.max("_hit").alias("_hit"), F.collect_list(F.struct(*columns[1:])).alias("_rows")).filter("_hit")
+    best = listed.groupBy("question_id").agg(F.min(F.struct("tier", "_rows")).alias("_x"))
+    return best.select("question_id", "_x.tier", F.explode("_x._rows").alias("_r")).select("question_id", "tier", "_r.*")
 
 
 def shown_triples(paths: DataFrame) -> DataFrame:
@@ -186,13 +206,44 @@ def matched_entities(questions: DataFrame, entities: DataFrame, exact: bool = Fa
 
 
 def triples_of(matched: DataFrame, edges: DataFrame, each: int = 6, limit: int = 6) -> DataFrame:
-    """Triples that hold an entity's text at either end: so many for each entity, then distinct, then so many in all."""
+    """Triples that hold an entity's text at either end: so many for each entity, then distinct, then so many in all.
+
+    num_triples is the number of distinct ones before the last limit, num_entities that of the entities.
+    """
     names = matched.select("question_id", F.col("rank").alias("_e"), F.lower("text").alias("_t"))
     hit = edges.join(names, F.lower(edges["subject"]).contains(names["_t"]) | F.lower(edges["object"]).contains(names["_t"]))
     some = hit.withColumn("_n", F.row_number().over(Window.partitionBy("question_id", "_e").orderBy("eid"))).filter(F.col("_n") <= each)
     first = keep_first(some.select("question_id", F.struct("_e", "_n").alias("seq"), "subject", "relation", "object"), [F.col("question_id"), F.col("subject"), F.col("relation"), F.col("object")])
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("seq")))
-    return ranked.filter(F.col("rank") <= limit).drop("seq")
+    whole = Window.partitionBy("question_id")
+    ranked = first.withColumns({"rank": F.row_number().over(whole.orderBy("seq")), "num_triples": F.count("*").over(whole)})
+    entities = matched.groupBy("question_id").agg(F.count("*").alias("num_entities"))
+    return ranked.filter(F.col("rank") <= limit).drop("seq").join(entities, "question_id")
+
+
+def recognised(chunks: DataFrame, recogniser: Callable[[], Callable[[list[str]], list[list[tuple[str, str]]]]], labels: Sequence[str] = L.HINT_LABELS) -> DataFrame:
+    """chunk_id, idx, text, label: what a recogniser finds in each chunk, of the kinds that are kept.
+
+    ``recogniser`` makes one recogniser for each task; it takes texts and gives each one's (text, label) in order.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find = recogniser()
+        for batch in batches:
+            told = find(batch["text"].fillna("").tolist())
+            rows = [(c, k, t, x) for c, found in zip(batch["chunk_id"], told, strict=True) for k, (t, x) in enumerate(found)]
+            yield pd.DataFrame(rows, columns=["chunk_id", "idx", "text", "label"])
+
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    found = chunks.select("chunk_id", "text").mapInPandas(run, f"chunk_id {kind}, idx int, text string, label string")
+    return found.filter(F.col("label").isin(*labels))
+
+
+def with_hints(chunks: DataFrame, hints: DataFrame, none: str = "None found.") -> DataFrame:
+    """chunks with hints (array of text and label, empty where there are none) and the lines that a prompt shows."""
+    by = hints.groupBy("chunk_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "text", "label"))), lambda x: F.struct(x["text"].alias("text"), x["label"].alias("label"))).alias("hints"))
+    joined = chunks.join(by, "chunk_id", "left").withColumn("hints", F.coalesce("hints", F.array().cast("array<struct<text:string,label:string>>")))
+    line = F.transform("hints", lambda x: F.concat(x["text"], F.lit(" ("), x["label"], F.lit(") — from "), F.col("chunk_id").cast("string")))
+    return joined.withColumn("hint_lines", F.when(F.size("hints") > 0, F.array_join(line, "\n")).otherwise(F.lit(none)))
 
 
 def entity_types(nodes: DataFrame, examples: int = 3, limit: int = 20) -> DataFrame:

@@ -40,44 +40,53 @@ def split(documents: DataFrame, text: str = "text") -> DataFrame:
 def keyword_density(t: Column, keywords: Sequence[str] = L.KEYWORDS) -> Column:
     """Words that are keywords, and places of keywords of several words, over all words; 0 without words."""
     low = F.lower(t)
-    single = F.size(F.filter(T.words(low), lambda w: w.isin(*keywords))) if keywords else F.lit(0)
+    return _density(low, T.words(low), keywords)
+
+
+def _density(low: Column, words: Column, keywords: Sequence[str]) -> Column:
+    found = F.size(F.filter(words, lambda w: w.isin(*keywords))) if keywords else F.lit(0)
     for k in keywords:
         if " " in k:
-            single = single + ((F.length(low) - F.length(F.replace(low, F.lit(k), F.lit("")))) / len(k)).cast("int")
-    return F.when(T.word_count(low) > 0, single / T.word_count(low)).otherwise(F.lit(0.0))
+            found = found + F.when(low.contains(k), ((F.length(low) - F.length(F.replace(low, F.lit(k), F.lit("")))) / len(k)).cast("int")).otherwise(0)
+    return F.when(F.size(words) > 0, found / F.size(words)).otherwise(F.lit(0.0))
 
 
 def scored(rows: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """rows (with text) and word_count, keyword_density, breakdown (map), score."""
-    p, t = rules.points, F.col("text")
-    # Words are counted and keywords looked up once; what follows only reads columns.
-    base = rows.withColumns({"word_count": T.word_count(t), "keyword_density": keyword_density(t, rules.keywords), "_method": sum((F.lower(t).contains(m).cast("int") for m in rules.methodology), F.lit(0))})
+    """rows (with text) and word_count, keyword_density, breakdown (map of what gave or took points), score."""
+    p, t, low = rules.points, F.col("text"), F.col("_low")
+    # Lower case and words are made once; what follows only reads columns.
+    base = rows.withColumn("_low", F.lower(t)).withColumn("_words", T.words(low))
+    base = base.withColumns({"word_count": F.size("_words"), "keyword_density": _density(low, F.col("_words"), rules.keywords)})
     n, d = F.col("word_count"), F.col("keyword_density")
     good = n.between(rules.shortest, rules.longest)
+    method = sum((low.contains(m).cast("int") for m in rules.methodology), F.lit(0))
 
-    def when(condition: Column, points: int) -> Column:
-        return F.when(condition, F.lit(points))
+    def when(condition: Column, name: str) -> Column:
+        return F.when(condition, F.lit(p[name]))
 
     parts = {
-        "base": F.lit(p["base"]),
-        "keywords": F.when(d >= 0.15, p["density_high"]).when(d >= 0.10, p["density_medium"]).when(d >= 0.05, p["density_low"]),
-        "causal": when(T.has_any(t, rules.causal), p["causal"]),
-        "quantitative": when(T.has_quantity(t), p["quantitative"]),
-        "impact": when(T.has_any(t, rules.impact), p["impact"]),
-        "factual": when(T.has_any(t, rules.factual), p["factual"]),
-        "length": when(good, p["length"]),
-        "meta": when(T.has_any(t, rules.meta), p["meta"]),
-        "citations": when(T.citations(t) >= 3, p["citations"]),
-        "acknowledgment": when(T.has_any(t, rules.acknowledgment), p["acknowledgment"]),
-        "methodology": when(F.col("_method") >= 2, p["methodology"]),
-        "affiliation": when(T.has_any(t, rules.affiliation), p["affiliation"]),
-        "figure_table": when(T.has_any(t, rules.figure_table) & (n < 20), p["figure_table"]),
-        "wrong_length": when(~good, p["wrong_length"]),
+        "base": F.lit(L.BASE_POINTS),
+        "climate_keywords": when(d >= 0.15, "climate_keyword_density_high").when(d >= 0.10, p["climate_keyword_density_medium"]).when(d >= 0.05, p["climate_keyword_density_low"]),
+        "causal_language": when(T.holds_any(low, rules.causal), "causal_language"),
+        "quantitative_data": when(T.has_quantity(t), "quantitative_data"),
+        "impact_language": when(T.holds_any(low, rules.impact), "impact_language"),
+        "factual_tone": when(T.holds_any(low, rules.factual), "factual_tone"),
+        "proper_length": when(good, "proper_length"),
+        "meta_organizational": when(T.holds_any(low, rules.meta), "meta_organizational"),
+        "heavy_citations": when(T.citations(t) >= 3, "heavy_citations"),
+        "acknowledgment": when(T.holds_any(low, rules.acknowledgment), "acknowledgment"),
+        "methodology_heavy": when(method >= 2, "methodology_heavy"),
+        "author_affiliation": when(T.holds_any(low, rules.affiliation), "author_affiliation"),
+        "figure_table_only": when((n < 20) & T.holds_any(low, rules.figure_table), "figure_table_only"),
+        "wrong_length": when(~good, "wrong_length"),
     }
-    told = F.map_filter(F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), v.cast("int"))]), lambda k, v: v.isNotNull())
-    out = base.withColumn("breakdown", told)
-    total = F.aggregate(F.map_values("breakdown"), F.lit(0), lambda acc, x: acc + x)
-    return out.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), total))).drop("_method")
+    # Points are columns of their own, so that the map is made only where it is asked for.
+    told = base.withColumns({f"_p_{k}": v.cast("int") for k, v in parts.items()})
+    points = {k: F.col(f"_p_{k}") for k in parts}
+    breakdown = F.map_filter(F.create_map(*[x for k, v in points.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+    total = sum((F.coalesce(v, F.lit(0)) for v in points.values()), F.lit(0))
+    out = told.withColumns({"breakdown": breakdown, "score": F.greatest(F.lit(0), F.least(F.lit(100), total))})
+    return out.drop("_low", "_words", *[f"_p_{k}" for k in parts])
 
 
 def kept(rows: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -111,13 +120,15 @@ def filtered(documents: DataFrame, rules: Rules = Rules(), id_column: str = "doc
 
 
 def contents_flags(documents: DataFrame, text: str = "text") -> DataFrame:
-    """Detectors of tables of contents: page references, dots, captions."""
+    """Detectors of tables of contents: list words, dots and numbered captions, page references; dots; many references."""
     t = F.col(text)
-    reference = F.size(F.filter(T.lines(t), lambda x: x.rlike(r"(?U)\s\d+\s*$")))
+    reference = F.size(F.filter(T.lines(t), lambda x: x.rlike("(?U)" + L.PAGE_REFERENCE)))
+    pattern = "(?U)" + "|".join(f"(?:{p})" for p in L.TOC_PATTERNS)
+    captions = sum((F.regexp_count(t, F.lit("(?iU)" + p)) for p in L.CAPTIONS), F.lit(0))
     return documents.withColumns(
         {
-            "is_contents": (reference / F.size(T.lines(t)) > 0.5) | t.rlike(r"\.{3,}"),
+            "is_contents": T.has_any(t, L.LIST_INDICATORS) | t.rlike(pattern) | (reference / F.size(T.lines(t)) > 0.5),
             "dot_density": F.when(F.length(t) > 0, (F.length(t) - F.length(F.replace(t, F.lit("."), F.lit("")))) / F.length(t)).otherwise(0.0),
-            "many_captions": F.regexp_count(t, F.lit(r"(?:Box|Figure|Table)\s+\d+")) > 2,
+            "many_captions": captions > 2,
         }
     )

@@ -11,20 +11,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from groundwork.functions import lexicon as L
 from groundwork.functions import text as T
 
-#: Queries that one call may carry: they go to every task as one matrix.
-QUERIES = 100_000
+#: Bytes of the queries of one call, which go to every task as one matrix, and queries that a batch meets at once.
+QUERY_BYTES, QUERY_BLOCK = 256 << 20, 512
 
 
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "vec_id", vector: str = "embedding", metric: str = "l2") -> DataFrame:
     """query_id, rank, id, distance: the exact k nearest vectors by squared L2 (ascending) or cosine (descending).
 
-    The stated query set (query_id, query; its number is checked) meets all vectors in blocks: each batch is one
-    matrix product, keeps its own best k for each query, and only those are ranked together. Ties go to the smaller id.
+    The stated query set (query_id, query; its size in bytes is checked before it is gathered) meets all vectors in
+    blocks: of each batch and block of queries a matrix product keeps the best k, and only those are ranked together.
+    Ties go to the smaller id. Vectors that are null, hold a null, or have another length than the queries take no
+    part; a query of another length than the first, or with a null, is an error.
     """
-    if queries.limit(QUERIES + 1).count() > QUERIES:
-        raise ValueError(f"more than {QUERIES} queries in one call")
+    told = queries.agg(F.count("*").alias("n"), F.min(F.size("query")).alias("least"), F.max(F.size("query")).alias("most"), F.count_if(F.col("query").isNull() | F.exists("query", lambda x: x.isNull())).alias("bad")).first()
+    if told["n"] and (told["least"] != told["most"] or told["bad"]):
+        raise ValueError("queries must have one length and no nulls")
+    if told["n"] * (told["most"] or 0) * 8 > QUERY_BYTES:
+        raise ValueError(f"the queries of one call take more than {QUERY_BYTES} bytes")
     rows = queries.select("query_id", "query").collect()
     names = [r["query_id"] for r in rows]
     matrix = np.array([r["query"] for r in rows], float).reshape(len(rows), -1)
@@ -33,35 +39,49 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_column:
     arrow = to_arrow_type(queries.schema["query_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, q = shared.value
+        names, whole = shared.value
         for batch in batches:
             column = batch.column(1)
-            if not len(column) or not len(q):
+            if not len(column) or not len(whole):
                 continue
             x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
             ids = batch.column(0).to_numpy()
             order = np.argsort(ids, kind="stable")
             x, ids = x[order], ids[order]
-            if metric == "l2":
-                near = (x * x).sum(axis=1)[None, :] - 2 * q @ x.T + (q * q).sum(axis=1)[:, None]
-            else:
-                near = -(q @ x.T) / np.sqrt((q * q).sum(axis=1))[:, None] / np.sqrt((x * x).sum(axis=1))[None, :]
-            m = min(k, len(ids))
-            # Room for ties: what is as near as the m-th stays in.
-            kth = np.partition(near, m - 1, axis=1)[:, m - 1]
-            i, j = np.nonzero(near <= kth[:, None] + 1e-9)
-            exact = ((x[j] - q[i]) ** 2).sum(axis=1) if metric == "l2" else -near[i, j]
-            yield pa.RecordBatch.from_arrays([pa.array([names[a] for a in i.tolist()], arrow), pa.array(ids[j]), pa.array(exact)], names=["query_id", "id", "distance"])
-
-    best = vectors.select(id_column, vector).filter(F.col(vector).isNotNull()).mapInArrow(run, f"query_id {kind}, id long, distance double")
+            for a in range(0, len(whole), QUERY_BLOCK):
+                q = whole[a : a + QUERY_BLOCK]
+                if metric == "l2":
+                    near = (x * x).sum(axis=1)[None, :] - 2 * q @ x.T + (q * q).sum(axis=1)[:, None]
+                else:
+                    near = -(q @ x.T) / np.sqrt((q * q).sum(axis=1))[:, None] / np.sqrt((x * x).sum(axis=1))[None, :]
+                m = min(k, len(ids))
+                # Room for ties: what is as near as the m-th stays in.
+                kth = np.partition(near, m - 1, axis=1)[:, m - 1]
+                i, j = np.nonzero(near <= kth[:, None] + 1e-9)
+                exact = ((x[j] - q[i]) ** 2).sum(axis=1) if metric == "l2" else -near[i, j]
+                yield pa.RecordBatch.from_arrays([pa.array([names[a + c] for c in i.tolist()], arrow), pa.array(ids[j]), pa.array(exact)], names=["query_id", "id", "distance"])
+
+    fits = (F.size(vector) == (told["most"] or 0)) & ~F.exists(vector, lambda x: x.isNull())
+    best = vectors.select(id_column, vector).filter(F.col(vector).isNotNull() & fits).mapInArrow(run, f"query_id {kind}, id long, distance double")
     order = F.col("distance") if metric == "l2" else F.desc("distance")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(order, "id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_column), "distance")
 
 
 def reranked(candidates: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Series], k: int = 3, query: str = "query", text: str = "text") -> DataFrame:
-    """The k best candidates of each question by a scorer of (query, text); ties keep the order of retrieval."""
-    udf = F.pandas_udf(scorer, "double")
+    """The k best candidates of each question by a scorer of (query, text); ties keep the order of retrieval.
+
+    ``scorer`` is such a function, or has an attribute ``load`` that makes one: then a model is loaded once a worker
+    task, and not for each batch.
+    """
+
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        one = scorer.load() if hasattr(scorer, "load") else scorer
+        for query, text in batches:
+            yield one(query, text)
+
+    score.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    udf = F.pandas_udf(score, "double")
     scored = candidates.withColumn("rerank_score", udf(F.col(query), F.col(text)))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank"))
     return scored.withColumn("new_rank", rank).filter(F.col("new_rank") <= k)
@@ -112,17 +132,36 @@ def needs_more(questions: DataFrame, evidence: DataFrame, least: float = 0.25) -
     return questions.select("question_id").join(best, "question_id", "left").select("question_id", (F.coalesce("best", F.lit(0.0)) < least).alias("refetch"))
 
 
-WEAK = "Uncertainty: Retrieved evidence does not strongly match this question. Sources: TEXT:0, KG:0"
-NONE = "Uncertainty: There is insufficient retrieved evidence to answer this question confidently. Sources: TEXT:0, KG:0"
+WEAK, NONE = L.WEAK_EVIDENCE, L.NO_EVIDENCE
+
 
+def raw_evidence(entities: DataFrame, triples: DataFrame, chunks: DataFrame) -> DataFrame:
+    """question_id, source, display, rank: what stands in for fused evidence where there is none.
 
-def extractive_answers(questions: DataFrame, evidence: DataFrame, least: float = 0.2) -> DataFrame:
-    """question_id, answer: put together from the three lines that match the question best, or words of uncertainty."""
-    rows = evidence.join(questions.select("question_id", "question"), "question_id").withColumn("_line", F.trim("display")).filter("_line <> ''")
+    The first two of each kind that a question has: entities and triples (by rank) as the graph's lines, chunks cut
+    to 220 characters.
+    """
+    e = entities.select("question_id", F.lit("kg").alias("source"), F.concat(F.coalesce("text", F.lit("")), F.lit(" ("), F.coalesce("canonical_label", F.lit("")), F.lit(")")).alias("display"), "rank")
+    line = F.concat(F.coalesce("subject", F.lit("")), F.lit(" --["), F.coalesce("relation", F.lit("")), F.lit("]--> "), F.coalesce("object", F.lit("")))
+    t = triples.select("question_id", F.lit("kg").alias("source"), line.alias("display"), (F.col("rank") + 2).alias("rank"))
+    c = chunks.select("question_id", F.lit("text").alias("source"), F.substring(F.coalesce("text", F.lit("")), 1, 220).alias("display"), (F.col("rank") + 4).alias("rank"))
+    return e.filter("rank <= 2").unionByName(t.filter("rank <= 4")).unionByName(c.filter("rank <= 6"))
+
+
+def extractive_answers(questions: DataFrame, evidence: DataFrame, least: float = 0.2, raw: DataFrame | None = None) -> DataFrame:
+    """question_id, answer: put together from the three lines that match the question best, or words of uncertainty.
+
+    A question without any evidence uses its rows of ``raw`` (see raw_evidence), if given. Evidence of which no line
+    is left once stripped matches weakly; only a question without evidence has too little.
+    """
+    shown = evidence.select("question_id", "source", "display", "rank")
+    if raw is not None:
+        shown = shown.unionByName(raw.select("question_id", "source", "display", "rank").join(evidence.select("question_id").distinct(), "question_id", "left_anti"))
+    rows = shown.join(questions.select("question_id", "question"), "question_id").withColumn("_line", T.strip(F.coalesce("display", F.lit(""))))
     scored = rows.select("question_id", "source", "_line", "rank", T.lexical(F.col("question"), F.col("_line")).alias("_s"))
-    order = Window.partitionBy("question_id").orderBy(F.desc("_s"), F.col("source") == "text", "rank")
-    top = scored.withColumn("_n", F.row_number().over(order)).filter("_n <= 3")
-    by = top.groupBy("question_id").agg(F.max("_s").alias("best"), *[F.max(F.when(F.col("_n") == n, F.col("_line"))).alias(f"_{n}") for n in (1, 2, 3)], F.max(F.col("source") == "text").alias("_text"), F.max(F.col("source") == "kg").alias("_kg"))
+    order = Window.partitionBy("question_id").orderBy(F.col("_line") == "", F.desc("_s"), F.col("source") == "text", "rank")
+    top = scored.withColumn("_n", F.row_number().over(order)).filter("_n <= 3").withColumn("_ok", F.col("_line") != "")
+    by = top.groupBy("question_id").agg(F.max(F.when(F.col("_ok"), F.col("_s")).otherwise(0.0)).alias("best"), *[F.max(F.when((F.col("_n") == n) & F.col("_ok"), F.col("_line"))).alias(f"_{n}") for n in (1, 2, 3)], F.max((F.col("source") == "text") & F.col("_ok")).alias("_text"), F.max((F.col("source") == "kg") & F.col("_ok")).alias("_kg"))
     body = F.concat_ws(" ", F.concat(F.lit("For '"), F.col("question"), F.lit("', retrieved evidence indicates: "), F.col("_1"), F.lit(".")), F.concat(F.lit("Additional supporting evidence: "), F.col("_2"), F.lit(".")), F.concat(F.lit("Further context: "), F.col("_3"), F.lit(".")))
     sources = F.concat_ws(", ", F.when(F.col("_text"), "TEXT:1"), F.when(F.col("_kg"), "KG:entity_name"))
     told = F.when(F.col("best").isNull(), F.lit(NONE)).when(F.col("best") < least, F.lit(WEAK)).otherwise(F.concat(body, F.lit("\nSources: "), sources))

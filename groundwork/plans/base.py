@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groundwork.functions import lexicon as L
 from groundwork.operators.paragraphs import Rules
 
 #: Rules that say something about the synthetic corpus, whose words are invented.
@@ -110,28 +111,26 @@ def citations(x: str) -> str:
 
 
 def quantity(x: str) -> str:
-    from groundwork.functions.lexicon import QUANTITIES
-
-    return f"regexp_matches({x}, {quoted('(?i)' + '|'.join(f'(?:{p})' for p in QUANTITIES))})"
+    return f"regexp_matches({x}, {quoted('(?i)' + '|'.join(f'(?:{p})' for p in L.QUANTITIES))})"
 
 
 def scoring(rules: Rules) -> str:
     """CTEs s0 and s over p: word_count, keyword_density, breakdown, score."""
     p = rules.points
     parts = {
-        "base": str(p["base"]),
-        "keywords": f"CASE WHEN d >= 0.15 THEN {p['density_high']} WHEN d >= 0.10 THEN {p['density_medium']} WHEN d >= 0.05 THEN {p['density_low']} END",
-        "causal": f"CASE WHEN {any_of('text', rules.causal)} THEN {p['causal']} END",
-        "quantitative": f"CASE WHEN {quantity('text')} THEN {p['quantitative']} END",
-        "impact": f"CASE WHEN {any_of('text', rules.impact)} THEN {p['impact']} END",
-        "factual": f"CASE WHEN {any_of('text', rules.factual)} THEN {p['factual']} END",
-        "length": f"CASE WHEN n BETWEEN {rules.shortest} AND {rules.longest} THEN {p['length']} END",
-        "meta": f"CASE WHEN {any_of('text', rules.meta)} THEN {p['meta']} END",
-        "citations": f"CASE WHEN {citations('text')} >= 3 THEN {p['citations']} END",
+        "base": str(L.BASE_POINTS),
+        "climate_keywords": f"CASE WHEN d >= 0.15 THEN {p['climate_keyword_density_high']} WHEN d >= 0.10 THEN {p['climate_keyword_density_medium']} WHEN d >= 0.05 THEN {p['climate_keyword_density_low']} END",
+        "causal_language": f"CASE WHEN {any_of('text', rules.causal)} THEN {p['causal_language']} END",
+        "quantitative_data": f"CASE WHEN {quantity('text')} THEN {p['quantitative_data']} END",
+        "impact_language": f"CASE WHEN {any_of('text', rules.impact)} THEN {p['impact_language']} END",
+        "factual_tone": f"CASE WHEN {any_of('text', rules.factual)} THEN {p['factual_tone']} END",
+        "proper_length": f"CASE WHEN n BETWEEN {rules.shortest} AND {rules.longest} THEN {p['proper_length']} END",
+        "meta_organizational": f"CASE WHEN {any_of('text', rules.meta)} THEN {p['meta_organizational']} END",
+        "heavy_citations": f"CASE WHEN {citations('text')} >= 3 THEN {p['heavy_citations']} END",
         "acknowledgment": f"CASE WHEN {any_of('text', rules.acknowledgment)} THEN {p['acknowledgment']} END",
-        "methodology": f"CASE WHEN {' + '.join(f'contains(lower(text), {quoted(m)})::INT' for m in rules.methodology)} >= 2 THEN {p['methodology']} END",
-        "affiliation": f"CASE WHEN {any_of('text', rules.affiliation)} THEN {p['affiliation']} END",
-        "figure_table": f"CASE WHEN {any_of('text', rules.figure_table)} AND n < 20 THEN {p['figure_table']} END",
+        "methodology_heavy": f"CASE WHEN {' + '.join(f'contains(lower(text), {quoted(m)})::INT' for m in rules.methodology)} >= 2 THEN {p['methodology_heavy']} END",
+        "author_affiliation": f"CASE WHEN {any_of('text', rules.affiliation)} THEN {p['author_affiliation']} END",
+        "figure_table_only": f"CASE WHEN {any_of('text', rules.figure_table)} AND n < 20 THEN {p['figure_table_only']} END",
         "wrong_length": f"CASE WHEN n NOT BETWEEN {rules.shortest} AND {rules.longest} THEN {p['wrong_length']} END",
     }
     columns = ", ".join(f"{v} AS s_{k}" for k, v in parts.items())

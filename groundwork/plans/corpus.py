@@ -66,6 +66,20 @@ def filter_stats_by_document(spark: SparkSession, sf: str) -> DataFrame:
     return paragraphs.filtered(documents(spark, sf), RULES).select("doc_id", "original_length", "filtered_length", F.round("retention", 9).alias("retention"), "n_paragraphs", "n_kept", F.round("avg_score", 6).alias("avg_score"), F.round("avg_density", 9).alias("avg_density"))
 
 
+
+
+#: The default lists, over texts that speak of their subject.
+_SUBJECT = "(SELECT doc_id, source, ['Rising CO2 causes warming by 3 % and 2 meters of sea level rise. ', 'This chapter thanks the University, see Figure 1. ', 'Emissions from coal burning lead to drought; research shows high confidence (Smith et al., 2020) (Lee, 2019) [3]. ', ''][doc_id % 4 + 1] || left(text, 400) AS text FROM documents)"
+
+
+@query(f"WITH p AS (SELECT doc_id, source, 0 AS para_idx, text FROM {_SUBJECT}), {B.scoring(paragraphs.Rules())} SELECT doc_id, word_count, round(keyword_density, 9) AS keyword_density, breakdown, score FROM s")
+def subject_scores(spark: SparkSession, sf: str) -> DataFrame:
+    lead = F.element_at(F.array(*[F.lit(x) for x in ("Rising CO2 causes warming by 3 % and 2 meters of sea level rise. ", "This chapter thanks the University, see Figure 1. ", "Emissions from coal burning lead to drought; research shows high confidence (Smith et al., 2020) (Lee, 2019) [3]. ", "")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    rows = paragraphs.scored(documents(spark, sf).select("doc_id", F.concat(lead, F.substring("text", 1, 400)).alias("text")))
+    told = F.array_join(F.transform(F.map_entries("breakdown"), lambda x: F.concat_ws("=", x["key"], x["value"])), ";")
+    return rows.select("doc_id", "word_count", F.round("keyword_density", 9).alias("keyword_density"), told.alias("breakdown"), "score")
+
+
 @query(f"WITH {B.PARAGRAPHS}, {B.scoring(RULES)} SELECT source, count(*) AS n_paragraphs, count(*) FILTER (score >= 50) AS n_kept, round(avg(score), 6) AS avg_score, round(coalesce(avg(keyword_density) FILTER (score >= 50), 0), 9) AS avg_density FROM s GROUP BY source")
 def filter_stats(spark: SparkSession, sf: str) -> DataFrame:
     rows = paragraphs.scored(paragraphs.split(documents(spark, sf).select("doc_id", "source", "text")), RULES)
@@ -90,10 +104,15 @@ def phrase_flags(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).select("doc_id", T.has_any(t, RULES.causal).alias("causal"), T.has_any(t, ("password", "e-mail", ".de")).alias("other"), T.citations(t).alias("citations"), T.has_quantity(t).alias("quantity"))
 
 
-@query(r"""SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\s\d+\s*$'))) / len(string_split(text, chr(10)))::DOUBLE > 0.5 OR regexp_matches(text, '\.{3,}') AS is_contents,
-round((length(text) - length(replace(text, '.', ''))) / length(text)::DOUBLE, 9) AS dot_density, len(regexp_extract_all(text, '(?:Box|Figure|Table)\s+\d+')) > 2 AS many_captions FROM documents""")
+_MARKED = "(SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN 'Table of Contents' || chr(10) || text WHEN 2 THEN text || chr(10) || 'Chapter 3.....17' ELSE 'see box 1.2, Figure 3.4, fig. 5.6' || chr(10) || text END AS text FROM documents)"
+
+
+@query(rf"""SELECT doc_id, {B.any_of('text', L.LIST_INDICATORS)} OR regexp_matches(text, {B.quoted('|'.join(f'(?:{p})' for p in L.TOC_PATTERNS))}) OR len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {B.quoted(L.PAGE_REFERENCE)}))) / len(string_split(text, chr(10)))::DOUBLE > 0.5 AS is_contents,
+round((length(text) - length(replace(text, '.', ''))) / length(text)::DOUBLE, 9) AS dot_density, {' + '.join(f"len(regexp_extract_all(text, {B.quoted('(?i)' + p)}))" for p in L.CAPTIONS)} > 2 AS many_captions FROM {_MARKED}""")
 def contents_flags(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(paragraphs.contents_flags(documents(spark, sf)).select("doc_id", "is_contents", "dot_density", "many_captions"), "dot_density")
+    t, k = F.col("text"), F.col("doc_id") % 4
+    marked = F.when(k == 0, t).when(k == 1, F.concat(F.lit("Table of Contents\n"), t)).when(k == 2, F.concat(t, F.lit("\nChapter 3.....17"))).otherwise(F.concat(F.lit("see box 1.2, Figure 3.4, fig. 5.6\n"), t))
+    return rounded(paragraphs.contents_flags(documents(spark, sf).select("doc_id", marked.alias("text"))).select("doc_id", "is_contents", "dot_density", "many_captions"), "dot_density")
 
 
 @query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents),
@@ -160,9 +179,29 @@ def answer_limits(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", T.complete(t).alias("complete"), T.limited(t).alias("limited"))
 
 
-@query()
+def _last_sql(mark: str) -> str:
+    at = f"strpos(reverse(s), {B.quoted(mark[::-1])})"
+    return f"CASE WHEN {at} > 0 THEN length(s) - {at} - {len(mark) - 1} ELSE -1 END"
+
+
+def _sentence_end_sql(source: str, keys: str) -> str:
+    late = ", ".join(f"CASE WHEN {_last_sql(m)} >= 20 THEN {_last_sql(m)} ELSE -1 END" for m in (" because ", " which ", " that ", " and "))
+    bare = lambda x: f"rtrim({x}, ' ,;:-')"
+    return rf"""WITH a AS (SELECT {keys}, {B.strip('text')} AS s FROM {source}),
+b AS (SELECT *, regexp_extract(s, '(?s)^(.*[.!?])', 1) AS head, greatest({', '.join(_last_sql(m) for m in ',;:')}, {late}) AS c, regexp_extract_all(s, '\S+') AS w FROM a),
+d AS (SELECT *, {bare('substr(s, 1, greatest(c, 0))')} AS clause, {bare("CASE WHEN len(w) > 28 THEN array_to_string(w[1:28], ' ') ELSE s END")} || '.' AS short FROM b)
+SELECT {keys}, CASE WHEN s = '' OR regexp_matches(s, '[.!?]\z') THEN s WHEN {B.strip('head')} <> '' THEN {B.strip('head')} WHEN c >= 20 AND {B.count_words('clause')} >= 6 THEN clause || '.' ELSE short END AS text FROM d"""
+
+
+#: Answers that end in a sentence, in the midst of one, at a clause, or have no mark at all.
+_ENDS = r"(SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN text || ' and so' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE regexp_replace(text, '[.!?,;:]', '', 'g') END AS text FROM conversations)"
+
+
+@query(_sentence_end_sql(_ENDS, "conv_id, turn"))
 def answer_sentence_end(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").select("conv_id", "turn", T.to_sentence_end(F.col("text")).alias("text"))
+    t, k = F.col("text"), F.col("turn") % 4
+    cut = F.when(k == 0, t).when(k == 1, F.concat(t, F.lit(" and so"))).when(k == 2, F.regexp_replace(t, "[.!?]", "")).otherwise(F.regexp_replace(t, "[.!?,;:]", ""))
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.to_sentence_end(cut).alias("text"))
 
 
 def _leaky(spark: SparkSession, sf: str) -> DataFrame:
@@ -172,6 +211,24 @@ def _leaky(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.concat(lead, F.col("text"), F.lit(" [TEXT:1] [KG:co2] Answer requirements: none."), F.when(F.col("turn") % 2 == 0, " [TEXT:1]").otherwise("")).alias("text"))
 
 
+def _post_sql() -> str:
+    one = r"regexp_replace(regexp_replace(text, '\s*\[(TEXT:\d+|KG:[^\]]+)\]', '', 'g'), '\s+', ' ', 'g')"
+    steps = [f"y0 AS (SELECT conv_id, turn, text AS raw, {B.strip(one)} AS t FROM {_LEAKY})"]
+    for k in range(3):
+        steps.append(f"y{k + 1} AS (SELECT conv_id, turn, raw, {B.strip(_replaced('t', L.LEAKS_AT_START))} AS t FROM y{k})")
+    inline = _replaced("t", (*L.LEAKS_INLINE, *L.HEADINGS))
+    plain = B.strip(rf"regexp_replace(regexp_replace({inline}, '\s*##+\s*', ' ', 'g'), '\s+', ' ', 'g')")
+    wrote = f"regexp_replace({plain}, {B.quoted('(?i)' + L.LEAKED_WRITE)}, '\\1 ', 'g')"
+    steps.append(f"y4 AS (SELECT conv_id, turn, raw, {B.strip(f'ltrim({_replaced(wrote, L.LEAKED_BULLETS)}, ' + B.quoted('- ') + ')')} AS text FROM y3)")
+    leak = " OR ".join(f"regexp_matches(s, {B.quoted('(?i)' + p)})" for p in L.LEAK_SENTENCES)
+    steps.append(f"y5 AS (SELECT conv_id, turn, raw, list_filter({_SENTENCES}, lambda s: NOT ({leak})) AS ss FROM y4)")
+    steps.append("y6 AS (SELECT conv_id, turn, raw, coalesce(array_to_string(list_filter(ss, lambda x, i: list_position(list_transform(ss, lambda z: lower(z)), lower(x)) = i), ' '), '') AS text FROM y5)")
+    steps_of_end, ended = _sentence_end_sql("y6", "conv_id, turn, raw").removeprefix("WITH ").split("\nSELECT ")
+    steps += [steps_of_end, f"e AS (SELECT {ended})"]
+    cited = r"(SELECT list_filter(c, lambda x, i: list_position(c, x) = i) FROM (SELECT regexp_extract_all(raw, '\[(TEXT:\d+|KG:[^\]]+)\]', 1) AS c))"
+    return f"WITH {', '.join(steps)} SELECT conv_id, turn, CASE WHEN len({cited}) > 0 THEN text || chr(10) || 'Sources: ' || array_to_string({cited}, ', ') ELSE text END AS text FROM e"
+
+
 @query()
 def answer_postprocess(spark: SparkSession, sf: str) -> DataFrame:
     return _leaky(spark, sf).select("conv_id", "turn", T.postprocessed(F.col("text")).alias("text"))
@@ -189,8 +246,8 @@ def _replaced(x: str, patterns, prefix: str = "(?i)") -> str:
 def _sanitize_sql() -> str:
     steps = [rf"z0 AS (SELECT conv_id, turn, {B.strip(r'''regexp_replace(text, '\s+', ' ', 'g')''')} AS t FROM {_LEAKY})"]
     for k in range(3):
-        steps.append(f"z{k + 1} AS (SELECT conv_id, turn, {B.strip(_replaced('t', [f'^{p}' for p in L.SANITIZE_AT_START]))} AS t FROM z{k})")
-    inner = _replaced("t", (r"\bUse proper grammar and spelling\.?\s*", r"\bUse proper grammar and punctuation\.?\s*", r"\bAnswer\s*[:\-]\s*", r"\bWrite a response\b.*$", r"\bAnswer requirements:?\b.*$"))
+        steps.append(f"z{k + 1} AS (SELECT conv_id, turn, {B.strip(_replaced('t', L.SANITIZE_AT_START))} AS t FROM z{k})")
+    inner = _replaced("t", L.SANITIZE_INLINE)
     last = rf"regexp_replace(regexp_replace({inner}, '\s*##+\s*', ' ', 'g'), '\s+', ' ', 'g')"
     return f"WITH {', '.join(steps)} SELECT conv_id, turn, {B.strip(last)} AS text FROM z3"
 
@@ -209,18 +266,23 @@ def citation_extract(spark: SparkSession, sf: str) -> DataFrame:
 _NONE = " OR ".join(f"contains(lower(t), {B.quoted(p)})" for p in L.NO_INFO_PHRASES)
 
 
+_LOGGED = "(SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Loading schema from the store' || chr(10) || text || chr(10) || '  Schema loaded' WHEN 1 THEN text || ' No Relevant Information here.' WHEN 2 THEN 'All retries failed' || chr(10) || ' ' ELSE text END AS text FROM documents)"
+
+
 @query(rf"""SELECT doc_id, CASE WHEN {_NONE} THEN {B.quoted(L.NO_INFO)} ELSE t END AS text FROM (SELECT doc_id,
-coalesce(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {B.strip('x')}), lambda x: x <> '' AND NOT ({" OR ".join(f"contains(x, {B.quoted(p)})" for p in L.LOG_PHRASES)})), ' '), '') AS t FROM documents)""")
+coalesce(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {B.strip('x')}), lambda x: x <> '' AND NOT ({" OR ".join(f"contains(x, {B.quoted(p)})" for p in L.LOG_PHRASES)})), ' '), '') AS t FROM {_LOGGED})""")
 def answer_clean(spark: SparkSession, sf: str) -> DataFrame:
-    return documents(spark, sf).select("doc_id", T.without_log(F.col("text")).alias("text"))
+    t, k = F.col("text"), F.col("doc_id") % 4
+    logged = F.when(k == 0, F.concat(F.lit("Loading schema from the store\n"), t, F.lit("\n  Schema loaded"))).when(k == 1, F.concat(t, F.lit(" No Relevant Information here."))).when(k == 2, F.lit("All retries failed\n ")).otherwise(t)
+    return documents(spark, sf).select("doc_id", T.without_log(logged).alias("text"))
 
 
-@query(rf"""SELECT conv_id, turn, upper(substr(t, 1, 1)) || substr(t, 2) AS text, {B.strip("string_split(text, 'of ')[-1]")} AS tail FROM
-(SELECT conv_id, turn, text, CASE WHEN turn % 2 = 0 THEN {B.strip("text")} ELSE text END AS t FROM conversations)""")
+@query(rf"""SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN {B.quoted(L.NO_INFO)} ELSE upper(substr(t, 1, 1)) || substr(t, 2) END AS text, {B.strip("string_split(text, 'of ')[-1]")} AS tail FROM
+(SELECT conv_id, turn, text, CASE WHEN turn % 3 = 0 THEN {B.strip("text")} ELSE text END AS t FROM conversations)""")
 def answer_filler(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.col("text")
-    with_lead = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Based on the knowledge graph, "), t)).otherwise(t)
-    return table(spark, sf, "conversations").select("conv_id", "turn", T.without_filler(with_lead).alias("text"), T.after(t, "of ").alias("tail"))
+    t, k = F.col("text"), F.col("turn") % 3
+    told = F.when(k == 0, F.concat(F.lit("Based on the knowledge graph, "), t)).when(k == 1, t).otherwise(F.concat(t, F.lit(" I don't KNOW.")))
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.without_filler(told).alias("text"), T.after(t, "of ").alias("tail"))
 
 
 @query("SELECT event_id, len(json_keys(props)) AS n_keys, json_array_length('[' || props || ']') AS n_items FROM events")
@@ -235,10 +297,15 @@ def fallback_labels(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.array_join(T.fallback_labels(F.translate(F.lower("html"), "-", "_")), ",").alias("labels"))
 
 
-@query("SELECT source, sum(strlen(text)) AS bytes, printf('%.1f KB', sum(strlen(text)) / 1024.0) AS shown FROM documents GROUP BY source HAVING sum(strlen(text)) BETWEEN 1024 AND 1048575")
+_UNITS = " ".join(f"WHEN v < {1024 ** (k + 1)} THEN printf('%.1f {u}', v / {float(1024**k)})" for k, u in enumerate(("B", "KB", "MB", "GB", "TB")))
+
+
+@query(f"""SELECT doc_id, power, CASE {_UNITS} ELSE printf('%.1f PB', v / {float(1024**5)}) END AS shown
+FROM (SELECT doc_id, power, (strlen(text) % 997) * pow(1024, power) AS v FROM documents, range(6) r(power))""")
 def sizes_by_source(spark: SparkSession, sf: str) -> DataFrame:
-    by = documents(spark, sf).groupBy("source").agg(F.sum(F.octet_length("text")).alias("bytes"))
-    return by.filter(F.col("bytes").between(1024, 1048575)).withColumn("shown", T.human_bytes(F.col("bytes")))
+    """Sizes in every unit."""
+    rows = documents(spark, sf).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("power"), "text")
+    return rows.select("doc_id", "power", T.human_bytes((F.octet_length("text") % 997) * F.pow(F.lit(1024.0), F.col("power"))).alias("shown"))
 
 
 @query("SELECT doc_id FROM (SELECT doc_id, md5('5:' || doc_id) AS h FROM documents) ORDER BY h, doc_id LIMIT 200")
@@ -273,3 +340,6 @@ def length_distribution(spark: SparkSession, sf: str) -> DataFrame:
     p = documents(spark, sf).agg(F.percentile("n_chars", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p"))
     names = F.array(F.lit("p25"), F.lit("p50"), F.lit("p75"))
     return p.select(F.explode(F.arrays_zip(names.alias("percentile_label"), F.col("p").alias("value"))).alias("r")).select("r.*")
+
+
+S["answer_postprocess"] = _post_sql()

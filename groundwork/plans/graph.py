@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from groundwork.functions import lexicon as L
 from groundwork.functions import text as T
-from groundwork.functions.prompts import graph_context
+from groundwork.functions.prompts import graph_context, schema_text
 from groundwork.operators import knowledge as K
 from groundwork.plans.base import documents, quoted, table
 
@@ -73,9 +73,26 @@ def entity_validate(spark: SparkSession, sf: str) -> DataFrame:
     return K.validated(entities(spark, sf).withColumn("batch", F.floor(F.col("seq") / 5000000)), labels, known)
 
 
-@query("SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY', 'ORG')")
+#: Kinds that the stand-in recogniser gives, by the length of a name; two of them are not kept.
+KINDS = ("ORG", "PERSON", "GPE", "LOC", "LAW", "CARDINAL", "DATE")
+
+
+def _recogniser():
+    import re
+
+    names = re.compile(r"\b[A-Z][a-z]{6,}\b", re.ASCII)
+    return lambda texts: [[(m.group(), KINDS[len(m.group()) % len(KINDS)]) for m in names.finditer(t)] for t in texts]
+
+
+@query(rf"""WITH n AS (SELECT doc_id AS chunk_id, regexp_extract_all(text, '\b[A-Z][a-z]{{6,}}\b') AS ms FROM documents),
+h AS (SELECT chunk_id, unnest(ms) AS text, generate_subscripts(ms, 1) AS idx FROM n),
+k AS (SELECT *, [{', '.join(quoted(x) for x in KINDS)}][length(text) % {len(KINDS)} + 1] AS label FROM h),
+g AS (SELECT chunk_id, count(*) AS n, string_agg(text || ' (' || label || ') — from ' || chunk_id, chr(10) ORDER BY idx) AS lines FROM k WHERE label IN ({', '.join(quoted(x) for x in L.HINT_LABELS)}) GROUP BY 1)
+SELECT doc_id AS chunk_id, coalesce(n, 0) AS n_hints, coalesce(lines, 'None found.') AS hint_lines FROM documents LEFT JOIN g ON g.chunk_id = doc_id""")
 def hint_whitelist(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "customer").filter(F.col("c_mktsegment").isin("BUILDING", "MACHINERY", *L.HINT_LABELS[:1])).select("c_custkey", "c_name", "c_mktsegment")
+    """Recognised names of the kinds that are kept, joined to their chunks."""
+    chunks = documents(spark, sf).select(F.col("doc_id").alias("chunk_id"), "text")
+    return K.with_hints(chunks, K.recognised(chunks, _recogniser)).select("chunk_id", F.size("hints").cast("long").alias("n_hints"), "hint_lines")
 
 
 @query("SELECT l.doc_id, coalesce(d.source, 'unknown') AS source_file, l.toxic FROM labels l LEFT JOIN (SELECT * FROM documents WHERE lang = 'en') d USING (doc_id)")
@@ -306,17 +323,59 @@ def entity_exact_match(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_G}, {_ENT}, f AS (SELECT lower(text) AS t, min(seq) AS first FROM ent GROUP BY 1),
 mt AS (SELECT question_id, rank AS e, lower(text) AS t FROM (SELECT question_id, ent.*, row_number() OVER (PARTITION BY question_id ORDER BY first, seq) AS rank FROM f JOIN q0 ON contains(t, phrase) OR contains(phrase, t) JOIN ent ON lower(ent.text) = f.t) WHERE rank <= 6),
 x AS (SELECT * FROM (SELECT question_id, e, subject, relation, object, row_number() OVER (PARTITION BY question_id, e ORDER BY eid) AS n FROM g JOIN mt ON contains(subject, t) OR contains(object, t)) WHERE n <= 6),
-y AS (SELECT question_id, subject, relation, object, min((e, n)) AS seq FROM x GROUP BY ALL)
-SELECT question_id, subject, relation, object, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY seq) AS rank FROM y) WHERE rank <= 6""")
+y AS (SELECT question_id, subject, relation, object, min((e, n)) AS seq FROM x GROUP BY ALL),
+c AS (SELECT question_id, count(*) AS num_entities FROM mt GROUP BY 1)
+SELECT question_id, subject, relation, object, rank, num_triples, num_entities FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY seq) AS rank, count(*) OVER (PARTITION BY question_id) AS num_triples FROM y) JOIN c USING (question_id) WHERE rank <= 6""")
 def triples_of_entities(spark: SparkSession, sf: str) -> DataFrame:
     return K.triples_of(K.matched_entities(questions(spark, sf), _named(spark, sf)), edges(spark, sf))
 
 
-@query("SELECT r_regionkey, coalesce(length(r_name) >= 3, false) AS ok FROM region")
+#: Questions with several keywords, with one, and with stop words and short words alone.
+_ASKED = "(SELECT n_nationkey AS question_id, CASE n_nationkey % 3 WHEN 0 THEN 'How is ' || n_name || ' related to Customer#0000000' || n_nationkey || '?' WHEN 1 THEN 'What about ' || lower(n_name) ELSE 'what is it?' END AS question FROM nation)"
+_FALLBACK_STOP = ", ".join(quoted(x) for x in L.FALLBACK_STOP)
+
+
+@query(rf"""WITH {_G}, a AS (SELECT question_id, list_filter(regexp_extract_all(lower(regexp_replace(question, '[^a-zA-Z0-9\s]', '', 'g')), '\S+'), lambda w: length(w) > 3 AND w NOT IN ({_FALLBACK_STOP}))[1:3] AS w FROM {_ASKED})
+SELECT question_id, entity, relationship, related_entity, rank FROM (SELECT question_id, subject AS entity, relation AS relationship, object AS related_entity, row_number() OVER (PARTITION BY question_id ORDER BY subject, relation, object, eid) AS rank
+FROM g JOIN a ON len(w) = 0 OR len(list_filter(w, lambda x: contains(lower(subject), x))) > 0) WHERE rank <= 10""")
+def fallback_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    name, k = F.col("n_name"), F.col("n_nationkey") % 3
+    asked = F.when(k == 0, F.concat(F.lit("How is "), name, F.lit(" related to Customer#0000000"), F.col("n_nationkey").cast("string"), F.lit("?"))).when(k == 1, F.concat(F.lit("What about "), F.lower(name))).otherwise("what is it?")
+    return K.fallback_lookup(table(spark, sf, "nation").select(F.col("n_nationkey").alias("question_id"), asked.alias("question")), edges(spark, sf))
+
+
+@query(rf"""WITH {_G}, {_N}, r AS (SELECT DISTINCT relation FROM g), s AS (SELECT * FROM (SELECT relation, subject, object, row_number() OVER (PARTITION BY relation ORDER BY subject, object, eid) AS k FROM g) WHERE k <= 2),
+rl AS (SELECT relation, '  - ' || relation || chr(10) || string_agg('    Example: ''' || subject || ''' -' || relation || '-> ''' || object || '''', chr(10) ORDER BY k) AS l FROM r JOIN s USING (relation) GROUP BY 1),
+t AS (SELECT label, '  - ' || label || ': ''' || string_agg(name, ''', ''' ORDER BY name) || '''' AS l FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY name) AS k FROM n) WHERE k <= 3 GROUP BY 1)
+SELECT ' **Knowledge Graph Schema**' || chr(10) || chr(10) || '**Statistics:**' || chr(10) || '- Total entities: ' || format('{{:,}}', (SELECT count(*) FROM n)) || chr(10) || '- Total relationships: ' || format('{{:,}}', (SELECT count(*) FROM g)) || chr(10) || chr(10) || '**Available Relationship Types:**' || chr(10)
+|| (SELECT string_agg(l, chr(10) ORDER BY relation) FROM rl) || chr(10) || chr(10) || '**Entity Types (with examples):**' || chr(10) || (SELECT string_agg(l, chr(10) ORDER BY label) FROM t) AS schema""")
+def schema_prompt(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, rows = _nodes(spark, sf), edges(spark, sf)
+    return schema_text(K.graph_summary(nodes, rows), rows.select("relation").distinct(), K.relation_samples(rows), K.entity_types(nodes))
+
+
+#: Patterns that models write: sound ones, and for each rule one that breaks it.
+PATTERNS = (
+    "MATCH (n:Entity)-[r:PART_OF]->(m:Entity) WHERE m.name = '{}' RETURN n.name LIMIT 5",
+    "```cypher\nMATCH (n:Entity)-[r]->(m) RETURN n.name, “{}” LIMIT 10\n```",
+    "Here's a query: match (n:Entity) where n.name = '{}''s' return n.name limit 3 and more",
+    "MATCH (n:Person)-[r]->(m) RETURN n.name LIMIT 5",
+    "MATCH (n:Entity)-[r:OWNS]->(m) RETURN n LIMIT 5",
+    "MATCH (n) LIMIT 5",
+    "RETURN 1",
+    "",
+)
+
+
+@query(rf"""WITH p AS (SELECT r_regionkey, i, replace([{', '.join(quoted(x) for x in PATTERNS)}][i + 1], '{{}}', r_name) AS t FROM region, range({len(PATTERNS)}) x(i)),
+c AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_extract(regexp_replace(t, '(?is)```(?:cypher)?(.*?)```', '\1', 'g'), '(?i)(MATCH[\s\S]*?LIMIT\s+\d+)', 1), '[“”]', '''', 'g'), '''s\b', '', 'g')) AS cleaned FROM p)
+SELECT r_regionkey, i, cleaned, length(trim(cleaned)) >= 10 AND contains(upper(cleaned), 'MATCH') AND contains(upper(cleaned), 'RETURN') AND len(regexp_extract_all(cleaned, '\S+')) >= 4 AND len(list_filter(regexp_extract_all(cleaned, ':\s*`?([A-Za-z_]+)`?', 1), lambda x: x NOT IN ('Entity', 'PART_OF'))) = 0 AS ok FROM c""")
 def pattern_check(spark: SparkSession, sf: str) -> DataFrame:
-    """Written patterns are held against an allow-list: here one for each region, all of them sound."""
-    pattern = F.concat(F.lit("MATCH (n:Entity)-[r:PART_OF]->(m:Entity) WHERE m.name = '"), F.col("r_name"), F.lit("' RETURN n.name"))
-    return table(spark, sf, "region").select("r_regionkey", T.spec_allowed(pattern, ("PART_OF",)).alias("ok"))
+    """Written patterns are cut out of what a model said and held against an allow-list."""
+    all_ = F.array(*[F.lit(x) for x in PATTERNS])
+    rows = table(spark, sf, "region").select("r_regionkey", F.posexplode(all_).alias("i", "_t"), "r_name")
+    cleaned = T.spec_cleaned(F.replace(F.col("_t"), F.lit("{}"), F.col("r_name")))
+    return rows.select("r_regionkey", F.col("i").cast("long").alias("i"), cleaned.alias("cleaned")).withColumn("ok", T.spec_allowed(F.col("cleaned"), ("PART_OF",)))
 
 
 @query(f"""WITH {_G}, {_ENT}, f AS (SELECT lower(text) AS t, min(seq) AS first FROM ent GROUP BY 1),

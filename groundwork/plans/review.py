@@ -117,9 +117,11 @@ def extractive_answer(spark: SparkSession, sf: str) -> DataFrame:
     return R.extractive_answers(questions(spark, sf), R.fused(evidence(spark, sf)))
 
 
-@query(f"WITH {_EVIDENCE} SELECT q.question_id, coalesce(max(combined_score), 0) < 0.25 AS refetch FROM q LEFT JOIN fu USING (question_id) GROUP BY 1")
+@query(f"WITH {_EVIDENCE.replace('THEN 0.4 ELSE 0.6', 'THEN 0.2 ELSE 0.8')} SELECT q.question_id, coalesce(max(combined_score), 0) < 0.25 AS refetch FROM q LEFT JOIN fu ON fu.question_id = q.question_id AND (source = 'kg' OR q.question_id % 2 = 0) GROUP BY 1")
 def adaptive_expansion(spark: SparkSession, sf: str) -> DataFrame:
-    return R.needs_more(questions(spark, sf), R.fused(evidence(spark, sf)))
+    """Every other question has graph evidence alone, which weighs little here."""
+    rows = R.fused(evidence(spark, sf), alpha=0.2).filter("source = 'kg' OR question_id % 2 = 0")
+    return R.needs_more(questions(spark, sf), rows)
 
 
 # Reviewed answers: labels stand for reviews of two models, documents for questions.
@@ -202,15 +204,27 @@ def score_join(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", "topic").join(scores, "id", "left")
 
 
-@query(f"WITH {_TG} SELECT topic, round(avg(n_chars), 6) AS mean_chars, median(n_chars) AS median_chars, round(avg((tag = 'correct')::INT), 6) AS accuracy FROM tg WHERE type = 'factual' GROUP BY topic")
+@query(f"WITH {_TG} SELECT topic, round(avg((tag = 'correct')::INT), 6) AS accuracy FROM tg WHERE type = 'factual' GROUP BY topic")
+def factual_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    rows = tagged(spark, sf).filter("type = 'factual'").select("topic", "tag", F.lit("a b").alias("reference"), F.lit("a b").alias("answer"))
+    return E.factual_metrics(rows, ("topic",)).select("topic", F.round("accuracy", 6).alias("accuracy"))
+
+
+@query()
 def factual_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    rows = tagged(spark, sf).filter("type = 'factual'")
-    return rows.groupBy("topic").agg(F.round(F.avg("n_chars"), 6).alias("mean_chars"), F.median("n_chars").alias("median_chars"), F.round(F.avg((F.col("tag") == "correct").cast("int")), 6).alias("accuracy"))
+    """Means of ROUGE-L and METEOR and the accuracy, by configuration (here the role that wrote the reference)."""
+    rows = _turns(spark, sf).withColumns({"model_config": F.when(F.col("turn") % 2 == 0, "even").otherwise("odd"), "tag": F.when(F.col("turn") % 3 == 0, "correct").otherwise("partial")})
+    return rounded(E.factual_metrics(rows), "rouge_l", "meteor", "accuracy")
+
+
+@query()
+def similarity_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(E.similarity_summary(_turns(spark, sf), R.hash_encoder()), "mean", "median")
 
 
-@query(f"WITH {_TG} SELECT count(*) FILTER (length(text) > n_chars + 0) AS a_wins, count(*) FILTER (n_chars > length(text)) AS b_wins, count(*) FILTER (n_chars = length(text)) AS ties, least(min(n_chars), min(length(text))) AS low, greatest(max(n_chars), max(length(text))) AS high FROM tg")
+@query(f"WITH {_TG} SELECT count(*) FILTER (n_chars % 97 > n_chars % 89) AS a_wins, count(*) FILTER (n_chars % 89 > n_chars % 97) AS b_wins, count(*) FILTER (n_chars % 89 = n_chars % 97) AS ties, least(min(n_chars % 97), min(n_chars % 89)) AS low, greatest(max(n_chars % 97), max(n_chars % 89)) AS high FROM tg")
 def win_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return E.wins(tagged(spark, sf).withColumn("size", F.length("text").cast("long")), "size", "n_chars")
+    return E.wins(tagged(spark, sf).withColumns({"a": F.col("n_chars") % 97, "b": F.col("n_chars") % 89}), "a", "b")
 
 
 @query("SELECT model_config, review, count(*) AS n FROM (SELECT 'quality' AS model_config, quality::VARCHAR AS review FROM labels UNION ALL SELECT 'toxic', toxic::VARCHAR FROM labels) GROUP BY ALL")
@@ -220,13 +234,17 @@ def config_union(spark: SparkSession, sf: str) -> DataFrame:
     return both.groupBy("model_config", "review").agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS total, count(*) FILTER (role <> 'system') AS answered, count(*) FILTER (role = 'system') AS no_info, 0::BIGINT AS errors FROM conversations")
+_ANSWERED = "(SELECT CASE turn % 6 WHEN 0 THEN text WHEN 1 THEN 'No information found in ' || role WHEN 2 THEN 'Error: timeout' WHEN 3 THEN '' WHEN 4 THEN 'error: lower case is an answer' END AS answer FROM conversations)"
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (coalesce(answer, '') <> '' AND NOT contains(answer, 'No information found') AND NOT contains(answer, 'Error:')) AS answered, count(*) FILTER (contains(answer, 'No information found')) AS no_info, count(*) FILTER (contains(answer, 'Error:')) AS errors FROM {_ANSWERED}")
 def run_summary(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "conversations").withColumn("answer", F.when(F.col("role") == "system", "No information found in the knowledge graph.").otherwise(F.concat(F.lit("* "), F.col("text"))))
-    return E.run_summary(rows)
+    k = F.col("turn") % 6
+    answer = F.when(k == 0, F.col("text")).when(k == 1, F.concat(F.lit("No information found in "), F.col("role"))).when(k == 2, "Error: timeout").when(k == 3, "").when(k == 4, "error: lower case is an answer")
+    return E.run_summary(table(spark, sf, "conversations").select(answer.alias("answer")))
 
 
-@query(f"WITH {_REV} SELECT CASE WHEN type = 'factual' THEN {quoted(E.FACTUAL)} ELSE {quoted(E.OTHER)} END AS instruction, left(text, 100000) AS input, topic AS output, CASE WHEN type = 'factual' THEN 10 ELSE 20 END AS word_limit FROM rv")
+@query(f"WITH {_REV} SELECT CASE WHEN type = 'factual' THEN {quoted(E.FACTUAL)} ELSE {quoted(E.OTHER)} END AS instruction, text AS input, topic AS output, CASE WHEN type = 'factual' THEN 10 ELSE 20 END AS word_limit FROM rv")
 def instruction_convert(spark: SparkSession, sf: str) -> DataFrame:
     return E.instructions(reviews(spark, sf), question="text", answer="topic")
 
@@ -238,11 +256,11 @@ def model_alias(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).groupBy("source", resolved.alias("model")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT conv_id, count(*) AS turns, count(*) FILTER (trim(text) <> '') AS valid FROM conversations GROUP BY 1")
+@query("SELECT conv_id, count(*) AS turns, count(*) FILTER (trim(t) <> '') AS valid FROM (SELECT conv_id, CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN '  ' WHEN 2 THEN NULL ELSE ' ' || text END AS t FROM conversations) GROUP BY 1")
 def question_validation(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "conversations")
-    valid = rows.filter(F.trim("text") != "").select("conv_id", "turn", F.lit(1).alias("ok"))
-    return rows.join(valid, ["conv_id", "turn"], "left").groupBy("conv_id").agg(F.count("*").alias("turns"), F.count("ok").alias("valid"))
+    k = F.col("turn") % 4
+    rows = table(spark, sf, "conversations").withColumn("t", F.when(k == 0, F.col("text")).when(k == 1, "  ").when(k == 3, F.concat(F.lit(" "), F.col("text"))))
+    return rows.groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(F.trim("t") != "").alias("valid"))
 
 
 def _turns(spark: SparkSession, sf: str) -> DataFrame:
@@ -295,10 +313,11 @@ def text_contexts(spark: SparkSession, sf: str) -> DataFrame:
     return P.text_context(chunks, turns.select(F.col("conv_id").alias("question_id")).distinct())
 
 
-@query("""WITH u AS (SELECT conv_id AS question_id, list_distinct(list(DISTINCT role)) AS r, list(DISTINCT (turn % 3)) AS t FROM conversations GROUP BY 1)
-SELECT question_id, len(list_intersect(r, ['user', 'system'])) AS shared, len(list_distinct(list_concat(r, ['user', 'tool']))) AS merged FROM u""")
+@query(f"""WITH {_TURNS}, u AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(reference), '[a-z0-9]+')) AS r, list_distinct(regexp_extract_all(lower(answer), '[a-z0-9]+')) AS a FROM pr)
+SELECT conv_id, turn, len(list_intersect(r, a)) AS shared, len(list_distinct(list_concat(r, a))) AS merged FROM u""")
 def token_sets(spark: SparkSession, sf: str) -> DataFrame:
-    """Intersection and distinct union of sets."""
-    r = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("question_id")).agg(F.collect_set("role").alias("r"))
-    shared = F.size(F.array_intersect("r", F.array(F.lit("user"), F.lit("system")))).cast("long")
-    return r.select("question_id", shared.alias("shared"), F.size(F.array_union("r", F.array(F.lit("user"), F.lit("tool")))).cast("long").alias("merged"))
+    """Intersection and distinct union of the tokens of an answer and of the turn before it."""
+    r, a = (F.array_distinct(T.tokens(F.col(c))) for c in ("reference", "answer"))
+    return _turns(spark, sf).select("conv_id", "turn", F.size(F.array_intersect(r, a)).cast("long").alias("shared"), F.size(F.array_union(r, a)).cast("long").alias("merged"))
+
+

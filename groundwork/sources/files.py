@@ -5,15 +5,20 @@ from __future__ import annotations
 import errno
 import io
 import json
+import re
 import shutil
 from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+# Fixed value: how a model is asked to finish an answer.
+CONTINUE = "{prompt}\n\nCurrent answer:\n{answer}\n\nContinue the answer with only the next short fragment to complete the sentence."
+
 DOCUMENT = "filename string, filepath string, total_pages int, extracted_text string, text_length int, extraction_status string, error_message string"
 
 
@@ -138,6 +143,91 @@ def write_with_fallback(rows: DataFrame, path: str, fallback: str) -> str:
         return fallback
 
 
+def write_every(rows: DataFrame, path: str, order: str, every: int = 1000) -> list[int]:
+    """Written in parts of so many rows by a column of distinct ordinals from 0; parts that stand whole are not written again.
+
+    A part is a folder of its own, finished when Spark has marked it so: a run that was broken off goes on with the
+    first part that is missing. The numbers of the parts written now.
+    """
+    spark, written = rows.sparkSession, []
+    last = rows.agg(F.max(order)).first()[0]
+    for k in range(0 if last is None else last // every + 1):
+        part = f"{path}/part={k}"
+        if not exists(spark, f"{part}/_SUCCESS"):
+            rows.filter(F.col(order).between(k * every, (k + 1) * every - 1)).write.mode("overwrite").parquet(part)
+            written.append(k)
+    return written
+
+
+def safe_rows(spark: SparkSession, spec: str | None, run: Callable[[str], DataFrame], schema: str) -> DataFrame:
+    """run(spec); no rows, in the same schema, where the spec has under ten characters or cannot be understood."""
+    if spec and len(spec.strip()) >= 10:
+        try:
+            found = run(spec)
+            return found.select(*[F.col(f.name).cast(f.dataType) for f in spark.createDataFrame([], schema).schema])
+        except AnalysisException:
+            pass
+    return spark.createDataFrame([], schema)
+
+
+def http_client(url: str, headers: dict[str, str] | None = None, timeout: float = 30.0, tries: int = 3, wait: float = 1.0, body: Callable[[str], dict] | None = None, read: Callable[[dict], str] | None = None) -> Callable[[], Callable[[list[str]], list[str]]]:
+    """A client for ``generate``: posts each prompt as JSON and reads the answer, with a timeout and some tries.
+
+    By default a chat request with one message of the user, answered by choices[0].message.content.
+    """
+    ask = body or (lambda prompt: {"messages": [{"role": "user", "content": prompt}]})
+    told = read or (lambda reply: reply["choices"][0]["message"]["content"])
+
+    def connect() -> Callable[[list[str]], list[str]]:
+        import time
+        import urllib.request
+
+        def one(prompt: str) -> str:
+            for k in range(tries):
+                try:
+                    request = urllib.request.Request(url, json.dumps(ask(prompt)).encode(), {"Content-Type": "application/json", **(headers or {})})
+                    with urllib.request.urlopen(request, timeout=timeout) as reply:
+                        return told(json.load(reply))
+                except OSError:
+                    if k == tries - 1:
+                        raise
+                    time.sleep(wait * 2**k)
+            raise ValueError("no tries")
+
+        return lambda prompts: [one(p) for p in prompts]
+
+    return connect
+
+
+def continued(rows: DataFrame, client: Callable[[], Callable[[list[str]], list[str]]], prompt: str = "prompt", answer: str = "answer", rounds: int = 2, most: int = 90) -> DataFrame:
+    """rows whose answers, where they break off inside a sentence, a model has gone on with for some rounds.
+
+    It ends when the sentence does, when nothing more comes, or beyond so many words. Null and empty answers stay.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ask, done = client(), re.compile(r"""[.!?]["')\]]*\s*$""")
+        for part in batches:
+            now = part[answer].tolist()
+            open_ = [k for k, x in enumerate(now) if x and not done.search(x.strip())]
+            for k in open_:
+                now[k] = now[k].strip()
+            for _ in range(rounds):
+                if not open_:
+                    break
+                more = ask([CONTINUE.format(prompt=part[prompt].iloc[k], answer=now[k]) for k in open_])
+                left = []
+                for k, x in zip(open_, more, strict=True):
+                    if x and x.strip():
+                        now[k] = f"{now[k]} {x.strip()}".strip()
+                        if len(now[k].split()) <= most and not done.search(now[k]):
+                            left.append(k)
+                open_ = left
+            yield part.assign(**{answer: now})
+
+    return rows.mapInPandas(run, rows.schema)
+
+
 def preflight(spark: SparkSession, inputs: Sequence[str], room: dict[str, int] | None = None) -> list[str]:
     """What is wrong before a job starts: inputs that are missing, local folders with too few free bytes."""
     wrong = [f"missing: {p}" for p in inputs if not exists(spark, p)]
