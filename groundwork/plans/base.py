@@ -32,6 +32,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """df dealt over all cores, where its few files would keep only some of them busy; a table of many files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents, for queries whose work on each text is heavy."""
+    return spread(documents(spark, sf_dir))
+
+
 def rounded(df: DataFrame, *names: str, places: int = 9) -> DataFrame:
     return df.withColumns({n: F.round(n, places) for n in names})
 

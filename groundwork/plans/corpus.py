@@ -9,7 +9,7 @@ from groundwork.functions import lexicon as L
 from groundwork.functions import text as T
 from groundwork.operators import chunking, paragraphs
 from groundwork.plans import base as B
-from groundwork.plans.base import RULES, documents, rounded, table
+from groundwork.plans.base import RULES, documents, rounded, table, texts
 
 Q: dict = {}
 S: dict[str, str] = {}
@@ -28,30 +28,30 @@ def query(sql: str | None = None):
 @query(f"SELECT doc_id, {B.printable('text')} AS t1, {B.hyphens('text')} AS t2, {B.spaces('text')} AS t3 FROM documents")
 def clean_characters(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")
-    return documents(spark, sf).select("doc_id", T.printable(t).alias("t1"), T.join_hyphenated(t).alias("t2"), T.normal_space(t).alias("t3"))
+    return texts(spark, sf).select("doc_id", T.printable(t).alias("t1"), T.join_hyphenated(t).alias("t2"), T.normal_space(t).alias("t3"))
 
 
 @query(f"SELECT doc_id, {B.pages('text')} AS t4, {B.contacts('text')} AS t5, {B.contents('text')} AS t6 FROM documents")
 def clean_line_filters(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")
-    return documents(spark, sf).select("doc_id", T.without_page_numbers(t).alias("t4"), T.without_contacts(t).alias("t5"), T.without_contents(t).alias("t6"))
+    return texts(spark, sf).select("doc_id", T.without_page_numbers(t).alias("t4"), T.without_contacts(t).alias("t5"), T.without_contents(t).alias("t6"))
 
 
 @query(f"WITH {B.PARAGRAPHS} SELECT doc_id, para_idx, text FROM p")
 def clean_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
-    return paragraphs.split(documents(spark, sf).select("doc_id", "text"))
+    return paragraphs.split(texts(spark, sf).select("doc_id", "text"))
 
 
 @query(f"WITH {B.PARAGRAPHS}, {B.scoring(RULES)} SELECT doc_id, para_idx, word_count, round(keyword_density, 9) AS keyword_density, breakdown, score FROM s")
 def paragraph_scores(spark: SparkSession, sf: str) -> DataFrame:
-    rows = paragraphs.scored(paragraphs.split(documents(spark, sf).select("doc_id", "text")), RULES)
+    rows = paragraphs.scored(paragraphs.split(texts(spark, sf).select("doc_id", "text")), RULES)
     told = F.array_join(F.transform(F.map_entries("breakdown"), lambda x: F.concat_ws("=", x["key"], x["value"])), ";")
     return rows.select("doc_id", "para_idx", "word_count", F.round("keyword_density", 9).alias("keyword_density"), told.alias("breakdown"), "score")
 
 
 @query(f"WITH {B.PARAGRAPHS}, {B.scoring(RULES)} SELECT doc_id, para_idx, text FROM s WHERE score >= 50")
 def paragraphs_kept(spark: SparkSession, sf: str) -> DataFrame:
-    return paragraphs.kept(paragraphs.scored(paragraphs.split(documents(spark, sf).select("doc_id", "text")), RULES), RULES).select("doc_id", "para_idx", "text")
+    return paragraphs.kept(paragraphs.scored(paragraphs.split(texts(spark, sf).select("doc_id", "text")), RULES), RULES).select("doc_id", "para_idx", "text")
 
 
 _FILTERED = f"""WITH {B.PARAGRAPHS}, {B.scoring(RULES)},
@@ -63,7 +63,7 @@ f AS (SELECT d.doc_id, d.source, length(d.text) AS original_length, {B.spaces("c
 
 @query(f"{_FILTERED} SELECT doc_id, original_length, length(filtered_text) AS filtered_length, round(length(filtered_text) / nullif(original_length, 0)::DOUBLE, 9) AS retention, n_paragraphs, n_kept, round(avg_score, 6) AS avg_score, round(avg_density, 9) AS avg_density FROM f")
 def filter_stats_by_document(spark: SparkSession, sf: str) -> DataFrame:
-    return paragraphs.filtered(documents(spark, sf), RULES).select("doc_id", "original_length", "filtered_length", F.round("retention", 9).alias("retention"), "n_paragraphs", "n_kept", F.round("avg_score", 6).alias("avg_score"), F.round("avg_density", 9).alias("avg_density"))
+    return paragraphs.filtered(texts(spark, sf), RULES).select("doc_id", "original_length", "filtered_length", F.round("retention", 9).alias("retention"), "n_paragraphs", "n_kept", F.round("avg_score", 6).alias("avg_score"), F.round("avg_density", 9).alias("avg_density"))
 
 
 
@@ -82,7 +82,7 @@ def subject_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {B.PARAGRAPHS}, {B.scoring(RULES)} SELECT source, count(*) AS n_paragraphs, count(*) FILTER (score >= 50) AS n_kept, round(avg(score), 6) AS avg_score, round(coalesce(avg(keyword_density) FILTER (score >= 50), 0), 9) AS avg_density FROM s GROUP BY source")
 def filter_stats(spark: SparkSession, sf: str) -> DataFrame:
-    rows = paragraphs.scored(paragraphs.split(documents(spark, sf).select("doc_id", "source", "text")), RULES)
+    rows = paragraphs.scored(paragraphs.split(texts(spark, sf).select("doc_id", "source", "text")), RULES)
     good = F.col("score") >= RULES.threshold
     return rows.groupBy("source").agg(F.count("*").alias("n_paragraphs"), F.count_if(good).alias("n_kept"), F.round(F.avg("score"), 6).alias("avg_score"), F.round(F.coalesce(F.avg(F.when(good, F.col("keyword_density"))), F.lit(0.0)), 9).alias("avg_density"))
 
@@ -95,13 +95,13 @@ def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT doc_id, round({B.density('text', RULES.keywords)}, 9) AS density, {B.count_words('text')} AS words FROM documents")
 def keyword_density(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(documents(spark, sf).select("doc_id", paragraphs.keyword_density(F.col("text"), RULES.keywords).alias("density"), T.word_count(F.col("text")).alias("words")), "density")
+    return rounded(texts(spark, sf).select("doc_id", paragraphs.keyword_density(F.col("text"), RULES.keywords).alias("density"), T.word_count(F.col("text")).alias("words")), "density")
 
 
 @query(f"SELECT doc_id, {B.any_of('text', RULES.causal)} AS causal, {B.any_of('text', ('password', 'e-mail', '.de'))} AS other, {B.citations('text')} AS citations, {B.quantity('text')} AS quantity FROM documents")
 def phrase_flags(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")
-    return documents(spark, sf).select("doc_id", T.has_any(t, RULES.causal).alias("causal"), T.has_any(t, ("password", "e-mail", ".de")).alias("other"), T.citations(t).alias("citations"), T.has_quantity(t).alias("quantity"))
+    return texts(spark, sf).select("doc_id", T.has_any(t, RULES.causal).alias("causal"), T.has_any(t, ("password", "e-mail", ".de")).alias("other"), T.citations(t).alias("citations"), T.has_quantity(t).alias("quantity"))
 
 
 _MARKED = "(SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN 'Table of Contents' || chr(10) || text WHEN 2 THEN text || chr(10) || 'Chapter 3.....17' ELSE 'see box 1.2, Figure 3.4, fig. 5.6' || chr(10) || text END AS text FROM documents)"
@@ -124,12 +124,12 @@ def word_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def sentence_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.sentence_chunks(documents(spark, sf))
+    return chunking.sentence_chunks(texts(spark, sf))
 
 
 @query()
 def chunk_stats(spark: SparkSession, sf: str) -> DataFrame:
-    docs = documents(spark, sf)
+    docs = texts(spark, sf)
     return chunking.chunk_statistics(docs, chunking.sentence_chunks(docs))
 
 
@@ -162,7 +162,7 @@ def question_keywords(spark: SparkSession, sf: str) -> DataFrame:
 @query(rf"""WITH {_TOKENS} SELECT word, count(*) AS n, any_value(length({B.strip('word')}) >= 3 AND NOT (regexp_matches({B.strip('word')}, '^[\d\s,\.%\-]+$') OR regexp_matches({B.strip('word')}, '^\d{{4}}$')
 OR regexp_matches({B.strip('word')}, '(?i)^\d[\d\s\.,]*(per\s+cent|million|billion|trillion|%)'))) AS meaningful FROM k GROUP BY word""")
 def meaningful_words(spark: SparkSession, sf: str) -> DataFrame:
-    words = documents(spark, sf).select(F.explode(T.words(F.col("text"))).alias("word"))
+    words = texts(spark, sf).select(F.explode(T.words(F.col("text"))).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("n")).withColumn("meaningful", T.meaningful(F.col("word")))
 
 
@@ -274,7 +274,7 @@ coalesce(array_to_string(list_filter(list_transform(string_split(text, chr(10)),
 def answer_clean(spark: SparkSession, sf: str) -> DataFrame:
     t, k = F.col("text"), F.col("doc_id") % 4
     logged = F.when(k == 0, F.concat(F.lit("Loading schema from the store\n"), t, F.lit("\n  Schema loaded"))).when(k == 1, F.concat(t, F.lit(" No Relevant Information here."))).when(k == 2, F.lit("All retries failed\n ")).otherwise(t)
-    return documents(spark, sf).select("doc_id", T.without_log(logged).alias("text"))
+    return texts(spark, sf).select("doc_id", T.without_log(logged).alias("text"))
 
 
 @query(rf"""SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN {B.quoted(L.NO_INFO)} ELSE upper(substr(t, 1, 1)) || substr(t, 2) END AS text, {B.strip("string_split(text, 'of ')[-1]")} AS tail FROM
