@@ -13,35 +13,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwork.llm import jaccard, mixing, pieces, secrets, toxicity
-from groundwork.llm.common import cut, table
+from groundwork.llm.common import cut, spread, table
 from groundwork.llm.queries import piece_model
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the model, learnt from the labels of the tables, does not call toxic."""
+    """The documents that the model, learnt from the labels of the tables, does not call toxic.
+
+    Null and empty texts score as the model's bias says, which is below the threshold, and stay; very long ones are
+    scored whole; repeated rows share one fate. An empty table stays empty; columns stay, whatever they are called.
+    """
     told = toxicity.scored(docs, table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"))
     return told.filter("predicted = 0").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each component of near copies."""
+    """The first document of each component of near copies: the smallest id.
+
+    Null and empty texts are copies of nothing: one row of each id stays. Rows without an id stay. Of repeated rows one
+    stays. Very long texts are whole sets; an empty table stays empty; columns stay, whatever they are called.
+    """
     return jaccard.first_of_each(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked; n_chars follows the text."""
+    """All documents, with secrets masked; n_chars follows the text.
+
+    Null texts stay null, with a null n_chars; empty ones stay empty; very long ones are masked whole. Repeated rows are
+    masked alike, overlapping secrets as one. An empty table stays empty.
+    """
     return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as it is drawn for its source."""
+    """Each document as often as it is drawn for its source.
+
+    Null sources are one source, and null ids draw as one; null, empty and very long texts are rows like any other.
+    Repeated rows draw the same number. An empty table stays empty.
+    """
     return mixing.mix(docs).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text, counted and hashed."""
+    """Ids of every text, counted and hashed: doc_id, lang, source, n_tokens, ids_sha256, decoded_sha256.
+
+    Null and empty texts have the end id alone; very long ones are encoded whole; repeated rows each get their row. An
+    empty table gives an empty one.
+    """
     return pieces.encode_decode(docs.select("doc_id", "lang", "source", "text"), piece_model()).drop("text")
 
 
@@ -60,7 +80,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; between stages the rows are written to the shared checkpoint folder."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
