@@ -1,20 +1,17 @@
 """Approximate nearest neighbours by cosine: NN-descent and greedy graph search.
 
 Equal vectors are one node, so a vector that fills a third of the table is one node too, with its smallest ids as
-members. Nodes are dealt into blocks of bounded size, cells of random hyperplanes, so that those of a block have many
-neighbours in common.
+members. A first graph comes from brute force inside small cells of random hyperplanes; a node that finds too few others
+there is held against the landmarks, so every node has edges.
 
-A first graph comes from brute force inside small cells of random hyperplanes; a node that finds too few others there
-is held against the landmarks, so every node has edges. NN-descent then improves the graph, until it is settled: the
-neighbours of a node, in both directions, are neighbours of neighbours of each other. A join brings the neighbours'
-vectors to the block of the node, each once for all nodes of the block; pairs of which one has come since the last
-round are compared, and each takes over what is nearer than its present last neighbour. A node to whose lists nothing
-new has come rests.
+NN-descent then improves the graph, until it is settled: the neighbours of a node, in both directions, are neighbours of
+neighbours of each other. A join brings them together with their vectors; pairs of which one has come to the node's lists
+since the last round are compared, and each takes over what is nearer than its present last neighbour. A node to whose
+lists nothing new has come rests.
 
 A query starts at its own node, if it has one, and at the nearest of a bounded number of landmarks. In each round the
-nearest nodes of its list that have not been opened bring their neighbours, until the list stands still; queries and
-nodes meet by the block of the node, so that neither's vector is sent for each pair. Scores are cosines in double
-precision of the original vectors.
+nearest nodes of its list that have not been opened bring their neighbours, until the list stands still. Scores are
+cosines in double precision of the original vectors.
 """
 
 from __future__ import annotations
@@ -39,8 +36,7 @@ class Settings:
     beam: int = 384  #: nodes in a query's list
     opened: int = 64  #: nodes that a query opens in a round
     landmarks: int = 256  #: entry points that every query, and every node with too few edges, is held against
-    block: int = 512  #: nodes of a block about
-    pairs: int = 200_000  #: pairs of a query and a node that one task call handles about
+    block: int = 128  #: nodes whose neighbourhoods one task call handles about
     seed: int = 11
 
 
@@ -67,7 +63,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _table(u: np.ndarray, v: np.ndarray, sim: np.ndarray, names: tuple = ("u", "v", "sim")) -> pa.Table:
+def _edges(u: np.ndarray, v: np.ndarray, sim: np.ndarray, names: tuple = ("u", "v", "sim")) -> pa.Table:
     return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(sim, pa.float64())], names=list(names))
 
 
@@ -77,32 +73,6 @@ def _top(edges: DataFrame, k: int, by: str = "u") -> DataFrame:
     return edges.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")
 
 
-def _cells(nodes: DataFrame, trees: int, bits: int, seed: int) -> DataFrame:
-    """nodes with tree and cell: on which sides of random hyperplanes each lies, once for each tree."""
-    columns = nodes.columns
-
-    def run(batches):
-        for batch in batches:
-            x = _unit(_matrix(pa.chunked_array([batch.column("vec")]))) if batch.num_rows else np.empty((0, 1))
-            planes = np.random.default_rng(seed).normal(size=(x.shape[1], trees * bits))
-            code = ((x @ planes > 0).reshape(len(x), trees, bits) * (1 << np.arange(bits))).sum(axis=2)
-            for t in range(trees):
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(x), t, np.int32)), pa.array(code[:, t], pa.int64())], names=[*columns, "tree", "cell"])
-
-    return nodes.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema), "tree int, cell long"]))
-
-
-def _bits(n: int, cell: int) -> int:
-    return max(0, int(np.ceil(np.log2(max(n / cell, 1)))))
-
-
-def blocked(nodes: DataFrame, n: int, s: Settings) -> DataFrame:
-    """id, vec, block: a crowded cell is several blocks, by hash, so that none grows with the table."""
-    placed = _cells(nodes.select("id", "vec"), 1, _bits(n, s.block), s.seed + 1)
-    size = placed.groupBy(F.col("cell").alias("_cell")).agg(F.ceil(F.count("*") / (2 * s.block)).alias("_of"))
-    return cut(placed.join(F.broadcast(size) if n < 1 << 28 else size, F.col("cell") == F.col("_cell")).select("id", "vec", F.xxhash64("cell", F.pmod(F.xxhash64("id"), F.col("_of"))).alias("block")))
-
-
 def _brute(k: int):
     """Every node of a cell with the k nearest others."""
 
@@ -115,19 +85,31 @@ def _brute(k: int):
             m = min(k, len(ids) - 1)
             if m > 0:
                 at = np.argpartition(-sims, m - 1, axis=1)[:, :m]
-                out.append(_table(np.repeat(ids[a : a + 512], m), ids[at].ravel(), np.take_along_axis(sims, at, axis=1).ravel()))
-        return pa.concat_tables(out) if out else _table(ids[:0], ids[:0], np.empty(0))
+                out.append(_edges(np.repeat(ids[a : a + 512], m), ids[at].ravel(), np.take_along_axis(sims, at, axis=1).ravel()))
+        return pa.concat_tables(out) if out else _edges(ids[:0], ids[:0], np.empty(0))
 
     return run
 
 
 def _first_graph(nodes: DataFrame, n: int, s: Settings) -> DataFrame:
-    placed = _cells(nodes.select("id", "vec"), s.trees, _bits(n, s.cell), s.seed)
+    bits = max(0, int(np.ceil(np.log2(max(n / s.cell, 1)))))
+
+    def cells(batches):
+        for batch in batches:
+            x = _unit(_matrix(pa.chunked_array([batch.column("vec")])))
+            planes = np.random.default_rng(s.seed).normal(size=(x.shape[1], s.trees * bits))
+            sign = (x @ planes > 0).reshape(len(x), s.trees, bits)
+            code = (sign * (1 << np.arange(bits))).sum(axis=2)
+            for t in range(s.trees):
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), pa.array(np.full(len(x), t, np.int32)), pa.array(code[:, t], pa.int64())], names=["id", "vec", "tree", "cell"])
+
+    kind = nodes.schema["vec"].dataType.simpleString()
+    placed = nodes.mapInArrow(cells, f"id long, vec {kind}, tree int, cell long")
     # A crowded cell is dealt out again by hash, so that none grows with the table.
     size = placed.groupBy("tree", "cell").agg(F.count("*").alias("m"))
     dealt = placed.join(size, ["tree", "cell"]).withColumn("part", F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("m") / (2 * s.cell))))
     found = dealt.groupBy("tree", "cell", "part").applyInArrow(_brute(s.neighbours), "u long, v long, sim double")
-    return cut(_top(found.groupBy("u", "v").agg(F.max("sim").alias("sim")), s.neighbours))
+    return cut(_top(found.distinct(), s.neighbours))
 
 
 def _marks(nodes: DataFrame, s: Settings) -> DataFrame:
@@ -135,86 +117,76 @@ def _marks(nodes: DataFrame, s: Settings) -> DataFrame:
     return nodes.orderBy(F.xxhash64("id", F.lit(s.seed)), "id").limit(s.landmarks)
 
 
-def _nearest_marks(rows: DataFrame, nodes: DataFrame, most: int, s: Settings) -> DataFrame:
-    """u, v, sim: the nearest landmarks of each row (id, vec)."""
+def _with_marks(nodes: DataFrame, edges: DataFrame, s: Settings) -> DataFrame:
+    """edges, where a node with fewer than it should have gets its nearest landmarks too."""
     marks = _marks(nodes, s).toArrow()
-    there, y = marks.column("id").to_numpy(), _unit(_matrix(marks.column("vec"))) if len(marks) else None
+    if not len(marks):
+        return edges
+    there, y = marks.column("id").to_numpy(), _unit(_matrix(marks.column("vec")))
 
     def near(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows if y is not None else 0, 4096):
+            for a in range(0, batch.num_rows, 4096):
                 part = batch.slice(a, 4096)
                 ids = part.column("id").to_numpy()
                 sim = _unit(_matrix(pa.chunked_array([part.column("vec")]))) @ y.T
                 sim[ids[:, None] == there[None, :]] = -np.inf
-                m = min(most, len(there))
+                m = min(s.neighbours, len(there))
                 at = np.argpartition(-sim, m - 1, axis=1)[:, :m]
                 sim = np.take_along_axis(sim, at, axis=1).ravel()
                 u, v = np.repeat(ids, m), there[at].ravel()
-                yield from _table(u[sim > -2], v[sim > -2], sim[sim > -2]).to_batches()
-
-    return rows.select("id", "vec").mapInArrow(near, "u long, v long, sim double")
-
+                yield from _edges(u[sim > -2], v[sim > -2], sim[sim > -2]).to_batches()
 
-def _with_marks(nodes: DataFrame, edges: DataFrame, s: Settings) -> DataFrame:
-    """edges, where a node with fewer than it should have gets its nearest landmarks too."""
     full = edges.groupBy("u").count().filter(F.col("count") >= s.neighbours).select(F.col("u").alias("id"))
-    more = _nearest_marks(nodes.join(full, "id", "left_anti"), nodes, s.neighbours, s)
+    more = nodes.join(full, "id", "left_anti").mapInArrow(near, "u long, v long, sim double")
     return cut(_top(edges.union(more).groupBy("u", "v").agg(F.max("sim").alias("sim")), s.neighbours))
 
 
-def _local_join(k: int):
-    """Of nodes that meet at those of a block: pairs, one of them new, that are nearer than a node's present last neighbour."""
-
-    def run(lists: pa.Table, brought: pa.Table) -> pa.Table:
-        ids = brought.column("id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, last = ids[order], brought.column("last").to_numpy()[order]
-        x = _unit(_matrix(brought.column("vec")))[order] if len(ids) else np.empty((0, 1))
-        us, vs, sims = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
-        for met, olds in zip(lists.column("ids").combine_chunks(), lists.column("olds").combine_chunks(), strict=True):
-            at, old = np.searchsorted(ids, met.values.to_numpy()), olds.values.to_numpy()
-            by = np.lexsort((old, at))
-            by = by[np.r_[True, np.diff(at[by]) != 0]]
-            at, new = at[by], old[by] == 0
-            sim = x[at] @ x[at].T
-            good = (sim > last[at][:, None]) & (new[:, None] | new[None, :])
-            np.fill_diagonal(good, False)
-            i, j = np.nonzero(good)
-            us.append(at[i])
-            vs.append(at[j])
-            sims.append(sim[i, j])
-        u, v, sim = np.concatenate(us), np.concatenate(vs), np.concatenate(sims)
-        # A pair that met at several nodes of this block is told once, and of each node what can be among its k nearest.
-        order = np.lexsort((v, u))
-        u, v, sim = u[order], v[order], sim[order]
-        new = np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])] if len(u) else np.empty(0, bool)
-        u, v, sim = u[new], v[new], sim[new]
-        order = np.lexsort((v, -sim, u))
-        starts = np.flatnonzero(np.r_[True, np.diff(u[order]) != 0]) if len(u) else np.empty(0, np.int64)
-        order = order[np.arange(len(u)) - np.repeat(starts, np.diff(np.r_[starts, len(u)])) < k]
-        return _table(ids[u[order]], ids[v[order]], sim[order])
-
-    return run
+def _local_join(group: pa.Table) -> pa.Table:
+    """Of nodes that meet at w: pairs, one of them new there, that are nearer than a node's present last neighbour."""
+    w, ids, last, old = (group.column(c).to_numpy() for c in ("w", "id", "last", "old"))
+    x = _unit(_matrix(group.column("vec")))
+    order = np.lexsort((old, ids, w))
+    w, ids, last, old, x = w[order], ids[order], last[order], old[order], x[order]
+    # A node that is in both lists of w is there once, as new if either has it so.
+    once = np.r_[True, (w[1:] != w[:-1]) | (ids[1:] != ids[:-1])]
+    w, ids, last, new, x = w[once], ids[once], last[once], old[once] == 0, x[once]
+    starts = np.flatnonzero(np.r_[True, w[1:] != w[:-1]]).tolist()
+    us, vs, sims = [], [], []
+    for a, b in zip(starts, [*starts[1:], len(w)], strict=True):
+        sim = x[a:b] @ x[a:b].T
+        good = (sim > last[a:b, None]) & (new[a:b, None] | new[None, a:b])
+        np.fill_diagonal(good, False)
+        i, j = np.nonzero(good)
+        us.append(ids[a:b][i])
+        vs.append(ids[a:b][j])
+        sims.append(sim[i, j])
+    u, v, sim = np.concatenate(us), np.concatenate(vs), np.concatenate(sims)
+    # A pair that met at several nodes of this block is told once.
+    order = np.lexsort((v, u))
+    u, v, sim = u[order], v[order], sim[order]
+    new = np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])] if len(u) else np.empty(0, bool)
+    return _edges(u[new], v[new], sim[new])
 
 
 def graph(nodes: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """u, v, sim: the neighbours of each node (id, vec, block), by NN-descent."""
-    first = _first_graph(nodes, nodes.count(), s)
-    start = _with_marks(nodes, first, s)
-    release(first)
-    done, edges = start, start.withColumn("old", F.lit(0))
-    home = nodes.select(F.col("id").alias("_id"), "block")
+    """u, v, sim: the neighbours of each node (id, vec), by NN-descent."""
+    n = nodes.count()
+    first = _first_graph(nodes, n, s)
+    done = _with_marks(nodes, first, s)
+    if done is not first:
+        release(first)
+    edges = done.select("u", "v", "sim", F.lit(0).alias("old"))
+    blocks = max(1, n // s.block)
     # It ends: a round with a change has brought some node a nearer neighbour.
     while True:
         back = _top(edges.select(F.col("v").alias("w"), F.col("u").alias("v"), "sim", "old"), s.neighbours, "w").select("w", "v", "old")
-        met = edges.select(F.col("u").alias("w"), "v", "old").union(back).groupBy("w").agg(F.collect_list(F.struct("v", "old")).alias("met"), F.min("old").alias("some"))
-        lists = met.filter("some = 0").join(home, F.col("w") == F.col("_id")).select("block", F.col("met.v").alias("ids"), F.col("met.old").alias("olds"))
-        last = edges.groupBy(F.col("u").alias("_u")).agg(F.min("sim").alias("_min"), F.count("*").alias("_n"))
-        known = nodes.select("id", "vec").join(last, F.col("id") == F.col("_u"), "left").select("id", "vec", F.when(F.col("_n") >= s.neighbours, F.col("_min")).otherwise(F.lit(-2.0)).alias("last"))
-        brought = lists.select("block", F.explode("ids").alias("id")).distinct().join(known, "id")
-        brought = brought.select(F.col("block").alias("_block"), F.col("id").alias("id"), "vec", "last")
-        near = lists.groupBy("block").cogroup(brought.groupBy("_block")).applyInArrow(_local_join(s.neighbours), "u long, v long, sim double")
+        lists = edges.select(F.col("u").alias("w"), "v", "old").union(back).groupBy("w").agg(F.collect_list(F.struct(F.col("v").alias("id"), "old")).alias("met"), F.min("old").alias("some"))
+        meet = lists.filter("some = 0").select("w", F.explode("met").alias("m")).select("w", "m.id", "m.old")
+        last = edges.groupBy("u").agg(F.min("sim").alias("_min"), F.count("*").alias("_n")).select(F.col("u").alias("_u"), F.when(F.col("_n") >= s.neighbours, F.col("_min")).otherwise(F.lit(-2.0)).alias("last"))
+        known = nodes.join(last, nodes["id"] == last["_u"], "left").select("id", "vec", F.coalesce("last", F.lit(-2.0)).alias("last"))
+        brought = meet.join(known, "id").withColumn("block", F.pmod(F.xxhash64("w"), F.lit(blocks)))
+        near = brought.groupBy("block").applyInArrow(_local_join, "u long, v long, sim double")
         # One pair's cosine may differ in its last digits from task to task: the largest stands for it.
         merged = edges.select("u", "v", "sim", F.lit(1).alias("old")).unionByName(near.withColumn("old", F.lit(0))).groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("old").alias("old"))
         before, done = done, cut(_top(merged, s.neighbours))
@@ -222,59 +194,42 @@ def graph(nodes: DataFrame, s: Settings = Settings()) -> DataFrame:
         edges = done
         changed, total = done.agg(F.count_if(F.col("old") == 0), F.count("*")).first()
         if changed <= s.settled * total:
-            return edges.select("u", "v", "sim")
-
-
-def _measured(asked: pa.Table, brought: pa.Table) -> pa.Table:
-    """q, v, sim of the queries (q, qvec, vs) and nodes (id, vec) of a block."""
-    ids = brought.column("id").to_numpy()
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], (_unit(_matrix(brought.column("vec")))[order] if len(ids) else np.empty((0, 1)))
-    y = _unit(_matrix(asked.column("qvec"))) if len(asked) else np.empty((0, 1))
-    lists = asked.column("vs").combine_chunks()
-    size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) if len(asked) else np.empty(0, np.int64)
-    flat = lists.flatten().to_numpy(zero_copy_only=False) if len(asked) else np.empty(0, np.int64)
-    whose, at = np.repeat(np.arange(len(asked)), size), np.searchsorted(ids, flat)
-    sim = np.empty(len(flat))
-    for a in range(0, len(flat), 16384):
-        sim[a : a + 16384] = np.einsum("ij,ij->i", y[whose[a : a + 16384]], x[at[a : a + 16384]])
-    return _table(asked.column("q").to_numpy()[whose] if len(asked) else flat, flat, sim, ("q", "v", "sim"))
+            out = done.select("u", "v", "sim")
+            out._groundwork_path = done._groundwork_path
+            return out
 
 
-def _sims(pairs: DataFrame, queries: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
-    """q, v, sim of pairs (q, v): queries and nodes are brought together by the node's block, each once.
-
-    A block that very many queries reach is handled in several calls, by hash of the query.
-    """
-    placed = pairs.join(nodes.select(F.col("id").alias("v"), "block"), "v")
-    size = placed.groupBy(F.col("block").alias("_block")).agg(F.ceil(F.count("*") / s.pairs).alias("_of"))
-    dealt = placed.join(size, F.col("block") == F.col("_block")).withColumn("part", F.pmod(F.xxhash64("q"), F.col("_of")))
-    asked = dealt.groupBy("block", "part", "q").agg(F.collect_list("v").alias("vs")).join(queries.select("q", "qvec"), "q")
-    brought = dealt.select("block", "part", F.col("v").alias("id")).distinct().join(nodes.select("id", "vec"), "id")
-    brought = brought.select(F.col("block").alias("_block"), F.col("part").alias("_part"), F.col("id").alias("id"), "vec")
-    return asked.groupBy("block", "part").cogroup(brought.groupBy("_block", "_part")).applyInArrow(_measured, "q long, v long, sim double")
+def _cosines(batches):
+    """q, v, sim of rows (q, v, query's vector, node's vector)."""
+    for batch in batches:
+        if batch.num_rows:
+            a, b = (_matrix(pa.chunked_array([batch.column(c)])) for c in ("qvec", "vec"))
+            a, b = a / np.abs(a).max(axis=1, keepdims=True), b / np.abs(b).max(axis=1, keepdims=True)
+            sim = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+            yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("v"), pa.array(sim)], names=["q", "v", "sim"])
 
 
 def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """q, v, sim: for queries (q, qvec, own node or null) the list of nearest nodes (id, vec, block) that greedy search ends with."""
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    near = cut(both.distinct())
-    marks = _nearest_marks(queries.select(F.col("q").alias("id"), F.col("qvec").alias("vec")), nodes, 4, s).select(F.col("u").alias("q"), "v")
-    start = marks.union(queries.filter("own is not null").select("q", F.col("own").alias("v"))).distinct()
-    held = cut(_sims(start, queries, nodes, s).withColumn("opened", F.lit(False)))
+    """q, v, sim: for queries (q, qvec, own node or null) the list of nearest nodes that greedy search ends with."""
+    both = cut(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    start = queries.select("q", "qvec").join(F.broadcast(_marks(nodes, s).select(F.col("id").alias("v"), "vec")), F.lit(True)).select("q", "v", "qvec", "vec")
+    best = _top(start.mapInArrow(_cosines, "q long, v long, sim double"), 4, "q")
+    own = queries.filter("own is not null").select("q", F.col("own").alias("v"), "qvec").join(nodes, F.col("v") == F.col("id")).select("q", "v", "qvec", "vec").mapInArrow(_cosines, "q long, v long, sim double")
+    held = cut(best.union(own).groupBy("q", "v").agg(F.max("sim").alias("sim")).withColumn("opened", F.lit(False)))
     # It ends: the lists only get nearer, and a node on a list is opened once.
     while True:
         place = F.row_number().over(Window.partitionBy("q").orderBy("opened", F.desc("sim"), "v"))
         ranked = held.withColumn("open", (place <= s.opened) & ~F.col("opened"))
         opening = ranked.filter("open").select("q", F.col("v").alias("u"))
-        if held.filter(~F.col("opened")).isEmpty():
+        if opening.isEmpty():
             break
-        reached = opening.join(near, "u").select("q", "v").distinct().join(held.select("q", "v"), ["q", "v"], "left_anti")
-        merged = ranked.select("q", "v", "sim", (F.col("opened") | F.col("open")).alias("opened")).unionByName(_sims(reached, queries, nodes, s).withColumn("opened", F.lit(False)))
+        reached = opening.join(both, "u").select("q", "v").distinct().join(held.select("q", "v"), ["q", "v"], "left_anti")
+        seen = reached.join(queries.select("q", "qvec"), "q").join(nodes, F.col("v") == F.col("id")).select("q", "v", "qvec", "vec").mapInArrow(_cosines, "q long, v long, sim double")
+        merged = ranked.select("q", "v", "sim", (F.col("opened") | F.col("open")).alias("opened")).unionByName(seen.withColumn("opened", F.lit(False)))
         # Opened nodes that fall off the list would only be reached again: the list is what counts.
         before, held = held, cut(_top(merged, s.beam, "q"))
         release(before)
-    release(near)
+    release(both)
     return held.select("q", "v", "sim")
 
 
@@ -292,21 +247,21 @@ def nearest(vectors: DataFrame, queries: Callable[[Column], Column], k: int = 5,
     # Of equal vectors only the k + 1 smallest ids can ever be told.
     alike = Window.partitionBy("vec").orderBy("id")
     ranked = rows.withColumn("rn", F.row_number().over(alike)).filter(F.col("rn") <= k + 1).withColumn("node", F.min("id").over(Window.partitionBy("vec")))
-    # Two vectors under one id are two nodes: a node is named by the id and, where it must be, by its vector.
-    named = F.when(F.col("twice") > 1, F.xxhash64("node", "vec")).otherwise(F.col("node"))
-    heads = ranked.filter("rn = 1").withColumn("twice", F.count("*").over(Window.partitionBy("node"))).select(named.alias("id"), "vec")
-    plain = cut(heads)
-    members = cut(ranked.select("vec", F.col("id").alias("member")).join(plain, "vec").select(F.col("id").alias("node"), "member"))
-    nodes = blocked(plain, plain.count(), s)
+    # Two vectors under one id are two nodes: such a node is named by its vector too.
+    twice = F.size(F.collect_set("vec").over(Window.partitionBy("node"))) > 1
+    members = cut(ranked.withColumn("node", F.when(twice, F.xxhash64("node", "vec")).otherwise(F.col("node"))).select("node", F.col("id").alias("member"), F.when(F.col("rn") == 1, F.col("vec")).alias("vec")))
+    nodes = cut(members.filter("vec is not null").select(F.col("node").alias("id"), "vec"))
     asked = rows.filter(queries(F.col("id"))).select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"))
-    asked = cut(asked.join(nodes.select(F.col("id").alias("own"), F.col("vec").alias("qvec")), "qvec").select("query_id", "own"))
-    once = cut(asked.select("own").distinct().join(nodes.select(F.col("id").alias("own"), F.col("vec").alias("qvec")), "own").select(F.col("own").alias("q"), "qvec", "own"))
-    edges = cut(graph(nodes, s))
+    own = nodes.select(F.col("id").alias("own"), F.col("vec").alias("_vec"))
+    asked = cut(asked.join(own, asked["qvec"] == own["_vec"]).select("query_id", "qvec", "own"))
+    once = cut(asked.groupBy(F.col("own").alias("q")).agg(F.any_value("qvec").alias("qvec")).withColumn("own", F.col("q")))
+    edges = graph(nodes, s)
     found = search(once, nodes, edges, s)
-    told = found.join(members, found["v"] == members["node"]).select("q", "sim", "member")
-    # An id may stand on several vectors; its own id is passed over below.
+    release(edges)
+    told = found.join(members.select("node", "member"), found["v"] == members["node"]).select("q", "sim", "member")
+    # Of an id that stands on several vectors more rows may be passed over below.
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "member"))
-    best = told.withColumn("rank", rank).filter(F.col("rank") <= 2 * k + 1).groupBy("q").agg(F.array_sort(F.collect_list(F.struct(F.col("rank"), "sim", "member"))).alias("best"))
-    mine = asked.join(best, F.col("own") == F.col("q")).select("query_id", F.slice(F.filter("best", lambda x: x["member"] != F.col("query_id")), 1, k).alias("best"))
+    best = told.withColumn("rank", rank).filter(F.col("rank") <= 2 * k + 1).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", "sim", "member"))).alias("best"))
+    mine = asked.join(best, asked["own"] == best["q"]).select("query_id", F.slice(F.filter("best", lambda x: x["member"] != F.col("query_id")), 1, k).alias("best"))
     out = mine.select("query_id", F.posexplode("best").alias("place", "x"))
     return out.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("x.member").alias("vec_id"), F.col("x.sim").alias("score"))

@@ -241,7 +241,7 @@ def test_every_node_has_edges(spark):
     x = np.concatenate([rng.normal(size=(20, 1, 12)).repeat(25, 1).reshape(-1, 12) + 0.01 * rng.normal(size=(500, 12)), rng.normal(size=(100, 12))])
     nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
     s = neighbours.Settings(neighbours=8, trees=1, cell=1, landmarks=32)
-    edges = neighbours.graph(neighbours.blocked(nodes, 600, s), s).collect()
+    edges = neighbours.graph(nodes, s).collect()
     assert {e["u"] for e in edges} == set(range(600)) and all(e["u"] != e["v"] for e in edges)
 
 
