@@ -329,3 +329,60 @@ def test_urls_as_of(spark):
     assert urls.judge(df.limit(0), urls.entries(spark, listed)).count() == 0
     assert urls.judge(df, urls.entries(spark, listed).limit(0)).filter("blocked").count() == 0
     assert sorted(r["page_id"] for r in urls.filtered(df, urls.entries(spark, listed)).collect()) == [0, 3, 4, *range(6, 12)]
+
+
+def plain_edit(held, sums, shards):
+    """The next map: slots stay while their shard's running sum is at most the mean, the rest go to the least filled."""
+    size = {v: sums.get(v, 0) for v in held}
+    mean, out, load, pool = math.ceil(sum(size.values()) / shards), {}, [0] * shards, []
+    running = Counter()
+    for v in sorted(held, key=lambda v: (-size[v], v)):
+        running[held[v]] += size[v]
+        if held[v] < shards and running[held[v]] <= mean:
+            out[v] = held[v]
+            load[held[v]] += size[v]
+        else:
+            pool.append(v)
+    for v in pool:
+        k = load.index(min(load))
+        out[v] = k
+        load[k] += size[v]
+    return out
+
+
+@pytest.mark.parametrize("shards", [3, 4, 5])
+def test_map_edits_equal_a_plain_version(spark, shards):
+    r = random.Random(shards)
+    held = {v: r.randrange(4) for v in range(64)}
+    sums = {v: r.choice((0, 5, 5, 40, 300)) for v in range(0, 64, 1 + shards % 2)}
+    slot_map = spark.createDataFrame([(1, v, k) for v, k in held.items()] + [(0, v, 0) for v in held], "version int, vslot int, shard int")
+    table = spark.createDataFrame([(v, b, 1) for v, b in sums.items()], "vslot int, bytes long, n long")
+    got = sharding.edited(slot_map, table, shards).collect()
+    assert {x["vslot"]: x["shard"] for x in got} == plain_edit(held, sums, shards) and {x["version"] for x in got} == {2}
+
+
+def test_chunks_meet_what_a_plain_dedup_by_digest_finds(spark):
+    """Chunks of the gear hash over bytes: equal chunks of two texts are found by their digests, insertions or not."""
+    r = random.Random(12)
+    body = "".join(r.choice("abcdefghij ") for _ in range(3000))
+    moved = body[:700] + "inserted" + body[700:]
+    raw = [np.frombuffer(t.encode(), np.uint8) for t in (body, moved)]
+    cut = [np.split(x, substrings.boundaries(x)[:-1]) for x in raw]
+    one, two = ({c.tobytes() for c in chunks} for chunks in cut)
+    assert len(one & two) >= len(one) - 3
+
+
+def test_first_of_each_with_ties(spark):
+    rows = [(5, "a b c d e f"), (5, "q r s t u v"), (2, "k l m n o p"), (3, "a1 b1 c1 d1 e1"), (3, "k l m n o p"), (3, "")]
+    got = sorted((r["doc_id"], r["text"]) for r in jaccard.first_of_each(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == sorted([(5, "a b c d e f"), (5, "q r s t u v"), (2, "k l m n o p"), (3, "a1 b1 c1 d1 e1"), (3, "")])
+
+
+def test_blocks_of_any_size_find_the_same_links(spark, monkeypatch):
+    """Small blocks: many pairs of blocks, bands and passes over hubs switched off."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 3)
+    monkeypatch.setattr(jaccard, "HUB_ROUNDS", 0)
+    monkeypatch.setattr(jaccard, "HOT", 2)
+    docs = made_corpus(6)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(spark.createDataFrame(list(docs.items()), SCHEMA)).collect()}
+    assert got == brute_components(docs)

@@ -240,3 +240,65 @@ def test_queries_hold_all_rows(spark, folder):
     n = spark.read.parquet(f"{folder}/documents.parquet").count()
     for name in ("op1_secrets", "op4_quality", "op7_pieces", "op8_toxicity"):
         assert Q.queries()[name](spark, folder).count() == n
+
+
+def plain_ftrl(rows, s):
+    """FTRL-proximal one coordinate at a time, with dictionaries."""
+    import math
+
+    import numpy as np
+
+    features = [sorted(set(toxicity.Featurizer(s.bits)([t])[0].tolist())) for t, _ in rows]
+    ones = sum(y for _, y in rows)
+    share = (ones + 0.5) / (len(rows) + 1)
+    bias, bias_n, z, n = math.log(share / (1 - share)), 1.0, {}, {}
+    order, l1, chosen = np.random.default_rng(7), s.l1 * math.sqrt(len(rows)), None
+
+    def weight(k):
+        x = z.get(k, 0.0)
+        return 0.0 if abs(x) <= l1 else -(x - math.copysign(l1, x)) / ((s.beta + math.sqrt(n.get(k, 0.0))) / s.alpha + s.l2)
+
+    for turn in range(s.passes + s.more):
+        if turn == s.passes:
+            chosen = {k for k in z if abs(z[k]) > l1}
+            z, n, l1 = {}, {}, 0.0
+        for i in order.permutation(len(rows)):
+            at = [k for k in features[i] if chosen is None or k in chosen]
+            w = [weight(k) for k in at]
+            g = 1 / (1 + math.exp(-max(-35, min(35, bias + sum(w))))) - rows[i][1]
+            for k, x in zip(at, w, strict=True):
+                sigma = (math.sqrt(n.get(k, 0.0) + g * g) - math.sqrt(n.get(k, 0.0))) / s.alpha
+                z[k] = z.get(k, 0.0) + g - sigma * x
+                n[k] = n.get(k, 0.0) + g * g
+            bias_n += g * g
+            bias -= 0.1 * g / math.sqrt(bias_n)
+    return bias, {k: weight(k) for k in z if z[k]}
+
+
+def test_ftrl_equals_a_plain_loop():
+    import random
+
+    r = random.Random(3)
+    rows = [(" ".join(r.choice(["nasty", "vile"] if i % 3 == 0 and k == 4 else [f"w{r.randrange(60)}"]) for k in range(12)), int(i % 3 == 0)) for i in range(120)]
+    s = toxicity.Settings(bits=14)
+    fitted, (bias, told) = toxicity.fit(rows, s), plain_ftrl(rows, s)
+    assert fitted.bias == pytest.approx(bias) and told
+    assert dict(zip(fitted.at.tolist(), fitted.value.tolist(), strict=True)) == pytest.approx(told)
+
+
+def test_calibration_tells_true_shares():
+    """Of texts that are told a probability of about p, a share of about p is good."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    margin = r.normal(0, 3, 20_000)
+    y = (r.random(20_000) < 1 / (1 + np.exp(-(0.5 * margin + 1)))).astype(float)
+    slope, offset = quality._platt(margin, y)
+    assert slope == pytest.approx(0.5, abs=0.03) and offset == pytest.approx(1, abs=0.06)
+    p = 1 / (1 + np.exp(-(slope * margin + offset)))
+    for low in np.arange(0, 1, 0.1):
+        some = (p >= low) & (p < low + 0.1)
+        assert some.sum() < 200 or y[some].mean() == pytest.approx(p[some].mean(), abs=0.05)
+    # The plain optimum: the gradient of the smoothed likelihood is 0.
+    target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+    assert abs(np.dot(p - target, margin)) < 0.05 and abs((p - target).sum()) < 0.05
