@@ -19,14 +19,19 @@ from groundwork.llm.queries import piece_model
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _whole(docs: DataFrame, *columns: str) -> DataFrame:
+    """The rows as one column, so that nothing that an operator adds can clash with theirs, and the columns that it needs."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole"), *columns)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the model, learnt from the labels of the tables, does not call toxic.
 
     Null and empty texts score as the model's bias says, which is below the threshold, and stay; very long ones are
     scored whole; repeated rows share one fate. An empty table stays empty; columns stay, whatever they are called.
     """
-    told = toxicity.scored(docs, table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"))
-    return told.filter("predicted = 0").select(*docs.columns)
+    told = toxicity.scored(_whole(docs, "doc_id", "text"), table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"))
+    return told.filter("predicted = 0").select("_whole.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null sources are one source, and null ids draw as one; null, empty and very long texts are rows like any other.
     Repeated rows draw the same number. An empty table stays empty.
     """
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(_whole(docs, "doc_id", "source")).select("_whole.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
