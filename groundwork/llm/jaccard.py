@@ -15,7 +15,7 @@
    required overlap is a link. No pair of sets is ever a row: a task tells at most one link for each of its sets.
 5. Connected components of the links.
 
-Nothing is capped: lists, groups and candidates of any size go through. Sets are named by 128-bit digests; shingles are
+Nothing is capped: lists, groups and candidates of any size go through. Sets are named by 96-bit digests (two of 10**13 sets share one with a chance of 1 in 1,000); shingles are
 told apart by 48 bits and the number of the part that they fall in (modulo 4,096).
 """
 
@@ -43,6 +43,8 @@ HUB_BLOCK = 256
 HUB_ROUNDS, GAIN, HEAD = 6, 0.1, 8
 #: Sets that a task remembers so as not to send the shingles of copies again.
 SEEN = 200_000
+#: Bytes of a set's name.
+NAME = 12
 #: Documents with one set from which the lookup of their component is dealt over several tasks.
 HOT = 100_000
 #: The published constant of DivideSkip: how much longer a probe of the long lists takes than a step of the merge.
@@ -110,13 +112,14 @@ def _pack(part: np.ndarray, owner: np.ndarray, ident: np.ndarray, token: np.ndar
     count = count.astype("<u2")
     edges = np.searchsorted(part[starts], np.arange(parts + 1))
     places = np.r_[starts, len(part)]
-    name = ident[owner[starts]].astype("<u8")
+    name = ident[owner[starts]]
+    name, rest = name[:, 0].astype("<u8"), name[:, 1].astype("<u4")
     low, high = token.astype("<u4"), (token >> np.uint64(32)).astype("<u2")
     more = extra[order].astype("<u2") if extra is not None else None
     for p in np.unique(part).tolist():
         a, b = edges[p], edges[p + 1]
         at = slice(places[a], places[b])
-        yield p, b"".join([np.array([b - a], "<u8").tobytes(), name[a:b].tobytes(), count[a:b].tobytes(), low[at].tobytes(), high[at].tobytes(), *([more[at].tobytes()] if more is not None else [])])
+        yield p, b"".join([np.array([b - a], "<u8").tobytes(), name[a:b].tobytes(), rest[a:b].tobytes(), count[a:b].tobytes(), low[at].tobytes(), high[at].tobytes(), *([more[at].tobytes()] if more is not None else [])])
 
 
 def _unpack(data: list[tuple[int, bytes]], extra: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,7 +130,7 @@ def _unpack(data: list[tuple[int, bytes]], extra: bool) -> tuple[np.ndarray, np.
     heads, total = [], 0
     for _, blob in data:
         k = int(np.frombuffer(blob, "<u8", 1)[0])
-        heads.append((k, int(np.frombuffer(blob, "<u2", k, 8 + 16 * k).sum(dtype=np.int64))))
+        heads.append((k, int(np.frombuffer(blob, "<u2", k, 8 + 12 * k).sum(dtype=np.int64))))
         total += heads[-1][1]
     sets = sum(k for k, _ in heads)
     ident = np.empty((sets, 2), np.uint64)
@@ -135,9 +138,9 @@ def _unpack(data: list[tuple[int, bytes]], extra: bool) -> tuple[np.ndarray, np.
     s, t = sets, total
     while data:
         (part, blob), (k, m) = data.pop(), heads.pop()
-        s, t, at = s - k, t - m, 8 + 18 * k
-        ident[s : s + k] = np.frombuffer(blob, "<u8", 2 * k, 8).reshape(k, 2)
-        owner[t : t + m] = np.repeat(np.arange(s, s + k, dtype=np.uint32), np.frombuffer(blob, "<u2", k, 8 + 16 * k))
+        s, t, at = s - k, t - m, 8 + 14 * k
+        ident[s : s + k, 0], ident[s : s + k, 1] = np.frombuffer(blob, "<u8", k, 8), np.frombuffer(blob, "<u4", k, 8 + 8 * k)
+        owner[t : t + m] = np.repeat(np.arange(s, s + k, dtype=np.uint32), np.frombuffer(blob, "<u2", k, 8 + 12 * k))
         token[t : t + m] = np.frombuffer(blob, "<u2", m, at + 6 * m) if extra else part & 4095
         token[t : t + m] <<= np.uint64(16)
         token[t : t + m] |= np.frombuffer(blob, "<u2", m, at + 4 * m)
@@ -161,7 +164,7 @@ def _numbered(ident: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _names(ident: np.ndarray) -> pa.Array:
-    return pa.array([x.tobytes() for x in ident.astype("<u8")], pa.binary())
+    return pa.array([x.tobytes()[:NAME] for x in ident.astype("<u8")], pa.binary())
 
 
 #: Kinds of rows: packed shingles; documents; names and sizes of the sets of a part.
@@ -175,7 +178,7 @@ def _shingled(parts: int):
         for batch in slices(batches, 4096, most=4_000_000):
             sets = shingle_sets(batch.column(1).to_pylist(), memo)
             # The digest of the set names it; an empty set has no name.
-            names = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
+            names = [xxhash.xxh3_128_digest(x.tobytes())[:NAME] if len(x) else None for x in sets]
             # Rows of documents are dealt by themselves, so copies of one set are not together.
             spread = mix(batch.column(0).fill_null(0).to_numpy().astype(np.uint64) ^ batch.column(2).to_numpy().astype(np.uint64)) % np.uint64(parts)
             yield _batch(spread.tolist(), _DOCUMENT, pa.array(names, pa.binary()), [len(x) for x in sets], None, batch.column(0), batch.column(2))
@@ -189,7 +192,7 @@ def _shingled(parts: int):
             if fresh:
                 token = np.concatenate([sets[k] for k in fresh])
                 size = np.array([len(sets[k]) for k in fresh])
-                ident = np.frombuffer(b"".join([names[k] for k in fresh]), "<u8").reshape(-1, 2)
+                ident = np.frombuffer(b"".join([names[k].ljust(16, b"\0") for k in fresh]), "<u8").reshape(-1, 2)
                 part = ((token >> np.uint64(48)) * np.uint64(parts) >> np.uint64(16)).astype(np.int64)
                 packed = list(_pack(part, np.repeat(np.arange(len(fresh)), size), ident, token & _MASK, None, parts))
                 yield _batch([p for p, _ in packed], _PACKED, blob=[x for _, x in packed])
