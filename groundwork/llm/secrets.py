@@ -208,12 +208,13 @@ def scan_sql(entropy: Entropy = Entropy()) -> str:
     """digest(scan(documents)) in SQL; every window of a candidate is measured by itself."""
     n, long = entropy.window, f"'{entropy.candidate[:-1]}{{{entropy.window},}}'"
     allowed = " OR ".join("regexp_matches(c, '" + a + "')" for a in entropy.allow if "\\1" not in a)
+    least = f"CASE WHEN regexp_matches(c, '^[0-9a-fA-F]+$') THEN {entropy.least_hex} " + "".join(f"WHEN regexp_matches(c, '{p}') THEN {bits} " for p, bits in entropy.classes) + f"ELSE {entropy.least_base64} END"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 base AS ({_base_sql()}),
 c0 AS (SELECT doc_id, unnest(ms) AS c, unnest(list_transform(range(1, len(ms) + 1), lambda i: list_sum(list_transform(gs[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1 : i - 1], lambda g: length(g))), 0))) AS s
        FROM (SELECT doc_id, regexp_extract_all(t, {long}) AS ms, string_split_regex(t, {long}) AS gs FROM d)),
-c1 AS (SELECT *, CASE WHEN regexp_matches(c, '^[0-9a-fA-F]+$') THEN {entropy.least_hex} ELSE {entropy.least_base64} END AS least FROM c0 WHERE NOT ({allowed}) AND replace(c, c[1], '') <> ''),
+c1 AS (SELECT *, {least} AS least FROM c0 WHERE NOT ({allowed}) AND replace(c, c[1], '') <> ''),
 win AS (SELECT doc_id, s, least, unnest(range(0, length(c) - {n - 1})) AS k, c FROM c1),
 chars AS (SELECT doc_id, s, least, k, unnest(string_split(substr(c, k + 1, {n}), '')) AS ch FROM win),
 cnt AS (SELECT doc_id, s, least, k, ch, count(*) AS n FROM chars GROUP BY ALL),
