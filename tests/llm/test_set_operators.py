@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -386,3 +387,30 @@ def test_blocks_of_any_size_find_the_same_links(spark, monkeypatch):
     docs = made_corpus(6)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(spark.createDataFrame(list(docs.items()), SCHEMA)).collect()}
     assert got == brute_components(docs)
+
+
+def test_names_that_agree_in_what_is_sent_fail():
+    def entries(*names: list[int]) -> pa.RecordBatch:
+        told = np.zeros(len(names), jaccard._ENTRY)
+        told["ident"], told["n"] = np.array(names, np.uint64), 1
+        return jaccard._batch([0], jaccard._SIZES, blob=[told.tobytes()])
+
+    def packed(*names: list[int]) -> pa.RecordBatch:
+        token, extra = np.arange(len(names), dtype=np.uint64), np.zeros(len(names), np.uint64)
+        blobs = list(jaccard._pack(np.zeros(len(names), np.int64), np.arange(len(names)), np.array(names, np.uint64), token, extra, 1))
+        return jaccard._batch([p for p, _ in blobs], jaccard._PACKED, blob=[x for _, x in blobs])
+
+    apart = [5, 1 << 16 | 3], [6, 3]
+    [good] = jaccard._gathered(iter([entries(*apart), packed(*apart)]))
+    assert sorted(x.as_py() for x in good["ident"]) == sorted(np.array(x, "<u8").tobytes()[:12] for x in apart)
+    alike = [5, 1 << 16 | 3], [5, 3]
+    with pytest.raises(ValueError, match="80 bits"):
+        list(jaccard._gathered(iter([entries(*alike), packed(*alike)])))
+
+
+@pytest.mark.parametrize("n", [1, 254, 255, 256, 511, 70_000])
+def test_packed_shingles_come_back(n):
+    token = np.arange(n + 3, dtype=np.uint64) * np.uint64(1 << 27)
+    owner, ident = np.r_[np.zeros(n, np.int64), 1, 1, 1], np.array([[1 << 63, 9], [7, 65535]], np.uint64)
+    names, whose, back = jaccard._unpack(list(jaccard._pack(owner % 1, owner, ident, token, None, 1)), False)
+    assert (names[whose] == ident[owner]).all() and (back & jaccard._MASK == token).all()
