@@ -1,7 +1,9 @@
 """Secrets, pieces, quality and toxicity against plain versions, and their odd cases."""
 
 import hashlib
+import random
 import re
+import string
 import zlib
 
 import pytest
@@ -302,3 +304,17 @@ def test_calibration_tells_true_shares():
     # The plain optimum: the gradient of the smoothed likelihood is 0.
     target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
     assert abs(np.dot(p - target, margin)) < 0.05 and abs((p - target).sum()) < 0.05
+
+
+def test_secrets_sql_knows_every_class(spark):
+    import duckdb
+    import pandas as pd
+
+    pick = random.Random(5)
+    made = [string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", "0123456789abcdef", "abc1", "aA1bB2"]
+    rows = [(i, " ".join("".join(pick.choices(made[i % len(made)], k=pick.randint(18, 60))) for _ in range(3)) + " password = hunter2x") for i in range(70)] + [(900, None), (901, "")]
+    found = secrets.digest(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"))).toPandas().sort_values("doc_id").reset_index(drop=True)
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    told = con.sql(secrets.scan_sql()).df().sort_values("doc_id").reset_index(drop=True)[list(found.columns)]
+    assert found.astype(str).equals(told.astype(str)) and found["spans"].str.contains("entropy").sum() > 20
