@@ -92,8 +92,8 @@ def test_scores(spark):
     rows = spark.createDataFrame([(good,), (bad,)], "text string")
     a, b = paragraphs.scored(rows).collect()
     assert a["score"] == 100 and a["word_count"] == 16
-    assert a["breakdown"] == {"base": 50, "keywords": 30, "causal": 15, "quantitative": 15, "impact": 10, "length": 5}
-    assert b["score"] == 20 and b["breakdown"] == {"base": 50, "meta": -20, "wrong_length": -10}
+    assert a["breakdown"] == {"base": 50, "climate_keywords": 30, "causal_language": 15, "quantitative_data": 15, "impact_language": 10, "proper_length": 5}
+    assert b["score"] == 20 and b["breakdown"] == {"base": 50, "meta_organizational": -20, "wrong_length": -10}
 
 
 def test_filter_keeps_empty_documents(spark):
