@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm import jaccard, mixing, neighbours, quality, secrets, sharding, substrings, toxicity, urls
+from groundwork.llm import jaccard, merkle, mixing, neighbours, quality, secrets, sharding, stamps, substrings, toxicity, urls
 from groundwork.llm.common import spread, table
 from groundwork.llm.pieces import encode_decode
 
@@ -62,6 +62,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered(F.col("doc_id"), F.col("text"))))
+
+
+def op13_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stamps.normalised(table(spark, sf_dir, "stamps"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": op1_secrets,
@@ -74,8 +82,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_substrings": op9_substrings,
         "op10_mixing": op10_mixing,
+        "op11_merkle": op11_merkle,
+        "op13_stamps": op13_stamps,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": secrets.scan_sql(), "op2_jaccard": jaccard.JOIN_SQL, "op3_urls": urls.JUDGE_SQL, "op10_mixing": mixing.MIX_SQL}
+    return {"op1_secrets": secrets.scan_sql(), "op2_jaccard": jaccard.JOIN_SQL, "op3_urls": urls.JUDGE_SQL, "op10_mixing": mixing.MIX_SQL, "op11_merkle": merkle.MANIFEST_SQL, "op13_stamps": stamps.STAMPS_SQL}
