@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm import jaccard, merkle, mixing, neighbours, quality, secrets, sharding, stamps, substrings, toxicity, urls
+from groundwork.llm import jaccard, merkle, mixing, neighbours, quality, secrets, sharding, stamps, substrings, toxicity, urls, words
 from groundwork.llm.common import spread, table
 from groundwork.llm.pieces import encode_decode
 
@@ -18,6 +18,12 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def byte_pairs() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -66,6 +72,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digest(merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered(F.col("doc_id"), F.col("text"))))
 
 
+def op12_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words.encode_decode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), byte_pairs())
+
+
 def op13_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stamps.normalised(table(spark, sf_dir, "stamps"))
 
@@ -83,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_substrings": op9_substrings,
         "op10_mixing": op10_mixing,
         "op11_merkle": op11_merkle,
+        "op12_words": op12_words,
         "op13_stamps": op13_stamps,
     }
 
