@@ -279,14 +279,16 @@ def normalised(stamps: DataFrame, verdict_bytes: int = VERDICT_BYTES) -> DataFra
     """
     spark = stamps.sparkSession
     rows = stamps.select(F.col("stamp_id").cast("long"), F.col("source").cast("string"), F.col("zone").cast("string"), F.col("raw").cast("string"))
-    scanned = cut(spark.createDataFrame(rows.rdd.mapPartitions(_scan_all), SCANNED, verifySchema=False))
+    # Nulls are settled without the scanner, and in the plan of the result.
+    nulls = rows.filter(F.col("raw").isNull()).select("stamp_id", F.lit(None).cast("long").alias("utc_us"), F.lit("bad").alias("rule"), F.lit(False).alias("ambiguous"))
+    scanned = cut(spark.createDataFrame(rows.filter(F.col("raw").isNotNull()).rdd.mapPartitions(_scan_all), SCANNED, verifySchema=False))
     decided = verdicts(scanned)
     if decided.map(lambda x: 4 * len(x[0] or "") + ENTRY_BYTES).sum() > verdict_bytes:
         done = _with_verdicts(scanned, decided).map(lambda row: finish(row[:7], row[7]))
     else:
         known = spark.sparkContext.broadcast(decided.collectAsMap())
         done = scanned.rdd.mapPartitions(lambda part: (finish(row, known.value.get(row[1])) for row in part))
-    return spark.createDataFrame(done, FINISHED, verifySchema=False)
+    return spark.createDataFrame(done, FINISHED, verifySchema=False).union(nulls)
 
 
 #: The same rows in SQL: forms by one pattern each, offsets from a zone's half hours.
