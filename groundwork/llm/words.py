@@ -31,7 +31,7 @@ from groundwork.llm.common import partitions
 
 SLICE_BYTES = 16_000_000  #: of texts in a slice; a longer text is a slice of its own
 BUCKETS = 2  #: for each shuffle partition, against memory
-FLUSH = 200_000  #: words of a bucket's answers that are packed at a time
+FLUSH = 100_000  #: words whose answers are packed at a time
 LATIN = 0x250  #: characters below are looked at when a worker starts, others when they turn up
 
 #: What splits a text into words before any merge.
@@ -259,10 +259,10 @@ def _merged(asked):
 
 
 def word_table(asked: DataFrame, path: str) -> DataFrame:
-    """bucket, word, uses, ids (array<int>), piece (array<binary>): a row for each distinct word of the corpus.
+    """word, uses (with the first id alone), at, id, piece: the ids of each distinct word of the corpus, in their order.
 
-    ids come from the merges; each id meets its piece in a join, and pieces stand in the order of the ids. All of it
-    stays where the bucket's rows are: grouping by bucket and word needs no other shuffle.
+    ids come from the merges, and each meets its piece in a join. A word's rows follow each other in one task: explode
+    and a broadcast join keep the order of rows, so no shuffle has to bring them together again.
     """
 
     @F.pandas_udf("array<int>")
@@ -272,11 +272,9 @@ def word_table(asked: DataFrame, path: str) -> DataFrame:
     # Spark would run a deterministic function once more, to leave out words without ids before it explodes them.
     encoded, merged = encoded.asNondeterministic(), F.udf(_merged, "array<struct<word:string,uses:binary>>").asNondeterministic()
     met = asked.groupBy("bucket").agg(F.collect_list(F.struct("slice", "first", "words")).alias("asked"))
-    words = met.select("bucket", F.explode(merged("asked")).alias("w")).select("bucket", "w.word", "w.uses")
-    each = words.withColumn("ids", encoded("word")).select("bucket", "word", "uses", F.posexplode("ids").alias("at", "id"))
-    each = each.withColumn("uses", F.when(F.col("at") == 0, F.col("uses")))
-    told = each.join(F.broadcast(pieces(asked.sparkSession, path)), "id").groupBy("bucket", "word").agg(F.first("uses", ignorenulls=True).alias("uses"), F.sort_array(F.collect_list(F.struct("at", "id", "piece"))).alias("all"))
-    return told.select("bucket", "word", "uses", F.col("all.id").alias("ids"), F.col("all.piece").alias("pieces"))
+    words = met.select(F.explode(merged("asked")).alias("w")).select("w.word", "w.uses")
+    each = words.withColumn("ids", encoded("word")).select("word", "uses", F.posexplode("ids").alias("at", "id"))
+    return each.join(F.broadcast(pieces(asked.sparkSession, path)), "id").select("word", F.when(F.col("at") == 0, F.col("uses")).alias("uses"), "at", "id", "piece")
 
 
 ANSWERED = "slice long, answer binary"
@@ -303,15 +301,21 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     uses, of, ids, texts = [], [], [], []
     for batch in batches:
-        column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-        for use, own, made in zip(column["uses"].to_pylist(), column["ids"].to_pylist(), column["pieces"].to_pylist(), strict=True):
+        column = {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
+        for use, at, own, made in zip(column["uses"], column["at"], column["id"], column["piece"], strict=True):
+            if at:
+                if not ids or len(ids[-1]) != at:
+                    raise RuntimeError("a word's ids do not follow each other")
+                ids[-1].append(own)
+                texts[-1] += made
+                continue
+            if len(uses) > FLUSH:
+                yield packed(uses, of, ids, texts)
+                uses, of, ids, texts = [], [], [], []
             uses.append(use)
             of.append(len(use) // _USE.itemsize)
-            ids.append(own)
-            texts.append(b"".join(made))
-        if sum(of) > FLUSH:
-            yield packed(uses, of, ids, texts)
-            uses, of, ids, texts = [], [], [], []
+            ids.append([own])
+            texts.append(made)
     if uses:
         yield packed(uses, of, ids, texts)
 
