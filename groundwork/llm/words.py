@@ -182,6 +182,14 @@ def _unpack_numbers(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.stack(planes, axis=1)).view(">u4").ravel().astype(np.int64)
 
 
+class Numbered(dict):
+    """Word to its number, in the order of first appearance."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 SLICED = "slice long, keys array<long>, counts array<int>, numbers binary, firsts array<int>, words array<binary>"
 
 
@@ -194,11 +202,11 @@ def _sliced(path: str, buckets: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
         part, done = TaskContext.get().partitionId(), 0
-        keys, counts, words, size = [], [], [], 0
+        keys, counts, codes, seen, size = [], [], [], Numbered(), 0
 
         def packed() -> pa.RecordBatch:
             nonlocal done
-            code, distinct = pd.factorize(np.array([*words, None], dtype=object)[:-1])
+            code, distinct = np.concatenate(codes), list(seen)
             often = np.bincount(code, minlength=len(distinct))
             bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in distinct), np.int64, len(distinct))
             order = np.lexsort((-often, bucket))
@@ -212,8 +220,7 @@ def _sliced(path: str, buckets: int, most: int):
             rank = np.empty(len(order), np.int64)
             rank[by_rank] = np.arange(len(order))
             stored = _pack_numbers(number[by_rank]) if len(order) else b""
-            codes = _pack_numbers(rank[code]) if len(code) else b""
-            blob = len(stored).to_bytes(8, "little") + stored + codes
+            blob = len(stored).to_bytes(8, "little") + stored + (_pack_numbers(rank[code]) if len(code) else b"")
             row = [[(part << 32) + done], [keys], [counts], [blob], [edges[:-1]], [blobs]]
             done += 1
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.binary())]
@@ -224,10 +231,10 @@ def _sliced(path: str, buckets: int, most: int):
                 found = encoder.words(text) if text else []
                 if keys and size + len(text or "") > most:
                     yield packed()
-                    keys, counts, words, size = [], [], [], 0
+                    keys, counts, codes, seen, size = [], [], [], Numbered(), 0
                 keys.append(key)
                 counts.append(len(found))
-                words += found
+                codes.append(np.fromiter(map(seen.__getitem__, found), np.uint32, len(found)))
                 size += len(text or "")
         if keys:
             yield packed()
