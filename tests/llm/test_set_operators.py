@@ -170,15 +170,42 @@ def test_passages_on_the_tables(spark):
     assert {x["doc_id"]: tuple([tuple(p) for p in x[c]] for c in ("passages", "removed")) for x in substrings.passages(df).collect()} == brute_passages(docs)
 
 
-@given(st.binary(max_size=600), st.integers(0, 300))
-@settings(max_examples=60, deadline=None)
-def test_chunk_borders_come_back_after_an_insertion(data, at):
-    raw = np.frombuffer(data.replace(b"\x80", b"a"), np.uint8) & 0x7F
-    ends = set(substrings.boundaries(raw).tolist())
-    assert not len(raw) or max(ends) == len(raw)
-    at = min(at, len(raw))
-    moved = set(substrings.boundaries(np.r_[raw[:at], np.frombuffer(b"xyz", np.uint8), raw[at:]]).tolist())
-    assert {e + 3 for e in ends if e >= at + 32} == {e for e in moved if e >= at + 35}
+@given(st.lists(st.integers(0, 5), max_size=200), st.integers(0, 200), st.integers(2, 30))
+@settings(max_examples=100, deadline=None)
+def test_chunk_borders_come_back_after_an_insertion(numbers, at, size):
+    words = substrings.mix(np.array(numbers, np.uint64) + np.uint64(1))
+    at = min(at, len(words))
+    moved = np.r_[words[:at], substrings.mix(np.array([77, 78, 79], np.uint64)), words[at:]]
+    g, w = substrings.shape(size)
+    assert 2 * w + g - 1 <= size
+    one, two = substrings.borders(words, size), substrings.borders(moved, size)
+    assert (one[at:] + 3 == two[at + 3 :]).all()
+    whole = max(0, at - w - g + 2)
+    assert (one[:whole] == two[:whole]).all()
+
+
+@given(st.lists(st.integers(0, 3), min_size=2, max_size=40), st.lists(st.integers(0, 3), max_size=30), st.lists(st.integers(0, 3), max_size=30), st.integers(2, 25))
+@settings(max_examples=200, deadline=None)
+def test_a_window_has_the_same_chunk_wherever_it_stands(run, before, after, size):
+    text = lambda xs: " ".join("abcd"[x] for x in xs)
+    _, first, _, _, chunk, digest = substrings.windows([text(run)], size)
+    _, there, _, _, chunk2, digest2 = substrings.windows([text(before + run + after), text(after)], size)
+    known = {(int(d), int(c)) for d, c in zip(digest2, chunk2)}
+    assert len(first) == max(0, len(run) - size + 1) and {(int(d), int(c)) for d, c in zip(digest, chunk)} <= known
+    assert len({d for d, _ in known}) == len(known)
+
+
+@given(st.data())
+@settings(max_examples=40, deadline=None)
+def test_packed_windows_come_back(data):
+    n = data.draw(st.integers(1, 60))
+    r = np.random.default_rng(n)
+    rows = np.zeros(n, substrings._WINDOW)
+    rows["doc"], rows["word"], rows["start"], rows["size"], rows["seen"] = np.sort(r.integers(-(1 << 63), 1 << 62, 5))[r.integers(0, 5, n)], r.integers(0, 50, n), r.integers(0, 1 << 30, n), r.integers(0, 1 << 20, n), r.integers(0, 3, n)
+    if data.draw(st.booleans()):
+        rows["chunk"], rows["tail"] = r.integers(0, 1 << 63, 4)[r.integers(0, 4, n)], r.integers(0, 1 << (8 * substrings.TAIL), n)
+    part = np.sort(r.integers(0, 3, n))
+    assert (substrings._unpacked(iter([substrings._packed(part, rows)])) == rows).all()
 
 
 def test_neighbours(spark):
@@ -362,15 +389,21 @@ def test_map_edits_equal_a_plain_version(spark, shards):
     assert {x["vslot"]: x["shard"] for x in got} == plain_edit(held, sums, shards) and {x["version"] for x in got} == {2}
 
 
-def test_chunks_meet_what_a_plain_dedup_by_digest_finds(spark):
-    """Chunks of the gear hash over bytes: equal chunks of two texts are found by their digests, insertions or not."""
-    r = random.Random(12)
-    body = "".join(r.choice("abcdefghij ") for _ in range(3000))
-    moved = body[:700] + "inserted" + body[700:]
-    raw = [np.frombuffer(t.encode(), np.uint8) for t in (body, moved)]
-    cut = [np.split(x, substrings.boundaries(x)[:-1]) for x in raw]
-    one, two = ({c.tobytes() for c in chunks} for chunks in cut)
-    assert len(one & two) >= len(one) - 3
+def test_other_columns_and_very_long_texts_of_passages(spark):
+    r = random.Random(4)
+    docs = {1: " ".join(f"w{r.randrange(9000)}" for _ in range(60_000)), 2: "a b c d e f g h i j k l m n o p q r s t u v", 3: "x", 4: None}
+    docs[5] = "y " + docs[1][200_000:201_000] + " z " + docs[2]
+    df = spark.createDataFrame(list(docs.items()), SCHEMA).withColumn("part", F.lit("clash")).withColumn("blob", F.lit("clash")).withColumn("doc", F.lit("clash"))
+    got = {x["doc_id"]: tuple([tuple(p) for p in x[c]] for c in ("passages", "removed")) for x in substrings.passages(df).collect()}
+    assert set(got) == {1, 2, 5} and got == brute_passages(docs)
+
+
+@pytest.mark.parametrize("size", [2, 5, 9, 33])
+def test_passages_of_other_lengths(spark, size):
+    r = random.Random(size)
+    docs = {k: " ".join(r.choice("abcdefgh") for _ in range(r.randrange(60))) for k in range(30)} | {k: " ".join(f"w{r.randrange(60)}" for _ in range(80)) for k in range(30, 60)}
+    got = {x["doc_id"]: tuple([tuple(p) for p in x[c]] for c in ("passages", "removed")) for x in substrings.passages(spark.createDataFrame(list(docs.items()), SCHEMA).repartition(4), least_words=size).collect()}
+    assert got == brute_passages(docs, size)
 
 
 def test_first_of_each_with_ties(spark):
