@@ -18,7 +18,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
@@ -256,13 +255,25 @@ ASKED = "bucket int, slice long, first int, words binary"
 _USE = np.dtype([("slice", "<i8"), ("number", "<u4")])
 
 
-def _merged(asked):
-    """The distinct words of a bucket, each with its uses: which slices hold it, and its number there."""
-    uses: dict[bytes, list[tuple[int, int]]] = {}
-    for row in asked:
-        for number, word in enumerate(_unpack(row["words"]).split(_GAP), row["first"]):
-            uses.setdefault(word, []).append((row["slice"], number))
-    return [(word.decode(), np.array(x, _USE).tobytes()) for word, x in uses.items()]
+def _distinct(path: str):
+    """The distinct words of each bucket with their uses (which slices hold one, and its number there) and ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_of(path)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                uses: dict[bytes, list[tuple[int, int]]] = {}
+                for row in batch.column(0)[k].as_py():
+                    for number, word in enumerate(_unpack(row["words"]).split(_GAP), row["first"]):
+                        uses.setdefault(word, []).append((row["slice"], number))
+                words = [word.decode() for word in uses]
+                held = [np.array(x, _USE).tobytes() for x in uses.values()]
+                for a in range(0, len(words), 10_000):
+                    some = words[a : a + 10_000]
+                    columns = [pa.array(some, pa.string()), pa.array(held[a : a + 10_000], pa.binary()), pa.array(encoder.encode_all(some), pa.list_(pa.int32()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["word", "uses", "ids"])
+
+    return run, "word string, uses binary, ids array<int>"
 
 
 def word_table(asked: DataFrame, path: str) -> DataFrame:
@@ -271,16 +282,8 @@ def word_table(asked: DataFrame, path: str) -> DataFrame:
     ids come from the merges, and each meets its piece in a join. A word's rows follow each other in one task: explode
     and a broadcast join keep the order of rows, so no shuffle has to bring them together again.
     """
-
-    @F.pandas_udf("array<int>")
-    def encoded(words: pd.Series) -> pd.Series:
-        return pd.Series(encoder_of(path).encode_all(words.tolist()))
-
-    # Spark would run a deterministic function once more, to leave out words without ids before it explodes them.
-    encoded, merged = encoded.asNondeterministic(), F.udf(_merged, "array<struct<word:string,uses:binary>>").asNondeterministic()
-    met = asked.groupBy("bucket").agg(F.collect_list(F.struct("slice", "first", "words")).alias("asked"))
-    words = met.select(F.explode(merged("asked")).alias("w")).select("w.word", "w.uses")
-    each = words.withColumn("ids", encoded("word")).select("word", "uses", F.posexplode("ids").alias("at", "id"))
+    met = asked.groupBy("bucket").agg(F.collect_list(F.struct("slice", "first", "words")).alias("asked")).select("asked")
+    each = met.mapInArrow(*_distinct(path)).select("word", "uses", F.posexplode("ids").alias("at", "id"))
     return each.join(F.broadcast(pieces(asked.sparkSession, path)), "id").select("word", F.when(F.col("at") == 0, F.col("uses")).alias("uses"), "at", "id", "piece")
 
 
