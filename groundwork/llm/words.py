@@ -31,6 +31,7 @@ from groundwork.llm.common import partitions
 SLICE_BYTES = 16_000_000  #: of texts in a slice; a longer text is a slice of its own
 BUCKETS = 2  #: for each shuffle partition, against memory
 FLUSH = 100_000  #: words whose answers are packed at a time
+BITS = 24  #: of an id within a number that holds two
 LATIN = 0x250  #: characters below are looked at when a worker starts, others when they turn up
 
 #: What splits a text into words before any merge.
@@ -76,8 +77,8 @@ class Encoder:
         self.single = [vocab[bytes([b])] for b in range(256)]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         as_bytes = lambda p: bytes(self.byte_of[c] for c in p)
-        #: (left id, right id) to (rank, merged id)
-        self.merges = {(vocab[a], vocab[b]): (k, vocab[a + b]) for k, (a, b) in enumerate((as_bytes(x), as_bytes(y)) for x, y in merges)}
+        #: left id and right id, as one number, to rank and merged id, as one number
+        self.merges = {vocab[a] << BITS | vocab[b]: k << BITS | vocab[a + b] for k, (a, b) in enumerate((as_bytes(x), as_bytes(y)) for x, y in merges)}
         self.find = regex.compile(PATTERN).findall
         self.beyond = re.compile(f"[^\\x00-{chr(LATIN - 1)}]").search
         self.agreed: set[str] = set()
@@ -117,22 +118,19 @@ class Encoder:
         if (own := self.added.get(word)) is not None:
             return [own]
         ids = [self.single[b] for b in word.encode()]
-        merge = self.merges.get
-        none = (1 << 60, 0)
-        while len(ids) > 1:
-            found = [merge(pair, none) for pair in zip(ids, ids[1:])]
-            rank, made = min(found)
-            if rank == none[0]:
-                break
-            out, k, last = [], 0, len(ids) - 1
+        merge, none = self.merges.get, 1 << 62
+        found = [merge(a << BITS | b, none) for a, b in zip(ids, ids[1:])]
+        while found and (best := min(found)) < none:
+            out, k, last, made = [], 0, len(found), best & (1 << BITS) - 1
             while k <= last:
-                if k < last and found[k][0] == rank:
+                if k < last and found[k] == best:
                     out.append(made)
                     k += 2
                 else:
                     out.append(ids[k])
                     k += 1
             ids = out
+            found = [merge(a << BITS | b, none) for a, b in zip(ids, ids[1:])]
         return ids
 
     def encode_all(self, words: list[str]) -> list[list[int]]:
