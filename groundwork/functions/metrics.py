@@ -1,9 +1,9 @@
-"""Text similarity: ROUGE-L, METEOR (exact and stem stages) and greedy token matching. Arrow batches, row by row inside."""
+"""Text similarity: ROUGE-L, METEOR and greedy token matching. Arrow batches, row by row inside."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Collection, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -106,19 +106,48 @@ def rouge_l_of(reference: str | None, answer: str | None, stem: bool = True) ->
     return 2 * (n / len(a)) * (n / len(r)) / (n / len(a) + n / len(r)) if n else 0.0
 
 
-def meteor_of(reference: str | None, answer: str | None) -> float:
-    """Exact, then stem matches; 10PR/(R+9P), less half the cube of chunks over matches. No synonym lexicon is at hand."""
-    r, a = (re.findall(r"\w+|[^\w\s]", (x or "").lower()) for x in (reference, answer))
+def alignment(answer: list[str], reference: list[str], stages: Sequence[Callable[[str], Collection[str]]]) -> dict[int, int]:
+    """Places of the answer's words to places of the reference's, stage by stage: two words match if a stage gives them a
+    form in common.
+
+    A stage goes from the answer's last word back to its first, and each word takes the last of the reference's words
+    that is still free: of words that repeat, later ones meet later ones.
+    """
     pairs: dict[int, int] = {}
-    free = dict.fromkeys(range(len(r)))
-    for of in (lambda x: x, stemmer):
+    free = list(range(len(reference)))
+    for forms in stages:
         waiting: dict[str, list[int]] = {}
         for j in free:
-            waiting.setdefault(of(r[j]), []).append(j)
-        for i, x in enumerate(a):
-            if i not in pairs and (places := waiting.get(of(x))):
-                pairs[i] = places.pop(0)
-                del free[pairs[i]]
+            for form in forms(reference[j]):
+                waiting.setdefault(form, []).append(j)
+        taken: set[int] = set()
+        for i in range(len(answer) - 1, -1, -1):
+            if i in pairs:
+                continue
+            last = -1
+            for form in forms(answer[i]):
+                places = waiting.get(form, [])
+                while places and places[-1] in taken:
+                    places.pop()
+                last = max(last, places[-1] if places else -1)
+            if last >= 0:
+                pairs[i] = last
+                taken.add(last)
+        free = [j for j in free if j not in taken]
+    return pairs
+
+
+def meteor_of(reference: str | None, answer: str | None, synonyms: Mapping[str, Collection[str]] | None = None) -> float:
+    """Exact matches, then stems, then synonyms; 10PR / (R + 9P), less half the cube of chunks over matches.
+
+    ``synonyms`` gives for a word the sets that it stands in (names of groups of synonyms); without it the third stage is
+    left out. Null and empty texts score 0.
+    """
+    r, a = (re.findall(r"\w+|[^\w\s]", (x or "").lower()) for x in (reference, answer))
+    stages: list[Callable[[str], Collection[str]]] = [lambda x: (x,), lambda x: (stemmer(x),)]
+    if synonyms:
+        stages.append(lambda x: synonyms.get(x, ()))
+    pairs = alignment(a, r, stages)
     m = len(pairs)
     if not m:
         return 0.0
@@ -146,10 +175,12 @@ def rouge_l(reference: Column, answer: Column, stem: bool = True) -> Column:
     return run(reference, answer)
 
 
-def meteor(reference: Column, answer: Column) -> Column:
+def meteor(reference: Column, answer: Column, synonyms: Mapping[str, Collection[str]] | None = None) -> Column:
+    """meteor_of for each row; a table of synonyms travels with the function, so it is one of a fixed size."""
+
     @F.pandas_udf("double")
     def run(r: pd.Series, a: pd.Series) -> pd.Series:
-        return pd.Series([meteor_of(x, y) for x, y in zip(r, a, strict=True)], dtype=float)
+        return pd.Series([meteor_of(x, y, synonyms) for x, y in zip(r, a, strict=True)], dtype=float)
 
     return run(reference, answer)
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundwork.functions import lexicon as L
 from groundwork.functions import metrics as M
+from groundwork.operators.quantiles import exact_quantiles
+from groundwork.sources.shared import stored
 
 TAGS = ("correct", "partial", "hallucinated")
 
@@ -62,8 +65,14 @@ def factual_metrics(rows: DataFrame, by: Sequence[str] = ("model_config",), refe
 
 
 def similarity_summary(rows: DataFrame, encoder, by: Sequence[str] = (), reference: str = "reference", answer: str = "answer") -> DataFrame:
-    """Mean and exact median of the token match by a given encoder."""
-    return rows.withColumn("_f", M.greedy_f1(F.col(reference), F.col(answer), encoder)).groupBy(*by).agg(F.avg("_f").alias("mean"), F.median("_f").alias("median"))
+    """Mean and exact median of the token match by a given encoder; the median without gathering a group's values."""
+    told = stored(rows.select(*by, M.greedy_f1(F.col(reference), F.col(answer), encoder).alias("_f")))
+    means, medians = told.groupBy(*by).agg(F.avg("_f").alias("mean")), exact_quantiles(told, "_f", [0.5], by).select(*by, F.col("value").alias("median"))
+    if not by:
+        return means.join(F.broadcast(medians), how="left")  # one row each
+    renamed = medians.withColumnsRenamed({c: f"_m{i}" for i, c in enumerate(by)})
+    hit = reduce(lambda x, y: x & y, [means[c].eqNullSafe(renamed[f"_m{i}"]) for i, c in enumerate(by)])
+    return means.join(renamed, hit, "left").select(*[means[c] for c in by], "mean", "median")
 
 
 def union(tables: dict[str, DataFrame], column: str = "model_config") -> DataFrame:

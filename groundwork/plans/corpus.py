@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from groundwork.functions import lexicon as L
 from groundwork.functions import text as T
 from groundwork.operators import chunking, paragraphs
+from groundwork.operators.quantiles import exact_quantiles, histogram
 from groundwork.plans import base as B
 from groundwork.plans.base import RULES, documents, rounded, table, texts
 
@@ -69,13 +70,13 @@ def filter_stats_by_document(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: The default lists, over texts that speak of their subject.
-_SUBJECT = "(SELECT doc_id, source, ['Rising CO2 causes warming by 3 % and 2 meters of sea level rise. ', 'This chapter thanks the University, see Figure 1. ', 'Emissions from coal burning lead to drought; research shows high confidence (Smith et al., 2020) (Lee, 2019) [3]. ', ''][doc_id % 4 + 1] || left(text, 400) AS text FROM documents)"
+_SUBJECT = "(SELECT doc_id, source, ['Rising CO2 causes warming by 3 % and 2 meters of sea level rise. ', 'This chapter thanks the University, see Figure 1. ', 'Emissions from coal burning lead to drought; research shows high confidence (Smith et al., 2020) (Lee, 2019) [3]. ', ''][doc_id % 4 + 1] || text AS text FROM documents)"
 
 
 @query(f"WITH p AS (SELECT doc_id, source, 0 AS para_idx, text FROM {_SUBJECT}), {B.scoring(paragraphs.Rules())} SELECT doc_id, word_count, round(keyword_density, 9) AS keyword_density, breakdown, score FROM s")
 def subject_scores(spark: SparkSession, sf: str) -> DataFrame:
     lead = F.element_at(F.array(*[F.lit(x) for x in ("Rising CO2 causes warming by 3 % and 2 meters of sea level rise. ", "This chapter thanks the University, see Figure 1. ", "Emissions from coal burning lead to drought; research shows high confidence (Smith et al., 2020) (Lee, 2019) [3]. ", "")]), (F.col("doc_id") % 4 + 1).cast("int"))
-    rows = paragraphs.scored(documents(spark, sf).select("doc_id", F.concat(lead, F.substring("text", 1, 400)).alias("text")))
+    rows = paragraphs.scored(documents(spark, sf).select("doc_id", F.concat(lead, F.col("text")).alias("text")))
     told = F.array_join(F.transform(F.map_entries("breakdown"), lambda x: F.concat_ws("=", x["key"], x["value"])), ";")
     return rows.select("doc_id", "word_count", F.round("keyword_density", 9).alias("keyword_density"), told.alias("breakdown"), "score")
 
@@ -342,4 +343,16 @@ def length_distribution(spark: SparkSession, sf: str) -> DataFrame:
     return p.select(F.explode(F.arrays_zip(names.alias("percentile_label"), F.col("p").alias("value"))).alias("r")).select("r.*")
 
 
+@query("""SELECT source, round(p, 4) AS probability, round(quantile_cont(n_chars, p), 6) AS value FROM documents, (VALUES (0.05), (0.25), (0.5), (0.75), (0.95)) t(p) GROUP BY source, p""".replace("quantile_cont(n_chars, p)", "CASE p WHEN 0.05 THEN quantile_cont(n_chars, 0.05) WHEN 0.25 THEN quantile_cont(n_chars, 0.25) WHEN 0.5 THEN quantile_cont(n_chars, 0.5) WHEN 0.75 THEN quantile_cont(n_chars, 0.75) ELSE quantile_cont(n_chars, 0.95) END"))
+def length_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact quantiles of the lengths by source, without gathering a source."""
+    return exact_quantiles(documents(spark, sf), "n_chars", [0.05, 0.25, 0.5, 0.75, 0.95], ["source"]).select("source", F.round("probability", 4).alias("probability"), F.round("value", 6).alias("value"))
+
+
+@query("""WITH r AS (SELECT lang, min(n_chars)::DOUBLE AS low, (max(n_chars) - min(n_chars)) / 20.0::DOUBLE AS w, count(*) AS total FROM documents GROUP BY 1)
+SELECT lang, bin, count(*) AS n, round(count(*) / (total * w), 12) AS density FROM (SELECT lang, low, w, total, least(floor((n_chars - low) / w), 19)::INT AS bin FROM documents JOIN r USING (lang)) GROUP BY lang, bin, total, w""")
+def length_density(spark: SparkSession, sf: str) -> DataFrame:
+    return histogram(documents(spark, sf), "n_chars", 20, ["lang"]).select("lang", "bin", "n", F.round("density", 12).alias("density"))
+
+
 S["answer_postprocess"] = _post_sql()

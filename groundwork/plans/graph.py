@@ -119,14 +119,15 @@ def _labels(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(x,) for x in LABELS], "canonical_label string")
 
 
-@query(f"WITH {_MATRIX} SELECT * FROM m")
+@query(f"WITH {_E}, {_MATRIX.replace(f'SELECT unnest({_LABELS}) AS label', 'SELECT DISTINCT canonical_label AS label FROM e')} SELECT * FROM m")
 def relation_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return K.relation_matrix(_labels(spark))
+    """Of the labels that entities of the corpus have."""
+    return K.relation_matrix(entities(spark, sf).select("canonical_label").distinct())
 
 
 @query(f"WITH {_E} SELECT a.canonical_label AS label_a, b.canonical_label AS label_b, count(*) AS n FROM e a JOIN e b ON a.chunk_id = b.chunk_id AND a.seq <> b.seq GROUP BY ALL")
 def cooccur_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return K.cooccurring(entities(spark, sf)).groupBy(F.col("canonical_label_a").alias("label_a"), F.col("canonical_label_b").alias("label_b")).agg(F.count("*").alias("n"))
+    return K.cooccurrence(entities(spark, sf))
 
 
 _TRIPLES = f"""{_E}, {_MATRIX},

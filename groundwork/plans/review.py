@@ -74,7 +74,7 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
 def evidence(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations").withColumn("idx", (F.row_number().over(Window.partitionBy("conv_id", F.col("role") == "assistant").orderBy("turn")) - 1).cast("int"))
     kind = F.when(F.col("role") == "system", "entity").otherwise("triple")
-    kg = turns.filter("role <> 'assistant'").select(F.col("conv_id").alias("question_id"), kind.alias("kind"), "idx", F.concat(F.col("role"), F.lit(": "), F.substring("text", 1, 80)).alias("shown"), "text", "turn").withColumnRenamed("text", "body")
+    kg = turns.filter("role <> 'assistant'").select(F.col("conv_id").alias("question_id"), kind.alias("kind"), "idx", F.concat(F.col("role"), F.lit(": "), F.col("text")).alias("shown"), "text", "turn").withColumnRenamed("text", "body")
     first = table(spark, sf, "conversations").filter("role = 'user'").groupBy(F.col("conv_id").alias("question_id")).agg(F.min("turn").alias("_first"))
     kg = kg.join(first, "question_id").filter(F.col("turn") != F.col("_first")).drop("turn", "_first")
     texts = turns.filter("role = 'assistant'").select(F.col("conv_id").alias("question_id"), "idx", "text", F.lit(None).cast("double").alias("score"), F.when(F.col("turn") % 2 == 0, F.length("text") / 1000.0).cast("double").alias("rerank_score"))
@@ -88,7 +88,7 @@ def _lex(q: str, t: str) -> str:
 
 _EVIDENCE = f"""q AS (SELECT conv_id AS question_id, min_by(text, turn) AS question, min(turn) AS first FROM conversations WHERE role = 'user' GROUP BY 1),
 tu AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role = 'assistant' ORDER BY turn) - 1 AS idx FROM conversations),
-kg AS (SELECT question_id, 'kg' AS source, CASE WHEN role = 'system' THEN 'entity' ELSE 'triple' END AS kind, idx, role || ': ' || substr(text, 1, 80) AS display, {_lex("question", "text")} AS s FROM tu JOIN q ON q.question_id = tu.conv_id WHERE role <> 'assistant' AND turn <> first),
+kg AS (SELECT question_id, 'kg' AS source, CASE WHEN role = 'system' THEN 'entity' ELSE 'triple' END AS kind, idx, role || ': ' || text AS display, {_lex("question", "text")} AS s FROM tu JOIN q ON q.question_id = tu.conv_id WHERE role <> 'assistant' AND turn <> first),
 ca AS (SELECT question_id, source, kind, idx, display, CASE WHEN s = 0 THEN 1.0::DOUBLE / (idx + 1) ELSE s END AS score_raw FROM kg
 UNION ALL SELECT conv_id, 'text', 'chunk', idx, substr(text, 1, 300), coalesce(CASE WHEN turn % 2 = 0 THEN length(text) / 1000.0::DOUBLE END, 1.0::DOUBLE / (idx + 1)) FROM tu WHERE role = 'assistant'),
 no AS (SELECT *, min(score_raw) OVER w AS lo, max(score_raw) OVER w AS hi FROM ca WINDOW w AS (PARTITION BY question_id, source)),
