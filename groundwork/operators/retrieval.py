@@ -7,62 +7,97 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from groundwork.functions import lexicon as L
 from groundwork.functions import text as T
+from groundwork.sources.shared import stored
 
-#: Bytes of the queries of one call, which go to every task as one matrix, and queries that a batch meets at once.
-QUERY_BYTES, QUERY_BLOCK = 256 << 20, 512
+#: Bytes of a query set that goes to every task as one matrix, and queries that a batch meets at once.
+QUERY_BYTES, QUERY_BLOCK = 16 << 20, 512
+#: Bytes of the queries and of the vectors of one cell, where a larger query set and all vectors form a grid.
+CELL_QUERIES, CELL_VECTORS = 64 << 20, 32 << 20
 
 
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "vec_id", vector: str = "embedding", metric: str = "l2") -> DataFrame:
+def _nearest(ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: int, metric: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of some vectors and queries: numbers of queries, ids and distances of at least the best k for each query."""
+    order = np.argsort(ids, kind="stable")
+    x, ids = x[order], ids[order]
+    for a in range(0, len(q), QUERY_BLOCK):
+        some = q[a : a + QUERY_BLOCK]
+        if metric == "l2":
+            near = (x * x).sum(axis=1)[None, :] - 2 * some @ x.T + (some * some).sum(axis=1)[:, None]
+        else:
+            near = -(some @ x.T) / np.sqrt((some * some).sum(axis=1))[:, None] / np.sqrt((x * x).sum(axis=1))[None, :]
+        m = min(k, len(ids))
+        # Room for ties: what is as near as the m-th stays in.
+        kth = np.partition(near, m - 1, axis=1)[:, m - 1]
+        i, j = np.nonzero(near <= kth[:, None] + 1e-9)
+        yield i + a, ids[j], ((x[j] - some[i]) ** 2).sum(axis=1) if metric == "l2" else -near[i, j]
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+def _usable(vector: Column, size: int, metric: str) -> Column:
+    """Of this length, all parts finite, and under cosine not all of them 0."""
+    numbers = vector.cast("array<double>")
+    fits = vector.isNotNull() & (F.size(vector) == size) & F.forall(numbers, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return fits & F.exists(numbers, lambda x: x != 0) if metric == "cosine" else fits
+
+
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "vec_id", vector: str = "embedding", metric: str = "l2", query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, rank, id, distance: the exact k nearest vectors by squared L2 (ascending) or cosine (descending).
 
-    The stated query set (query_id, query; its size in bytes is checked before it is gathered) meets all vectors in
-    blocks: of each batch and block of queries a matrix product keeps the best k, and only those are ranked together.
-    Ties go to the smaller id. Vectors that are null, hold a null, or have another length than the queries take no
-    part; a query of another length than the first, or with a null, is an error.
+    The stated query set (query_id, query) meets all vectors in blocks: of each block of either a matrix product keeps the
+    best k, and only those are ranked together. A query set under ``query_bytes`` goes to every task; a larger one forms a
+    grid with the vectors, whose cells are of bounded size and meet in a shuffle. Ties go to the smaller id. Vectors
+    that are null, hold a null or a number that is not finite, have another length than the queries or, under cosine,
+    are all zeros take no part, nor do those without an id; such a query is an error.
     """
-    told = queries.agg(F.count("*").alias("n"), F.min(F.size("query")).alias("least"), F.max(F.size("query")).alias("most"), F.count_if(F.col("query").isNull() | F.exists("query", lambda x: x.isNull())).alias("bad")).first()
-    if told["n"] and (told["least"] != told["most"] or told["bad"]):
-        raise ValueError("queries must have one length and no nulls")
-    if told["n"] * (told["most"] or 0) * 8 > QUERY_BYTES:
-        raise ValueError(f"the queries of one call take more than {QUERY_BYTES} bytes")
-    rows = queries.select("query_id", "query").collect()
-    names = [r["query_id"] for r in rows]
-    matrix = np.array([r["query"] for r in rows], float).reshape(len(rows), -1)
-    shared = vectors.sparkSession.sparkContext.broadcast((names, matrix))
-    kind = queries.schema["query_id"].dataType.simpleString()
-    arrow = to_arrow_type(queries.schema["query_id"].dataType)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, whole = shared.value
-        for batch in batches:
-            column = batch.column(1)
-            if not len(column) or not len(whole):
-                continue
-            x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
-            ids = batch.column(0).to_numpy()
-            order = np.argsort(ids, kind="stable")
-            x, ids = x[order], ids[order]
-            for a in range(0, len(whole), QUERY_BLOCK):
-                q = whole[a : a + QUERY_BLOCK]
-                if metric == "l2":
-                    near = (x * x).sum(axis=1)[None, :] - 2 * q @ x.T + (q * q).sum(axis=1)[:, None]
-                else:
-                    near = -(q @ x.T) / np.sqrt((q * q).sum(axis=1))[:, None] / np.sqrt((x * x).sum(axis=1))[None, :]
-                m = min(k, len(ids))
-                # Room for ties: what is as near as the m-th stays in.
-                kth = np.partition(near, m - 1, axis=1)[:, m - 1]
-                i, j = np.nonzero(near <= kth[:, None] + 1e-9)
-                exact = ((x[j] - q[i]) ** 2).sum(axis=1) if metric == "l2" else -near[i, j]
-                yield pa.RecordBatch.from_arrays([pa.array([names[a + c] for c in i.tolist()], arrow), pa.array(ids[j]), pa.array(exact)], names=["query_id", "id", "distance"])
-
-    fits = (F.size(vector) == (told["most"] or 0)) & ~F.exists(vector, lambda x: x.isNull())
-    best = vectors.select(id_column, vector).filter(F.col(vector).isNotNull() & fits).mapInArrow(run, f"query_id {kind}, id long, distance double")
+    first = queries.select(F.size("query").alias("n")).first()
+    size = first["n"] if first else 0
+    told = queries.agg(F.count("*").alias("n"), F.count_if(~F.coalesce(_usable(F.col("query"), size, metric), F.lit(False))).alias("bad")).first()
+    if told["bad"]:
+        raise ValueError("queries must have one length, and numbers that are finite and, under cosine, not all 0")
+    kind, arrow = queries.schema["query_id"].dataType.simpleString(), to_arrow_type(queries.schema["query_id"].dataType)
+    usable = vectors.filter(F.col(id_column).isNotNull() & _usable(F.col(vector), size, metric)).select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("vector"))
+    schema = f"query_id {kind}, id long, distance double"
+
+    def packed(names: pa.Array, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([names.take(pa.array(found[0])), pa.array(found[1]), pa.array(found[2])], names=["query_id", "id", "distance"])
+
+    if told["n"] * size * 8 <= query_bytes:
+        rows = queries.select("query_id", "query").collect()
+        shared = vectors.sparkSession.sparkContext.broadcast(([r["query_id"] for r in rows], np.array([r["query"] for r in rows], float).reshape(len(rows), size)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, whole = shared.value
+            for batch in batches:
+                if batch.num_rows and len(whole):
+                    for found in _nearest(batch.column(0).to_numpy(), _matrix(batch.column(1)), whole, k, metric):
+                        yield packed(pa.array(names, arrow), found)
+
+        best = usable.mapInArrow(run, schema)
+    else:
+        across, down = -(-told["n"] * size * 8 // CELL_QUERIES), -(-usable.count() * size * 8 // CELL_VECTORS) or 1
+        number = F.monotonically_increasing_id()
+        asked = queries.select("query_id", "query", (number % across).alias("across"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("down"))
+        held = usable.select("id", "vector", (number % down).cast("int").alias("down"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).cast("long").alias("across"))
+
+        def meet(some: pa.Table, there: pa.Table) -> pa.Table:
+            some, there = some.combine_chunks(), there.combine_chunks()
+            found = []
+            if some.num_rows and there.num_rows:
+                names = some.column("query_id").combine_chunks()
+                q, x = (_matrix(t.column(c).combine_chunks()) for t, c in ((some, "query"), (there, "vector")))
+                found = [packed(names, f) for f in _nearest(there.column("id").to_numpy(), x, q, k, metric)]
+            return pa.Table.from_batches(found, schema=pa.schema([("query_id", arrow), ("id", pa.int64()), ("distance", pa.float64())]))
+
+        best = asked.groupBy("across", "down").cogroup(held.groupBy("across", "down")).applyInArrow(meet, schema)
     order = F.col("distance") if metric == "l2" else F.desc("distance")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(order, "id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_column), "distance")
@@ -132,6 +167,24 @@ def needs_more(questions: DataFrame, evidence: DataFrame, least: float = 0.25) -
     return questions.select("question_id").join(best, "question_id", "left").select("question_id", (F.coalesce("best", F.lit(0.0)) < least).alias("refetch"))
 
 
+#: How many more graph and text candidates a second retrieval takes.
+MORE_KG, MORE_TEXT = 4, 2
+
+
+def adaptive(questions: DataFrame, retrieve: Callable[[DataFrame, int, int], DataFrame], kg_k: int, text_k: int, least: float = 0.25, fuse: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The fused evidence of each question, with ``fetched``: 1, or 2 where the first retrieval was too weak.
+
+    ``retrieve`` gives the candidates (see candidates) of some questions for so many of the graph and of the texts;
+    ``fuse`` is fused by default. Only questions whose best evidence is below ``least``, or that have none, are retrieved
+    again, with more of both, and what that finds takes the place of their first evidence, better or not.
+    """
+    fuse = fuse or fused
+    once = stored(fuse(retrieve(questions, kg_k, text_k)))
+    weak = stored(needs_more(questions, once, least).filter("refetch").select("question_id"))
+    twice = fuse(retrieve(questions.join(weak, "question_id", "left_semi"), kg_k + MORE_KG, text_k + MORE_TEXT))
+    return once.join(weak, "question_id", "left_anti").withColumn("fetched", F.lit(1)).unionByName(twice.withColumn("fetched", F.lit(2)))
+
+
 WEAK, NONE = L.WEAK_EVIDENCE, L.NO_EVIDENCE
 
 

@@ -343,7 +343,7 @@ def length_distribution(spark: SparkSession, sf: str) -> DataFrame:
     return p.select(F.explode(F.arrays_zip(names.alias("percentile_label"), F.col("p").alias("value"))).alias("r")).select("r.*")
 
 
-@query("""SELECT source, round(p, 4) AS probability, round(quantile_cont(n_chars, p), 6) AS value FROM documents, (VALUES (0.05), (0.25), (0.5), (0.75), (0.95)) t(p) GROUP BY source, p""".replace("quantile_cont(n_chars, p)", "CASE p WHEN 0.05 THEN quantile_cont(n_chars, 0.05) WHEN 0.25 THEN quantile_cont(n_chars, 0.25) WHEN 0.5 THEN quantile_cont(n_chars, 0.5) WHEN 0.75 THEN quantile_cont(n_chars, 0.75) ELSE quantile_cont(n_chars, 0.95) END"))
+@query("""SELECT source, p::DOUBLE AS probability, round(quantile_cont(n_chars, p), 6) AS value FROM documents, (VALUES (0.05), (0.25), (0.5), (0.75), (0.95)) t(p) GROUP BY source, p""".replace("quantile_cont(n_chars, p)", "CASE p WHEN 0.05 THEN quantile_cont(n_chars, 0.05) WHEN 0.25 THEN quantile_cont(n_chars, 0.25) WHEN 0.5 THEN quantile_cont(n_chars, 0.5) WHEN 0.75 THEN quantile_cont(n_chars, 0.75) ELSE quantile_cont(n_chars, 0.95) END"))
 def length_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     """Exact quantiles of the lengths by source, without gathering a source."""
     return exact_quantiles(documents(spark, sf), "n_chars", [0.05, 0.25, 0.5, 0.75, 0.95], ["source"]).select("source", F.round("probability", 4).alias("probability"), F.round("value", 6).alias("value"))

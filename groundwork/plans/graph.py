@@ -11,6 +11,7 @@ from groundwork.functions import lexicon as L
 from groundwork.functions import text as T
 from groundwork.functions.prompts import graph_context, schema_text
 from groundwork.operators import knowledge as K
+from groundwork.operators.patterns import results, written
 from groundwork.plans.base import documents, quoted, table
 
 Q: dict = {}
@@ -379,6 +380,29 @@ def pattern_check(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("r_regionkey", F.col("i").cast("long").alias("i"), cleaned.alias("cleaned")).withColumn("ok", T.spec_allowed(F.col("cleaned"), ("PART_OF",)))
 
 
+#: Patterns that are run for each region: of one and of two relations, in either direction, and one that is not understood.
+RUN = (
+    "MATCH (n:Entity)-[r:PART_OF]->(m:Entity) WHERE toLower(m.name) = toLower('{}') RETURN n.name AS entity, type(r) AS relationship, m.name AS related_entity LIMIT 5",
+    "MATCH (a)-[r:LIVES_IN]->(b)-[s:PART_OF]->(c) WHERE toLower(c.name) CONTAINS toLower('{}') RETURN a.name AS entity, type(s) AS relationship, c.name AS related_entity ORDER BY b.name DESC LIMIT 40",
+    "MATCH (a)-[r]-(b) WHERE toLower(a.name) CONTAINS toLower('{}') OR toLower(b.name) = 'france' RETURN a.name AS entity, type(r) AS relationship, b.name AS related_entity ORDER BY b.name LIMIT 60",
+    "MATCH (a)-[r]->(b) WHERE a.name IN ['{}'] RETURN a.name AS entity LIMIT 5",
+)
+
+
+@query(f"""WITH {_G}, b AS (SELECT eid, subject, relation, object, 0 AS back FROM g UNION ALL SELECT eid, object, relation, subject, 1 FROM g WHERE subject <> object),
+p0 AS (SELECT r_regionkey, row_number() OVER (PARTITION BY r_regionkey ORDER BY subject, eid) AS rank, subject AS entity, relation AS relationship, object AS related_entity FROM g JOIN region ON object = lower(r_name) AND relation = 'PART_OF'),
+p1 AS (SELECT r_regionkey, row_number() OVER (PARTITION BY r_regionkey ORDER BY x.object DESC, x.subject, x.eid, y.object, y.eid) AS rank, x.subject AS entity, y.relation AS relationship, y.object AS related_entity
+FROM g x JOIN g y ON x.object = y.subject AND x.relation = 'LIVES_IN' AND y.relation = 'PART_OF' JOIN region ON contains(y.object, lower(r_name))),
+p2 AS (SELECT r_regionkey, row_number() OVER (PARTITION BY r_regionkey ORDER BY object, subject, relation, eid, back) AS rank, subject AS entity, relation AS relationship, object AS related_entity FROM b JOIN region ON contains(subject, lower(r_name)) OR object = 'france')
+SELECT r_regionkey, 0 AS i, * EXCLUDE r_regionkey FROM p0 WHERE rank <= 5 UNION ALL SELECT r_regionkey, 1, * EXCLUDE r_regionkey FROM p1 WHERE rank <= 40 UNION ALL SELECT r_regionkey, 2, * EXCLUDE r_regionkey FROM p2 WHERE rank <= 60""")
+def written_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    """What written patterns find in the graph; the one that is not understood finds nothing."""
+    asked = table(spark, sf, "region").select("r_regionkey", "r_name", F.posexplode(F.array(*[F.lit(x) for x in RUN])).alias("i", "_t"))
+    asked = asked.select((F.col("r_regionkey") * len(RUN) + F.col("i")).cast("long").alias("pattern_id"), F.replace(F.col("_t"), F.lit("{}"), F.col("r_name")).alias("pattern"))
+    found = written(results(asked, edges(spark, sf)))
+    return found.select(F.floor(F.col("question_id") / len(RUN)).cast("int").alias("r_regionkey"), (F.col("question_id") % len(RUN)).cast("int").alias("i"), "rank", "entity", "relationship", "related_entity")
+
+
 @query(f"""WITH {_G}, {_ENT}, f AS (SELECT lower(text) AS t, min(seq) AS first FROM ent GROUP BY 1),
 me AS (SELECT question_id, rank, text, canonical_label FROM (SELECT question_id, ent.*, row_number() OVER (PARTITION BY question_id ORDER BY first, seq) AS rank FROM f JOIN q0 ON t = phrase JOIN ent ON lower(ent.text) = f.t) WHERE rank <= 6),
 h AS (SELECT * FROM (SELECT question_id, subject, relation, object, row_number() OVER (PARTITION BY question_id ORDER BY subject, relation, object, eid) AS rank FROM g JOIN q0 ON contains(subject, phrase)) WHERE rank <= 15),

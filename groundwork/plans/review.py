@@ -124,6 +124,27 @@ def adaptive_expansion(spark: SparkSession, sf: str) -> DataFrame:
     return R.needs_more(questions(spark, sf), rows)
 
 
+def _fused_sql(prefix: str, kg: int, text: int, keep: str = "TRUE") -> str:
+    """CTEs that fuse the first graph and text candidates of each question; the graph weighs 0.2."""
+    return f"""{prefix}n AS (SELECT *, min(score_raw) OVER w AS lo, max(score_raw) OVER w AS hi FROM ca WHERE idx < CASE source WHEN 'kg' THEN {kg} ELSE {text} END AND (source = 'kg' OR question_id % 2 = 0) AND {keep} WINDOW w AS (PARTITION BY question_id, source)),
+{prefix}c AS (SELECT *, CASE WHEN source = 'kg' THEN 0.2 ELSE 0.8 END::DOUBLE * CASE WHEN hi = lo THEN 1.0 ELSE (score_raw - lo) / (hi - lo) END AS score FROM {prefix}n),
+{prefix}p AS (SELECT * FROM (SELECT *, max(score >= 0.15) OVER (PARTITION BY question_id) AS strong FROM {prefix}c) WHERE score >= 0.15 OR NOT strong),
+{prefix}f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, CASE kind WHEN 'entity' THEN 0 WHEN 'triple' THEN 1 ELSE 2 END, idx) AS rank FROM {prefix}p) WHERE rank <= 4)"""
+
+
+@query(f"""WITH {_EVIDENCE}, {_fused_sql("x", 1, 1)}, weak AS (SELECT q.question_id FROM q LEFT JOIN xf USING (question_id) GROUP BY 1 HAVING coalesce(max(score), 0) < 0.25), {_fused_sql("y", 5, 3, "question_id IN (SELECT question_id FROM weak)")}
+SELECT question_id, source, kind, idx, rank, round(score, 9) AS combined_score, 1 AS fetched FROM xf WHERE question_id NOT IN (SELECT question_id FROM weak) UNION ALL SELECT question_id, source, kind, idx, rank, round(score, 9), 2 FROM yf""")
+def adaptive_retrieval(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence in two stages: questions with an even id find texts at once, the others have weak graph evidence alone."""
+    found = evidence(spark, sf).filter("source = 'kg' OR question_id % 2 = 0")
+
+    def retrieve(some: DataFrame, kg: int, text: int) -> DataFrame:
+        return found.join(some.select("question_id"), "question_id", "left_semi").filter(F.col("idx") < F.when(F.col("source") == "kg", kg).otherwise(text))
+
+    told = R.adaptive(questions(spark, sf), retrieve, 1, 1, fuse=lambda rows: R.fused(rows, alpha=0.2))
+    return rounded(told.select("question_id", "source", "kind", "idx", "rank", "combined_score", "fetched"), "combined_score")
+
+
 # Reviewed answers: labels stand for reviews of two models, documents for questions.
 
 _TAG = "CASE WHEN quality = 1 AND toxic = 0 THEN 'Correct' WHEN quality = 1 THEN 'Partially Correct' WHEN toxic = 1 THEN 'Incorrect' ELSE 'Hallucinated' END"

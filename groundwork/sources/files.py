@@ -11,11 +11,14 @@ from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
 import pandas as pd
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+from groundwork.sources.shared import stored
+
 # Fixed value: how a model is asked to finish an answer.
 CONTINUE = "{prompt}\n\nCurrent answer:\n{answer}\n\nContinue the answer with only the next short fragment to complete the sentence."
 
@@ -143,29 +146,34 @@ def write_with_fallback(rows: DataFrame, path: str, fallback: str) -> str:
         return fallback
 
 
-def write_every(rows: DataFrame, path: str, order: str, every: int = 1000) -> list[int]:
-    """Written in parts of so many rows by a column of distinct ordinals from 0; parts that stand whole are not written again.
+def write_every(rows: DataFrame, path: str, every: int = 1000, work: Callable[[DataFrame], DataFrame] | None = None, files: int = 1) -> DataFrame:
+    """What ``work`` (a model's calls, say) makes of rows, saved after every so many rows; the saved table.
 
-    A part is a folder of its own, finished when Spark has marked it so: a run that was broken off goes on with the
-    first part that is missing. The numbers of the parts written now.
+    The rows are first written as they are, in files of ``every`` rows. A stream then takes so many files at a time,
+    works on them and commits what comes out before it takes more. A run that was broken off goes on behind the last
+    commit when it is called again with the same path: rows that are committed are not worked on again, and each row is
+    in the table once. Once all is saved, a further call does nothing. With more ``files`` more tasks work at a time.
     """
-    spark, written = rows.sparkSession, []
-    last = rows.agg(F.max(order)).first()[0]
-    for k in range(0 if last is None else last // every + 1):
-        part = f"{path}/part={k}"
-        if not exists(spark, f"{part}/_SUCCESS"):
-            rows.filter(F.col(order).between(k * every, (k + 1) * every - 1)).write.mode("overwrite").parquet(part)
-            written.append(k)
-    return written
+    spark = rows.sparkSession
+    if not exists(spark, f"{path}/input/_SUCCESS"):
+        rows.write.mode("overwrite").option("maxRecordsPerFile", every).parquet(f"{path}/input")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/input")
+    done = work(source) if work else source
+    query = done.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/commits").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(done.schema).parquet(f"{path}/rows") if exists(spark, f"{path}/rows") else spark.createDataFrame([], done.schema)
 
 
 def safe_rows(spark: SparkSession, spec: str | None, run: Callable[[str], DataFrame], schema: str) -> DataFrame:
-    """run(spec); no rows, in the same schema, where the spec has under ten characters or cannot be understood."""
+    """run(spec); no rows, in the same schema, where the spec has under ten characters, cannot be understood or fails.
+
+    The rows are worked out here, into a table, so that an error of the run is met as well as one of the analysis.
+    """
     if spec and len(spec.strip()) >= 10:
         try:
             found = run(spec)
-            return found.select(*[F.col(f.name).cast(f.dataType) for f in spark.createDataFrame([], schema).schema])
-        except AnalysisException:
+            return stored(found.select(*[F.col(f.name).cast(f.dataType) for f in spark.createDataFrame([], schema).schema]))
+        except (PySparkException, Py4JJavaError):
             pass
     return spark.createDataFrame([], schema)
 
@@ -188,8 +196,9 @@ def http_client(url: str, headers: dict[str, str] | None = None, timeout: float
                     request = urllib.request.Request(url, json.dumps(ask(prompt)).encode(), {"Content-Type": "application/json", **(headers or {})})
                     with urllib.request.urlopen(request, timeout=timeout) as reply:
                         return told(json.load(reply))
-                except OSError:
-                    if k == tries - 1:
+                except OSError as e:
+                    # What the client asked wrongly stays wrong; only time-outs and too many requests are worth another try.
+                    if k == tries - 1 or (400 <= getattr(e, "code", 0) < 500 and e.code not in (408, 429)):
                         raise
                     time.sleep(wait * 2**k)
             raise ValueError("no tries")

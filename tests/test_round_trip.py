@@ -118,19 +118,120 @@ def test_client_tries_again_and_times_out(spark):
         files.http_client("http://127.0.0.1:9/", tries=2, wait=0.01, timeout=0.2)()(["x"])
 
 
-def test_results_are_written_in_parts_and_resumed(spark, tmp_path):
-    rows, path = spark.range(25).withColumnRenamed("id", "k"), str(tmp_path / "out")
-    assert files.write_every(rows, path, "k", 10) == [0, 1, 2]
-    (tmp_path / "out" / "part=1" / "_SUCCESS").unlink()
-    assert files.write_every(rows, path, "k", 10) == [1] and files.write_every(rows, path, "k", 10) == []
-    assert sorted(r["k"] for r in spark.read.parquet(f"{path}/part=*").collect()) == list(range(25))
-    assert files.write_every(rows.limit(0), str(tmp_path / "none"), "k", 10) == []
+def test_results_are_saved_as_they_come_and_a_row_is_worked_on_once(spark, tmp_path):
+    log, broken = tmp_path / "calls", tmp_path / "broken"
+    log.mkdir()
+    broken.touch()
+
+    def client():
+        def ask(prompts):
+            import os
+            import uuid
+
+            for p in prompts:
+                (log / f"{p}-{uuid.uuid4().hex}").touch()
+                if p == "p57" and broken.exists():
+                    os.unlink(broken)
+                    raise KeyboardInterrupt("the model went away")
+            return [p.upper() for p in prompts]
+
+        return ask
+
+    rows = spark.createDataFrame([(k, f"p{k}") for k in range(100)], "k int, prompt string").coalesce(1)
+    path, work = str(tmp_path / "out"), lambda df: files.generate(df, client)
+    with pytest.raises(Exception, match="(?s)."):
+        files.write_every(rows, path, 10, work)
+    saved = {r["k"] for r in spark.read.schema("k int").parquet(f"{path}/rows").collect()}
+    assert 57 not in saved and len(saved) % 10 == 0
+    for _ in range(2):  # the second call has nothing left to do
+        got = files.write_every(rows, path, 10, work)
+        assert sorted((r["k"], r["answer"], r["error"]) for r in got.collect()) == [(k, f"P{k}", None) for k in range(100)]
+    calls = [p.name.split("-")[0] for p in log.iterdir()]
+    assert set(calls) == {f"p{k}" for k in range(100)} and all(calls.count(f"p{k}") == 1 for k in saved)
+    assert {p for p in calls if calls.count(p) > 1} <= {f"p{k}" for k in range(50, 60)}
+    assert files.write_every(rows.limit(0), str(tmp_path / "none"), 10, work).collect() == []
+    assert files.write_every(spark.range(25), str(tmp_path / "plain"), 10, files=3).count() == 25
+
+
+def test_client_errors_are_not_tried_again():
+    seen = []
+
+    class Refuses(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append(self.path)
+            self.send_error(int(self.path[1:]))
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Refuses)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        for code, tries in ((404, 1), (429, 2), (503, 2)):
+            seen.clear()
+            with pytest.raises(OSError):
+                files.http_client(f"http://127.0.0.1:{server.server_port}/{code}", tries=2, wait=0.01)()(["x"])
+            assert len(seen) == tries, code
+    finally:
+        server.shutdown()
+
+
+def brute_top_k(vectors, queries, k, metric):
+    out = []
+    for name, q in queries:
+        near = []
+        for i, v in vectors:
+            if i is None or v is None or len(v) != len(q) or any(x is None or not np.isfinite(x) for x in v) or (metric == "cosine" and not any(v)):
+                continue
+            x, y = np.array(v, float), np.array(q, float)
+            near.append(((x - y) @ (x - y), i) if metric == "l2" else (-(x @ y) / np.sqrt(x @ x) / np.sqrt(y @ y), i))
+        out += [(name, r, i, round(abs(d) if metric == "l2" else -d, 9)) for r, (d, i) in enumerate(sorted(near)[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+@pytest.mark.parametrize("query_bytes", [retrieval.QUERY_BYTES, 0])
+def test_vectors_that_are_no_use_take_no_part(spark, monkeypatch, metric, query_bytes):
+    monkeypatch.setattr(retrieval, "CELL_QUERIES", 100)
+    monkeypatch.setattr(retrieval, "CELL_VECTORS", 1000)
+    r = np.random.default_rng(3)
+    vectors = [(k, r.integers(-3, 4, 5).astype(float).tolist()) for k in range(200)]
+    vectors += [(900, [float("nan"), 1.0, 1.0, 1.0, 1.0]), (901, [float("inf")] * 5), (902, [0.0] * 5), (903, None), (904, [1.0]), (905, [1.0, None, 1.0, 1.0, 1.0]), (None, [1.0] * 5)]
+    queries = [(k, r.integers(-3, 4, 5).astype(float).tolist()) for k in range(20)]
+    queries = [(k, q if any(q) else [1.0] * 5) for k, q in queries]
+    v, q = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3), spark.createDataFrame(queries, "query_id long, query array<double>")
+    got = retrieval.vector_top_k(v, q, 7, metric=metric, query_bytes=query_bytes)
+    assert sorted((x["query_id"], x["rank"], x["vec_id"], round(x["distance"], 9)) for x in got.collect()) == brute_top_k(vectors, queries, 7, metric)
+    three = [(0, [1.0, 2.0]), (1, [3.0, 1.0]), (2, [float("nan"), 0.0]), (3, [0.0, 0.0])]
+    small = retrieval.vector_top_k(spark.createDataFrame(three, "vec_id long, embedding array<double>"), spark.createDataFrame([(0, [1.0, 1.0])], "query_id long, query array<double>"), 3, metric=metric, query_bytes=query_bytes)
+    assert {x["vec_id"] for x in small.collect()} == ({0, 1, 3} if metric == "l2" else {0, 1})
+    for bad in ([float("nan"), 1.0], [float("inf"), 1.0], None, [1.0, None]):
+        with pytest.raises(ValueError):
+            retrieval.vector_top_k(v, spark.createDataFrame([(0, [1.0] * 5), (1, bad)], "query_id long, query array<double>"), 3)
+    assert retrieval.vector_top_k(v, q.limit(0), 3, query_bytes=query_bytes).collect() == []
+
+
+def test_weak_questions_alone_are_retrieved_again(spark):
+    questions = spark.createDataFrame([(k, "coal causes warming") for k in range(4)], "question_id int, question string")
+    rows = spark.createDataFrame([(0, "kg", "entity", 0, 1.0), (0, "text", "chunk", 0, 1.0), (1, "text", "chunk", 2, 1.0), (2, "kg", "triple", 0, 1.0), (2, "kg", "triple", 5, 2.0)], "question_id int, source string, kind string, idx int, score_raw double").withColumn("display", F.lit("x"))
+    asked = []
+
+    def retrieve(some, kg_k, text_k):
+        asked.append((kg_k, text_k, sorted(r["question_id"] for r in some.collect())))
+        return rows.join(some.select("question_id"), "question_id").filter(((F.col("source") == "kg") & (F.col("idx") < kg_k)) | ((F.col("source") == "text") & (F.col("idx") < text_k)))
+
+    got = {}
+    for r in retrieval.adaptive(questions, retrieve, 2, 1, fuse=lambda x: retrieval.fused(x, alpha=0.2)).collect():
+        got.setdefault(r["question_id"], set()).add((r["fetched"], r["source"], r["idx"]))
+    assert asked == [(2, 1, [0, 1, 2, 3]), (6, 3, [1, 2, 3])]
+    # Of question 2 the graph alone weighs 0.2 at most; the second retrieval's two triples replace the one of the first.
+    assert got == {0: {(1, "kg", 0), (1, "text", 0)}, 1: {(2, "text", 2)}, 2: {(2, "kg", 5)}}
 
 
 def test_safe_rows(spark):
     run = lambda spec: spark.sql(spec)
     assert [r["n"] for r in files.safe_rows(spark, "SELECT 1 AS n, 2 AS m", run, "n long").collect()] == [1]
-    for bad in (None, "", "SELECT 1", "SELECT nonsense FROM nowhere"):
+    for bad in (None, "", "SELECT 1", "SELECT nonsense FROM nowhere", "SELECT assert_true(id > 5) AS n FROM range(9)", "SELECT CAST('x' AS INT) AS n, 1"):
         found = files.safe_rows(spark, bad, run, "n long")
         assert found.count() == 0 and found.columns == ["n"]
 
