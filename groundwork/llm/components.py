@@ -17,7 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
     ends are left out; no edges, no rows. Both joins of a round are plain equality joins, which Spark splits where
     one node has very many edges.
     """
-    clean = edges.select("a", "b").dropna().filter("a <> b").distinct()
+    clean = edges.select("a", "b").dropna().filter("a <> b")
     both = cut(clean.union(clean.select("b", "a")))
     done = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
     while True:

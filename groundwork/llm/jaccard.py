@@ -13,7 +13,7 @@
    lists of one block and takes the sets of the other as queries: short lists are merged by a heap, which keeps
    candidates that reach T less the number of long lists; the long lists are probed by binary search; what reaches the
    required overlap is a link. No pair of sets is ever a row: a task tells at most one link for each of its sets.
-5. Connected components of the links.
+5. Connected components of all links, once.
 
 Nothing is capped: lists, groups and candidates of any size go through. Sets are named by 96-bit digests (two of 10**13
 sets share one with a chance of 1 in 1,000). Packed shingles carry 80 bits of a name, since names are most of what is
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from groundwork.llm.components import components
 
 SHINGLE = 5
 #: Sets, and shingles, that a block of the search holds about.
-BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
+BLOCK_SETS, BLOCK_SHINGLES = 2048, 1_000_000
 #: Candidates that are held against a hub at once.
 HUB_BLOCK = 256
 #: Rounds over hubs at most; they end when one links fewer than GAIN of what the first did. Each set brings so many
@@ -451,9 +452,26 @@ def _open_lists(lists: DataFrame, labels: DataFrame | None, hubs: bool = True) -
     return cut(listed.join(ends, "token"))
 
 
+def _contracted(links: DataFrame) -> DataFrame:
+    """node, label for the ends of links (a, b): the smallest neighbour's smallest neighbour's smallest neighbour.
+
+    Nodes of one label are linked; not all of a component need have one yet. That is enough for the rounds over hubs, whose
+    links are stars for the most part, and takes no rounds of its own.
+    """
+    clean = links.filter("a <> b")
+    near = cut(clean.union(clean.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
+    out = near
+    for _ in range(2):
+        up = near.select(F.col("node").alias("_up"), F.col("label").alias("_higher"))
+        out = out.join(up, out["label"] == up["_up"], "left").select("node", F.coalesce("_higher", "label").alias("label"))
+    out = cut(out)
+    release(near)
+    return out
+
+
 def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """labels (node, label), after links between labels (a, b): only these are searched for components."""
-    more = components(links)
+    """labels (node, label), after links between labels (a, b)."""
+    more = _contracted(links)
     if labels is None:
         return more
     new = more.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
@@ -496,10 +514,10 @@ def _search(rare: DataFrame, labels: DataFrame | None, sets: DataFrame) -> DataF
     return found
 
 
-def link_sets(sets: DataFrame) -> DataFrame | None:
-    """node, label for every set (ident, n, blob) that is linked with another: the components of all links; None without links."""
+def link_sets(sets: DataFrame) -> DataFrame:
+    """node, label for every set (ident, n, blob) that is linked with another: the components of all links."""
     rare = cut(sets.select("ident", "n", "blob").mapInArrow(_prefixes, "token long, ident binary, n int, place int"))
-    tried, labels, gained, passed = None, None, [], []
+    tried, labels, gained, passed, linked = None, None, [], [], []
     # Hubs, over the few rarest shingles of each set: large groups come together at one comparison a member. This is
     # only a head start; the search below misses nothing whatever was linked here.
     lists = rare.filter(F.col("place") < HEAD).select("token", "ident", "n")
@@ -523,11 +541,13 @@ def link_sets(sets: DataFrame) -> DataFrame | None:
         passed += [mixed, compared]
         if gained[-1]:
             labels = _relabelled(labels, good)
+            linked.append(good)
     links = _search(rare.select("token", "ident", "n"), labels, sets)
-    if not links.isEmpty():
-        labels = _relabelled(labels, links)
-    release(rare, links, *passed)
-    return labels
+    # Links between labels hang together with the links that made the labels: all of them give the components, once.
+    linked.append(links)
+    told = components(reduce(DataFrame.union, linked))
+    release(rare, links, labels, *passed)
+    return told
 
 
 def _classed(documents: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -546,12 +566,9 @@ def _classed(documents: DataFrame, id_column: str, text: str) -> DataFrame:
     members = found.filter(F.col("kind") == _DOCUMENT).select("doc_id", "row", "ident", "n")
     labels = link_sets(sets)
     least = members.filter("ident is not null").groupBy("ident").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
-    if labels is None:
-        by_set = least.select(F.col("ident").alias("_ident"), F.col("first").alias("component"), F.col("ident").alias("label"), "rows")
-    else:
-        named = least.join(labels, least["ident"] == labels["node"], "left").select("ident", "first", "rows", F.coalesce("label", "ident").alias("label"))
-        lowest = named.groupBy("label").agg(F.min("first").alias("component"))
-        by_set = named.join(lowest, "label").select(F.col("ident").alias("_ident"), "component", "label", "rows")
+    named = least.join(labels, least["ident"] == labels["node"], "left").select("ident", "first", "rows", F.coalesce("label", "ident").alias("label"))
+    lowest = named.groupBy("label").agg(F.min("first").alias("component"))
+    by_set = named.join(lowest, "label").select(F.col("ident").alias("_ident"), "component", "label", "rows")
     by_set = cut(by_set)
     # The many documents of one set are dealt over several tasks. Such sets are one for HOT documents at most.
     pieces = F.ceil(F.col("rows") / HOT).cast("int")

@@ -237,7 +237,7 @@ def nearest(vectors: DataFrame, queries: Callable[[Column], Column], k: int = 5,
     """query_id, rank, vec_id, score: for each row whose id meets the condition ``queries`` its k nearest other rows found.
 
     Vectors that are null, zero, or hold a null or non-finite component take no part, neither as queries nor as
-    candidates; nor do rows without an id. A vector shorter than the longest counts as if zeros followed. Ties go to
+    candidates; nor do rows without an id. Vectors of any length go through whole. A vector shorter than the longest counts as if zeros followed. Ties go to
     the smaller vec_id. Repeated rows (one id, one vector) are one row; distinct vectors under one id are rows of their
     own, but never neighbours of that id; equal vectors of other ids are candidates like all others, and queries with
     equal vectors are searched for once. With fewer than k candidates all are told; an empty table gives an empty
@@ -259,9 +259,14 @@ def nearest(vectors: DataFrame, queries: Callable[[Column], Column], k: int = 5,
     found = search(once, nodes, edges, s)
     release(edges)
     told = found.join(members.select("node", "member"), found["v"] == members["node"]).select("q", "sim", "member")
-    # Of an id that stands on several vectors more rows may be passed over below.
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "member"))
-    best = told.withColumn("rank", rank).filter(F.col("rank") <= 2 * k + 1).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", "sim", "member"))).alias("best"))
+    # A query passes over the rows of its own id, of which there are as many as that id has vectors: a row stays if so few
+    # others come before it once those of any one id are left out.
+    order = [F.desc("sim"), "member"]
+    nth = F.row_number().over(Window.partitionBy("q", "member").orderBy(*order))
+    by_q = Window.partitionBy("q").orderBy(*order)
+    most = F.coalesce(F.max("nth").over(by_q.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = told.withColumn("nth", nth).withColumns({"rank": F.row_number().over(by_q), "most": most}).filter(F.col("rank") - F.col("most") <= k)
+    best = placed.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", "sim", "member"))).alias("best"))
     mine = asked.join(best, asked["own"] == best["q"]).select("query_id", F.slice(F.filter("best", lambda x: x["member"] != F.col("query_id")), 1, k).alias("best"))
     out = mine.select("query_id", F.posexplode("best").alias("place", "x"))
     return out.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("x.member").alias("vec_id"), F.col("x.sim").alias("score"))

@@ -264,6 +264,19 @@ def test_distinct_vectors_under_one_id(spark):
     assert sorted((r["rank"], r["vec_id"]) for r in got) == [(1, 7), (1, 8), (2, 7), (2, 8)]
 
 
+def test_an_id_on_many_vectors_passes_over_its_own_alone(spark):
+    r = np.random.default_rng(6)
+    rows = [(0, v.tolist()) for v in r.normal(size=(20, 3))] + [(k, v.tolist()) for k, v in enumerate(r.normal(size=(8, 3)), 1)] + [(50, rows_) for rows_ in r.normal(size=(3, 3)).tolist()]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda v: v % 50 == 0).collect()
+    unit = [(i, np.array(v) / np.linalg.norm(v)) for i, v in rows]
+    expected = []
+    for i, v in unit:
+        if i % 50 == 0:
+            near = sorted((-float(v @ w), j) for j, w in unit if j != i)[:5]
+            expected += [(i, n, j, round(-s, 9)) for n, (s, j) in enumerate(near, 1)]
+    assert sorted((x["query_id"], x["rank"], x["vec_id"], round(x["score"], 9)) for x in got) == sorted(expected) and len(got) == 115
+
+
 def test_every_node_has_edges(spark):
     rng = np.random.default_rng(6)
     x = np.concatenate([rng.normal(size=(20, 1, 12)).repeat(25, 1).reshape(-1, 12) + 0.01 * rng.normal(size=(500, 12)), rng.normal(size=(100, 12))])
