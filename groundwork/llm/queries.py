@@ -99,4 +99,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": secrets.scan_sql(), "op2_jaccard": jaccard.JOIN_SQL, "op3_urls": urls.JUDGE_SQL, "op10_mixing": mixing.MIX_SQL, "op11_merkle": merkle.MANIFEST_SQL, "op13_stamps": stamps.STAMPS_SQL}
+    return {"op1_secrets": secrets.scan_sql(), "op2_jaccard": jaccard.JOIN_SQL, "op3_urls": urls.JUDGE_SQL, "op9_substrings": substrings.PASSAGES_SQL, "op10_mixing": mixing.MIX_SQL, "op11_merkle": merkle.MANIFEST_SQL, "op13_stamps": stamps.STAMPS_SQL}

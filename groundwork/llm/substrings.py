@@ -299,3 +299,22 @@ def digest(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
         return F.aggregate(name, F.lit(0).cast("long"), lambda acc, x: acc + x["words"])
 
     return found.select(id_column, F.size("passages").cast("long").alias("n_passages"), words("passages").alias("n_words"), words("removed").alias("n_removed_words"), line("passages").alias("spans"), line("removed").alias("removed_spans"))
+
+
+#: The same rows in SQL: every window of 20 words as text, without chunks.
+PASSAGES_SQL = rf"""
+WITH s AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS s FROM documents),
+u AS (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM s),
+v AS (SELECT doc_id, x, i, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS e FROM u),
+w AS (SELECT doc_id, x, e - length(x) AS b, e, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM v WHERE regexp_matches(x, '^[^\x20\x09-\x0D]')),
+l AS (SELECT doc_id, list(x ORDER BY k) AS xs FROM w GROUP BY doc_id HAVING count(*) >= {WORDS}),
+h AS (SELECT doc_id, k, md5(array_to_string(xs[k : k + {WORDS - 1}], ' ')) AS h FROM (SELECT doc_id, xs, unnest(range(1, len(xs) - {WORDS - 2})) AS k FROM l)),
+g AS (SELECT h, min(doc_id) AS first FROM h GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+r AS (SELECT h.doc_id, h.k, a.b, z.e, h.doc_id <> first AS late FROM h JOIN g USING (h) JOIN w a ON a.doc_id = h.doc_id AND a.k = h.k JOIN w z ON z.doc_id = h.doc_id AND z.k = h.k + {WORDS - 1}),
+b AS (SELECT doc_id, k, b, e, FALSE AS late FROM r UNION ALL SELECT doc_id, k, b, e, TRUE FROM r WHERE late),
+t AS (SELECT *, coalesce(k - lag(k) OVER (PARTITION BY doc_id, late ORDER BY k) > {WORDS}, TRUE) AS new FROM b),
+n AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id, late ORDER BY k) AS run FROM t),
+p AS (SELECT doc_id, late, run, min(b) AS b, max(e) AS e, max(k) - min(k) + {WORDS} AS words FROM n GROUP BY ALL)
+SELECT doc_id, count(*) FILTER (NOT late) AS n_passages, coalesce(sum(words) FILTER (NOT late), 0)::BIGINT AS n_words, coalesce(sum(words) FILTER (late), 0)::BIGINT AS n_removed_words,
+  coalesce(string_agg(b || ':' || e, ',' ORDER BY b) FILTER (NOT late), '') AS spans, coalesce(string_agg(b || ':' || e, ',' ORDER BY b) FILTER (late), '') AS removed_spans FROM p GROUP BY doc_id
+"""
