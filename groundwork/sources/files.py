@@ -103,30 +103,57 @@ def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]
     return spark.read.parquet(path)
 
 
-def manifest(spark: SparkSession, folder: str, model: str, pattern: str = "*") -> str:
-    """Names, sizes and times of the input files and the model, as one canonical text."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "length", F.unix_seconds("modificationTime").alias("mtime"))
-    one = files.agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", F.element_at(F.split("path", "/"), -1), "length", "mtime"))), "\n"), 256).alias("digest")).first()
-    return json.dumps({"folder": folder, "files": one["n"], "digest": one["digest"], "model": model}, sort_keys=True)
+def manifest(spark: SparkSession, folder: str, model: str, pattern: str = "*") -> DataFrame:
+    """path, length, mtime, model: a row for each input file, without reading what is in it."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    return files.select("path", "length", F.unix_millis("modificationTime").alias("mtime"), F.lit(model).alias("model"))
 
 
-def cached_index(spark: SparkSession, folder: str, model: str, cache: str, build: Callable[[], DataFrame], pattern: str = "*") -> DataFrame:
-    """The cached index if it was built from these files with this model; else it is built and cached.
+def cached_index(spark: SparkSession, folder: str, model: str, cache: str, build: Callable[[DataFrame], DataFrame], pattern: str = "*") -> DataFrame:
+    """The index of a folder's files, brought up to date: only files that are new or have changed are built again.
 
-    Where the cache cannot be written for lack of room, the index is used without it.
+    ``build`` makes index rows (with the column ``path``) of some files (path, length, mtime, model). A file counts as
+    unchanged if name, size, time and model are as they were; rows of files that are gone go. Index and manifest are
+    written to a new version of the cache, and a version counts once both stand; older ones but the last are removed. A
+    run that breaks off leaves the version before in use. Where the cache cannot be written for lack of room, the index
+    is used without it. An empty folder gives an empty index.
     """
+    keys = ["path", "length", "mtime", "model"]
     now = manifest(spark, folder, model, pattern)
-    if exists(spark, f"{cache}/manifest") and exists(spark, f"{cache}/index") and spark.read.text(f"{cache}/manifest").first()[0] == now:
-        return spark.read.parquet(f"{cache}/index")
-    index = build()
+    versions = sorted(v for v in _children(spark, cache) if v.isdigit() and exists(spark, f"{cache}/{v}/index/_SUCCESS") and exists(spark, f"{cache}/{v}/manifest/_SUCCESS"))
+    if not versions:
+        index, changed = build(now), now
+    else:
+        last = f"{cache}/{versions[-1]}"
+        before, old = spark.read.parquet(f"{last}/manifest"), spark.read.parquet(f"{last}/index")
+        changed, gone = now.join(before, keys, "left_anti"), before.join(now, keys, "left_anti")
+        if changed.isEmpty() and gone.isEmpty():
+            return old
+        kept = old.join(now.join(before, keys, "left_semi").select("path"), "path", "left_semi")
+        index = kept.select(*old.columns).unionByName(build(changed).select(*old.columns))
+    new = f"{cache}/{int(versions[-1]) + 1 if versions else 1:08d}"
     try:
-        index.write.mode("overwrite").parquet(f"{cache}/index")
+        now.write.mode("overwrite").parquet(f"{new}/manifest")
+        index.write.mode("overwrite").parquet(f"{new}/index")
     except Exception as e:
         if not re_quota(e):
             raise
         return index
-    spark.createDataFrame([(now,)], "value string").coalesce(1).write.mode("overwrite").text(f"{cache}/manifest")
-    return spark.read.parquet(f"{cache}/index")
+    for v in versions[:-1]:
+        _remove(spark, f"{cache}/{v}")
+    return spark.read.parquet(f"{new}/index")
+
+
+def _children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in system.listStatus(where)] if system.exists(where) else []
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def re_quota(e: BaseException) -> bool:

@@ -95,16 +95,6 @@ def test_documents_cache_and_sinks(spark, tmp_path):
     docs = files.read_documents(spark, str(folder), pages=pages)
     assert {r["filename"]: r["extraction_status"] for r in docs.collect()} == {"a.pdf": "success", "b.pdf": "warning", "c.pdf": "error"}
     assert files.usable(docs).count() == 2
-    built = []
-
-    def build():
-        built.append(1)
-        return spark.range(3)
-
-    for _ in range(2):
-        assert files.cached_index(spark, str(folder), "m", str(tmp_path / "cache"), build).count() == 3
-    files.cached_index(spark, str(folder), "other", str(tmp_path / "cache"), build)
-    assert len(built) == 2
     assert files.load_or_build(spark, str(tmp_path / "matrix"), lambda: spark.range(2)).count() == 2
     assert files.load_or_build(spark, str(tmp_path / "matrix"), lambda: spark.range(9)).count() == 2
     files.write_records(spark.range(2), str(tmp_path / "csv"), "csv")
@@ -134,3 +124,32 @@ def test_stream_stores_each_file_once(spark, tmp_path):
     for _ in range(2):
         ingest.stored_paragraphs(ingest.stream_documents(spark, source), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).filter(F.col("score") >= 50).count() == 1
+
+
+def test_an_index_builds_changed_files_alone(spark, tmp_path):
+    folder, cache, parsed = tmp_path / "files", str(tmp_path / "cache"), []
+    folder.mkdir()
+    for k in range(10):
+        (folder / f"{k}.txt").write_text(f"text {k}")
+
+    def build(some):
+        parsed.append(sorted(r["path"].rsplit("/", 1)[1] for r in some.collect()))
+        texts = spark.read.text(str(folder), wholetext=True).withColumn("path", F.col("_metadata.file_path"))
+        return some.select("path").join(texts, "path").select("path", F.col("value").alias("text"))
+
+    index = lambda model="m": {r["path"].rsplit("/", 1)[1]: r["text"] for r in files.cached_index(spark, str(folder), model, cache, build).collect()}
+    first = index()
+    assert len(first) == 10 and index() == first and len(parsed) == 1
+    (folder / "3.txt").write_text("a new text")
+    assert index() == first | {"3.txt": "a new text"} and parsed[1:] == [["3.txt"]]
+    (folder / "4.txt").unlink()
+    (folder / "x.txt").write_text("one more")
+    assert set(index()) == set(first) - {"4.txt"} | {"x.txt"} and parsed[2:] == [["x.txt"]]
+    (folder / "5.txt").unlink()
+    assert "5.txt" not in index() and parsed[3:] == [[]]
+    assert len(index("other")) == 9 and len(parsed[-1]) == 9
+    # A version without its marks does not count.
+    newest = sorted(p.name for p in (tmp_path / "cache").iterdir())[-1]
+    (tmp_path / "cache" / newest / "index" / "_SUCCESS").unlink()
+    assert len(index("other")) == 9 and len(parsed[-1]) == 9
+    assert files.cached_index(spark, str(folder), "m", str(tmp_path / "none"), lambda some: some.select("path"), "*.none").count() == 0
