@@ -97,6 +97,7 @@ NO_INFO_MARK = "No information found"
 # Answers where evidence is weak or missing, and instructions for fine-tuning.
 WEAK_EVIDENCE = "Uncertainty: Retrieved evidence does not strongly match this question. Sources: TEXT:0, KG:0"
 NO_EVIDENCE = "Uncertainty: There is insufficient retrieved evidence to answer this question confidently. Sources: TEXT:0, KG:0"
+EMPTY_QUESTION = "Error: Empty or invalid question provided."
 FACTUAL_INSTRUCTION = "Provide a precise factual answer. Do not guess. If unsure, say you don't know."
 OTHER_INSTRUCTION = "Provide a clear and accurate explanation. Avoid speculation."
 
@@ -160,3 +161,15 @@ SANITIZE_INLINE = (
     r"\bWrite a response\b.*$",
     r"\bAnswer requirements:?\b.*$",
 )
+
+# Where an unfinished answer may end (marks, words from a place on, words of a clause, words at most), what gives
+# an answer up, under which keys models put lists, and the parts of an answer that is put together from evidence.
+CLAUSE_MARKS = (",", ";", ":")
+CLAUSE_WORDS = (" because ", " which ", " that ", " and ")
+CLAUSE_FROM, CLAUSE_LEAST, SENTENCE_MOST = 20, 6, 28
+GIVES_UP = ("i do not know", "i don't know")
+LIST_KEYS = ("entities", "classified_entities", "results")
+EVIDENCE_FIRST = ("For '", "', retrieved evidence indicates: ", ".")
+EVIDENCE_SECOND = ("Additional supporting evidence: ", ".")
+EVIDENCE_THIRD = ("Further context: ", ".")
+SOURCES, SOURCE_TEXT, SOURCE_GRAPH = "\nSources: ", "TEXT:1", "KG:entity_name"

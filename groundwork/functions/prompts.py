@@ -12,6 +12,8 @@ FORMATS = {
     "headed": "<|begin_of_text|><|start_header_id|>system<|end_header_id|>\n\n" + SYSTEM + "<|eot_id|><|start_header_id|>user<|end_header_id|>\n\n%s\nQuestion: %s<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n%s<|eot_id|>",
 }
 SCHEMA_HEAD = " **Knowledge Graph Schema**\n\n**Statistics:**"
+SCHEMA_ENTITIES, SCHEMA_EDGES = "\n- Total entities: ", "\n- Total relationships: "
+SCHEMA_RELATIONS, SCHEMA_TYPES = "\n\n**Available Relationship Types:**", "\n**Entity Types (with examples):**"
 NO_GRAPH, NO_TEXT = "No knowledge graph matches.", "[No text chunks retrieved]"
 
 
@@ -53,5 +55,5 @@ def schema_text(counts: DataFrame, relations: DataFrame, samples: DataFrame, typ
     one = relations.join(by, "relation", "left").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("relation", known.alias("l")))), lambda x: x["l"]), "\n").alias("_r"))
     names = F.concat(F.lit("'"), F.array_join(F.slice(F.split("examples", r"\|"), 1, 3), "', '"), F.lit("'"))
     two = types.agg(F.array_join(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("label", F.concat(F.lit("  - "), F.col("label"), F.lit(": "), names).alias("l")))), 1, 15), lambda x: x["l"]), "\n").alias("_t"))
-    head = F.concat(F.lit(SCHEMA_HEAD), F.lit("\n- Total entities: "), F.format_number("node_count", 0), F.lit("\n- Total relationships: "), F.format_number("rel_count", 0), F.lit("\n\n**Available Relationship Types:**"))
-    return counts.join(F.broadcast(one)).join(F.broadcast(two)).select(F.concat_ws("\n", head, F.nullif("_r", F.lit("")), F.lit("\n**Entity Types (with examples):**"), F.nullif("_t", F.lit(""))).alias("schema"))
+    head = F.concat(F.lit(SCHEMA_HEAD), F.lit(SCHEMA_ENTITIES), F.format_number("node_count", 0), F.lit(SCHEMA_EDGES), F.format_number("rel_count", 0), F.lit(SCHEMA_RELATIONS))
+    return counts.join(F.broadcast(one)).join(F.broadcast(two)).select(F.concat_ws("\n", head, F.nullif("_r", F.lit("")), F.lit(SCHEMA_TYPES), F.nullif("_t", F.lit(""))).alias("schema"))

@@ -179,12 +179,12 @@ def to_sentence_end(t: Column) -> Column:
     """Nothing after the last sentence end; else cut at a clause, else after 28 words, with a full stop."""
     s = strip(t)
     head = F.regexp_extract(s, r"(?s)^(.*[.!?])", 1)
-    late = [F.when(_last(s, m) >= 20, _last(s, m)).otherwise(-1) for m in (" because ", " which ", " that ", " and ")]
-    cut = F.greatest(_last(s, ","), _last(s, ";"), _last(s, ":"), *late)
+    late = [F.when(_last(s, m) >= L.CLAUSE_FROM, _last(s, m)).otherwise(-1) for m in L.CLAUSE_WORDS]
+    cut = F.greatest(*[_last(s, m) for m in L.CLAUSE_MARKS], *late)
     bare = lambda x: F.regexp_replace(x, r"[ ,;:\-]+$", "")
     clause = bare(F.substring(s, F.lit(1), cut))
-    short = F.when(word_count(s) > 28, bare(F.array_join(F.slice(words(s), 1, 28), " "))).otherwise(bare(s))
-    return F.when(s == "", s).when(s.rlike(r"[.!?]\z"), s).when(strip(head) != "", strip(head)).when((cut >= 20) & (word_count(clause) >= 6), F.concat(clause, F.lit("."))).otherwise(F.concat(short, F.lit(".")))
+    short = F.when(word_count(s) > L.SENTENCE_MOST, bare(F.array_join(F.slice(words(s), 1, L.SENTENCE_MOST), " "))).otherwise(bare(s))
+    return F.when(s == "", s).when(s.rlike(r"[.!?]\z"), s).when(strip(head) != "", strip(head)).when((cut >= L.CLAUSE_FROM) & (word_count(clause) >= L.CLAUSE_LEAST), F.concat(clause, F.lit("."))).otherwise(F.concat(short, F.lit(".")))
 
 
 def cited(t: Column) -> Column:
@@ -241,7 +241,7 @@ def without_filler(t: Column) -> Column:
     bare = _each(t, [f"^{either([p])}\\s*" for p in L.PREFIXES])
     bare = F.when(bare != t, strip(bare)).otherwise(t)
     c = F.concat(F.upper(F.substring(bare, 1, 1)), F.substring(bare, F.lit(2), F.length(t)))
-    return F.when(F.lower(t).rlike("i do not know|i don't know"), F.lit(L.NO_INFO)).otherwise(c)
+    return F.when(F.lower(t).rlike("|".join(L.GIVES_UP)), F.lit(L.NO_INFO)).otherwise(c)
 
 
 def after(t: Column, mark: str = "Answer:") -> Column:
@@ -249,7 +249,7 @@ def after(t: Column, mark: str = "Answer:") -> Column:
     return strip(F.substring_index(t, mark, -1))
 
 
-def json_list(t: Column, element: str, keys: Sequence[str] = ("entities", "classified_entities", "results")) -> Column:
+def json_list(t: Column, element: str, keys: Sequence[str] = L.LIST_KEYS) -> Column:
     """The list that a model answered as JSON, in code fences or not: itself, or under one of the keys; else null."""
     bare = strip(F.regexp_replace(F.regexp_replace(strip(t), r"(?U)^```(?:json)?\s*", ""), r"(?U)\s*```$", ""))
     found = [F.get_json_object(bare, f"$.{k}") for k in keys]

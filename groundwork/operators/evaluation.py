@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import warnings
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -86,6 +87,22 @@ def union(tables: dict[str, DataFrame], column: str = "model_config") -> DataFra
     return out
 
 
+def union_of_files(paths: dict[str, str], read: Callable[[str], DataFrame], present: Callable[[str], bool], column: str = "model_config") -> DataFrame:
+    """The tables at some paths, one below the other with their names; a missing one is left out with a warning."""
+    there = {}
+    for name, path in paths.items():
+        if present(path):
+            there[name] = read(path)
+        else:
+            warnings.warn(f"{name}: {path} is missing", stacklevel=2)
+    return union(there, column)
+
+
+def of_type(rows: DataFrame, kind: str, column: str = "type", folded: bool = False) -> DataFrame:
+    """Rows of one type of question: the very word, or, folded, in any letter case."""
+    return rows.filter((F.lower(column) == kind.lower()) if folded else (F.col(column) == kind))
+
+
 FACTUAL, OTHER = L.FACTUAL_INSTRUCTION, L.OTHER_INSTRUCTION
 
 

@@ -57,6 +57,37 @@ def label_frequency(labels: DataFrame, column: str = "canonical_label") -> DataF
     return labels.groupBy(column).agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
 
 
+def frequent(labels: DataFrame, least: int, k: int | None = None, column: str = "canonical_label") -> DataFrame:
+    """Labels with at least so many rows, most frequent first, ties by first appearance; the first k of them, if given."""
+    some = label_frequency(labels, column).filter(F.col("n") >= least).orderBy(F.desc("n"), "first_seq")
+    return some if k is None else some.limit(k)
+
+
+def by_label(entities: DataFrame, label: str, k: int = 10) -> DataFrame:
+    """The first k entities of a label, in their order."""
+    return entities.filter(F.col("canonical_label") == label).orderBy("seq").limit(k)
+
+
+def by_relation(edges: DataFrame, relation: str, k: int = 10) -> DataFrame:
+    """The first k edges of a relation, by eid."""
+    return edges.filter(F.col("relation") == relation).orderBy("eid").limit(k)
+
+
+def labels_of(chunks: DataFrame, most: int = 3, labels: str = "labels") -> DataFrame:
+    """chunk_id, place, raw_label: the first few labels of each chunk, a row each; chunks without labels have none."""
+    return chunks.select("chunk_id", F.posexplode(F.slice(labels, 1, most)).alias("place", "raw_label"))
+
+
+def label_run(chunks: DataFrame, most: int = 3, labels: str = "labels") -> DataFrame:
+    """chunks, errors, labels, per_chunk, unique: one row about a pass of labelling. A null list of labels is an error; the
+    mean, to two places, is over all chunks, and null without any."""
+    kept = F.slice(F.coalesce(labels, F.array().cast("array<string>")), 1, most)
+    counts = chunks.agg(F.count("*").alias("chunks"), F.count_if(F.col(labels).isNull()).alias("errors"), F.coalesce(F.sum(F.size(kept)), F.lit(0)).alias("labels"))
+    unique = labels_of(chunks, most, labels).agg(F.count_distinct("raw_label").alias("unique"))
+    one = counts.join(F.broadcast(unique))  # one row each
+    return one.select("chunks", "errors", "labels", F.round(F.try_divide("labels", "chunks"), 2).alias("per_chunk"), "unique")
+
+
 def canonical(rows: DataFrame, mapping: DataFrame) -> DataFrame:
     """rows (raw_label) by their canonical label; labels that the map drops or does not know go."""
     return rows.join(mapping, "raw_label").filter("canonical is not null")

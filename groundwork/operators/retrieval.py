@@ -188,6 +188,38 @@ def adaptive(questions: DataFrame, retrieve: Callable[[DataFrame, int, int], Dat
 WEAK, NONE = L.WEAK_EVIDENCE, L.NO_EVIDENCE
 
 
+def resolved(alias: Column, known: dict[str, str], default: str) -> Column:
+    """A model's name: of a known alias, what it stands for; with a slash in it, as it is; else the default."""
+    named = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])[alias] if known else F.lit(None).cast("string")
+    return F.coalesce(named, F.when(alias.contains("/"), alias), F.lit(default))
+
+
+def is_asked(question: Column) -> Column:
+    """Whether there is a question at all: not null, not blank."""
+    return F.coalesce(F.trim(question) != "", F.lit(False))
+
+
+def gathered(questions: DataFrame, entities: DataFrame, triples: DataFrame, chunks: DataFrame) -> DataFrame:
+    """question_id, question, error, kg_results (entities, triples and their numbers), text_results: one row a question.
+
+    entities (question_id, rank, text), triples (question_id, rank, subject, relation, object) and chunks (question_id,
+    rank, text) come in the order of their ranks. A null or blank question has the error and empty results, whatever was
+    found for it; one for which nothing was found has empty ones. Questions come trimmed.
+    """
+    def listed(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+        item = F.struct("rank", F.struct(*columns).alias("x"))
+        return rows.groupBy("question_id").agg(F.transform(F.sort_array(F.collect_list(item)), lambda y: y["x"]).alias(name))
+
+    lists = {"_e": listed(entities, "_e", "text"), "_t": listed(triples, "_t", "subject", "relation", "object"), "_c": listed(chunks, "_c", "text")}
+    rows = questions.select("question_id", "question")
+    for found in lists.values():
+        rows = rows.join(found, "question_id", "left")
+    asked = is_asked(F.col("question"))
+    kept = {n: F.coalesce(F.when(asked, F.col(n)), F.array().cast(found.schema[n].dataType)) for n, found in lists.items()}
+    graph = F.struct(kept["_e"].alias("entities"), kept["_t"].alias("triples"), F.size(kept["_e"]).alias("num_entities"), F.size(kept["_t"]).alias("num_triples"))
+    return rows.select("question_id", F.trim("question").alias("question"), F.when(~asked, L.EMPTY_QUESTION).alias("error"), graph.alias("kg_results"), kept["_c"].alias("text_results"))
+
+
 def raw_evidence(entities: DataFrame, triples: DataFrame, chunks: DataFrame) -> DataFrame:
     """question_id, source, display, rank: what stands in for fused evidence where there is none.
 
@@ -215,9 +247,10 @@ def extractive_answers(questions: DataFrame, evidence: DataFrame, least: float =
     order = Window.partitionBy("question_id").orderBy(F.col("_line") == "", F.desc("_s"), F.col("source") == "text", "rank")
     top = scored.withColumn("_n", F.row_number().over(order)).filter("_n <= 3").withColumn("_ok", F.col("_line") != "")
     by = top.groupBy("question_id").agg(F.max(F.when(F.col("_ok"), F.col("_s")).otherwise(0.0)).alias("best"), *[F.max(F.when((F.col("_n") == n) & F.col("_ok"), F.col("_line"))).alias(f"_{n}") for n in (1, 2, 3)], F.max((F.col("source") == "text") & F.col("_ok")).alias("_text"), F.max((F.col("source") == "kg") & F.col("_ok")).alias("_kg"))
-    body = F.concat_ws(" ", F.concat(F.lit("For '"), F.col("question"), F.lit("', retrieved evidence indicates: "), F.col("_1"), F.lit(".")), F.concat(F.lit("Additional supporting evidence: "), F.col("_2"), F.lit(".")), F.concat(F.lit("Further context: "), F.col("_3"), F.lit(".")))
-    sources = F.concat_ws(", ", F.when(F.col("_text"), "TEXT:1"), F.when(F.col("_kg"), "KG:entity_name"))
-    told = F.when(F.col("best").isNull(), F.lit(NONE)).when(F.col("best") < least, F.lit(WEAK)).otherwise(F.concat(body, F.lit("\nSources: "), sources))
+    around = lambda parts, *inner: F.concat(*[x for pair in zip(map(F.lit, parts), (*inner, F.lit("")), strict=True) for x in pair])
+    body = F.concat_ws(" ", around(L.EVIDENCE_FIRST, F.col("question"), F.col("_1")), around(L.EVIDENCE_SECOND, F.col("_2")), around(L.EVIDENCE_THIRD, F.col("_3")))
+    sources = F.concat_ws(", ", F.when(F.col("_text"), L.SOURCE_TEXT), F.when(F.col("_kg"), L.SOURCE_GRAPH))
+    told = F.when(F.col("best").isNull(), F.lit(NONE)).when(F.col("best") < least, F.lit(WEAK)).otherwise(F.concat(body, F.lit(L.SOURCES), sources))
     return questions.select("question_id", "question").join(by, "question_id", "left").select("question_id", told.alias("answer"))
 
 

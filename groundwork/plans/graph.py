@@ -59,7 +59,7 @@ def label_frequency(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_E} SELECT canonical_label, count(*) AS n FROM e GROUP BY 1 HAVING count(*) >= 100 ORDER BY n DESC, min(seq) LIMIT 5")
 def frequent_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return K.label_frequency(entities(spark, sf)).filter("n >= 100").orderBy(F.desc("n"), "first_seq").limit(5).select("canonical_label", "n")
+    return K.frequent(entities(spark, sf), 100, 5).select("canonical_label", "n")
 
 
 @query(f"WITH {_E} SELECT count(*) AS n, count(DISTINCT canonical_label) AS labels, count(DISTINCT chunk_id) AS chunks, round(count(*) / count(DISTINCT chunk_id)::DOUBLE, 2) AS per_chunk FROM e")
@@ -74,6 +74,16 @@ def entity_validate(spark: SparkSession, sf: str) -> DataFrame:
     return K.validated(entities(spark, sf).withColumn("batch", F.floor(F.col("seq") / 5000000)), labels, known)
 
 
+_LABELLED = "(SELECT doc_id AS chunk_id, CASE WHEN doc_id % 9 <> 0 THEN list_filter(regexp_extract_all(text, '[A-Z][a-z]+'), lambda w: length(w) > 4)[1:3] END AS labels FROM documents)"
+
+
+@query(f"""SELECT count(*) AS chunks, count(*) FILTER (labels IS NULL) AS errors, coalesce(sum(len(labels)), 0)::BIGINT AS labels, round(coalesce(sum(len(labels)), 0) / count(*)::DOUBLE, 2) AS per_chunk, (SELECT count(DISTINCT l) FROM (SELECT unnest(labels) AS l FROM {_LABELLED})) AS "unique" FROM {_LABELLED}""")
+def label_pass(spark: SparkSession, sf: str) -> DataFrame:
+    """A pass of labelling: the first capitalised words stand for labels, and every ninth text for one that failed."""
+    found = F.filter(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0)), lambda w: F.length(w) > 4)
+    return K.label_run(documents(spark, sf).select(F.col("doc_id").alias("chunk_id"), F.when(F.col("doc_id") % 9 != 0, found).alias("labels")))
+
+
 #: Kinds that the stand-in recogniser gives, by the length of a name; two of them are not kept.
 KINDS = ("ORG", "PERSON", "GPE", "LOC", "LAW", "CARDINAL", "DATE")
 
@@ -164,7 +174,7 @@ def inverted_index(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_E} SELECT seq, text FROM e WHERE canonical_label = 'technology' ORDER BY seq LIMIT 20")
 def entities_by_label(spark: SparkSession, sf: str) -> DataFrame:
-    return entities(spark, sf).filter("canonical_label = 'technology'").orderBy("seq").limit(20).select("seq", "text")
+    return K.by_label(entities(spark, sf), "technology", 20).select("seq", "text")
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -296,7 +306,7 @@ def relation_samples(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_G} SELECT subject, object FROM g WHERE relation = 'BASED_IN' ORDER BY eid LIMIT 20")
 def triples_by_relation(spark: SparkSession, sf: str) -> DataFrame:
-    return edges(spark, sf).filter("relation = 'BASED_IN'").orderBy("eid").limit(20).select("subject", "object")
+    return K.by_relation(edges(spark, sf), "BASED_IN", 20).select("subject", "object")
 
 
 _ENT = "ent AS (SELECT c_custkey AS seq, lower(c_name) AS text, c_mktsegment AS canonical_label, c_nationkey::VARCHAR AS chunk_id FROM customer UNION ALL SELECT 1000000000 + n_nationkey, n_name, 'nation', n_regionkey::VARCHAR FROM nation)"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from groundwork.functions import lexicon as L
 from groundwork.functions import metrics as M
 from groundwork.functions import prompts as P
 from groundwork.functions import text as T
@@ -48,7 +49,7 @@ SELECT query_id, new_rank, vec_id, round(cos, 6) AS score FROM (SELECT *, row_nu
 def vector_rerank(spark: SparkSession, sf: str) -> DataFrame:
     """Four times as many as wanted are retrieved by distance, then ordered by cosine."""
     vectors, queries = table(spark, sf, "embeddings"), centres(spark, sf)
-    found = R.vector_top_k(vectors, queries, R.over_fetch(3, True, 1 << 30))
+    found = R.vector_top_k(vectors, queries, R.over_fetch(3, True, vectors.count()))
     both = found.join(vectors.select("vec_id", "embedding"), "vec_id").join(F.broadcast(queries), "query_id")
 
     def cosine(q, v):
@@ -272,16 +273,27 @@ def instruction_convert(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT source, CASE WHEN source = 'src0' THEN 'org/base' WHEN contains(source, '/') THEN source ELSE 'org/default' END AS model, count(*) AS n FROM documents GROUP BY ALL")
 def model_alias(spark: SparkSession, sf: str) -> DataFrame:
-    known = F.create_map(F.lit("src0"), F.lit("org/base"))
-    resolved = F.coalesce(known[F.col("source")], F.when(F.col("source").contains("/"), F.col("source")), F.lit("org/default"))
-    return documents(spark, sf).groupBy("source", resolved.alias("model")).agg(F.count("*").alias("n"))
+    return documents(spark, sf).groupBy("source", R.resolved(F.col("source"), {"src0": "org/base"}, "org/default").alias("model")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT conv_id, count(*) AS turns, count(*) FILTER (trim(t) <> '') AS valid FROM (SELECT conv_id, CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN '  ' WHEN 2 THEN NULL ELSE ' ' || text END AS t FROM conversations) GROUP BY 1")
 def question_validation(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("turn") % 4
     rows = table(spark, sf, "conversations").withColumn("t", F.when(k == 0, F.col("text")).when(k == 1, "  ").when(k == 3, F.concat(F.lit(" "), F.col("text"))))
-    return rows.groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(F.trim("t") != "").alias("valid"))
+    return rows.groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(R.is_asked(F.col("t"))).alias("valid"))
+
+
+@query(f"""WITH q AS (SELECT conv_id AS question_id, min_by(CASE turn % 3 WHEN 2 THEN '  ' ELSE ' ' || text END, turn) AS question FROM conversations WHERE role = 'user' AND turn > 1 GROUP BY 1),
+c AS (SELECT conv_id, count(*) AS n, string_agg(text, '|' ORDER BY turn) AS shown FROM conversations WHERE role = 'assistant' GROUP BY 1), e AS (SELECT conv_id, count(*) AS n FROM conversations WHERE role = 'system' GROUP BY 1)
+SELECT question_id, trim(question, ' ') AS question, CASE WHEN trim(question, ' ') = '' THEN {quoted(L.EMPTY_QUESTION)} END AS error, CASE WHEN trim(question, ' ') = '' THEN 0 ELSE coalesce(e.n, 0) END::INT AS num_entities, 0 AS num_triples, CASE WHEN trim(question, ' ') = '' THEN '' ELSE coalesce(shown, '') END AS shown
+FROM q LEFT JOIN c ON c.conv_id = question_id LEFT JOIN e ON e.conv_id = question_id""")
+def gathered_results(spark: SparkSession, sf: str) -> DataFrame:
+    """What was found for each question, some of which are blank."""
+    turns = table(spark, sf, "conversations").withColumns({"question_id": F.col("conv_id"), "rank": F.col("turn")})
+    asked = turns.filter("role = 'user' AND turn > 1").withColumn("q", F.when(F.col("turn") % 3 == 2, "  ").otherwise(F.concat(F.lit(" "), F.col("text")))).groupBy("question_id").agg(F.min_by("q", "turn").alias("question"))
+    none = turns.limit(0).select("question_id", "rank", *[F.lit("").alias(c) for c in ("subject", "relation", "object")])
+    found = R.gathered(asked, turns.filter("role = 'system'"), none, turns.filter("role = 'assistant'"))
+    return found.select("question_id", "question", "error", "kg_results.num_entities", "kg_results.num_triples", F.array_join(F.col("text_results.text"), "|").alias("shown"))
 
 
 def _turns(spark: SparkSession, sf: str) -> DataFrame:

@@ -153,3 +153,38 @@ def test_an_index_builds_changed_files_alone(spark, tmp_path):
     (tmp_path / "cache" / newest / "index" / "_SUCCESS").unlink()
     assert len(index("other")) == 9 and len(parsed[-1]) == 9
     assert files.cached_index(spark, str(folder), "m", str(tmp_path / "none"), lambda some: some.select("path"), "*.none").count() == 0
+
+
+def test_small_lookups_and_labels(spark):
+    entities = spark.createDataFrame([(3, "c", "A"), (1, "a", "A"), (2, "b", "B")], "seq long, text string, canonical_label string")
+    assert [r["seq"] for r in K.by_label(entities, "A", 1).collect()] == [1] and K.by_label(entities, "Z").count() == 0
+    edges = spark.createDataFrame([("e2", "R"), ("e1", "R"), ("e3", "S")], "eid string, relation string")
+    assert [r["eid"] for r in K.by_relation(edges, "R", 5).collect()] == ["e1", "e2"]
+    assert [(r["canonical_label"], r["n"]) for r in K.frequent(entities, 2).collect()] == [("A", 2)] and K.frequent(entities, 1, 1).count() == 1
+    chunks = spark.createDataFrame([(1, ["a", "b", "a", "z"]), (2, None), (3, []), (4, ["b"])], "chunk_id int, labels array<string>")
+    assert [tuple(r) for r in K.labels_of(chunks).orderBy("chunk_id", "place").collect()] == [(1, 0, "a"), (1, 1, "b"), (1, 2, "a"), (4, 0, "b")]
+    assert K.label_run(chunks).first().asDict() == {"chunks": 4, "errors": 1, "labels": 4, "per_chunk": 1.0, "unique": 2}
+    assert K.label_run(chunks.limit(0)).first().asDict() == {"chunks": 0, "errors": 0, "labels": 0, "per_chunk": None, "unique": 0}
+
+
+def test_tables_of_configurations(spark, tmp_path):
+    spark.range(2).write.parquet(str(tmp_path / "a"))
+    paths = {"one": str(tmp_path / "a"), "two": str(tmp_path / "none")}
+    with pytest.warns(UserWarning, match="two"):
+        got = E.union_of_files(paths, spark.read.parquet, lambda p: files.exists(spark, p))
+    assert {(r["id"], r["model_config"]) for r in got.collect()} == {(0, "one"), (1, "one")}
+    rows = spark.createDataFrame([("factual",), ("Factual",), (None,), ("Explanatory",)], "type string")
+    assert E.of_type(rows, "factual").count() == 1 and E.of_type(rows, "factual", folded=True).count() == 2 and E.of_type(rows, "explanatory", folded=True).count() == 1
+
+
+def test_empty_questions_have_empty_results(spark):
+    questions = spark.createDataFrame([(1, " coal? "), (2, "  "), (3, None), (4, "ice")], "question_id int, question string")
+    found = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, 1, "never")], "question_id int, rank int, text string")
+    triples = spark.createDataFrame([(1, 1, "s", "r", "o")], "question_id int, rank int, subject string, relation string, object string")
+    got = {r["question_id"]: r for r in R.gathered(questions, found, triples, found).collect()}
+    assert got[1]["question"] == "coal?" and got[1]["error"] is None and [e["text"] for e in got[1]["kg_results"]["entities"]] == ["a", "b"]
+    assert (got[1]["kg_results"]["num_entities"], got[1]["kg_results"]["num_triples"]) == (2, 1) and [c["text"] for c in got[1]["text_results"]] == ["a", "b"]
+    for k, error in ((2, True), (3, True), (4, False)):
+        assert (got[k]["error"] is not None) == error and got[k]["kg_results"]["entities"] == [] and got[k]["text_results"] == [] and got[k]["kg_results"]["num_triples"] == 0
+    alias = spark.createDataFrame([("qwen",), ("org/x",), ("what",), (None,)], "a string").select(R.resolved(F.col("a"), {"qwen": "Q/7b"}, "d/d").alias("m"))
+    assert [r["m"] for r in alias.collect()] == ["Q/7b", "org/x", "d/d", "d/d"]
