@@ -189,5 +189,8 @@ def judge(documents: DataFrame, model: Model, settings: Settings = Settings(), t
 
 
 def judged(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """judge() with a model fitted on the labels of these documents."""
+    """judge() with a model fitted on the labels of these documents.
+
+    Texts of equal scores are judged alike; labelled rows of equal hash are taken in the order of their ids and texts.
+    """
     return judge(documents, fit(sample(documents, labels, "quality", settings), settings), settings)

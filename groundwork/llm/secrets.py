@@ -114,9 +114,10 @@ def _of_kind(kind: str) -> Callable[[Column], Column]:
 def scan(documents: DataFrame, text: str = "text", entropy: Entropy = Entropy()) -> DataFrame:
     """documents with found: array<struct<start, end, kind, match>>, by start, then kind, base kinds before entropy.
 
-    Places are code points, the end exclusive. Null and empty text find nothing. Repeated rows each get their
-    result; an empty table gives an empty one; a column already called ``found`` is replaced. Base spans always
-    stay; an entropy span that lies within a base span is not told twice.
+    Places are code points, the end exclusive. Null and empty text find nothing. Very long texts are searched whole; with
+    very many matches in one text the arrays of its spans grow by copying. Spans that begin at one place stand in the
+    order of their kinds. Repeated rows each get their result; an empty table gives an empty one; a column already
+    called ``found`` is replaced. Base spans always stay; an entropy span that lies within a base span is not told twice.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     item = "array<struct<start:int,rank:int,end:int,kind:string,match:string>>"
@@ -167,7 +168,8 @@ def digest(scanned: DataFrame, id_column: str = "doc_id") -> DataFrame:
 def redact(documents: DataFrame, text: str = "text", mask: str = "[SECRET]", entropy: Entropy = Entropy()) -> DataFrame:
     """documents with every span of its text replaced by the mask; overlapping spans are masked as one.
 
-    Null text stays null; every row stays; columns stay as they are.
+    Null text stays null, empty text empty, and very long texts are masked whole. Every row stays, repeated ones masked
+    alike; an empty table stays empty; columns stay as they are, whatever they are called.
     """
     packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_whole"), F.col(f"`{text}`").alias("_text"))
     scanned = scan(packed, "_text", entropy)

@@ -18,8 +18,9 @@ from groundwork.llm.common import shared_folder
 SLOTS = 8192
 
 
-def slot_of(key: Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(key.cast("string"), F.lit(""))), F.lit(slots)).cast("int")
+def slot_of(*keys: Column, slots: int = SLOTS) -> Column:
+    """The virtual slot of a record, by a hash of its keys; null is a key like any other."""
+    return F.pmod(F.xxhash64(*[F.coalesce(k.cast("string"), F.lit("")) for k in keys]), F.lit(slots)).cast("int")
 
 
 def slot_sums(sized: DataFrame) -> DataFrame:
@@ -69,25 +70,37 @@ def edited(slot_map: DataFrame, sums: DataFrame, shards: int) -> DataFrame:
 
 
 def store(slot_map: DataFrame, path: str) -> DataFrame:
-    """Append a version to the map kept at path; the whole map, read again."""
-    slot_map.coalesce(1).write.mode("append").parquet(path)
-    return slot_map.sparkSession.read.parquet(path)
+    """Add a version to the map kept at path; the whole map, read again.
+
+    A version is a folder of its own, which is never written twice: of two editors that start from one version the second
+    fails, and has to start again from the first one's.
+    """
+    version = slot_map.agg(F.max("version")).first()[0]
+    slot_map.select("vslot", "shard").coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={version}")
+    return _read(slot_map.sparkSession, path)
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("vslot int, shard int, version int").parquet(path).select("version", "vslot", "shard")
 
 
 def shard(documents: DataFrame, shards: int = 24, slots: int = SLOTS, path: str | None = None, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, map_version.
 
     The law is ``bytes``: sizes are nearly equal over the shards, as near as whole slots allow. ``slot`` numbers the
-    records of a shard from 0 without gaps, by virtual slot, then id. The map is kept at ``path`` (a new folder in
-    the shared one if not given); a map found there is edited. Null text counts as empty (size 8); repeated rows
-    are records of their own, in one slot; an empty table gives an empty result; other columns are left out.
+    records of a shard from 0 without gaps, by virtual slot, then id. A record's slot is hashed from its id and its text's
+    checksum, so rows without an id, or of one id, fall into many slots. The map is kept at ``path`` (a new folder in
+    the shared one if not given); a map found there is edited. Null text counts as empty (size 8), very long ones count
+    whole; ties of size between slots and shards go to the smaller number; repeated rows are records of their own, in
+    one slot; an empty table gives an empty result; other columns are left out.
     """
     spark = documents.sparkSession
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    sized = documents.select(F.col(f"`{id_column}`").alias("doc_id"), (F.octet_length(body).cast("long") + 8).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), slot_of(F.col(f"`{id_column}`"), slots).alias("vslot"))
+    sized = documents.select(F.col(f"`{id_column}`").alias("doc_id"), (F.octet_length(body).cast("long") + 8).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
+    sized = sized.withColumn("vslot", slot_of(F.col("doc_id"), F.col("text_crc32"), slots=slots))
     kept = path is not None
     path = path or f"{shared_folder(spark)}/shard-map-{uuid.uuid4().hex}"
-    slot_map = spark.read.parquet(path) if kept and _exists(spark, path) else store(first_map(spark, shards, slots), path)
+    slot_map = _read(spark, path) if kept and _exists(spark, path) else store(first_map(spark, shards, slots), path)
     sums = slot_sums(sized)
     slot_map = store(edited(slot_map, sums, shards), path)
     now = slot_map.join(F.broadcast(slot_map.agg(F.max("version").alias("version"))), "version")

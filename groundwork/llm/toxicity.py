@@ -188,7 +188,8 @@ def score(documents: DataFrame, weights: Weights, text: str = "text", name: str
 def scored(documents: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
     """documents with held_out, score and predicted; learnt from the labels of corpus (documents itself if not given).
 
-    Null ids are rows like any other (their remainder is that of the empty text); see ``score`` for odd texts.
+    Null ids are rows like any other (their remainder is that of the empty text); see ``score`` for odd texts. Texts of equal
+    scores are predicted alike; labelled rows of equal hash are taken in the order of their ids and texts.
     """
     weights = fit(sample(documents if corpus is None else corpus, labels, "toxic", settings), settings)
     kept = [c for c in documents.columns if c.lower() not in ("held_out", "score", "predicted")]

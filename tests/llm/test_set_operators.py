@@ -308,6 +308,23 @@ def test_sharding(spark, tmp_path):
     grown = sharding.shard(df, shards=25, path=path).toPandas()
     assert grown["shard"].nunique() == 25
     assert sharding.shard(df.limit(0)).count() == 0
+    # The whole assignment: the last version of the map says the shard, and slots follow virtual slots, ids and texts.
+    last = {r["vslot"]: r["shard"] for r in sharding._read(spark, path).filter("version = 4").collect()}
+    assert all(last[v] == x for v, x in zip(grown["vslot"], grown["shard"]))
+    for _, g in grown.assign(key=grown["doc_id"].fillna(-1)).groupby("shard"):
+        order = g.sort_values(["vslot", "key", "text_crc32", "size"], kind="stable")
+        assert order["slot"].tolist() == list(range(len(g)))
+
+
+def test_rows_of_one_id_fall_into_many_slots_and_versions_are_written_once(spark, tmp_path):
+    df = spark.range(3000).select(F.when(F.col("id") % 2 == 0, 7).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    rows = sharding.shard(df, path=str(tmp_path / "map")).toPandas()
+    assert rows["vslot"].nunique() > 2000 and rows.groupby("shard")["size"].sum().max() < 1.2 * rows["size"].sum() / 24
+    one = sharding._read(spark, str(tmp_path / "map")).filter("version = 2").withColumn("version", F.lit(3))
+    sharding.store(one, str(tmp_path / "map"))
+    with pytest.raises(Exception, match="(?i)exist"):
+        sharding.store(one, str(tmp_path / "map"))
+    assert sharding._read(spark, str(tmp_path / "map")).agg(F.max("version")).first()[0] == 3
 
 
 def test_mixing(spark):
