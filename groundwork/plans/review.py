@@ -316,6 +316,16 @@ def rouge_l(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_turns(spark, sf).select("conv_id", "turn", M.rouge_l(F.col("reference"), F.col("answer")).alias("rouge_l")), "rouge_l")
 
 
+@query(f"""WITH RECURSIVE {_TURNS}, t AS (SELECT conv_id, turn, regexp_extract_all(lower(reference), '[a-z0-9]+') AS r, regexp_extract_all(lower(coalesce(answer, '')), '[a-z0-9]+') AS a FROM pr),
+d AS (SELECT conv_id, turn, r, a, 0 AS i, list_transform(range(len(a) + 1), lambda x: 0::BIGINT) AS best FROM t UNION ALL
+SELECT conv_id, turn, r, a, i + 1, list_reduce(list_prepend([0::BIGINT], list_transform(range(1, len(a) + 1), lambda j: [CASE WHEN a[j] = r[i + 1] THEN 1 ELSE 0 END::BIGINT, best[j + 1], best[j]])), lambda done, x: list_append(done, CASE WHEN x[1] = 1 THEN x[3] + 1 ELSE greatest(x[2], done[-1]) END)) FROM d WHERE i < len(r)),
+l AS (SELECT conv_id, turn, len(r)::DOUBLE AS n, len(a)::DOUBLE AS m, best[-1] AS c FROM d WHERE i = len(r))
+SELECT conv_id, turn, round(CASE WHEN c = 0 THEN 0 ELSE 2 * (c / m) * (c / n) / (c / m + c / n) END::DOUBLE, 9) AS rouge_l FROM l""")
+def rouge_l_words(spark: SparkSession, sf: str) -> DataFrame:
+    """ROUGE-L of the words as they stand, without stems."""
+    return rounded(_turns(spark, sf).select("conv_id", "turn", M.rouge_l(F.col("reference"), F.col("answer"), stem=False).alias("rouge_l")), "rouge_l")
+
+
 @query()
 def meteor(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_turns(spark, sf).select("conv_id", "turn", M.meteor(F.col("reference"), F.col("answer")).alias("meteor")), "meteor")
