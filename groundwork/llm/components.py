@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import cut, release
+from groundwork.llm.common import cut, few, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,14 +19,15 @@ def components(edges: DataFrame) -> DataFrame:
     """
     clean = edges.select("a", "b").dropna().filter("a <> b")
     both = cut(clean.union(clean.select("b", "a")))
-    done = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
+    rows = both.count()
+    done = cut(few(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), rows))
     while True:
         labels = done.select("node", "label")
         near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("_node")).agg(F.min("label").alias("_near"))
         hooked = labels.join(near, labels["node"] == near["_node"]).select("node", F.col("label").alias("old"), F.least("label", "_near").alias("label"))
         up = labels.select(F.col("node").alias("_up"), F.col("label").alias("_higher"))
         jumped = hooked.join(up, hooked["label"] == up["_up"], "left").select("node", "old", F.least("label", "_higher").alias("label"))
-        before, done = done, cut(jumped)
+        before, done = done, cut(few(jumped, rows))
         release(before)
         if done.filter("old <> label").isEmpty():
             release(both)

@@ -13,7 +13,7 @@
    lists of one block and takes the sets of the other as queries: short lists are merged by a heap, which keeps
    candidates that reach T less the number of long lists; the long lists are probed by binary search; what reaches the
    required overlap is a link. No pair of sets is ever a row: a task tells at most one link for each of its sets.
-5. Connected components of all links, once.
+5. Connected components of the links.
 
 Nothing is capped: lists, groups and candidates of any size go through. Sets are named by 96-bit digests (two of 10**13
 sets share one with a chance of 1 in 1,000). Packed shingles carry 80 bits of a name, since names are most of what is
@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +33,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import HashedWords, cut, mix, partitions, release, slices
+from groundwork.llm.common import HashedWords, cut, few, mix, partitions, release, slices
 from groundwork.llm.components import components
 
 SHINGLE = 5
 #: Sets, and shingles, that a block of the search holds about.
-BLOCK_SETS, BLOCK_SHINGLES = 2048, 1_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 800_000
 #: Candidates that are held against a hub at once.
 HUB_BLOCK = 256
 #: Rounds over hubs at most; they end when one links fewer than GAIN of what the first did. Each set brings so many
@@ -438,7 +437,7 @@ def _fits(na: Column, nb: Column) -> Column:
     return 4 * F.least(na, nb) >= 3 * F.greatest(na, nb)
 
 
-def _open_lists(lists: DataFrame, labels: DataFrame | None, hubs: bool = True) -> DataFrame:
+def _open_lists(lists: DataFrame, labels: DataFrame | None, rows: int, hubs: bool = True) -> DataFrame:
     """token, ident, n, label, m: entries of the lists whose members are in several components; with low and high for hubs."""
     if labels is None:
         listed = lists.withColumn("label", F.col("ident"))
@@ -449,29 +448,12 @@ def _open_lists(lists: DataFrame, labels: DataFrame | None, hubs: bool = True) -
         ends = listed.groupBy("token").agg(F.count("*").alias("m"), F.min(of).alias("low"), F.max(of).alias("high")).filter(F.col("low.label") != F.col("high.label"))
     else:
         ends = listed.groupBy("token").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).filter(F.col("low") != F.col("high")).drop("low", "high")
-    return cut(listed.join(ends, "token"))
-
-
-def _contracted(links: DataFrame) -> DataFrame:
-    """node, label for the ends of links (a, b): the smallest neighbour's smallest neighbour's smallest neighbour.
-
-    Nodes of one label are linked; not all of a component need have one yet. That is enough for the rounds over hubs, whose
-    links are stars for the most part, and takes no rounds of its own.
-    """
-    clean = links.filter("a <> b")
-    near = cut(clean.union(clean.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
-    out = near
-    for _ in range(2):
-        up = near.select(F.col("node").alias("_up"), F.col("label").alias("_higher"))
-        out = out.join(up, out["label"] == up["_up"], "left").select("node", F.coalesce("_higher", "label").alias("label"))
-    out = cut(out)
-    release(near)
-    return out
+    return cut(few(listed.join(ends, "token"), rows))
 
 
 def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """labels (node, label), after links between labels (a, b)."""
-    more = _contracted(links)
+    """labels (node, label), after links between labels (a, b): only these are searched for components."""
+    more = components(links)
     if labels is None:
         return more
     new = more.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
@@ -491,17 +473,24 @@ def _blocks(mixed: DataFrame) -> DataFrame:
     # A little more than 4/3, so that no rounding brings linked sets two bands apart.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.334)))
     sets = mixed.groupBy("ident").agg(F.max(F.struct("m", "token")).alias("_top"), F.first("n").alias("n"), F.first("label").alias("label")).select("ident", "n", "label", F.col("_top.token").alias("lead"), band.alias("band"))
-    size = sets.groupBy(F.col("lead").alias("_lead"), F.col("band").alias("_band")).agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).alias("_of"))
+    size = sets.groupBy(F.col("lead").alias("_lead"), F.col("band").alias("_band")).agg(F.count("*").alias("_sets"), F.sum("n").alias("_shingles"))
+    of = lambda c, n: F.ceil(F.greatest(c / BLOCK_SETS, n / BLOCK_SHINGLES))
+    size = size.withColumn("_of", of(F.col("_sets"), F.col("_shingles")))
+    # Sets of frequent shingles fill blocks of their own; those of the others share blocks by band, of which there are a hundred at most.
+    small = size.filter("_of = 1").groupBy(F.col("_band").alias("_small")).agg(of(F.sum("_sets"), F.sum("_shingles")).alias("_share"))
+    size = size.join(F.broadcast(small), F.col("_band") == F.col("_small"), "left")
+    own = F.xxhash64("lead", "band", F.pmod(F.xxhash64("ident"), F.col("_of")))
+    shared = F.xxhash64("band", F.pmod(F.xxhash64("lead"), F.col("_share")))
     dealt = sets.join(size, (F.col("lead") == F.col("_lead")) & (F.col("band") == F.col("_band")))
-    return dealt.select("ident", "n", "label", "band", F.xxhash64("lead", "band", F.pmod(F.xxhash64("ident"), F.col("_of"))).alias("block"))
+    return dealt.select("ident", "n", "label", "band", F.when(F.col("_of") > 1, own).otherwise(shared).alias("block"))
 
 
-def _search(rare: DataFrame, labels: DataFrame | None, sets: DataFrame) -> DataFrame:
+def _search(rare: DataFrame, labels: DataFrame | None, sets: DataFrame, count: int, rows: int) -> DataFrame:
     """Links between labels (a, b): every two blocks of which an open list has members are held against each other."""
-    mixed = _open_lists(rare, labels, hubs=False)
-    placed = cut(_blocks(mixed))
+    mixed = _open_lists(rare, labels, rows, hubs=False)
+    placed = cut(few(_blocks(mixed), count))
     place = placed.select("ident", "band", "block")
-    met = cut(mixed.select("token", "ident", "label").join(place, "ident").groupBy("token", "band", "block").agg(F.min("label").alias("low"), F.max("label").alias("high")))
+    met = cut(few(mixed.select("token", "ident", "label").join(place, "ident").groupBy("token", "band", "block").agg(F.min("label").alias("low"), F.max("label").alias("high")), rows))
     one, two = (met.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("band", "block", "low", "high")]) for s in "ab")
     near = one.join(two, "token").filter((F.col("block_a") <= F.col("block_b")) & (F.abs(F.col("band_a") - F.col("band_b")) <= 1))
     pairs = near.filter((F.least("low_a", "low_b") != F.greatest("high_a", "high_b"))).select("block_a", "block_b").distinct()
@@ -514,15 +503,17 @@ def _search(rare: DataFrame, labels: DataFrame | None, sets: DataFrame) -> DataF
     return found
 
 
-def link_sets(sets: DataFrame) -> DataFrame:
-    """node, label for every set (ident, n, blob) that is linked with another: the components of all links."""
+def link_sets(sets: DataFrame) -> DataFrame | None:
+    """node, label for every set (ident, n, blob) that is linked with another: the components of all links; None without links."""
     rare = cut(sets.select("ident", "n", "blob").mapInArrow(_prefixes, "token long, ident binary, n int, place int"))
-    tried, labels, gained, passed, linked = None, None, [], [], []
+    tried, labels, gained, passed = None, None, [], []
+    # Numbers that tell how many tasks are worth while.
+    count, rows = sets.count(), rare.count()
     # Hubs, over the few rarest shingles of each set: large groups come together at one comparison a member. This is
     # only a head start; the search below misses nothing whatever was linked here.
     lists = rare.filter(F.col("place") < HEAD).select("token", "ident", "n")
     while len(gained) < HUB_ROUNDS and (len(gained) < 2 or gained[-1] >= GAIN * gained[0]) and (not gained or gained[-1]):
-        mixed = _open_lists(lists, labels)
+        mixed = _open_lists(lists, labels, min(rows, HEAD * count))
         # A list that is settled stays so.
         lists = mixed.select("token", "ident", "n")
         # A hub of another component than the set's own: of the lowest label, or for its own members of the highest.
@@ -534,20 +525,18 @@ def link_sets(sets: DataFrame) -> DataFrame:
         best = common.groupBy("a").agg(F.max_by(F.struct("b", "la", "lb"), F.struct("c", "b")).alias("x")).select("a", "x.*")
         left = best.join(sets.select(F.col("ident").alias("a"), F.col("n").alias("na"), F.col("blob").alias("sa")), "a")
         brought = left.join(sets.select(F.col("ident").alias("b"), F.col("n").alias("nb"), F.col("blob").alias("sb")), "b")
-        compared = cut(brought.select("a", "b", "la", "lb", "na", "nb", "sa", "sb").mapInArrow(_against_hubs, _LINKS))
+        compared = cut(few(brought.select("a", "b", "la", "lb", "na", "nb", "sa", "sb"), count, 1000).mapInArrow(_against_hubs, _LINKS))
         tried = compared.select("a", "b") if tried is None else tried.union(compared.select("a", "b"))
         good = compared.filter("link").select(F.col("la").alias("a"), F.col("lb").alias("b"))
         gained.append(good.count())
         passed += [mixed, compared]
         if gained[-1]:
             labels = _relabelled(labels, good)
-            linked.append(good)
-    links = _search(rare.select("token", "ident", "n"), labels, sets)
-    # Links between labels hang together with the links that made the labels: all of them give the components, once.
-    linked.append(links)
-    told = components(reduce(DataFrame.union, linked))
-    release(rare, links, labels, *passed)
-    return told
+    links = _search(rare.select("token", "ident", "n"), labels, sets, count, rows)
+    if not links.isEmpty():
+        labels = _relabelled(labels, links)
+    release(rare, links, *passed)
+    return labels
 
 
 def _classed(documents: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -566,9 +555,12 @@ def _classed(documents: DataFrame, id_column: str, text: str) -> DataFrame:
     members = found.filter(F.col("kind") == _DOCUMENT).select("doc_id", "row", "ident", "n")
     labels = link_sets(sets)
     least = members.filter("ident is not null").groupBy("ident").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
-    named = least.join(labels, least["ident"] == labels["node"], "left").select("ident", "first", "rows", F.coalesce("label", "ident").alias("label"))
-    lowest = named.groupBy("label").agg(F.min("first").alias("component"))
-    by_set = named.join(lowest, "label").select(F.col("ident").alias("_ident"), "component", "label", "rows")
+    if labels is None:
+        by_set = least.select(F.col("ident").alias("_ident"), F.col("first").alias("component"), F.col("ident").alias("label"), "rows")
+    else:
+        named = least.join(labels, least["ident"] == labels["node"], "left").select("ident", "first", "rows", F.coalesce("label", "ident").alias("label"))
+        lowest = named.groupBy("label").agg(F.min("first").alias("component"))
+        by_set = named.join(lowest, "label").select(F.col("ident").alias("_ident"), "component", "label", "rows")
     by_set = cut(by_set)
     # The many documents of one set are dealt over several tasks. Such sets are one for HOT documents at most.
     pieces = F.ceil(F.col("rows") / HOT).cast("int")
