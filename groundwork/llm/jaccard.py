@@ -8,7 +8,7 @@
    quarter (and one) of each in this order: the sets with one such shingle are its list.
 3. Links to hubs, a head start. Each set is held against one hub of its lists, not against all members, so large
    groups of near copies cost one comparison a member. Lists whose members are then in one component are settled.
-4. T-occurrence search (DivideSkip). Sets of open lists form blocks of bounded size, by the most frequent shingle that
+4. T-occurrence search (DivideSkip). Sets of open lists form blocks of bounded size, by size and the most frequent shingle that
    they are listed under; two blocks meet in one task if an open list has members in both. A task holds the inverted
    lists of one block and takes the sets of the other as queries: short lists are merged by a heap, which keeps
    candidates that reach T less the number of long lists; the long lists are probed by binary search; what reaches the
