@@ -84,9 +84,11 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_column:
         best = usable.mapInArrow(run, schema)
     else:
         across, down = -(-told["n"] * size * 8 // CELL_QUERIES), -(-usable.count() * size * 8 // CELL_VECTORS) or 1
-        number = F.monotonically_increasing_id()
-        asked = queries.select("query_id", "query", (number % across).alias("across"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("down"))
-        held = usable.select("id", "vector", (number % down).cast("int").alias("down"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).cast("long").alias("across"))
+        # Rows are numbered before they are copied, so that all copies of one have its number.
+        number = lambda n: (F.monotonically_increasing_id() % n).cast("long")
+        each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        asked = queries.select("query_id", "query", number(across).alias("across")).withColumn("down", each(down))
+        held = usable.select("id", "vector", number(down).alias("down")).withColumn("across", each(across))
 
         def meet(some: pa.Table, there: pa.Table) -> pa.Table:
             some, there = some.combine_chunks(), there.combine_chunks()
