@@ -235,16 +235,18 @@ def raw_evidence(entities: DataFrame, triples: DataFrame, chunks: DataFrame) ->
     return e.filter("rank <= 2").unionByName(t.filter("rank <= 4")).unionByName(c.filter("rank <= 6"))
 
 
-def extractive_answers(questions: DataFrame, evidence: DataFrame, least: float = 0.2, raw: DataFrame | None = None) -> DataFrame:
+def extractive_answers(questions: DataFrame, evidence: DataFrame, least: float = 0.2, raw: DataFrame | None = None, strip: Callable[[Column], Column] = T.strip) -> DataFrame:
     """question_id, answer: put together from the three lines that match the question best, or words of uncertainty.
 
+    ``strip`` takes off what is around a line: all white space by default.
+
     A question without any evidence uses its rows of ``raw`` (see raw_evidence), if given. Evidence of which no line
     is left once stripped matches weakly; only a question without evidence has too little.
     """
     shown = evidence.select("question_id", "source", "display", "rank")
     if raw is not None:
         shown = shown.unionByName(raw.select("question_id", "source", "display", "rank").join(evidence.select("question_id").distinct(), "question_id", "left_anti"))
-    rows = shown.join(questions.select("question_id", "question"), "question_id").withColumn("_line", T.strip(F.coalesce("display", F.lit(""))))
+    rows = shown.join(questions.select("question_id", "question"), "question_id").withColumn("_line", strip(F.coalesce("display", F.lit(""))))
     scored = rows.select("question_id", "source", "_line", "rank", T.lexical(F.col("question"), F.col("_line")).alias("_s"))
     order = Window.partitionBy("question_id").orderBy(F.col("_line") == "", F.desc("_s"), F.col("source") == "text", "rank")
     top = scored.withColumn("_n", F.row_number().over(order)).filter("_n <= 3").withColumn("_ok", F.col("_line") != "")

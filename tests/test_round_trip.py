@@ -5,10 +5,12 @@ import json
 import re
 import threading
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from groundwork import cli
 from groundwork.functions import lexicon as L
 from groundwork.functions import text as T
@@ -46,6 +48,18 @@ def test_weak_and_missing_evidence(spark):
     assert told[0] == got[0] and told[3] == L.NO_EVIDENCE and "coal --[CAUSES]--> warming." in told[2]
 
 
+def test_extractive_answer_as_its_sql(spark, tmp_path):
+    """Lines cut at 300 characters may end in a line end or a blank; some are blank, some null."""
+    bodies = ["coal causes warming", "coal\n", "\u3000coal causes\t", "x" * 298 + "\n coal", " ", "\n", None, "\xa0", "a coal plant\r\n "]
+    rows = [(c, t, role, bodies[(c * 5 + t * (c % 4 + 1)) % len(bodies)] if t else ("coal causes" if c % 7 else None)) for c in range(36) for t, role in enumerate(("user", "assistant", "user", "assistant", "system", "assistant")[: c % 6 + 1])]
+    spark.createDataFrame([(90, 0, "user", "coal"), (90, 1, "assistant", " "), (91, 0, "user", None), (91, 1, "user", "coal"), *rows], "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    told = con.sql(entry.oracle_sql()["extractive_answer"]).fetchall()
+    got = [(r["question_id"], r["answer"]) for r in entry.queries()["extractive_answer"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(told) and any(".\n\nSources" in a or "\n." in a for _, a in told)
+
+
 def test_fallback_lookup(spark, edges):
     asked = spark.createDataFrame([(0, "What is the coal plant?"), (1, "how is it"), (2, "solar, coal or lunar?"), (3, "unknown thing")], "question_id int, question string")
     got = {}
