@@ -9,8 +9,8 @@
 3. Links to hubs, a head start. Each set is held against one hub of its lists, not against all members, so large
    groups of near copies cost one comparison a member. Lists whose members are then in one component are settled.
 4. T-occurrence search (DivideSkip). Sets of open lists form blocks of bounded size, by size and the most frequent shingle that
-   they are listed under; two blocks meet in one task if an open list has members in both. A task holds the inverted
-   lists of one block and takes the sets of the other as queries: short lists are merged by a heap, which keeps
+   they are listed under; two blocks meet in one task if an open list has members in both, and of each the sets of such
+   lists are sent there. A task holds the inverted lists of one block and takes the sets of the other as queries: short lists are merged by a heap, which keeps
    candidates that reach T less the number of long lists; the long lists are probed by binary search; what reaches the
    required overlap is a link. No pair of sets is ever a row: a task tells at most one link for each of its sets.
 5. Connected components of the links.
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import HashedWords, cut, few, mix, partitions, release, slices
+from groundwork.llm.common import HashedWords, cut, few, mix, partitions, release, slices, tidied
 from groundwork.llm.components import components
 
 SHINGLE = 5
@@ -245,8 +245,9 @@ def _shared(parts: int):
         size = np.diff(np.r_[starts, len(token)])
         several = np.minimum.reduceat(owner, starts) != np.maximum.reduceat(owner, starts)
         hit = np.repeat(several, size)
-        often = np.repeat(_class(size), size)[hit]
+        often = np.repeat(_class(size[several]), size[several])
         owner, token = owner[hit], token[hit]
+        del starts, size, several, hit
         if len(token):
             order = np.argsort(owner, kind="stable")
             owner, token, often = owner[order], token[order], often[order]
@@ -489,23 +490,24 @@ def _search(rare: DataFrame, labels: DataFrame | None, sets: DataFrame, count: i
     """Links between labels (a, b): every two blocks of which an open list has members are held against each other."""
     mixed = _open_lists(rare, labels, rows, hubs=False)
     placed = cut(few(_blocks(mixed), count))
-    place = placed.select("ident", "band", "block")
-    met = cut(few(mixed.select("token", "ident", "label").join(place, "ident").groupBy("token", "band", "block").agg(F.min("label").alias("low"), F.max("label").alias("high")), rows))
+    entries = cut(few(mixed.select("token", "ident", "label").join(placed.select("ident", "band", "block"), "ident"), rows))
+    met = cut(few(entries.groupBy("token", "band", "block").agg(F.min("label").alias("low"), F.max("label").alias("high")), rows))
     one, two = (met.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("band", "block", "low", "high")]) for s in "ab")
     near = one.join(two, "token").filter((F.col("block_a") <= F.col("block_b")) & (F.abs(F.col("band_a") - F.col("band_b")) <= 1))
-    pairs = near.filter((F.least("low_a", "low_b") != F.greatest("high_a", "high_b"))).select("block_a", "block_b").distinct()
-    sides = pairs.select("block_a", "block_b", F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"))
-    known = placed.select("ident", "block", "label").join(sets, "ident").select("block", "label", "n", "blob")
-    brought = sides.join(known, "block").select("block_a", "block_b", "block", "label", "n", "blob")
+    pairs = near.filter((F.least("low_a", "low_b") != F.greatest("high_a", "high_b"))).select("token", "block_a", "block_b")
+    # Of two blocks only the sets go that stand in an open list with members in both: linked sets share such a list.
+    sides = pairs.select("token", "block_a", "block_b", F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"))
+    wanted = sides.join(entries, ["token", "block"]).select("block_a", "block_b", "block", "ident", "label").distinct()
+    brought = wanted.join(sets, "ident").select("block_a", "block_b", "block", "label", "n", "blob")
     dealt = brought.repartition(partitions(rare.sparkSession), "block_a", "block_b").sortWithinPartitions("block_a", "block_b")
-    found = cut(dealt.mapInArrow(_searched, "a binary, b binary"))
-    release(mixed, placed, met)
+    found = cut(dealt.mapInArrow(tidied(_searched), "a binary, b binary"))
+    release(mixed, placed, entries, met)
     return found
 
 
 def link_sets(sets: DataFrame) -> DataFrame | None:
     """node, label for every set (ident, n, blob) that is linked with another: the components of all links; None without links."""
-    rare = cut(sets.select("ident", "n", "blob").mapInArrow(_prefixes, "token long, ident binary, n int, place int"))
+    rare = cut(sets.select("ident", "n", "blob").mapInArrow(tidied(_prefixes), "token long, ident binary, n int, place int"))
     tried, labels, gained, passed = None, None, [], []
     # Numbers that tell how many tasks are worth while.
     count, rows = sets.count(), rare.count()
@@ -525,7 +527,7 @@ def link_sets(sets: DataFrame) -> DataFrame | None:
         best = common.groupBy("a").agg(F.max_by(F.struct("b", "la", "lb"), F.struct("c", "b")).alias("x")).select("a", "x.*")
         left = best.join(sets.select(F.col("ident").alias("a"), F.col("n").alias("na"), F.col("blob").alias("sa")), "a")
         brought = left.join(sets.select(F.col("ident").alias("b"), F.col("n").alias("nb"), F.col("blob").alias("sb")), "b")
-        compared = cut(few(brought.select("a", "b", "la", "lb", "na", "nb", "sa", "sb"), count, 1000).mapInArrow(_against_hubs, _LINKS))
+        compared = cut(few(brought.select("a", "b", "la", "lb", "na", "nb", "sa", "sb"), count, 1000).mapInArrow(tidied(_against_hubs), _LINKS))
         tried = compared.select("a", "b") if tried is None else tried.union(compared.select("a", "b"))
         good = compared.filter("link").select(F.col("la").alias("a"), F.col("lb").alias("b"))
         gained.append(good.count())
@@ -544,13 +546,15 @@ def _classed(documents: DataFrame, id_column: str, text: str) -> DataFrame:
 
     label is the component's own name: two components may have one doc_id if it stands on rows of both.
     """
-    parts = partitions(documents.sparkSession)
+    # Every part that a set has shingles in is sent its name, so there are no more of them than memory asks for.
+    spark = documents.sparkSession
+    parts = max(min(partitions(spark), spark.sparkContext.defaultParallelism), partitions(spark) // 2)
     body = F.col(f"`{text}`").cast("string")
     rows = documents.select(F.col(f"`{id_column}`").cast("long").alias("id"), body.alias("text"), F.xxhash64(body).alias("row"))
     # A part is a task, where hashed part numbers would bring several parts into one.
-    dealt = rows.mapInArrow(_shingled(parts), _SET).repartitionById(parts, F.col("part"))
-    shared = dealt.mapInArrow(_shared(parts), _SET).repartitionById(parts, F.col("part"))
-    found = cut(shared.mapInArrow(_gathered, _SET))
+    dealt = rows.mapInArrow(tidied(_shingled(parts)), _SET).repartitionById(parts, F.col("part"))
+    shared = dealt.mapInArrow(tidied(_shared(parts)), _SET).repartitionById(parts, F.col("part"))
+    found = cut(shared.mapInArrow(tidied(_gathered), _SET))
     sets = found.filter(F.col("kind") == _GOOD).select("ident", "n", "blob")
     members = found.filter(F.col("kind") == _DOCUMENT).select("doc_id", "row", "ident", "n")
     labels = link_sets(sets)

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -477,3 +478,31 @@ def test_packed_shingles_come_back(n):
     owner, ident = np.r_[np.zeros(n, np.int64), 1, 1, 1], np.array([[1 << 63, 9], [7, 65535]], np.uint64)
     names, whose, back = jaccard._unpack(list(jaccard._pack(owner % 1, owner, ident, token, None, 1)), False)
     assert (names[whose] == ident[owner]).all() and (back & jaccard._MASK == token).all()
+
+
+def test_search_sends_sets_only_where_they_have_mates(spark, tmp_path, monkeypatch):
+    """200 sets in blocks of 2 or so: a list joins two sets, so each goes to the blocks of its own mates, not to all that its block meets."""
+    words = [[f"w{k}x{i}" for i in range(104)] for k in range(100)]
+    # Two sets of a pair share 60 of 100 shingles; their other words are like those of the pairs before and after, which joins all blocks.
+    texts = []
+    for k in range(100):
+        texts += [" ".join(words[k][:64] + words[(k + d) % 100][64:104]) for d in (0, 1)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    told, searched = str(tmp_path), jaccard._searched
+
+    def counted(batches):
+        def rows():
+            for b in batches:
+                with open(f"{told}/{uuid.uuid4().hex}", "w") as f:
+                    f.write(str(b.num_rows))
+                yield b
+
+        yield from searched(rows())
+
+    monkeypatch.setattr(jaccard, "_searched", counted)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 8)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs).collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(100)} for t in texts]
+    assert not any(100 * len(a & b) >= 75 * len(a | b) for i, a in enumerate(sets) for b in sets[:i]) and all(k == v for k, v in got.items())
+    sent = sum(int(f.read_text()) for f in tmp_path.iterdir())
+    assert 0 < sent <= 4 * len(texts), sent
