@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import slices
+from groundwork.llm.common import slices, tidied
 
 MARK = "▁"
 
@@ -297,7 +297,7 @@ def encode_decode(documents: DataFrame, model: str, text: str = "text") -> DataF
             n, ids, decoded = zip(*agenda.digests(texts), strict=True)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=[*batch.schema.names, *added])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidied(run), schema)
 
 
 def ids_and_text(documents: DataFrame, model: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -315,4 +315,4 @@ def ids_and_text(documents: DataFrame, model: str, text: str = "text", ids: str
                 agenda.hold(x, y, agenda.decode(y))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32())), pa.array([agenda.decode(x) for x in found], pa.string())], names=[*batch.schema.names, ids, decoded])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidied(run), schema)

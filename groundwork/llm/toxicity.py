@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import MEMO_ENTRIES, HashedWords, slices
+from groundwork.llm.common import MEMO_ENTRIES, HashedWords, slices, tidied
 
 #: Lower case for A-Z; ASCII punctuation, digits and control characters end words.
 _TABLE = bytes((b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32) for b in range(256))
@@ -174,7 +174,8 @@ def score(documents: DataFrame, weights: Weights, text: str = "text", name: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         dense, of = model.dense(), Featurizer(model.bits)
-        for batch in slices(batches, 1024, text):
+        # The features of texts take many times their memory.
+        for batch in slices(batches, 256, text, most=500_000):
             at, whose = of(batch.column(batch.schema.get_field_index(text)).to_pylist())
             hit = dense[at] != 0
             pairs = np.unique((whose[hit] << model.bits) | at[hit])
@@ -182,7 +183,7 @@ def score(documents: DataFrame, weights: Weights, text: str = "text", name: str
             p = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, name])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidied(run), schema)
 
 
 def scored(documents: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:

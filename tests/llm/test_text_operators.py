@@ -318,3 +318,24 @@ def test_secrets_sql_knows_every_class(spark):
     con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
     told = con.sql(secrets.scan_sql()).df().sort_values("doc_id").reset_index(drop=True)[list(found.columns)]
     assert found.astype(str).equals(told.astype(str)) and found["spans"].str.contains("entropy").sum() > 20
+
+
+def test_scoring_featurises_few_texts_at_once(spark, tmp_path, monkeypatch):
+    """Features of many texts at once fill a worker, and what it frees goes back to the system when a task ends."""
+    from groundwork.llm import common
+
+    class Told(toxicity.Featurizer):
+        def __call__(self, texts):
+            with open(f"{told}/{len(texts)}-{sum(map(len, texts))}-{id(texts)}", "w"):
+                return super().__call__(texts)
+
+    told = str(tmp_path)
+    monkeypatch.setattr(toxicity, "Featurizer", Told)
+    import numpy as np
+
+    weights = toxicity.Weights(10, 0.5, np.arange(1 << 10), np.linspace(-1, 1, 1 << 10))
+    docs = spark.createDataFrame([(k, f"word{k} other{k % 7} " * 60) for k in range(1500)], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, weights).collect()}
+    sizes = [tuple(map(int, f.name.split("-")[:2])) for f in tmp_path.iterdir()]
+    assert len(got) == 1500 and sizes and all(n <= 256 and m <= 500_000 for n, m in sizes)
+    assert list(common.tidied(lambda x: iter([*x, 3]))(iter([1, 2]))) == [1, 2, 3]
