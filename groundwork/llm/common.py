@@ -97,6 +97,13 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int, text: str = "text", mos
         yield batch.slice(begin)
 
 
+def give_back() -> None:
+    """Hand memory that was freed in this process to the system."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, after which the worker gives back what it has freed: workers live on, and would keep it through later stages."""
 
@@ -105,9 +112,7 @@ def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-                libc.malloc_trim(0)
+            give_back()
 
     return whole
 

@@ -7,6 +7,9 @@ are decoded through a join with the table of pieces. Ids and bytes go back to th
 tell the place of each word.
 
 Within a slice a word is counted once, so even a word that is in every text is a tiny share of what meets in a bucket.
+
+A slice travels as many small rows, none near its size, and a worker gives back what it has freed when a task ends: an
+executor's workers live on, and those that wait would hold a slice's memory beside those that work.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -26,11 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import partitions
+from groundwork.llm.common import give_back, partitions, slices, tidied
 
 SLICE_BYTES = 16_000_000  #: of texts in a slice; a longer text is a slice of its own
+ROW_BYTES = 16  #: that a row counts beside its text, so that slices of empty texts end too
+CHUNK = 250_000  #: words of a slice's texts in a row
 BUCKETS = 2  #: for each shuffle partition, against memory
 FLUSH = 100_000  #: words whose answers are packed at a time
+FLUSH_USES = 1_000_000  #: and uses of words
 BITS = 24  #: of an id within a number that holds two
 LATIN = 0x250  #: characters below are looked at when a worker starts, others when they turn up
 
@@ -165,7 +172,7 @@ def _unpack(raw: bytes) -> bytes:
 
 
 def _pack_numbers(numbers: np.ndarray) -> bytes:
-    """Numbers below 2**32 as planes of bytes, the plane of the highest bytes first."""
+    """Numbers below 2**32 as planes of bytes, the plane of the highest bytes first; they come back as unsigned ones of 32 bits."""
     planes = np.ascontiguousarray(numbers.astype(">u4")).view(np.uint8).reshape(-1, 4).T
     return b"".join(len(z).to_bytes(4, "little") + z for z in (_pack(x.tobytes()) for x in planes))
 
@@ -176,7 +183,7 @@ def _unpack_numbers(raw: bytes) -> np.ndarray:
         n = int.from_bytes(raw[at : at + 4], "little")
         planes.append(np.frombuffer(_unpack(raw[at + 4 : at + 4 + n]), np.uint8))
         at += 4 + n
-    return np.ascontiguousarray(np.stack(planes, axis=1)).view(">u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(np.stack(planes, axis=1)).view(">u4").ravel().astype(np.uint32)
 
 
 class Numbered(dict):
@@ -187,69 +194,82 @@ class Numbered(dict):
         return n
 
 
-SLICED = "slice long, keys array<long>, counts array<int>, numbers binary, firsts array<int>, words array<binary>"
+SLICED = "slice long, bucket int, first int, packed binary, keys array<long>, counts array<int>"
+
+
+def _sliced_rows(number: int, bucket: list, first: list, packed: list, keys: list | None = None, counts: list | None = None) -> pa.RecordBatch:
+    n = len(first)
+    columns = [[number] * n, bucket, first, packed, [keys] * n, [counts] * n]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["slice", "bucket", "first", "packed", "keys", "counts"])
 
 
 def _sliced(path: str, buckets: int, most: int):
-    """Texts to slices: the ids of their rows, the count of words of each, all words' numbers, and distinct words by bucket.
+    """Texts to slices. A slice is several rows: its distinct words, a row for each bucket (first: the number of the first of
+    them); and what stays behind, without a bucket: at first 0 the ids of its rows and the count of words of each, from -1
+    down the numbers of its words by rank and from 1 up the ranks of all words of its texts, CHUNK in a row.
 
     Words are numbered by bucket, and within a bucket from the most frequent on.
     """
 
+    def parts(number: int, keys: list, counts: list, codes: list, seen: Numbered) -> Iterator[pa.RecordBatch]:
+        code, distinct = np.concatenate(codes), list(seen)
+        codes.clear()
+        seen.clear()
+        chunks = [code[a : a + CHUNK] for a in range(0, len(code), CHUNK)]
+        often = np.zeros(len(distinct), np.int64)
+        for x in chunks:
+            often += np.bincount(x, minlength=len(distinct))
+        bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in distinct), np.int64, len(distinct))
+        order = np.lexsort((-often, bucket))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+        held = [(k, a, b) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+        blobs = [_pack(_GAP.join([distinct[k].encode() for k in order[a:b].tolist()])) for _, a, b in held]
+        del distinct
+        if held:
+            yield _sliced_rows(number, [k for k, _, _ in held], [a for _, a, _ in held], blobs)
+        # Frequent words have small numbers in what is stored, whichever their bucket.
+        by_rank = np.argsort(-often, kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[by_rank] = np.arange(len(order))
+        yield _sliced_rows(number, [None], [0], [None], keys, counts)
+        for k, a in enumerate(range(0, len(order), CHUNK), 1):
+            yield _sliced_rows(number, [None], [-k], [_pack_numbers(place[by_rank[a : a + CHUNK]])])
+        for k, x in enumerate(chunks, 1):
+            yield _sliced_rows(number, [None], [k], [_pack_numbers(rank[x])])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
-        part, done = TaskContext.get().partitionId(), 0
+        number = TaskContext.get().partitionId() << 32
         keys, counts, codes, seen, size = [], [], [], Numbered(), 0
-
-        def packed() -> pa.RecordBatch:
-            nonlocal done
-            code, distinct = np.concatenate(codes), list(seen)
-            often = np.bincount(code, minlength=len(distinct))
-            bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in distinct), np.int64, len(distinct))
-            order = np.lexsort((-often, bucket))
-            number = np.empty(len(order), np.int64)
-            number[order] = np.arange(len(order))
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
-            listed = [distinct[k].encode() for k in order.tolist()]
-            blobs = [_pack(_GAP.join(listed[a:b])) if b > a else None for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            # Frequent words have small numbers in what is stored, whichever their bucket.
-            by_rank = np.argsort(-often, kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[by_rank] = np.arange(len(order))
-            stored = _pack_numbers(number[by_rank]) if len(order) else b""
-            blob = len(stored).to_bytes(8, "little") + stored + (_pack_numbers(rank[code]) if len(code) else b"")
-            row = [[(part << 32) + done], [keys], [counts], [blob], [edges[:-1]], [blobs]]
-            done += 1
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.binary())]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], names=["slice", "keys", "counts", "numbers", "firsts", "words"])
-
-        for batch in batches:
+        for batch in slices(batches, 1024):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = encoder.words(text) if text else []
-                if keys and size + len(text or "") > most:
-                    yield packed()
+                n = ROW_BYTES + len(text or "")
+                if keys and size + n > most:
+                    yield from parts(number, keys, counts, codes, seen)
                     keys, counts, codes, seen, size = [], [], [], Numbered(), 0
+                    number += 1
                 keys.append(key)
                 counts.append(len(found))
                 codes.append(np.fromiter(map(seen.__getitem__, found), np.uint32, len(found)))
-                size += len(text or "")
+                size += n
         if keys:
-            yield packed()
+            yield from parts(number, keys, counts, codes, seen)
 
-    return run, SLICED
+    return tidied(run), SLICED
 
 
+@tidied
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each slice its packed words, a row for each bucket; first: the number of the first of them."""
+    """Of the rows of slices those with words."""
     for batch in batches:
-        for k in range(batch.num_rows):
-            row = {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names) if name in ("slice", "firsts", "words")}
-            held = [b for b, blob in enumerate(row["words"]) if blob is not None]
-            columns = [pa.array(held, pa.int32()), pa.array([row["slice"]] * len(held), pa.int64()), pa.array([row["firsts"][b] for b in held], pa.int32()), pa.array([row["words"][b] for b in held], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "slice", "first", "words"])
+        yield batch.filter(batch.column("bucket").is_valid()).select(["bucket", "slice", "first", "packed"])
 
 
-ASKED = "bucket int, slice long, first int, words binary"
+ASKED = "bucket int, slice long, first int, packed binary"
 _USE = np.dtype([("slice", "<i8"), ("number", "<u4")])
 
 
@@ -257,21 +277,29 @@ def _distinct(path: str):
     """The distinct words of each bucket with their uses (which slices hold one, and its number there) and ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Spark deals the words out; the library's threads, one for each core of the machine, would each hold on to memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = encoder_of(path)
         for batch in batches:
             for k in range(batch.num_rows):
-                uses: dict[bytes, list[tuple[int, int]]] = {}
+                seen, which, uses = Numbered(), [], []
                 for row in batch.column(0)[k].as_py():
-                    for number, word in enumerate(_unpack(row["words"]).split(_GAP), row["first"]):
-                        uses.setdefault(word, []).append((row["slice"], number))
-                words = [word.decode() for word in uses]
-                held = [np.array(x, _USE).tobytes() for x in uses.values()]
+                    found = _unpack(row["packed"]).split(_GAP)
+                    which.append(np.fromiter(map(seen.__getitem__, found), np.int64, len(found)))
+                    uses.append(np.empty(len(found), _USE))
+                    uses[-1]["slice"], uses[-1]["number"] = row["slice"], np.arange(row["first"], row["first"] + len(found))
+                whose = np.concatenate(which)
+                held = np.concatenate(uses)[np.argsort(whose, kind="stable")].tobytes()
+                ends = [0, *(np.cumsum(np.bincount(whose)) * _USE.itemsize).tolist()]
+                words = [word.decode() for word in seen]
+                del seen, which, uses, whose
                 for a in range(0, len(words), 10_000):
                     some = words[a : a + 10_000]
-                    columns = [pa.array(some, pa.string()), pa.array(held[a : a + 10_000], pa.binary()), pa.array(encoder.encode_all(some), pa.list_(pa.int32()))]
+                    own = [held[x:y] for x, y in zip(ends[a:], ends[a + 1 : a + 1 + len(some)])]
+                    columns = [pa.array(some, pa.string()), pa.array(own, pa.binary()), pa.array(encoder.encode_all(some), pa.list_(pa.int32()))]
                     yield pa.RecordBatch.from_arrays(columns, names=["word", "uses", "ids"])
 
-    return run, "word string, uses binary, ids array<int>"
+    return tidied(run), "word string, uses binary, ids array<int>"
 
 
 def word_table(asked: DataFrame, path: str) -> DataFrame:
@@ -280,7 +308,7 @@ def word_table(asked: DataFrame, path: str) -> DataFrame:
     ids come from the merges, and each meets its piece in a join. A word's rows follow each other in one task: explode
     and a broadcast join keep the order of rows, so no shuffle has to bring them together again.
     """
-    met = asked.groupBy("bucket").agg(F.collect_list(F.struct("slice", "first", "words")).alias("asked")).select("asked")
+    met = asked.groupBy("bucket").agg(F.collect_list(F.struct("slice", "first", "packed")).alias("asked")).select("asked")
     each = met.mapInArrow(*_distinct(path)).select("word", "uses", F.posexplode("ids").alias("at", "id"))
     return each.join(F.broadcast(pieces(asked.sparkSession, path)), "id").select("word", F.when(F.col("at") == 0, F.col("uses")).alias("uses"), "at", "id", "piece")
 
@@ -288,6 +316,7 @@ def word_table(asked: DataFrame, path: str) -> DataFrame:
 ANSWERED = "slice long, answer binary"
 
 
+@tidied
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ids and bytes of words, packed for each slice that holds them."""
 
@@ -307,7 +336,7 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blobs.append(b"".join(len(x).to_bytes(8, "little") + x for x in parts))
         return pa.RecordBatch.from_arrays([pa.array(use["slice"][edges]), pa.array(blobs, pa.binary())], names=["slice", "answer"])
 
-    uses, of, ids, texts = [], [], [], []
+    uses, of, ids, texts, many = [], [], [], [], 0
     for batch in batches:
         column = {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
         for use, at, own, made in zip(column["uses"], column["at"], column["id"], column["piece"], strict=True):
@@ -317,11 +346,12 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids[-1].append(own)
                 texts[-1] += made
                 continue
-            if len(uses) > FLUSH:
+            if len(uses) > FLUSH or many > FLUSH_USES:
                 yield packed(uses, of, ids, texts)
-                uses, of, ids, texts = [], [], [], []
+                uses, of, ids, texts, many = [], [], [], [], 0
             uses.append(use)
             of.append(len(use) // _USE.itemsize)
+            many += of[-1]
             ids.append([own])
             texts.append(made)
     if uses:
@@ -337,7 +367,7 @@ def _answered(raw: bytes) -> Iterator[tuple[int, bytes, bytes]]:
         at += 8 + n
     numbers, many, ids, sizes = map(_unpack_numbers, parts[:4])
     flat, text = ids.astype("<u4").tobytes(), _unpack(parts[4])
-    ends, stops = np.cumsum(4 * many).tolist(), np.cumsum(sizes).tolist()
+    ends, stops = (4 * np.cumsum(many, dtype=np.int64)).tolist(), np.cumsum(sizes, dtype=np.int64).tolist()
     for number, a, b, c, d in zip(numbers.tolist(), [0, *ends], ends, [0, *stops], stops):
         yield number, flat[a:b], text[c:d]
 
@@ -345,19 +375,23 @@ def _answered(raw: bytes) -> Iterator[tuple[int, bytes, bytes]]:
 def _gathered(digests: bool):
     """The ids and the decoded text of each row of a slice, from the words' places; or their digests."""
 
-    def run(held: pa.Table, answers: pa.Table) -> pa.Table:
-        keys, counts, blob = (held.column(c)[0].as_py() for c in ("keys", "counts", "numbers"))
-        n = int.from_bytes(blob[:8], "little")
-        number = _unpack_numbers(blob[8 : 8 + n]) if n else np.empty(0, np.int64)
-        places = number[_unpack_numbers(blob[8 + n :])] if n else number
-        ids_of: list[bytes] = [b""] * len(number)
-        text_of: list[bytes] = [b""] * len(number)
-        for raw in answers.column("answer").to_pylist():
-            for k, ids, text in _answered(raw):
+    def gathered(held: pa.Table, answers: pa.Table) -> pa.Table:
+        held = held.filter(held.column("bucket").is_null())
+        first, packed = held.column("first").to_pylist(), held.column("packed").to_pylist()
+        keys, counts = (held.column(c)[first.index(0)].as_py() for c in ("keys", "counts"))
+        parts, none = dict(zip(first, packed, strict=True)), np.empty(0, np.uint32)
+        number, ranks = (np.concatenate([none, *(_unpack_numbers(parts[k]) for k in sorted(parts, key=abs) if k * sign > 0)]) for sign in (-1, 1))
+        if len(ranks) != sum(counts):
+            raise RuntimeError("a slice lacks a part")
+        del held, packed, parts
+        ids_of: list[bytes | None] = [None] * len(number)
+        text_of: list[bytes | None] = [None] * len(number)
+        for raw in answers.column("answer"):
+            for k, ids, text in _answered(raw.as_py()):
                 ids_of[k], text_of[k] = ids, text
         out, at = [], 0
         for key, count in zip(keys, counts, strict=True):
-            own = places[at : at + count].tolist()
+            own = number[ranks[at : at + count]].tolist()
             at += count
             ids = b"".join([ids_of[k] for k in own])
             text = b"".join([text_of[k] for k in own]).decode(errors="replace")
@@ -368,6 +402,12 @@ def _gathered(digests: bool):
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()] if digests else [pa.int64(), pa.list_(pa.int32()), pa.string()]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["key", *(["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])])
 
+    def run(held: pa.Table, answers: pa.Table) -> pa.Table:
+        try:
+            return gathered(held, answers)
+        finally:
+            give_back()
+
     return run, "key long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "key long, ids array<int>, decoded string"
 
 
@@ -376,7 +416,7 @@ def _encoded(documents: DataFrame, path: str, id_column: str, text: str, digests
     rows = documents.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     # Both uses of a slice, its words and its numbers, read one shuffle: it is computed and written once.
     dealt = rows.mapInArrow(*_sliced(path, buckets, slice_bytes)).repartition("slice")
-    answers = word_table(dealt.mapInArrow(_asked, ASKED), path).mapInArrow(_answers, ANSWERED)
+    answers = word_table(dealt.mapInArrow(_asked, ASKED), path).drop("word").mapInArrow(_answers, ANSWERED)
     told = dealt.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(*_gathered(digests))
     return told.withColumnRenamed("key", id_column)
 

@@ -65,6 +65,45 @@ def test_each_distinct_word_is_encoded_once(spark):
     assert sum(len(r["uses"]) // words._USE.itemsize for r in table if r["at"] == 0) == 40 * 4
 
 
+def test_a_slice_travels_in_small_rows(spark):
+    """One row for a whole slice filled executors; texts without characters end a slice too."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(10**5)}" for _ in range(60_000)) for _ in range(10)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    parts = rows.mapInArrow(*words._sliced(byte_pairs(), 64, 10**9)).withColumn("bytes", F.expr("octet_length(packed)"))
+    assert parts.select("slice").distinct().count() == 1
+    assert parts.agg(F.max("bytes")).first()[0] * 3 < parts.agg(F.sum("bytes")).first()[0]
+    empty = spark.range(100).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text")).coalesce(1)
+    assert empty.mapInArrow(*words._sliced(byte_pairs(), 4, 20 * words.ROW_BYTES)).select("slice").distinct().count() == 5
+
+
+def test_workers_keep_no_memory_of_words_that_they_encoded(spark):
+    """The library's threads, one for each core of the machine, kept ever more; what is freed goes back to the system."""
+
+    def now():
+        with open("/proc/self/smaps_rollup") as f:
+            return next(int(line.split()[1]) for line in f if line.startswith("Pss_Anon")) / 1024
+
+    def measured(batches):
+        import os
+
+        import pyarrow as pa
+
+        words.encoder_of(path)
+        words.give_back()
+        before, threads = now(), len(os.listdir("/proc/self/task"))
+        n = sum(b.num_rows for b in run(batches))
+        yield pa.RecordBatch.from_pydict({"n": [n], "mb": [now() - before], "threads": [len(os.listdir("/proc/self/task")) - threads]})
+
+    path = byte_pairs()
+    run, _ = words._distinct(path)
+    texts = [" ".join(f"w{a * 10_000 + k} x{k}y{a}" for k in range(10_000)) for a in range(8)]
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).mapInArrow(*words._sliced(path, 1, 10**9)).mapInArrow(words._asked, words.ASKED)
+    met = asked.groupBy("bucket").agg(F.collect_list(F.struct("slice", "first", *[c for c in asked.columns if c not in ("bucket", "slice", "first")])).alias("asked")).select("asked")
+    told = met.coalesce(1).mapInArrow(measured, "n long, mb double, threads long").first()
+    assert told["n"] >= 1 and told["threads"] == 0 and told["mb"] < 50, told
+
+
 def test_no_shuffle_but_those_by_slice_and_bucket(spark):
     rows = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     got = words.encode_decode(rows, byte_pairs())
