@@ -6,13 +6,13 @@ counted once a text. FTRL-proximal gives each coordinate its own learning rate a
 penalty, so that most weights are exactly 0 and what is broadcast is small and of bounded size. Some more passes
 over the chosen coordinates, without the penalty, let their weights grow to what the labels ask for.
 
-The model is fitted on a bounded sample of labelled rows (``Settings.rows``, taken in hash order of the id);
-every text is scored whole, in Arrow batches.
+The model is fitted on a bounded sample of labelled rows (``Settings.rows``, taken in hash order of the id), by a
+task: the driver gets the weights alone. Every text is scored whole, in Arrow batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -111,8 +111,8 @@ def held_out(id_column: Column, fold: int = Settings.fold) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % fold == 0
 
 
-def sample(documents: DataFrame, labels: DataFrame, label: str, settings: Settings, id_column: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
-    """(text, label) of at most settings.rows labelled rows outside the held-out fold, texts whole.
+def examples(documents: DataFrame, labels: DataFrame, label: str, settings: Settings, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """_text, _label of at most settings.rows labelled rows outside the held-out fold, texts whole; one partition, in order.
 
     The bound holds before any text moves. A label that stands on several rows of one id counts as its largest; of
     several texts under one id the first ones in order are taken. Null ids and labels and null texts are no examples.
@@ -121,18 +121,30 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, settings: Settin
     picked = known.orderBy(F.xxhash64("_id"), "_id").limit(settings.rows)
     told = documents.select(F.col(f"`{id_column}`").alias("_id"), F.col(f"`{text}`").alias("_text")).filter(F.col("_text").isNotNull())
     found = told.join(F.broadcast(picked), "_id").orderBy(F.xxhash64("_id"), "_id", "_text").limit(settings.rows)
-    return [(r["_text"], r["_label"]) for r in found.select("_text", "_label").toLocalIterator()]
+    return found.select("_text", "_label")
+
+
+def sample(documents: DataFrame, labels: DataFrame, label: str, settings: Settings, id_column: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
+    """The rows of ``examples``."""
+    return [(r["_text"], r["_label"]) for r in examples(documents, labels, label, settings, id_column, text).toLocalIterator()]
+
 
+def fit(rows: Iterable[tuple[str, int]], settings: Settings = Settings()) -> Weights:
+    """FTRL-proximal over the rows; without rows of both labels, weights of 0 and the bias of their share.
 
-def fit(rows: list[tuple[str, int]], settings: Settings = Settings()) -> Weights:
-    """FTRL-proximal over the rows; without rows of both labels, weights of 0 and the bias of their share."""
+    Of each row only its coordinates and its label are kept.
+    """
     of, size = Featurizer(settings.bits), 1 << settings.bits
+    features, told = [], []
+    for text, y in rows:
+        features.append(np.unique(of([text])[0]).astype(np.int32))
+        told.append(y)
+    del of
     z, n = np.zeros(size), np.zeros(size)
-    features = [np.unique(of([text])[0]) for text, _ in rows]
-    ones = sum(y for _, y in rows)
-    share = (ones + 0.5) / (len(rows) + 1)
+    ones = sum(told)
+    share = (ones + 0.5) / (len(told) + 1)
     bias, bias_n = float(np.log(share / (1 - share))), 1.0
-    if not 0 < ones < len(rows):
+    if not 0 < ones < len(told):
         return Weights(settings.bits, bias, np.empty(0, np.int64), np.empty(0))
 
     def weights(at: np.ndarray, l1: float) -> np.ndarray:
@@ -140,14 +152,14 @@ def fit(rows: list[tuple[str, int]], settings: Settings = Settings()) -> Weights
         rate = (settings.beta + np.sqrt(n[at])) / settings.alpha + settings.l2
         return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / rate)
 
-    order, l1 = np.random.default_rng(7), settings.l1 * np.sqrt(len(rows))
+    order, l1 = np.random.default_rng(7), settings.l1 * np.sqrt(len(told))
     for turn in range(settings.passes + settings.more):
         if turn == settings.passes:
             chosen = np.abs(z) > l1
             features = [at[chosen[at]] for at in features]
             z[:], n[:], l1 = 0.0, 0.0, 0.0
-        for k in order.permutation(len(rows)):
-            at, y = features[k], rows[k][1]
+        for k in order.permutation(len(told)):
+            at, y = features[k], told[k]
             w = weights(at, l1)
             p = 1 / (1 + np.exp(-np.clip(bias + w.sum(), -35, 35)))
             g = p - y
@@ -160,6 +172,19 @@ def fit(rows: list[tuple[str, int]], settings: Settings = Settings()) -> Weights
     return Weights(settings.bits, float(bias), at, weights(at, 0.0))
 
 
+def fitted(rows: DataFrame, settings: Settings = Settings()) -> Weights:
+    """``fit`` over ``examples`` by the task that holds them: neither texts nor their features come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = fit((row for batch in slices(batches, 256, "_text") for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)), settings)
+        columns = [pa.array([found.bias]), pa.array([found.at.astype("<i8").tobytes()]), pa.array([found.value.astype("<f8").tobytes()])]
+        yield pa.RecordBatch.from_arrays(columns, names=["bias", "at", "value"])
+
+    told = rows.mapInArrow(tidied(run), "bias double, at binary, value binary").collect()
+    # A table without partitions has no task.
+    return Weights(settings.bits, told[0]["bias"], np.frombuffer(told[0]["at"], "<i8"), np.frombuffer(told[0]["value"], "<f8")) if told else fit([], settings)
+
+
 def score(documents: DataFrame, weights: Weights, text: str = "text", name: str = "score") -> DataFrame:
     """documents with a score from 0 to 1.
 
@@ -192,7 +217,7 @@ def scored(documents: DataFrame, labels: DataFrame, corpus: DataFrame | None = N
     Null ids are rows like any other (their remainder is that of the empty text); see ``score`` for odd texts. Texts of equal
     scores are predicted alike; labelled rows of equal hash are taken in the order of their ids and texts.
     """
-    weights = fit(sample(documents if corpus is None else corpus, labels, "toxic", settings), settings)
+    weights = fitted(examples(documents if corpus is None else corpus, labels, "toxic", settings), settings)
     kept = [c for c in documents.columns if c.lower() not in ("held_out", "score", "predicted")]
     out = score(documents.select(*[F.col(f"`{c}`") for c in kept]), weights)
     told = [held_out(F.col("doc_id"), settings.fold).alias("held_out"), F.col("score"), (F.col("score") >= 0.5).cast("int").alias("predicted")]

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 
 import pytest
 import sentencepiece
@@ -119,3 +120,21 @@ def test_columns_stand_as_agreed(spark, name, columns):
     assert rows.columns[: len(columns.split())] == columns.split()
     if name == "op6_sharding":
         assert rows.filter(F.col("law") != "bytes").count() == 0
+
+
+def test_the_driver_gets_no_more_of_the_fit_than_its_weights(spark):
+    documents, labels = (spark.read.parquet(f"{FOLDER}/{name}.parquet") for name in ("documents", "labels"))
+    settings = toxicity.Settings()
+    here = toxicity.fit(toxicity.sample(documents, labels, "toxic", settings), settings)
+    tracemalloc.start()
+    try:
+        told = toxicity.scored(documents, labels)
+        # The coordinates alone would take 16 MB.
+        assert tracemalloc.get_traced_memory()[1] < 6_000_000
+    finally:
+        tracemalloc.stop()
+    assert told.count() == documents.count()
+    there = toxicity.fitted(toxicity.examples(documents, labels, "toxic", settings), settings)
+    assert there.bias == here.bias and len(here.at) and there.at.tolist() == here.at.tolist() and there.value.tolist() == here.value.tolist()
+    nothing = toxicity.fitted(spark.createDataFrame([], "_text string, _label int"), settings)
+    assert nothing.bias == 0 and not len(nothing.at)
